@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 
-QUERIES = {"op6_exact_dedup": op6_exact_dedup}
-SQL = {"op6_exact_dedup": OP6_SQL}
+QUERIES = {
+    "op6_exact_dedup": op6_exact_dedup,
+    "op9_chat_format": op9_chat_format,
+}
+SQL = {
+    "op6_exact_dedup": OP6_SQL,
+    "op9_chat_format": OP9_SQL,
+}
