@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .mixing import op5_mixing
+from .secret_scan import op7_secret_scan
 
 QUERIES = {
+    "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op9_chat_format": op9_chat_format,
 }
 SQL = {
