@@ -41,7 +41,7 @@ SLOTS_PER_SHARD = 8192
 #: Bound of the collected source table (about 100 MB).
 MAX_SOURCES = 1_000_000
 #: Documents in a chunk of running totals, about.
-CHUNK_ROWS = 16_384
+CHUNK_ROWS = 2048
 SEED = 20_240_501
 
 
@@ -128,7 +128,7 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = SLOTS
     slots = [min(MAX_REPEATS * b, round(t * b / n)) if n else 0 for (_, n), b, t in zip(sources, blocks, goal)]
     table = spark.createDataFrame([(k, name, n, t, b) for k, ((name, n), t, b) in enumerate(zip(sources, goal, blocks))], "src int, __source string, source_size long, target double, n_blocks long")
 
-    chunks = max(16, n_rows // CHUNK_ROWS)
+    chunks = max(1, n_rows // CHUNK_ROWS)
     named = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
     named = named.join(table, named["source"].eqNullSafe(table["__source"])).drop("__source", "n_blocks")
     rest = [c for c in sized.columns if c not in ("doc_id", "source", "size")]

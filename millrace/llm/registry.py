@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .language_id import op10_language_id
 from .mixing import op5_mixing
 from .secret_scan import op7_secret_scan
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op9_chat_format": op9_chat_format,
+    "op10_language_id": op10_language_id,
 }
 SQL = {
     "op6_exact_dedup": OP6_SQL,
