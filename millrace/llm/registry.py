@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe_codec import op3_bpe
 from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op10_language_id
@@ -9,6 +10,7 @@ from .mixing import op5_mixing
 from .secret_scan import op7_secret_scan
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
