@@ -7,9 +7,11 @@ from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op10_language_id
 from .mixing import op5_mixing
+from .near_dedup import op2_near_dedup
 from .secret_scan import op7_secret_scan
 
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op3_bpe": op3_bpe,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
