@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann_search import op1_ann_search
 from .bpe_codec import op3_bpe
 from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
@@ -11,6 +12,7 @@ from .near_dedup import op2_near_dedup
 from .secret_scan import op7_secret_scan
 
 QUERIES = {
+    "op1_ann_search": op1_ann_search,
     "op2_near_dedup": op2_near_dedup,
     "op3_bpe": op3_bpe,
     "op5_mixing": op5_mixing,
