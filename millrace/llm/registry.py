@@ -10,6 +10,7 @@ from .language_id import op10_language_id
 from .mixing import op5_mixing
 from .near_dedup import op2_near_dedup
 from .secret_scan import op7_secret_scan
+from .substring_dedup import OP8_SQL, op8_substring_dedup
 
 QUERIES = {
     "op1_ann_search": op1_ann_search,
@@ -18,10 +19,12 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
 }
 SQL = {
     "op6_exact_dedup": OP6_SQL,
+    "op8_substring_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
 }
