@@ -9,6 +9,7 @@ from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op10_language_id
 from .mixing import op5_mixing
 from .near_dedup import op2_near_dedup
+from .pii_surrogates import op4_pii_surrogates
 from .secret_scan import op7_secret_scan
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_ann_search": op1_ann_search,
     "op2_near_dedup": op2_near_dedup,
     "op3_bpe": op3_bpe,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_mixing": op5_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
