@@ -96,7 +96,8 @@ def drop_copies(docs: DataFrame, batches: int = 1) -> DataFrame:
     dropped = stage(decided.filter(~F.col("kept")).select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")), "dropped")
     keyed = docs.withColumn("__digest", text_digest(F.col("text")))
     same = lambda d: keyed["doc_id"].eqNullSafe(d["doc_id"]) & (keyed["__digest"] == d["digest"])
-    gone = dropped.filter("not again")
+    # A sort-merge join at every size: it does not turn with the number of copies.
+    gone = dropped.filter("not again").hint("merge")
     left = keyed.join(gone, same(gone), "left_anti")
     if dropped.filter("again").isEmpty():
         return left.drop("__digest")

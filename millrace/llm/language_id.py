@@ -201,7 +201,7 @@ def drop_unknown(docs: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__hash", F.xxhash64("text"))
     decided = identify(keyed, carry=["__hash"])
     rejected = stage(decided.filter(~F.col("kept")).select("doc_id", "__hash").distinct(), "rejected")
-    return keyed.join(rejected, ["doc_id", "__hash"], "left_anti").select(*docs.columns)
+    return keyed.join(rejected.hint("merge"), ["doc_id", "__hash"], "left_anti").select(*docs.columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

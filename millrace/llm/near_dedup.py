@@ -235,7 +235,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     stay = decided.filter("kept").select("key", "digest")
     gone = stage(decided.filter(~F.col("kept")).select("key", "digest").join(stay, ["key", "digest"], "left_anti").select("key").distinct(), "near-copies")
     keyed = docs.withColumn("__key", F.coalesce("doc_id", F.xxhash64("text")))
-    return keyed.join(gone.withColumnRenamed("key", "__key"), "__key", "left_anti").select(*docs.columns)
+    return keyed.join(gone.withColumnRenamed("key", "__key").hint("merge"), "__key", "left_anti").select(*docs.columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
