@@ -189,8 +189,8 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     if not decided.filter("rows > 1").isEmpty():
         keyed = keyed.dropDuplicates(["doc_id", "__hash", "source"])
     same = keyed["doc_id"].eqNullSafe(decided["doc_id"]) & (keyed["__hash"] == decided["__hash"]) & keyed["source"].eqNullSafe(decided["source"])
-    out = keyed.join(decided.filter("copies > 0").hint("merge"), same).select(*[keyed[c] for c in docs.columns], decided["copies"])
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    out = keyed.join(decided.filter("copies > 0").hint("merge"), same).select(*[keyed[c] for c in docs.columns], decided["copies"].alias("__copies"))
+    return out.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copies")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from .staging import discard, stage
 
 #: Key of the surrogates; give another in production.
 KEY = "millrace"
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
+MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){0,20}(?<=\.[A-Za-z]{2,24})"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IPV4 = rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
@@ -244,14 +244,14 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("mention", "made"))).alias("__made"),
         F.collect_list(F.when(F.col("kind") == "name", F.struct(surname(F.col("mention")).alias("old"), surname(F.col("made")).alias("new")))).alias("__names"),
     )
-    per = stage(per.join(found.dropDuplicates(["__id", "__text"]), ["__id", "__text"]), "replacements")
+    per = stage(per.join(found.dropDuplicates(["__id", "__text"]).withColumnRenamed("found", "__found"), ["__id", "__text"]), "replacements")
     same = docs["doc_id"].eqNullSafe(per["__id"]) & (F.xxhash64(docs["text"]) == per["__text"])
     read = docs.join(per.hint("merge"), same, "left")
-    value = F.transform("found", lambda e: F.coalesce(F.col("__made")[e], e))
-    joined = F.array_join(F.zip_with(F.split(F.col("text"), ENTITY, -1), F.concat(value, F.array(F.lit(""))), lambda p, e: F.concat(p, e)), "")
+    value = F.transform("__found", lambda e: F.coalesce(F.col("__made")[e], e))
+    joined = F.array_join(F.zip_with(F.split(docs["text"], ENTITY, -1), F.concat(value, F.array(F.lit(""))), lambda p, e: F.concat(p, e)), "")
     whole = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), w, F.lit(r"(?![\p{L}\p{N}])"))
     bare = F.aggregate(F.array_distinct("__names"), joined, lambda text, x: F.regexp_replace(text, whole(x["old"]), x["new"]))
-    n = F.size(F.filter("found", lambda e: F.col("__made")[e].isNotNull()))
+    n = F.size(F.filter("__found", lambda e: F.col("__made")[e].isNotNull()))
     text = F.when(F.col("__made").isNull(), docs["text"]).otherwise(bare)
     columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
     return read.select(*columns, F.when(F.col("__made").isNull(), 0).otherwise(n).cast("long").alias("n_entities"))

@@ -1,0 +1,24 @@
+"""Shared edge cases: null, empty, blank, long and repeated texts, null ids, clashing extra columns."""
+
+LONG = "word " * 40_000 + "x" * 50_000
+EDGES = [
+    (1, None, "en", "a", 0, "k"),
+    (2, "", "en", "a", 0, "k"),
+    (3, " \n\t ", "de", None, 3, "k"),
+    (4, LONG, None, "b", len(LONG), None),
+    (5, "the same text here", "en", "b", 18, "k"),
+    (6, "the same text here", "en", "c", 18, "k"),
+    (7, "twice the very same row", "en", "c", 23, "k"),
+    (7, "twice the very same row", "en", "c", 23, "k"),
+    (None, "no id at all", "en", "c", 12, "k"),
+    (8, "Ünïcode ẞ \U0001f600 مرحبا 中文", "fr", "d", 20, "k"),
+]
+NAMES = "doc_id long, text string, lang string, source string, n_chars long, {0} string"
+
+
+def edges(spark, extra="key"):
+    return spark.createDataFrame(EDGES, NAMES.format(extra))
+
+
+def empty(spark):
+    return spark.createDataFrame([], NAMES.format("key"))

@@ -1,0 +1,38 @@
+import random
+import re
+
+from millrace.llm.substring_dedup import dedup_substrings
+from tests.llm.helpers import EDGES, edges, empty
+
+
+def brute(rows):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    first = {}
+    for (doc_id, _), w in zip(rows, words):
+        for k in range(len(w) - 12):
+            if doc_id is not None:
+                first[tuple(w[k : k + 13])] = min(doc_id, first.get(tuple(w[k : k + 13]), doc_id))
+    out = []
+    for (doc_id, _), w in zip(rows, words):
+        gone = {j for k in range(len(w) - 12) if doc_id is not None and first[tuple(w[k : k + 13])] < doc_id for j in range(k, k + 13)}
+        out.append((doc_id, len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone)))
+    return sorted(out, key=str)
+
+
+def test_shared_passages_match_brute_force(spark):
+    rng = random.Random(2)
+    passages = [" ".join(f"p{rng.randrange(40)}" for _ in range(rng.randint(10, 60))) for _ in range(12)]
+    rows = []
+    for k in range(120):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else " ".join(f"u{rng.randrange(9)}" for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 6))]
+        rows.append((rng.randrange(90), " \n".join(parts)))
+    rows += [(500, "a b " * 40), (501, "a b " * 41), (3, rows[0][1]), (800, rows[0][1]), (801, rows[0][1])]
+    rows = [(d, t) for d, t in rows]
+    found = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=str) == brute(rows)
+
+
+def test_edges(spark):
+    found = dedup_substrings(edges(spark, "spans")).collect()
+    assert sorted(map(tuple, found), key=str) == brute([(d, t) for d, t, *_ in EDGES])
+    assert dedup_substrings(empty(spark)).count() == 0
