@@ -55,7 +55,7 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     twice = sorted({c for c in after if after.count(c) > 1})
     if missing or twice:
         raise ValueError(f"cannot rename: missing {missing}, named twice {twice}")
-    return df.withColumnsRenamed(names)
+    return df.toDF(*after)
 
 
 def drop(df: DataFrame, columns: Iterable[str]) -> DataFrame:
