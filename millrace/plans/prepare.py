@@ -8,7 +8,7 @@ import logging
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalar import prompt_length
@@ -16,8 +16,23 @@ from millrace.plans.template import PromptTemplate, messages
 from millrace.sources.tables import exists, read_text, write_text
 
 log = logging.getLogger("millrace.prepare")
-#: Ranges that ``assign_index`` numbers in parallel.
-INDEX_RANGES = 64
+#: Ranges that ``assign_index`` numbers in parallel, and sampled keys for each bound between them.
+INDEX_RANGES, KEYS_PER_BOUND = 64, 32
+
+
+def key_ranges(df: DataFrame, keys: list[str]) -> Column:
+    """Number of the range that a row's key lies in.
+
+    The bounds are literals taken from a bounded sample of keys (those of smallest hash),
+    so every evaluation of the plan deals rows alike.
+    """
+    sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(INDEX_RANGES * KEYS_PER_BOUND).orderBy(*keys).collect()
+    kinds = [df.schema[k].dataType for k in keys]
+    bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, row, kinds)]) for row in sample[KEYS_PER_BOUND::KEYS_PER_BOUND]]
+    if not bounds:
+        return F.lit(0)
+    # The key is bound to a variable, so what it is computed from is not computed once a bound.
+    return F.transform(F.array(F.struct(*keys)), lambda key: F.size(F.filter(F.array(*bounds), lambda b: b <= key)))[0]
 
 
 def assign_index(df: DataFrame, order_by: Iterable[str], name: str = "idx") -> DataFrame:
@@ -29,12 +44,12 @@ def assign_index(df: DataFrame, order_by: Iterable[str], name: str = "idx") -> D
     keys = list(order_by)
     if name in df.columns:
         raise ValueError(f"column {name!r} exists already")
-    dealt = df.repartitionByRange(INDEX_RANGES, *keys).withColumn("__part", F.spark_partition_id())
+    dealt = df.withColumn("__part", key_ranges(df, keys))
+    sizes = {r["__part"]: r.n for r in dealt.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+    before = [sum(n for p, n in sizes.items() if p < k) for k in range(max(sizes, default=0) + 1)]
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*keys)).cast("long")
-    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    numbered = dealt.withColumn("__within", within).join(F.broadcast(before), "__part")  # at most INDEX_RANGES rows
-    return numbered.withColumn(name, F.col("__before") + F.col("__within") - 1).select(name, *df.columns)
+    start = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("__part") + 1)
+    return dealt.withColumn(name, start + within - 1).select(name, *df.columns)
 
 
 def shuffle_key(key: str, seed: int):

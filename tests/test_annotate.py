@@ -204,6 +204,13 @@ def test_prepare_order_limit_and_checks(spark):
     assert sorted((r.k, r.idx) for r in assign_index(rows.repartition(3), ["k"]).collect()) == [(k, k) for k in range(20)]
 
 
+def test_index_over_many_ranges(spark):
+    rows = spark.range(9000).selectExpr("CASE WHEN id % 7 > 0 THEN id % 50 END AS a", "cast(id AS string) AS b").repartition(6)
+    got = assign_index(rows, ["a", "b"]).collect()
+    ordered = sorted(got, key=lambda r: (r.a is not None, r.a or 0, r.b))
+    assert [r.idx for r in ordered] == list(range(9000))
+
+
 def test_prepared_data_are_kept_and_rebuilt(spark, tmp_path):
     rows = texts(spark, 3).withColumn("idx", F.col("k"))
     rows.write.parquet(f"file://{tmp_path}/src")
