@@ -110,3 +110,16 @@ def test_rewrites_of_schemas():
     assert flat["properties"]["e"]["$ref"] == "https://x/y" and flat["properties"]["m"]["anyOf"][0]["type"] == "object"
     with pytest.raises(ValueError):
         inline_definitions({"$defs": {"A": {"$ref": "#/$defs/A"}}, "p": {"$ref": "#/$defs/A"}})
+
+
+def test_document_properties():
+    from millrace.functions.properties import ANY_OF, ONE_OF, ORDER, property_messages, property_schema, property_schema_text
+
+    assert len(ORDER) == 18 and {len(v) for v in ANY_OF.values()} == {18, 37, 7, 14} and sum(map(len, ONE_OF.values())) == 55
+    schema = property_schema(flat=False)
+    assert schema["x-guidance"]["whitespace_flexible"] is False and "Valid values:" in schema["properties"]["country_relevance"]["description"]
+    text = property_schema_text(small=False, countries=["Norway"], compact=False)
+    assert "\n" in text and "$defs" not in text and "Norway" in text
+    assert spark_type(json.loads(text)["properties"]["content_type"]).simpleString() == "array<string>"
+    system, user = property_messages("abcdef", "guide", 3)
+    assert system["content"] == "guide" and "abc\n<truncated_content>" in user["content"] and "<start_of_document>" in user["content"]
