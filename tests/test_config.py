@@ -138,3 +138,11 @@ def test_logging():
     assert get_logger("x").name == "millrace.x"
     with pytest.raises(ValueError):
         level_of("loud")
+
+
+def test_public_names():
+    import millrace
+
+    assert all(getattr(millrace, name) is not None for name in millrace.__all__)
+    with pytest.raises(AttributeError):
+        millrace.nope
