@@ -5,8 +5,8 @@ A window of 13 words is an edge between its first and its last 12 words. Passes:
 1. each text lists its anchors: in every window the five-word gram of smallest hash.
    Equal windows have equal anchors, so only anchors that occur in two different
    texts can hold repeated windows (a fifth of the windows' number is shuffled);
-2. texts with such anchors list the windows around them as edges, with the nodes at
-   both ends, a second fingerprint and their coordinates. Copies of a whole text are
+2. texts with such anchors list the windows around them as edges: the hashes of the
+   nodes at both ends (128 bits together) and their coordinates. Copies of a whole text are
    decided by its digest and stay out of the graph;
 3. edges that occur in two documents stay, with their first coordinates as source.
    Joins with the nodes of one edge in and one out compact them to paths;
@@ -53,45 +53,45 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
 
 
 def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text) to (anchor, doc_id, th, sure), once for each anchor and text of a batch.
+    """(th, text) to (anchor, th, deal), once for each anchor and text of a batch.
 
-    Of equal texts the smallest doc_id is listed. An anchor of several texts is sure;
-    two of its rows go on unmarked, so that other batches learn of it.
+    Rows are dealt by anchor. Of an anchor that a batch holds in several texts only two
+    rows are, so that other batches learn of it; it is known to be repeated, and its
+    other rows get ``deal`` null and go their own way.
     """
     for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-        first = np.lexsort((ids, texts))
-        kept = first[np.append(True, texts[first][1:] != texts[first][:-1])] if len(first) else first
-        found = [np.unique(anchors(_WORDS.of(split_words(batch.column(2)[int(k)].as_py())))) for k in kept]
+        texts = batch.column(0).to_numpy(zero_copy_only=False)
+        th, kept = np.unique(texts, return_index=True)
+        found = [np.unique(anchors(_WORDS.of(split_words(batch.column(1)[int(k)].as_py())))) for k in kept]
         if not found:
             continue
-        anchor = np.concatenate(found)
-        row = np.repeat(kept, [len(f) for f in found])
+        anchor, th = np.concatenate(found), np.repeat(th, [len(f) for f in found])
         order = np.argsort(anchor, kind="stable")
-        anchor, row = anchor[order], row[order]
-        start = np.append(True, anchor[1:] != anchor[:-1]) if len(anchor) else np.empty(0, bool)
-        begins = np.flatnonzero(start)
+        anchor, th = anchor[order].view(np.int64), th[order]
+        begins = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.empty(0, np.int64)
         rank = np.arange(len(anchor)) - np.repeat(begins, np.diff(np.append(begins, len(anchor))))
-        yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(ids[row]), pa.array(texts[row]), pa.array(rank >= 2)], ["anchor", "doc_id", "th", "sure"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(th), pa.array(anchor, mask=rank >= 2)], ["anchor", "th", "deal"])
 
 
-EDGES = "h long, mark long, lnode long, rnode long, doc_id long, th long, pos long"
+EDGES = "lnode long, rnode long, doc_id long, nth int, pos int"
 
 
 def list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, text, anchors) to the windows whose anchor is among those given."""
+    """(doc_id, nth, text, anchors) to the windows whose anchor is among those given."""
     for batch in batches:
         for first in range(0, batch.num_rows, 512):
             part = batch.slice(first, 512)
-            columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for doc_id, th, text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)):
+            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for doc_id, nth, text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)):
                 hashes = _WORDS.of(split_words(text.as_py()))
                 pos = np.flatnonzero(np.isin(anchors(hashes), wanted.values.to_numpy().view(np.uint64)))
-                nodes = shingle_hashes(hashes, WINDOW - 1, seed=4)
-                values = (shingle_hashes(hashes, WINDOW, seed=5)[pos], shingle_hashes(hashes, WINDOW, seed=6)[pos], nodes[pos], nodes[pos + 1] if len(pos) else nodes[:0])
-                for c, v in zip(columns, (*(v.view(np.int64) for v in values), np.full(len(pos), doc_id), np.full(len(pos), th), pos)):
-                    c.append(v.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["h", "mark", "lnode", "rnode", "doc_id", "th", "pos"])
+                if not len(pos):
+                    continue
+                nodes = shingle_hashes(hashes, WINDOW - 1, seed=4).view(np.int64)
+                for c, v in zip(columns, (nodes[pos], nodes[pos + 1], np.full(len(pos), doc_id), np.full(len(pos), nth, np.int32), pos.astype(np.int32))):
+                    c.append(v)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lnode", "rnode", "doc_id", "nth", "pos"])
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -119,44 +119,50 @@ def drop_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def compacted(edges: DataFrame) -> DataFrame:
-    """Repeated edges (h, mark, src) with ``path``: the source position that the edge's nonbranching path starts at."""
+    """Repeated edges with ``path``: the source position that the edge's nonbranching path starts at."""
     ends = edges.select(F.col("lnode").alias("node"), F.lit(1).alias("outs"), F.lit(0).alias("ins")).unionAll(edges.select(F.col("rnode").alias("node"), F.lit(0).alias("outs"), F.lit(1).alias("ins")))
     plain = ends.groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins")).filter("outs = 1 and ins = 1").select(F.col("node").alias("rnode"), F.lit(True).alias("through"))
-    linked = edges.join(plain, "rnode", "left").select("h", "mark", "src", F.coalesce("through", F.lit(False)).alias("through"))
-    walk = Window.partitionBy("src.doc_id", "src.th").orderBy("src.pos")
-    goes_on = (F.lag("src.pos").over(walk) + 1 == F.col("src.pos")) & F.lag("through").over(walk)
-    return linked.withColumn("begin", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("src.pos"))).select("h", "mark", "src", F.last("begin", True).over(walk).alias("path"))
+    linked = edges.join(plain, "rnode", "left").withColumn("through", F.coalesce("through", F.lit(False)))
+    walk = Window.partitionBy("src_id", "src_nth").orderBy("src_pos")
+    goes_on = (F.lag("src_pos").over(walk) + 1 == F.col("src_pos")) & F.lag("through").over(walk)
+    return linked.withColumn("begin", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("src_pos"))).select("lnode", "rnode", "src_id", "src_nth", "src_pos", F.last("begin", True).over(walk).alias("path"))
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans (doc_id, th, start, end) of words to drop, and the later copies (doc_id, th) of whole texts."""
     keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    copies = keyed.select("doc_id", "th", F.unhex(F.md5("text")).alias("digest"))
-    firsts = copies.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.any_value("th").alias("th")).filter("last > first").select("digest", "first")
-    later = stage(copies.join(stage(firsts, "copied"), "digest").filter("doc_id > first").select("doc_id", "th").distinct(), "later-copies")
-
-    listed = stage(keyed.mapInArrow(list_anchors, "anchor long, doc_id long, th long, sure boolean"), "anchors")
-    group = Window.partitionBy("anchor")
-    unsure = listed.filter("not sure").withColumn("differ", F.min("th").over(group) != F.max("th").over(group)).filter("differ")
-    repeated = unsure.select("anchor", "doc_id", "th").unionAll(listed.filter("sure").select("anchor", "doc_id", "th"))
-    wanted = repeated.groupBy("doc_id", "th").agg(F.collect_list("anchor").alias("anchors")).join(later, ["doc_id", "th"], "left_anti")
-    wanted = stage(wanted, "repeated-anchors")
-    discard(listed)
-
-    windows = stage(keyed.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "anchors").mapInArrow(list_edges, EDGES), "edges")
-    first = F.min(F.struct("doc_id", "th", "pos")).alias("src")
-    edges = windows.groupBy("h", "mark").agg(first, F.max("doc_id").alias("last"), F.any_value("lnode").alias("lnode"), F.any_value("rnode").alias("rnode"))
-    edges = stage(edges.filter("last > src.doc_id").drop("last"), "repeated-edges")
+    copies = stage(keyed.select("doc_id", "th", F.unhex(F.md5("text")).alias("digest")), "digests")
+    # One text of each digest goes on; nth tells texts apart that share a doc_id.
+    firsts = copies.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    firsts = firsts.select("digest", "first.*").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("th", "digest")))
+    firsts = stage(firsts, "first-copies")
+    copied = firsts.select("digest", F.col("doc_id").alias("first"))
+    later = stage(copies.join(copied, "digest").filter("doc_id > first").select("doc_id", "th").distinct(), "later-copies")
+
+    listed = keyed.select("th", "text").mapInArrow(list_anchors, "anchor long, th long, deal long")
+    group = Window.partitionBy("dealt", "alone")
+    dealt = listed.select("anchor", "th", F.col("deal").isNull().alias("alone"), F.coalesce("deal", F.xxhash64("anchor", "th")).alias("dealt"))
+    repeated = dealt.withColumn("differ", F.col("alone") | (F.min("th").over(group) != F.max("th").over(group))).filter("differ")
+    wanted = repeated.groupBy("th").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = stage(wanted.join(firsts.select("doc_id", "th", "nth"), "th"), "repeated-anchors")
+
+    held = keyed.join(wanted.hint("merge"), ["doc_id", "th"]).select("doc_id", "nth", "text", "anchors")
+    windows = stage(held.mapInArrow(list_edges, EDGES), "edges")
+    edges = windows.groupBy("lnode", "rnode").agg(F.min(F.struct("doc_id", "nth", "pos")).alias("src"), F.max("doc_id").alias("last")).filter("last > src.doc_id")
+    edges = stage(edges.select("lnode", "rnode", F.col("src.doc_id").alias("src_id"), F.col("src.nth").alias("src_nth"), F.col("src.pos").alias("src_pos")), "repeated-edges")
     paths = stage(compacted(edges), "paths")
+    discard(copies, wanted, edges)
 
-    met = windows.select("h", "mark", "doc_id", "th", "pos").join(paths, ["h", "mark"]).filter("doc_id > src.doc_id").select("doc_id", "th", "pos", "src", "path")
-    along = Window.partitionBy("doc_id", "th").orderBy("pos")
-    before = F.lag(F.struct("pos", "src", "path")).over(along)
-    follows = (before["pos"] + 1 == F.col("pos")) & (before["src"]["doc_id"] == F.col("src.doc_id")) & (before["src"]["th"] == F.col("src.th")) & (before["src"]["pos"] + 1 == F.col("src.pos")) & (before["path"] == F.col("path"))
+    met = windows.join(paths, ["lnode", "rnode"]).filter("doc_id > src_id").select("doc_id", "nth", "pos", "src_id", "src_nth", "src_pos", "path")
+    along = Window.partitionBy("doc_id", "nth").orderBy("pos")
+    before = F.lag(F.struct("pos", "src_id", "src_nth", "src_pos", "path")).over(along)
+    same = [before[c] == F.col(c) for c in ("src_id", "src_nth", "path")]
+    follows = (before["pos"] + 1 == F.col("pos")) & (before["src_pos"] + 1 == F.col("src_pos")) & same[0] & same[1] & same[2]
     runs = met.withColumn("begin", F.when(~F.coalesce(follows, F.lit(False)), F.col("pos"))).withColumn("run", F.last("begin", True).over(along))
-    spans = stage(runs.groupBy("doc_id", "th", "run").agg((F.max("pos") + WINDOW).alias("end")).select("doc_id", "th", F.col("run").alias("start"), "end"), "spans")
-    discard(wanted, windows, edges, paths)
-    return spans, later
+    spans = runs.groupBy("doc_id", "nth", "run").agg((F.max("pos") + WINDOW).alias("end")).select("doc_id", "nth", F.col("run").alias("start"), "end")
+    spans = stage(spans, "spans")
+    discard(windows, paths)
+    return spans.join(firsts.select("doc_id", "nth", "th"), ["doc_id", "nth"]).drop("nth"), later
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -164,7 +170,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     spans, later = repeated_spans(docs)
     per = spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     marks = stage(per.join(later.withColumn("later", F.lit(True)), ["doc_id", "th"], "full"), "marks")
-    read = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(marks, ["doc_id", "th"], "left")
+    read = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").join(marks.hint("merge"), ["doc_id", "th"], "left")
     return read.select("doc_id", "text", "later", "spans").mapInArrow(drop_spans, "doc_id long, n_words long, n_removed long, kept string")
 
 
