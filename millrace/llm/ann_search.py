@@ -37,11 +37,17 @@ SAMPLE = 20_000
 #: Queries that the number of probes is fitted on, at most.
 SAMPLE_QUERIES = 100
 #: Rows of a list, about, and lists, at most.
-LIST_ROWS, MAX_LISTS = 1024, 4096
+LIST_ROWS, MAX_LISTS = 4096, 4096
 #: Rows of a list in one task, at most.
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 #: Columns added up between two tests.
 COLUMNS = 16
+#: Times k that are measured whole to set a scan's bound.
+MEASURED = 8
+#: Share of living pairs above which a block is added to all pairs.
+DENSE = 0.1
+#: Queries that are scanned together.
+BATCH = 64
 #: Width of the hypothesis test: larger abandons later and errs less.
 EPSILON = 2.1
 RECALL = 0.95
@@ -108,31 +114,42 @@ def fit(sample: np.ndarray, n_rows: int, norm: float) -> Space:
     return space
 
 
-def scan(columns: list[np.ndarray], query: np.ndarray, k: int) -> np.ndarray:
-    """Rows of a block that may be among the k nearest. ``columns`` are arrays [COLUMNS, rows]."""
-    rows, width = columns[0].shape[1], len(query)
-    # The first rows are measured whole and set the first bound.
-    head = min(rows, 4 * k)
-    live = np.arange(rows)
-    part = np.zeros(rows, np.float32)
-    first = np.zeros(head, np.float32)
-    for c, block in enumerate(columns):
-        d = block[:, :head] - query[c * COLUMNS : c * COLUMNS + len(block), None]
-        first += (d * d).sum(0)
-    bound = np.partition(first, k - 1)[k - 1] if head >= k else np.inf
-    seen = 0
-    for c, block in enumerate(columns):
-        d = block[:, live] - query[c * COLUMNS : c * COLUMNS + len(block), None]
-        part = part + (d * d).sum(0)
+def scan(columns: list[np.ndarray], queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) pairs of a block that may be among a query's k nearest. ``columns`` are arrays [COLUMNS, rows]."""
+    rows, width = columns[0].shape[1], queries.shape[1]
+    parts = np.split(queries, range(COLUMNS, width, COLUMNS), axis=1)
+    partial = (parts[0] ** 2).sum(1)[:, None] + (columns[0] ** 2).sum(0)[None, :] - 2 * parts[0] @ columns[0]
+    if rows > k:
+        # The nearest by the first columns are measured whole; the k-th of them bounds what can be among the k best.
+        first = min(rows, MEASURED * k)
+        some = np.argpartition(partial, first - 1, axis=1)[:, :first]
+        whole = sum(((block[:, some] - part.T[:, :, None]) ** 2).sum(0) for block, part in zip(columns, parts))
+        bound = np.partition(whole, k - 1, axis=1)[:, k - 1] * np.float32(1 + 1e-4) + np.float32(1e-6)
+    else:
+        bound = np.full(len(queries), np.inf, np.float32)
+    test = lambda seen: bound * np.float32(seen / width * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < width else 1)
+    seen, rest = len(columns[0]), list(zip(columns[1:], parts[1:]))
+    live = partial <= test(seen)[:, None]
+    # While many pairs live, a block of columns is added to all of them by one product, rows without any left out.
+    near = np.flatnonzero(live.any(0))
+    partial, live = partial[:, near], live[:, near]
+    while rest and live.mean() > DENSE:
+        block, part = rest.pop(0)
+        block = block[:, near]
+        partial = partial + (part**2).sum(1)[:, None] + (block**2).sum(0)[None, :] - 2 * part @ block
         seen += len(block)
-        test = bound * (1 + 1e-4) * (seen / width) * (1 + EPSILON / np.sqrt(seen)) ** 2 if seen < width else bound * (1 + 1e-4)
-        keep = part <= test
-        if not keep.all():
-            live, part = live[keep], part[keep]
-    if len(live) > k:
-        limit = np.partition(part, k - 1)[k - 1] * (1 + 1e-4) + 1e-6
-        live = live[part <= limit]
-    return live
+        live &= partial <= test(seen)[:, None]
+        some = live.any(0)
+        if some.mean() < 0.7:
+            near, partial, live = near[some], partial[:, some], live[:, some]
+    who, at = np.nonzero(live)
+    sums, at = partial[who, at], near[at]
+    for block, part in rest:
+        sums = sums + ((block[:, at] - part.T[:, who]) ** 2).sum(0)
+        seen += len(block)
+        keep = sums <= test(seen)[who]
+        who, at, sums = who[keep], at[keep], sums[keep]
+    return who, at
 
 
 def assign(space: Space):
@@ -182,12 +199,29 @@ def search_units(k: int):
     """Function for ``mapInArrow``: rows sorted by (list, block, is query) to the best of each query in each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, rows, held = None, [], None
+        unit, rows, held, asked = None, [], None, []
+
+        def best() -> pa.RecordBatch:
+            columns, vectors, row_of, id_of = held
+            query_row = np.array([q[0] for q in asked])
+            who, near = scan(columns, np.frombuffer(b"".join(q[2] for q in asked), np.float32).reshape(len(asked), -1), k + 1)
+            other = row_of[near] != query_row[who]
+            who, near = who[other], near[other]
+            exact = np.frombuffer(b"".join(q[3] for q in asked), np.float64).reshape(len(asked), -1)
+            score = (vectors[near] * exact[who]).sum(1)
+            order = np.lexsort((id_of[near], -score, who))
+            place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
+            order = order[place < k]
+            who, near = who[order], near[order]
+            ids = pa.array([q[1] for q in asked], pa.int64()).take(pa.array(who))
+            return pa.RecordBatch.from_arrays([pa.array(query_row[who]), ids, pa.array(id_of[near]), pa.array(score[order])], ["row", "query_id", "vec_id", "score"])
+
         for batch in batches:
-            found = []
             for list_, block, is_query, row, vec_id, turned, vector in zip(*(c.to_pylist() for c in batch.columns)):
                 if (list_, block) != unit:
-                    unit, rows, held = (list_, block), [], None
+                    if asked and held:
+                        yield best()
+                    unit, rows, held, asked = (list_, block), [], None, []
                 if not is_query:
                     rows.append((row, vec_id, turned, vector))
                     continue
@@ -199,17 +233,14 @@ def search_units(k: int):
                         np.array([r[0] for r in rows]),
                         np.array([r[1] for r in rows]),
                     )
-                    rows = rows[:1]
-                if held is None:
-                    continue
-                columns, vectors, row_of, id_of = held
-                near = scan(columns, np.frombuffer(turned, np.float32), k + 1)
-                near = near[row_of[near] != row]
-                score = (vectors[near] * np.frombuffer(vector, np.float64)).sum(1)
-                best = np.lexsort((id_of[near], -score))[:k]
-                found += [(row, vec_id, int(id_of[near[b]]), float(score[b])) for b in best]
-            columns = list(zip(*found)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["row", "query_id", "vec_id", "score"])
+                    rows = []
+                asked.append((row, vec_id, turned, vector))
+                if len(asked) == BATCH:
+                    if held:
+                        yield best()
+                    asked = []
+        if asked and held:
+            yield best()
 
     return run
 
