@@ -41,7 +41,7 @@ from .words import mixed
 #: A blank ends a chunk when its window hash is a multiple of this: chunks of so many words, about.
 CHUNK_WORDS = 64
 #: Words whose encodings a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 250_000
+REMEMBERED = 180_000
 #: Words of Latin letters with a full stop or comma at most: their parts are plain to see, so only the merges are left to do.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])

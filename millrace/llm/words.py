@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Distinct words whose hashes a Python worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def word_count(text: Column) -> Column:
