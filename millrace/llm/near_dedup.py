@@ -211,7 +211,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     members = sketched.select("digest", "key", "n").distinct().join(placed.select(F.col("node").alias("digest"), F.col("label").alias("place")), "digest")
     members = stage(members, "members")
     own = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
-    held = own.join(members.select("key", "digest", "place"), "key").select("digest", "place", "text")
+    # A sort-merge join at every size: it does not turn with the number of members.
+    held = own.join(members.select("key", "digest", "place").hint("merge"), "key").select("digest", "place", "text")
     held = held.mapInArrow(sequences, "digest binary, place binary, sequence binary").groupBy("digest").agg(F.any_value("place").alias("place"), F.any_value("sequence").alias("sequence"))
     sizes = stage(members.groupBy("place").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")), "places")
     held = held.join(sizes, "place").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
