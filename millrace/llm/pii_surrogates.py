@@ -46,8 +46,8 @@ _LATIN, _CYRILLIC, _GREEK = r"\p{IsLatin}", r"\p{IsCyrillic}", r"\p{IsGreek}"
 _TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?"
 NAME = rf"{_TITLE} \p{{Lu}}\p{{Ll}}{{1,30}}(?:[ -]\p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}(?!\p{{L}})"
 ENTITY = "|".join([MAIL, IPV4, CARD, SSN, PHONE, IBAN, NAME])
-#: A text without these holds no entity.
-HINT = r"[0-9]{2}|@|" + _TITLE + r" \p{Lu}"
+#: A text without these holds no entity: every number of ``ENTITY`` has two digits with one mark at most between them.
+HINT = r"[0-9][. -]?[0-9]|@|" + _TITLE + r" \p{Lu}"
 #: Letters that syllables of a script are made of, and endings by gender (male, female, unknown).
 SCRIPTS = {
     "latin": ("bdfgklmnprstvz", "aeiou", ("o", "a", "e"), ("son", "son", "son")),

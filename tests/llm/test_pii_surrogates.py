@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from millrace.llm.pii_surrogates import replace_entities, settled, surrogate
+from millrace.llm.pii_surrogates import ENTITY, HINT, TITLES, replace_entities, settled, surrogate
 from tests.llm.helpers import EDGES, edges, empty
 
 TEXTS = [
@@ -40,6 +40,30 @@ def test_clashing_draws_are_repeated(spark, monkeypatch):
     assert len(set(made)) == 25 and "240.0.0.7" not in made
 
 
+#: Texts with one entity each and nothing else that looks like one.
+LONE = [
+    "at 8.8.8.8 here", "at 1.2.3.4", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 here", "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "card 4111111111111111",
+    "a@b.cd", "ssn 123-45-6789", "call 555-123-4567", "call (12)345-6789", "call +1 12 345 6789", "DE89 3704 0044 0532", "XX12AAAABBBBCCCC", *[f"{t} Xyz" for t in TITLES], *[f"{t}. Xyz" for t in TITLES],
+]
+
+
+def test_hint_is_implied_by_entities(spark):
+    table = spark.createDataFrame([(t,) for t in LONE], "text string")
+    rows = table.select("text", F.col("text").rlike(ENTITY).alias("entity"), F.col("text").rlike(HINT).alias("hint")).collect()
+    assert all(r.entity for r in rows) and [r.text for r in rows if not r.hint] == []
+
+
+def test_single_digits_are_replaced_alike(spark):
+    spaced = LONE[2]
+    texts = [(1, "the resolver is 8.8.8.8 and the fallback 1.1.1.1 here"), (2, "8.8.8.8 was seen on day 12"), (3, spaced), (4, "card 4111 1111 1111 1111 here")]
+    found = {r.doc_id: r for r in replace_entities(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [found[k].n_entities for k in (1, 2, 3, 4)] == [2, 1, 1, 1]
+    one = re.fullmatch(r"the resolver is (\S+) and the fallback (\S+) here", found[1].text)
+    assert one and one[1] != one[2] and not {"8.8.8.8", "1.1.1.1"} & {one[1], one[2]}
+    assert found[2].text == f"{one[1]} was seen on day 12"
+    assert found[3].text != spaced and found[3].text.replace(" ", "") == found[4].text.replace(" ", "")
+
+
 def test_edges(spark):
     left = replace_entities(edges(spark, "found"))
     assert left.columns == [*edges(spark, "found").columns, "n_entities"]
