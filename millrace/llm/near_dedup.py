@@ -104,16 +104,16 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 
 def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, row, text) to those with digest, n and keys instead of the text."""
+    """(doc_id, key, row, hash, text) to those with digest, n and keys instead of the text."""
     for batch in batches:
         found = []
-        for text in batch.column(3):
+        for text in batch.column(4):
             h = _hashes(text.as_py())
             s = labelled_shingles(h)
             found.append((_digest(h), len(s), sketches(s)))
         types = (pa.binary(), pa.int64(), pa.list_(pa.int64()))
         columns = list(zip(*found)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(list(c), t) for c, t in zip(columns, types))], ["doc_id", "key", "row", "digest", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array(list(c), t) for c, t in zip(columns, types))], ["doc_id", "key", "row", "hash", "digest", "n", "keys"])
 
 
 def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +198,9 @@ def link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, key, row, digest, class_id, class_size, kept of each row."""
-    read = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.monotonically_increasing_id().alias("row"), "text")
-    rows = stage(read.mapInArrow(sketch_rows, "doc_id long, key long, row long, digest binary, n long, keys array<long>"), "sketches")
+    """doc_id, key, row, hash (of the raw text), digest, class_id, class_size, kept of each row."""
+    read = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("hash"), "text")
+    rows = stage(read.mapInArrow(sketch_rows, "doc_id long, key long, row long, hash long, digest binary, n long, keys array<long>"), "sketches")
     # One text of each digest goes on; its copies come back in the last join.
     texts = rows.filter("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     sketched = stage(texts.select("digest", "key", "n", F.explode("keys").alias("bucket")), "buckets")
@@ -222,21 +222,26 @@ def near_classes(docs: DataFrame) -> DataFrame:
     found = components(links)
     discard(heads, sizes)
 
-    salted = rows.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(found.withColumnsRenamed({"node": "digest"}), "digest", "left").select("doc_id", "key", "row", "digest", "salt", F.coalesce("label", "digest").alias("class"))
+    salted = rows.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(found.withColumnsRenamed({"node": "digest"}), "digest", "left").select("doc_id", "key", "row", "hash", "digest", "salt", F.coalesce("label", "digest").alias("class"))
     salted = stage(salted, "labelled")
     slices = salted.groupBy("class", "salt").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("stays"))
     classes = slices.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("id").alias("class_id"), F.min("stays").alias("stays"), F.collect_list("salt").alias("salts"))
     classes = stage(classes.withColumn("salt", F.explode("salts")).drop("salts"), "classes")
-    return salted.join(classes, ["class", "salt"]).select("doc_id", "key", "row", "digest", "class_id", "class_size", (F.col("row") == F.col("stays.row")).alias("kept"))
+    return salted.join(classes, ["class", "salt"]).select("doc_id", "key", "row", "hash", "digest", "class_id", "class_size", (F.col("row") == F.col("stays.row")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One document of each class, with its columns. Rows that repeat doc_id and text become one."""
-    decided = stage(near_classes(docs).select("key", F.col("digest"), "kept"), "near-decisions")
-    stay = decided.filter("kept").select("key", "digest")
-    gone = stage(decided.filter(~F.col("kept")).select("key", "digest").join(stay, ["key", "digest"], "left_anti").select("key").distinct(), "near-copies")
-    keyed = docs.withColumn("__key", F.coalesce("doc_id", F.xxhash64("text")))
-    return keyed.join(gone.withColumnRenamed("key", "__key").hint("merge"), "__key", "left_anti").select(*docs.columns)
+    decided = stage(near_classes(docs).select("key", "hash", "kept"), "near-decisions")
+    # Rows of one key and text are alike, so one decision holds for them: at most one of them is kept.
+    pairs = stage(decided.groupBy("key", "hash").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")), "near-pairs")
+    gone = pairs.filter(~F.col("stays")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"))
+    hashed = F.xxhash64("text")
+    keyed = docs.withColumn("__key", F.coalesce("doc_id", hashed)).withColumn("__hash", hashed)
+    left = keyed.join(gone.hint("merge"), ["__key", "__hash"], "left_anti")
+    if not pairs.filter(F.col("stays") & (F.col("rows") > 1)).isEmpty():
+        left = left.dropDuplicates(["__key", "__hash"])
+    return left.select(*docs.columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,13 @@ def test_edges(spark):
     left = drop_near_copies(edges(spark, "row"))
     assert left.columns == edges(spark, "row").columns and sorted(r.doc_id for r in left.collect() if r.doc_id is not None and r.doc_id < 7) == [1, 4, 5]
     assert near_classes(empty(spark)).count() == 0
+
+
+def test_repeated_ids_lose_copies_only(spark):
+    a, b, c, d = ("alpha one two three four five six", "beta ten twenty thirty forty fifty", "gamma red green blue black white", "delta up down left right back")
+    rows = [(1, a), (1, b), (0, b), (2, c), (2, c + "!"), (3, d), (3, d), (None, a + "!"), (None, "no copy of any other text here"), (None, "no copy of any other text here")]
+    left = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in left if r.doc_id != 2)
+    assert found == [(-1, "no copy of any other text here"), (0, b), (1, a), (3, d)]
+    assert [r.text.rstrip("!") for r in left if r.doc_id == 2] == [c]
+    assert sum(r.doc_id == 7 for r in drop_near_copies(edges(spark, "row")).collect()) == 1
