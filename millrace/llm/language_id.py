@@ -5,7 +5,8 @@ Four kinds of evidence are added as log probabilities for each language:
 * text: a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of
   labelled rows and applied to whole texts. The sum over a text is scaled down to
   ``EFFECTIVE_GRAMS`` independent grams, as neighbouring trigrams are not independent;
-* the language that the markup declares, by a confusion table counted over all rows;
+* the language that the markup declares, by a confusion table counted over all rows. The
+  label that the text model is fitted on is never passed as a declaration;
 * the address suffix, where the host has one, as the middle level of the prior;
 * the host, by a prior that is smoothed towards its suffix and that towards the whole
   corpus. All three levels are grouped sums of text posteriors over every row.
@@ -17,11 +18,14 @@ with its most probable language.
 Defined cases: a null or empty text has no letters and is rejected; null markup, host
 or suffix give no evidence of their own (null hosts share one prior); ties go to the
 language first by name; repeated rows are judged alike; an empty table gives an empty
-result; extra columns are not read.
+result; extra columns are not read. Documents have no markup, and their sources have no
+suffix: text and source decide there. Pages have all four kinds (``page_rows``).
 """
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +47,10 @@ SMOOTHING = 20.0
 SALTS = 16
 #: Log odds that text in no known language starts with.
 UNKNOWN_PRIOR = -4.0
+#: The first language of the html element, without its region; the host of an address, without user, port and last dot.
+_DECLARED = r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]+)"
+_HOST = r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?:[:/?#]|\s*$)"
+_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|</?[A-Za-z!?][^>]*>", re.S | re.I)
 _LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _PLAIN = np.where(_LETTER, _LOWER, ord(" ")).astype(np.uint8)
@@ -116,6 +124,21 @@ def text_scores(table: np.ndarray):
     return run
 
 
+def visible_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with html last to those with the ``text`` that it shows: no comments, scripts, styles and tags; references resolved."""
+    for batch in batches:
+        pages = batch.column(batch.num_columns - 1).to_pylist()
+        text = pa.array([None if p is None else html.unescape(_UNSEEN.sub(" ", p)) for p in pages], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], [*batch.schema.names[:-1], "text"])
+
+
+def page_rows(pages: DataFrame) -> DataFrame:
+    """(doc_id, declared, host, text) of pages (page_id, url, html)."""
+    found = lambda column, pattern: F.lower(F.nullif(F.regexp_extract(column, pattern, 1), F.lit("")))
+    read = pages.select(F.col("page_id").alias("doc_id"), found("html", _DECLARED).alias("declared"), found("url", _HOST).alias("host"), "html")
+    return read.mapInArrow(visible_text, "doc_id long, declared string, host string, text string")
+
+
 def sample_rows(docs: DataFrame, label: str) -> dict[str, list[str]]:
     """Bounded sample of labelled texts: ``SAMPLE_ROWS`` a language with the smallest hash of the id."""
     rows = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("label"), F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
@@ -150,9 +173,9 @@ def _smoothed(own: str, parent: Column, n: int) -> Column:
     return F.array(*[(F.col(own)[k] + F.lit(SMOOTHING) * parent[k]) / total for k in range(n)])
 
 
-def identify(docs: DataFrame, label: str = "lang", declared: str | None = "lang", host: str | None = "source", carry: list[str] | None = None) -> DataFrame:
-    """Evidence and decision for each row: doc_id, carried columns, language, confidence, kept."""
-    sample = sample_rows(docs, label)
+def identify(docs: DataFrame, label: str = "lang", declared: str | None = None, host: str | None = "source", carry: list[str] | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """Evidence and decision for each row: doc_id, carried columns, language, confidence, kept. The text model is fitted on ``labelled``, or else on ``docs``."""
+    sample = sample_rows(docs if labelled is None else labelled, label)
     carry = carry or []
     schema = [docs.schema[c] for c in ("doc_id", *carry)]
     if not sample:
@@ -165,8 +188,8 @@ def identify(docs: DataFrame, label: str = "lang", declared: str | None = "lang"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     scored = read.mapInArrow(text_scores(table), f"{fields}, declared string, host string, grams double, scores array<double>")
     scale = F.least(F.lit(1.0), F.lit(EFFECTIVE_GRAMS) / F.greatest(F.col("grams"), F.lit(1.0)))
-    # The registered part of a name after its last dot; hosts without a dot have no suffix.
-    suffix = F.when(F.col("host").contains("."), F.substring_index("host", ".", -1))
+    # The part of a name after its last dot; hosts without a dot and numeric addresses have no suffix.
+    suffix = F.nullif(F.regexp_extract("host", r"\.([^.0-9][^.]*)$", 1), F.lit(""))
     scored = scored.select("doc_id", *carry, "declared", "host", suffix.alias("suffix"), "grams", F.transform("scores", lambda v: v * scale).alias("logs"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     scored = scored.withColumn("text_p", _normal(F.slice("logs", 1, n)))
     scored = stage(scored.withColumn("seen", F.when(F.col("grams") > 0, F.col("text_p")).otherwise(F.array(*[F.lit(0.0)] * n))), "language-scores")
@@ -206,3 +229,11 @@ def drop_unknown(docs: DataFrame) -> DataFrame:
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"), carry=["lang", "source"])
+
+
+def op10_page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by all four kinds of evidence; the text model is fitted on labelled documents."""
+    pages, documents = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "documents"))
+    rows = page_rows(pages).withColumns({"declared_language": F.col("declared"), "page_host": F.col("host")})
+    found = identify(rows, declared="declared", host="host", carry=["declared_language", "page_host"], labelled=documents)
+    return found.withColumnRenamed("doc_id", "page_id")

@@ -6,7 +6,7 @@ from .ann_search import op1_ann_search
 from .bpe_codec import op3_bpe
 from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
-from .language_id import op10_language_id
+from .language_id import op10_language_id, op10_page_language
 from .mixing import op5_mixing
 from .near_dedup import op2_near_dedup
 from .pii_surrogates import op4_pii_surrogates
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
+    "op10_page_language": op10_page_language,
 }
 SQL = {
     "op6_exact_dedup": OP6_SQL,

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from millrace.llm.language_id import drop_unknown, identify
+from millrace.llm.language_id import drop_unknown, identify, op10_language_id, op10_page_language, page_rows
 from tests.conftest import SF
 from tests.llm.helpers import edges, empty
 
@@ -31,3 +31,29 @@ def test_edges(spark):
     assert len(rows) == 10 and not any(r.kept for r in rows if r.doc_id in (1, 2, 3))
     assert identify(empty(spark)).count() == 0
     assert drop_unknown(edges(spark, "host")).columns == edges(spark, "host").columns
+
+
+def test_label_is_no_evidence_of_its_row(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = spark.createDataFrame([(-k, "la", lang, "src1", 2) for k, lang in enumerate(("en", "fr", "es"), 1)], docs.schema)
+    docs.unionByName(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = op10_language_id(spark, str(tmp_path)).filter("doc_id < 0").collect()
+    assert len(found) == 3 and len({(r.language, round(r.confidence, 9)) for r in found}) == 1
+
+
+def test_evidence_of_pages(spark):
+    pages = [
+        (1, "https://u@Www.Example.FR:80/a?b=//c.de", "<!DOCTYPE html><!-- <p>no --><HTML class=x lang='fr-CA'><script>var t='</p>no'</script><p>&eacute;t&eacute; a<b>b</b>"),
+        (2, "//10.1.2.3", '<html data-lang="de"><p>x'),
+        (3, None, None),
+    ]
+    rows = {r.doc_id: r for r in page_rows(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [(rows[k].declared, rows[k].host) for k in (1, 2, 3)] == [("fr", "www.example.fr"), (None, "10.1.2.3"), (None, None)]
+    assert rows[1].text.split() == ["été", "a", "b"] and rows[3].text is None
+
+
+def test_pages_are_identified(spark):
+    rows = op10_page_language(spark, SF).collect()
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    assert len(rows) == pages.count() and all(r.declared_language and "." in r.page_host for r in rows)
+    assert sum(r.language == r.declared_language for r in rows) >= 0.95 * len(rows)
