@@ -15,8 +15,8 @@ tokenizer drops blanks before its merges, since no token then spans a blank; the
 library itself encodes each word. Other tokenizers encode chunks whole.
 
 Defined cases: a null text counts as empty and has no tokens; special tokens written
-in a text are special, as in the library; repeated rows are encoded each; rows with a
-null doc_id are keyed by their text; an empty table gives an empty result; extra
+in a text are special, as in the library; repeated rows are encoded each, and rows that
+repeat doc_id and text share one list of shared chunks; an empty table gives an empty result; extra
 columns are not read.
 """
 
@@ -35,6 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .skew import spread_join
 from .staging import discard, stage
 from .words import mixed
 
@@ -86,6 +87,7 @@ class Codec:
         self.tokenizer.no_padding()
         config = json.loads(self.tokenizer.to_str())
         self.by_word = _drops_blanks(config)
+        self.lower = any(s["type"] == "Lowercase" for s in _steps(config))
         self.plain_decode = config["decoder"] is None
         size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.numbers = [str(i) for i in range(size)]
@@ -102,7 +104,7 @@ class Codec:
         return len(ids), " ".join([self.numbers[i] for i in ids]), " ".join([self.names[i] for i in ids])
 
     def _stem(self, stem: str) -> tuple[int, str, str]:
-        """A run of lower-case letters, or one mark: the library's merges over its bytes."""
+        """A run of letters as the merges see it, or one mark: the library's merges over its bytes."""
         if stem not in self.stems:
             tokens = self.tokenizer.model.tokenize(stem if stem.isascii() else "".join([self.byte_names[b] for b in stem.encode()]))
             self.stems[stem] = self.strings([t.id for t in tokens])
@@ -116,7 +118,7 @@ class Codec:
         other = []
         for word in {w for t in texts for w in t.split()} - self.words.keys():
             if m := _SIMPLE.fullmatch(text := word.decode()):
-                found = self._stem(m[1].lower())
+                found = self._stem(m[1].lower() if self.lower else m[1])
                 if m[2]:
                     mark = self._stem(m[2])
                     found = (found[0] + mark[0], f"{found[1]} {mark[1]}", f"{found[2]} {mark[2]}")
@@ -162,10 +164,15 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
 
 
+def _steps(config: dict) -> list[dict]:
+    """Steps of a tokenizer's normalizer."""
+    normal = config["normalizer"] or {"type": "Sequence", "normalizers": []}
+    return normal.get("normalizers", [normal])
+
+
 def _drops_blanks(config: dict) -> bool:
     """Whether words encode alone as they do in a text: blanks are removed before the merges and no step looks past one."""
-    normal = config["normalizer"] or {"type": "Sequence", "normalizers": []}
-    steps = normal.get("normalizers", [normal])
+    steps = _steps(config)
     split = config["pre_tokenizer"] or {}
     split = split.get("pretokenizers", [split])[0]
     pattern = split.get("pattern", {}).get("Regex", "")
@@ -300,17 +307,21 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document."""
     path = path or default_tokenizer()
     width = "<u2" if len(codec(path).names) <= 1 << 16 else "<u4"
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
+    # Rows that repeat doc_id and text share a key and what is joined by it; other rows differ in it.
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
     listed = stage(keyed.filter("text is not null").select("key", "text").mapInArrow(list_chunks, "key long, digest binary"), "chunks")
-    shared = stage(listed.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("owner")).filter("n > 1").select("digest", "owner"), "shared-chunks")
-    given = stage(listed.join(shared.select("digest"), "digest"), "shared-uses")
+    uses = listed.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("owner"), F.max("key").alias("last"))
+    shared = stage(uses.filter("owner < last").select("digest", "owner", "n"), "shared-chunks")
+    # Repeated rows list a chunk once each; the slices of spread_join go by key, so equal entries meet and one is left.
+    given = stage(spread_join(listed, shared, ["digest"], "n", ["key"]).groupBy("key", "digest").agg(F.first("n").alias("n")), "shared-uses")
     discard(listed)
     owned = shared.groupBy("owner").agg(F.collect_list("digest").alias("owned"))
     packed = keyed.mapInArrow(pack, "doc_id long, key long, packed binary")
     held = packed.filter("packed is not null").join(owned, F.col("key") == F.col("owner")).select("packed", "owned")
     once = held.mapInArrow(encode_owned(path, width), "digest binary, ids binary")
-    once = stage(once.groupBy("digest").agg(F.any_value("ids").alias("ids")), "shared-encodings")
-    given = given.join(once, "digest").groupBy("key").agg(F.collect_list(F.struct("digest", "ids")).alias("given"))
+    once = once.groupBy("digest").agg(F.any_value("ids").alias("ids")).join(given.groupBy("digest").agg(F.count("*").alias("n")), "digest")
+    once = stage(once, "shared-encodings")
+    given = spread_join(given.select("key", "digest"), once, ["digest"], "n", ["key"]).groupBy("key").agg(F.collect_list(F.struct("digest", "ids")).alias("given"))
     whole = packed.join(given, "key", "left").select("doc_id", "packed", "given")
     discard(shared)
     return whole.mapInArrow(assemble(path, width), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

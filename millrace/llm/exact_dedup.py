@@ -20,10 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import discard, shuffle_partitions, stage
-
-#: Slices of one digest's rows, so that no task gets a large group of copies whole.
-SALTS = 16
+from .skew import spread_join
+from .staging import discard, fresh_name, shuffle_partitions, stage
 
 
 def text_digest(text: Column) -> Column:
@@ -49,6 +47,10 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        """Delete the index and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def fresh(self, keyed: DataFrame) -> DataFrame:
         """(digest, keep_id) of the batch's texts that the index does not hold."""
         batch = keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
@@ -79,29 +81,33 @@ def add_descending(keyed: DataFrame, index: DigestIndex, batches: int) -> None:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batches: int = 1) -> DataFrame:
-    """Decide every document: doc_id, digest, keep_id, group_size, kept."""
-    keyed = stage(keyed_rows(docs).withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")), "digests")
-    index = index or DigestIndex(docs.sparkSession)
+    """Decide every document: doc_id, digest, keep_id, group_size, kept. An index of its own, where none is given, is dropped again."""
+    keyed = stage(keyed_rows(docs), "digests")
+    given = index is not None
+    index = index if given else DigestIndex(docs.sparkSession)
     add_descending(keyed, index, batches)
-    slices = keyed.groupBy("digest", "salt").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("n"))
-    groups = slices.groupBy("digest").agg(F.max("last").alias("last"), F.sum("n").alias("group_size"), F.collect_list("salt").alias("salts"))
-    decided = groups.join(index.read().hint("merge"), "digest").select("digest", "keep_id", "last", "group_size", F.explode("salts").alias("salt"))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("last.row"))
-    return keyed.join(decided, ["digest", "salt"]).select("doc_id", "digest", "keep_id", "group_size", stays.alias("kept"))
+    # The partial aggregates of a task shrink a large group to one row before the shuffle.
+    groups = keyed.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("last"), F.count("*").alias("group_size"))
+    decided = stage(groups.join(index.read().hint("merge"), "digest").select("digest", "keep_id", F.col("last.row").alias("last_row"), "group_size"), "digest-groups")
+    if not given:
+        index.drop()
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("last_row"))
+    return spread_join(keyed, decided, ["digest"], "group_size", ["row"]).select("doc_id", "digest", "keep_id", "group_size", stays.alias("kept"))
 
 
 def drop_copies(docs: DataFrame, batches: int = 1) -> DataFrame:
     """The documents that stay, with their columns. Rows that repeat doc_id and text become one."""
     decided = stage(exact_dedup(docs, batches=batches), "decisions")
     dropped = stage(decided.filter(~F.col("kept")).select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")), "dropped")
-    keyed = docs.withColumn("__digest", text_digest(F.col("text")))
-    same = lambda d: keyed["doc_id"].eqNullSafe(d["doc_id"]) & (keyed["__digest"] == d["digest"])
+    name = fresh_name(docs, "digest")
+    keyed = docs.withColumn(name, text_digest(F.col("text")))
+    same = lambda d: keyed["doc_id"].eqNullSafe(d["doc_id"]) & (keyed[name] == d["digest"])
     # A sort-merge join at every size: it does not turn with the number of copies.
     gone = dropped.filter("not again").hint("merge")
     left = keyed.join(gone, same(gone), "left_anti")
     if dropped.filter("again").isEmpty():
-        return left.drop("__digest")
-    return left.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+        return left.drop(name)
+    return left.dropDuplicates(["doc_id", name]).drop(name)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 import hashlib
+import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe_codec as B
 from tests.llm.helpers import EDGES, edges, empty
@@ -43,3 +46,25 @@ def test_a_tokenizer_that_keeps_blanks_is_repaired_at_chunk_joins(spark):
 @pytest.mark.parametrize("left, right, edge", [(b"a bc ", b" de f", (b"bc ", b" de")), (b"ab", b"c", (b"ab", b"c")), (b"  ", b"c d", (b"  ", b"c"))])
 def test_edge_words(left, right, edge):
     assert B._edge(left, right) == edge
+
+
+def test_repeated_rows_are_encoded_in_linear_time(spark):
+    passage = " ".join(f"passage{k * 31 % 97}" for k in range(300))
+    rows = spark.createDataFrame([(1, passage)], "doc_id long, text string").crossJoin(spark.range(20_000).select(F.lit(0).alias("n"))).select("doc_id", "text")
+    table = rows.unionByName(spark.createDataFrame([(2, passage), (None, passage), (None, passage)], rows.schema))
+    began = time.monotonic()
+    found = {(r.doc_id, *r[1:4]): r.n for r in B.encode_documents(table).groupBy("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").agg(F.count("*").alias("n")).collect()}
+    assert found == {(1, *expected(passage)): 20_000, (2, *expected(passage)): 1, (None, *expected(passage)): 2}
+    assert time.monotonic() - began < 120
+
+
+def test_cased_tokenizers_keep_case(tmp_path):
+    config = json.loads(B.codec(B.default_tokenizer()).tokenizer.to_str())
+    steps = config["normalizer"]["normalizers"]
+    config["normalizer"]["normalizers"] = [s for s in steps if s["type"] != "Lowercase"]
+    path = tmp_path / "cased.json"
+    path.write_text(json.dumps(config))
+    tool = B.codec(str(path))
+    assert tool.by_word and len(steps) > len(config["normalizer"]["normalizers"])
+    tool.learn([b"Hello WORLD, abc."])
+    assert tool.encode_strings(b"Hello WORLD, abc.")[1] == " ".join(map(str, tool.tokenizer.encode("Hello WORLD, abc.", add_special_tokens=False).ids))
