@@ -30,21 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .skew import spread_join
+from .staging import fresh_name, stage
 
-#: Rows of each language that the text model is fitted on, at most: those with the smallest hash of the id.
+#: Texts of each language that the text model is fitted on, at most: those with the smallest hash.
 SAMPLE_ROWS = 400
+#: Languages that are fitted, at most: the most frequent labels. This bounds the sample that the driver reads.
+MAX_LANGUAGES = 100
 #: Characters of a sampled row that the fit reads, at most; this bounds the sample, scoring reads whole texts.
 SAMPLE_CHARS = 20_000
 BUCKETS = 1 << 16
 EFFECTIVE_GRAMS = 60.0
 #: Rows of its parent that count as much as a host's own rows.
 SMOOTHING = 20.0
-#: Slices of a host, so that a large host's documents meet its prior in many tasks.
-SALTS = 16
 #: Log odds that text in no known language starts with.
 UNKNOWN_PRIOR = -4.0
 #: The first language of the html element, without its region; the host of an address, without user, port and last dot.
@@ -140,16 +141,24 @@ def page_rows(pages: DataFrame) -> DataFrame:
 
 
 def sample_rows(docs: DataFrame, label: str) -> dict[str, list[str]]:
-    """Bounded sample of labelled texts: ``SAMPLE_ROWS`` a language with the smallest hash of the id."""
-    rows = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("label"), F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    # Hashes are spread evenly, so this threshold leaves a few times the wanted rows of each language.
-    counts = {r.label: r.n for r in docs.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).collect() if r.label is not None}
-    limit = F.lit(None).cast("double")
-    for name, n in counts.items():
-        limit = F.when(F.col("label") == name, F.lit(min(1.0, 3.0 * SAMPLE_ROWS / n))).otherwise(limit)
-    near = rows.filter((F.col("h") / F.lit(2.0**64) + 0.5) <= limit)
-    best = near.groupBy("label").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, SAMPLE_ROWS).alias("rows"))
-    return {r.label: [x.text for x in r.rows] for r in best.collect()}
+    """Bounded sample of labelled texts: ``SAMPLE_ROWS`` distinct texts a language, those with the smallest hash of the text.
+
+    Of more than ``MAX_LANGUAGES`` labels the most frequent ones are fitted; the others are no languages of the model.
+    """
+    rows = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).alias("label"), F.xxhash64("text").alias("h"), "text")
+    # Distinct hashes are counted, so that copies of one text neither fill the sample nor thin it out.
+    counts = rows.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "label").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return {}
+    # Hashes are spread evenly, so this threshold leaves a few times the wanted texts of each language.
+    limits = docs.sparkSession.createDataFrame([(r.label, min(1.0, 3.0 * SAMPLE_ROWS / max(1, r.n))) for r in counts], "label string, limit double")
+    near = rows.join(F.broadcast(limits), "label").filter((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("limit"))
+    texts = near.groupBy("label", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    best = texts.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("rank") <= SAMPLE_ROWS)
+    found: dict[str, list[str]] = {}
+    for r in best.orderBy("label", "rank").select("label", "text").collect():
+        found.setdefault(r.label, []).append(r.text)
+    return found
 
 
 def _log_sum(x: Column) -> Column:
@@ -177,37 +186,39 @@ def identify(docs: DataFrame, label: str = "lang", declared: str | None = None,
     """Evidence and decision for each row: doc_id, carried columns, language, confidence, kept. The text model is fitted on ``labelled``, or else on ``docs``."""
     sample = sample_rows(docs if labelled is None else labelled, label)
     carry = carry or []
-    schema = [docs.schema[c] for c in ("doc_id", *carry)]
+    # Carried columns travel under names of their own, so theirs may be any.
+    own = [f"carried_{k}" for k in range(len(carry))]
+    back = [F.col(o).alias(c) for o, c in zip(own, carry)]
     if not sample:
         return docs.select("doc_id", *carry, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     names, table = fit(sample)
     n = len(names)
     null = F.lit(None).cast("string")
     host_of = F.lower(F.col(host)) if host else null
-    read = docs.select("doc_id", *carry, (F.col(declared) if declared else null).alias("declared"), host_of.alias("host"), "text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    read = docs.select("doc_id", *[F.col(c).alias(o) for c, o in zip(carry, own)], (F.col(declared) if declared else null).alias("declared"), host_of.alias("host"), "text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[: 1 + len(own)])
     scored = read.mapInArrow(text_scores(table), f"{fields}, declared string, host string, grams double, scores array<double>")
     scale = F.least(F.lit(1.0), F.lit(EFFECTIVE_GRAMS) / F.greatest(F.col("grams"), F.lit(1.0)))
     # The part of a name after its last dot; hosts without a dot and numeric addresses have no suffix.
     suffix = F.nullif(F.regexp_extract("host", r"\.([^.0-9][^.]*)$", 1), F.lit(""))
-    scored = scored.select("doc_id", *carry, "declared", "host", suffix.alias("suffix"), "grams", F.transform("scores", lambda v: v * scale).alias("logs"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    scored = scored.select("doc_id", *own, "declared", "host", suffix.alias("suffix"), "grams", F.transform("scores", lambda v: v * scale).alias("logs"), F.monotonically_increasing_id().alias("row"))
     scored = scored.withColumn("text_p", _normal(F.slice("logs", 1, n)))
     scored = stage(scored.withColumn("seen", F.when(F.col("grams") > 0, F.col("text_p")).otherwise(F.array(*[F.lit(0.0)] * n))), "language-scores")
 
-    hosts = stage(scored.groupBy("host", "suffix").agg(_sums(n, "seen").alias("own"), F.collect_set("salt").alias("salts")), "hosts")
+    hosts = stage(scored.groupBy("host", "suffix").agg(_sums(n, "seen").alias("own"), F.count("*").alias("n_rows")), "hosts")
     suffixes = hosts.groupBy("suffix").agg(_sums(n, "own").alias("of_suffix"))
     corpus = [x or 0.0 for x in (suffixes.agg(_sums(n, "of_suffix").alias("x")).first().x or [0.0] * n)]
     whole = F.array(*[F.lit((x + 1.0) / (sum(corpus) + n)) for x in corpus])
     suffixes = suffixes.select(F.col("suffix").alias("__suffix"), _smoothed("of_suffix", whole, n).alias("suffix_p"))
-    priors = hosts.join(suffixes, hosts["suffix"].eqNullSafe(suffixes["__suffix"])).select("host", F.transform(_smoothed("own", F.col("suffix_p"), n), lambda p: F.log(p)).alias("prior"), F.explode("salts").alias("salt"))
-    priors = stage(priors, "host-priors").withColumnsRenamed({"host": "__host", "salt": "__salt"})
+    priors = hosts.join(suffixes, hosts["suffix"].eqNullSafe(suffixes["__suffix"])).select("host", F.transform(_smoothed("own", F.col("suffix_p"), n), lambda p: F.log(p)).alias("prior"), "n_rows")
+    priors = stage(priors, "host-priors")
 
     # How often each declaration goes with each language, by the text alone; its values are the declared strings.
     said = scored.filter("declared is not null and grams > 0").groupBy("declared").agg(_sums(n, "seen").alias("with"))
     per = [F.lit(max(x, 1e-9)) for x in corpus]
     said = stage(said.select(F.col("declared").alias("__declared"), F.array(*[F.log((F.col("with")[k] + 0.5) / (per[k] + 1.0)) for k in range(n)]).alias("declares")), "declarations")
 
-    met = scored.join(priors, scored["host"].eqNullSafe(priors["__host"]) & (scored["salt"] == priors["__salt"]))
+    met = spread_join(scored, priors, ["host"], "n_rows", ["row"])
     met = met.join(said, met["declared"] == said["__declared"], "left")
     unsaid = F.array(*[F.lit(0.0)] * n)
     total = F.zip_with(F.zip_with(F.slice("logs", 1, n), F.col("prior"), lambda a, b: a + b), F.coalesce(F.col("declares"), unsaid), lambda a, b: a + b)
@@ -216,15 +227,16 @@ def identify(docs: DataFrame, label: str = "lang", declared: str | None = None,
     language = F.array(*[F.lit(x) for x in names])[(F.array_position("posterior", best) - 1).cast("int")]
     known = F.array_max(F.slice("logs", 1, n)) >= F.col("logs")[n] + F.lit(UNKNOWN_PRIOR)
     kept = (F.col("grams") > 0) & known
-    return met.select("doc_id", *carry, language.alias("language"), best.alias("confidence"), kept.alias("kept"))
+    return met.select("doc_id", *back, language.alias("language"), best.alias("confidence"), kept.alias("kept"))
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
-    """Documents in a known language, with their columns; rows with a null doc_id always stay."""
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
-    decided = identify(keyed, carry=["__hash"])
-    rejected = stage(decided.filter(~F.col("kept")).select("doc_id", "__hash").distinct(), "rejected")
-    return keyed.join(rejected.hint("merge"), ["doc_id", "__hash"], "left_anti").select(*docs.columns)
+    """Documents in a known language, with their columns. The text alone rejects, so rows of one text go or stay together, with and without an id."""
+    name = fresh_name(docs, "hash")
+    keyed = docs.withColumn(name, F.xxhash64("text"))
+    decided = identify(keyed, carry=[name])
+    rejected = stage(decided.filter(~F.col("kept")).select("doc_id", name).distinct(), "rejected").hint("merge")
+    return keyed.join(rejected, keyed["doc_id"].eqNullSafe(rejected["doc_id"]) & (keyed[name] == rejected[name]), "left_anti").drop(name)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import language_id as L
 from millrace.llm.language_id import drop_unknown, identify, op10_language_id, op10_page_language, page_rows
 from tests.conftest import SF
 from tests.llm.helpers import edges, empty
@@ -57,3 +60,65 @@ def test_pages_are_identified(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     assert len(rows) == pages.count() and all(r.declared_language and "." in r.page_host for r in rows)
     assert sum(r.language == r.declared_language for r in rows) >= 0.95 * len(rows)
+
+
+def brute(rows, sample):
+    """Decisions for (doc_id, declared, host, text) by the module's docstring, one row at a time."""
+    names, table = L.fit(sample)
+    n, scored = len(names), []
+    for doc_id, declared, host, text in rows:
+        low = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalpha() or b >= 128 else 32 for b in (text or "").encode())
+        grams = [low[k : k + 3] for k in range(len(low) - 2) if low[k : k + 3].count(b" ") <= 1]
+        at = [((g[0] * 0x9E3779B1 ^ (g[1] * 0x85EBCA6B & 0xFFFFFFFF) ^ (g[2] * 0xC2B2AE35 & 0xFFFFFFFF)) & 0xFFFFFFFF) >> 16 for g in grams]
+        logs = table.astype(float)[:, at].sum(1) * min(1.0, L.EFFECTIVE_GRAMS / max(1, len(grams)))
+        p = np.exp(logs[:n] - logs[:n].max())
+        scored.append((doc_id, declared, host and host.lower(), len(grams), logs, p / p.sum() if grams else np.zeros(n)))
+    suffix = lambda host: None if host is None or "." not in host or host.rsplit(".", 1)[1][:1] in "0123456789" else host.rsplit(".", 1)[1]
+    total = lambda same: sum((s[5] for s in scored if same(s)), np.zeros(n))
+    smooth = lambda own, parent: (own + L.SMOOTHING * parent) / (own.sum() + L.SMOOTHING)
+    whole = total(lambda s: True)
+    out = {}
+    for doc_id, declared, host, grams, logs, _ in scored:
+        middle = smooth(total(lambda s: suffix(s[2]) == suffix(host)), (whole + 1) / (whole.sum() + n))
+        score = logs[:n] + np.log(smooth(total(lambda s: s[2] == host), middle))
+        if declared is not None and any(s[1] == declared and s[3] for s in scored):
+            score = score + np.log((total(lambda s: s[1] == declared) + 0.5) / (np.maximum(whole, 1e-9) + 1))
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        out[doc_id] = (names[int(p.argmax())], round(float(p.max()), 5), bool(grams) and logs[:n].max() >= logs[n] + L.UNKNOWN_PRIOR)
+    return out
+
+
+def test_evidence_matches_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source").limit(60)
+    pages = page_rows(spark.read.parquet(f"{SF}/pages.parquet")).limit(40)
+    mixed = docs.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN 'fr' WHEN doc_id % 3 = 1 THEN 'xx' END AS declared", "CASE WHEN doc_id % 4 > 0 THEN concat('H', doc_id % 5, if(doc_id % 2 = 0, '.Org', '.1')) END AS host", "text")
+    mixed = mixed.unionByName(pages.withColumn("doc_id", -1 - F.col("doc_id"))).unionByName(spark.createDataFrame([(1000, "fr", "h1.org", None), (1001, None, None, "xq zz"), (1002, "fr", "a.fr", "la")], mixed.schema))
+    rows = [tuple(r) for r in mixed.collect()]
+    want = brute(rows, L.sample_rows(docs, "lang"))
+    found = {r.doc_id: (r.language, round(r.confidence, 5), r.kept) for r in identify(mixed, declared="declared", host="host", labelled=docs).collect()}
+    assert len(want) == len(rows) and found.keys() == want.keys()
+    for k, (language, confidence, kept) in want.items():
+        assert found[k][0] == language and found[k][2] == kept and found[k][1] == pytest.approx(confidence, abs=2e-4), k
+
+
+def test_ids_do_not_matter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source")
+    many = docs.crossJoin(spark.range(20).withColumnRenamed("id", "n")).select("doc_id", F.concat("text", F.lit(" "), F.col("n").cast("string")).alias("text"), "lang", "source")
+    with_ids = {r.language: r.n for r in identify(many).filter("kept").groupBy("language").agg(F.count("*").alias("n")).collect()}
+    for one in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        found = {r.language: r.n for r in identify(many.withColumn("doc_id", one)).filter("kept").groupBy("language").agg(F.count("*").alias("n")).collect()}
+        assert found == with_ids and len(found) > 2
+    junk = spark.createDataFrame([(None, "12 34 %%", "en", "src1"), (None, None, "en", None)], docs.schema)
+    assert drop_unknown(docs.unionByName(junk)).filter("doc_id is null").count() == 0
+
+
+def test_sample_is_bounded_and_columns_may_clash(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    most = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(2).collect()]
+    assert sorted(L.sample_rows(docs, "lang")) == sorted(most)
+    names = docs.withColumns({"host": F.col("source"), "grams": F.lit(1), "row": F.lit("r"), "__hash": F.lit(2)})
+    found = identify(names, carry=["host", "grams", "row", "__hash"])
+    assert found.columns == ["doc_id", "host", "grams", "row", "__hash", "language", "confidence", "kept"] and found.filter("row = 'r' and grams = 1 and host is not null").count() == docs.count()
+    assert drop_unknown(names).columns == names.columns and drop_unknown(names).filter("__hash = 2").count() > 0
