@@ -4,7 +4,8 @@ Three base patterns find assigned values, access key ids and long hex runs. Besi
 them the method decodes base64 and hex candidates and reports one only when its
 bytes parse: PEM blocks and bare DER keys by nested lengths that add up exactly,
 SSH keys by their length-prefixed fields, signed tokens by a JSON header that
-names an algorithm. Every base span stays; confirmed spans are added.
+names an algorithm. Bodies may be wrapped over lines, with real or escaped line
+breaks, and hex may start with 0x. Every base span stays; confirmed spans are added.
 
 Defined cases: a null text counts as empty and gives no spans; texts are scanned
 whole; spans are code points, end exclusive, ordered by start, then kind in the
@@ -16,9 +17,9 @@ from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,11 +31,19 @@ _KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+_PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
+#: Line breaks, also those that a quoted string writes as two characters.
+_BREAKS = re.compile(r"(?:\\[rn]|[\r\n])+")
+_PEM_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: ")
+_BASE64 = re.compile(r"[A-Za-z0-9+/]*={0,2}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_ANY_HEX = re.compile(r"[0-9A-Fa-f]{48,}")
-#: A JSON object's first bytes in base64 are ``ey`` or ``ew``.
-_TOKEN = re.compile(r"e[yw][A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_ANY_HEX = re.compile(r"(?:0[xX])?([0-9A-Fa-f]{48,})")
+#: Blanks with a line break between two lines of one wrapped value, and a last line.
+_WRAP = re.compile(r"[ \t]{0,64}\r?\n[ \t]{0,64}")
+_LAST_LINE = re.compile(r"([A-Za-z0-9+/]+={0,2})(?![A-Za-z0-9+/=_-])")
+#: Characters of a signed token. A JSON object's first bytes in base64 are ``ey`` or ``ew``.
+_TOKEN_RUN = re.compile(r"[A-Za-z0-9_.-]+")
+_TOKEN_START = re.compile(r"e[yw]")
 _MAX_NESTING = 16
 #: SSH key types.
 _SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
@@ -74,7 +83,7 @@ def _der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A sequence, filling the data, that holds a key: integers, an algorithm with a bit or octet string, or a version with an octet string."""
+    """A sequence, filling the data, that holds a key: integers, an algorithm with a bit or octet string, or a version with an octet string, or an algorithm with an encrypted octet string."""
     if len(data) < 24 or data[0] != 0x30:
         return False
     outer = _der_items(data)
@@ -82,6 +91,8 @@ def is_der_key(data: bytes) -> bool:
         return False
     inside = _der_items(outer[0][1]) or []
     tags = [t for t, _ in inside]
+    if tags == [0x30, 0x04]:  # encrypted: the algorithm is named by an object identifier
+        return inside[0][1][:1] == b"\x06"
     return tags[:3] == [0x02, 0x30, 0x04] or tags == [0x30, 0x03] or tags[:2] == [0x02, 0x04] or (len(tags) >= 2 and set(tags) == {0x02} and max(len(b) for _, b in inside) >= 16)
 
 
@@ -106,16 +117,102 @@ def _fields(data: bytes, most: int) -> tuple[list[bytes], bytes]:
     return out, data
 
 
-def is_signed_token(text: str) -> bool:
-    """header.claims.signature whose header is a JSON object naming an algorithm and whose claims are a JSON object (or encrypted parts)."""
-    header, claims, _ = text.split(".", 2)
+def _object(part: str) -> dict | None:
+    """The JSON object that a part of a token decodes to."""
     try:
-        head = json.loads(decoded(header) or b"")
-        if not isinstance(head, dict) or not isinstance(head.get("alg"), str):
-            return False
-        return "enc" in head or isinstance(json.loads(decoded(claims) or b""), dict)
+        value = json.loads(decoded(part) or b"")
     except (ValueError, RecursionError):
-        return False
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Signed and encrypted tokens: a header that is a JSON object naming an algorithm, then claims that are one and a signature, or encrypted parts.
+
+    A header starts where its part of a dotted run starts, or at the first ``ey`` or ``ew``
+    there of each of the four ways base64 can lie, so each part is decoded five times at most.
+    """
+    found = []
+    for run in _TOKEN_RUN.finditer(text):
+        if "." not in run[0]:
+            continue
+        parts = run[0].split(".")
+        k, at = 0, run.start()
+        while k + 2 < len(parts):
+            part, taken = parts[k], 1
+            if len(part) >= 16 and len(parts[k + 1]) >= 2:
+                for start in _header_starts(part):
+                    head = _object(part[start:])
+                    if head is None or not isinstance(head.get("alg"), str):
+                        continue
+                    if "enc" in head or _object(parts[k + 1]) is not None:
+                        taken = 5 if "enc" in head and len(parts) >= k + 5 else 3
+                        found.append((at + start, at + sum(map(len, parts[k : k + taken])) + taken - 1))
+                        break
+            at += sum(map(len, parts[k : k + taken])) + taken
+            k += taken
+    return found
+
+
+def _header_starts(part: str) -> list[int]:
+    starts: dict[int, int] = {}
+    for m in _TOKEN_START.finditer(part):
+        starts.setdefault(m.start() % 4, m.start())
+        if len(starts) == 4:
+            break
+    return sorted(starts.values())
+
+
+def pem_spans(text: str) -> list[tuple[int, int]]:
+    """PEM blocks whose body parses as a key, or whose headers name a cipher for whole blocks of it. Header lines and escaped line breaks are allowed."""
+    found = []
+    for m in _PEM_BEGIN.finditer(text):
+        end = text.find("-----", m.end())
+        last = f"-----END {m[1]}-----"
+        if end < 0 or not text.startswith(last, end):
+            continue
+        lines = [line.strip() for line in _BREAKS.split(text[m.end() : end])]
+        head = [line for line in lines if _PEM_HEADER.match(line)]
+        body = "".join("".join(line.split()) for line in lines if not _PEM_HEADER.match(line))
+        data = decoded(body) if _BASE64.fullmatch(body) else None
+        if data and (is_der_key(data) or is_ssh_key(data) or (any(h.startswith("DEK-Info: ") for h in head) and len(data) % 8 == 0)):
+            found.append((m.start(), end + len(last)))
+    return found
+
+
+def _key_kind(run: str) -> int | None:
+    """4 for a DER key, 5 for an SSH key in base64 or hex."""
+    data = decoded(run)
+    if not (data and (is_der_key(data) or is_ssh_key(data))):
+        m = _ANY_HEX.fullmatch(run)
+        data = bytes.fromhex(m[1]) if m and len(m[1]) % 2 == 0 else b""
+        if not (data and (is_der_key(data) or is_ssh_key(data))):
+            return None
+    return 4 if data[0] == 0x30 else 5
+
+
+def encoded_spans(text: str) -> list[tuple[int, int, int]]:
+    """Keys in base64 or hex, on one line or wrapped over lines of equal length with a shorter last one."""
+    found, wrapped = [], None
+    for m in [*_ENCODED.finditer(text), None]:
+        if wrapped and m and m.end() - m.start() <= wrapped[2] and (w := _WRAP.match(text, wrapped[1])) and w.end() == m.start():
+            wrapped = (wrapped[0], m.end(), wrapped[2]) if m.end() - m.start() == wrapped[2] else _closed(text, wrapped, m.end(), found)
+            continue
+        if wrapped:
+            tail = (w := _WRAP.match(text, wrapped[1])) and _LAST_LINE.match(text, w.end())
+            _closed(text, wrapped, tail.end() if tail and len(tail[1]) <= wrapped[2] else wrapped[1], found)
+        wrapped = None
+        if m and (kind := _key_kind(m[0])) is not None:
+            found.append((m.start(), kind, m.end()))
+        elif m and not m[0].endswith("="):
+            wrapped = (m.start(), m.end(), m.end() - m.start())
+    return found
+
+
+def _closed(text: str, wrapped: tuple[int, int, int], end: int, found: list[tuple[int, int, int]]) -> None:
+    """Report a wrapped value that ends at ``end``, if it is a key."""
+    if end > wrapped[0] + wrapped[2] and (kind := _key_kind("".join(text[wrapped[0] : end].split()))) is not None:
+        found.append((wrapped[0], kind, end))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -131,22 +228,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of candidates whose decoded structure parses."""
-    found: list[tuple[int, int, int]] = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            data = decoded("".join(m[2].split()))
-            if data and (is_der_key(data) or is_ssh_key(data)):
-                found.append((m.start(), 3, m.end()))
-    for m in _ENCODED.finditer(text):
-        run = m[0]
-        data = decoded(run)
-        if data and (is_der_key(data) or is_ssh_key(data)):
-            found.append((m.start(), 4 if data[0] == 0x30 else 5, m.end()))
-        elif _ANY_HEX.fullmatch(run) and len(run) % 2 == 0 and (is_der_key(data := bytes.fromhex(run)) or is_ssh_key(data)):
-            found.append((m.start(), 4 if data[0] == 0x30 else 5, m.end()))
+    """(start, kind, end) of candidates whose decoded structure parses. Every step is linear in the text."""
+    found = [(a, 3, b) for a, b in pem_spans(text)] if "-----BEGIN " in text else []
+    blocks = [(a, b) for a, _, b in found]
+    # What a block reports as a whole is not reported again as its lines.
+    starts = [a for a, _ in blocks]
+    found += [e for e in encoded_spans(text) if not (k := bisect_right(starts, e[0])) or blocks[k - 1][1] <= e[0]]
     if "." in text and ("ey" in text or "ew" in text):
-        found += [(m.start(), 6, m.end()) for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+        found += [(a, 6, b) for a, b in token_spans(text)]
     return found
 
 

@@ -1,6 +1,7 @@
 import base64
 import json
 import re
+import time
 
 from millrace.llm.secret_scan import KINDS, base_spans, confirmed_spans, find_secrets
 from tests.llm.helpers import EDGES, edges, empty
@@ -51,6 +52,39 @@ def test_structures_confirm():
     assert kinds(b64(PKCS8[:-1])) == [] and kinds(b64(bytes(range(60)))) == []
 
 
+def test_common_encodings_of_keys():
+    kinds = lambda text: [(KINDS[k], text[a:b]) for a, k, b in confirmed_spans(text)]
+    long = der(0x30, *[der(0x02, bytes([1]) * n) for n in (1, 128, 3, 128)])
+    lines = re.findall(".{1,64}", b64(long))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    escaped = begin + "\\n" + "\\n".join(lines) + "\\n" + end
+    assert kinds('{"private_key": "' + escaped + '\\n"}') == [("pem", escaped)]
+    headed = f"{begin}\nComment: a b\nX-Note: c\n\n" + "\n".join(lines) + f"\n{end}"
+    assert kinds(headed) == [("pem", headed)]
+    locked = f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00AA\n\n{b64(bytes(range(64)))}\n{end}"
+    assert kinds(locked) == [("pem", locked)] and kinds(locked.replace("DEK-Info", "Other")) == []
+    sealed = der(0x30, der(0x30, der(0x06, b"\x2a\x86\x48"), der(0x30)), der(0x04, bytes(48)))
+    assert kinds(b64(sealed)) == [("der", b64(sealed))]
+    assert kinds("key = 0x" + PKCS8.hex() + ";") == [("der", "0x" + PKCS8.hex())]
+    for wrapped in ("\n".join(lines), "\r\n  ".join(lines)):
+        assert kinds(f"the key\n{wrapped}\n\nand more text") == [("der", wrapped)]
+    assert kinds("\n".join(lines[:-1])) == [] and kinds(f"{begin}\n{lines[0]}\n-----END OTHER-----") == []
+    token = f"{url({'alg': 'HS256'})}.{url({'sub': 1})}.c2ln"
+    assert kinds(f"Bearer_{token} a.b.{token}.c") == [("token", token), ("token", token)]
+    sealed_token = f"{url({'alg': 'dir', 'enc': 'A128GCM'})}..aa.bb.cc"
+    assert kinds(sealed_token) == [] and kinds(sealed_token.replace("..", ".zz.")) == [("token", sealed_token.replace("..", ".zz."))]
+
+
+def test_long_adversarial_texts_are_scanned_in_linear_time():
+    size = 1_000_000
+    for unit in ("ey", "eyJh.", "ey.", "eyJhbGciOiJI.e30.", "-----BEGIN A-----", "-----BEGIN A-----\nA: b\n", "A" * 64 + "\n", "MIIB", "0x30", "0x" + "30" * 40 + " ", "token=", "AKIA", "a1" * 11 + " ", "a: "):
+        began = time.perf_counter()
+        text = unit * (size // len(unit))
+        base_spans(text)
+        confirmed_spans(text)
+        assert time.perf_counter() - began < 10, unit
+
+
 def test_edges(spark):
     rows = find_secrets(edges(spark, "spans")).collect()
     assert len(rows) == len(EDGES) and all(r.n_assign + r.n_access + r.n_hex == 0 for r in rows)
