@@ -218,7 +218,7 @@ def identify(docs: DataFrame, label: str = "lang", declared: str | None = None,
     per = [F.lit(max(x, 1e-9)) for x in corpus]
     said = stage(said.select(F.col("declared").alias("__declared"), F.array(*[F.log((F.col("with")[k] + 0.5) / (per[k] + 1.0)) for k in range(n)]).alias("declares")), "declarations")
 
-    met = spread_join(scored, priors, ["host"], "n_rows", ["row"])
+    met = spread_join(scored, priors, ["host"], "n_rows", ["row"], null_safe=True)
     met = met.join(said, met["declared"] == said["__declared"], "left")
     unsaid = F.array(*[F.lit(0.0)] * n)
     total = F.zip_with(F.zip_with(F.slice("logs", 1, n), F.col("prior"), lambda a, b: a + b), F.coalesce(F.col("declares"), unsaid), lambda a, b: a + b)

@@ -18,7 +18,7 @@ def slice_rows(total: int, partitions: int) -> int:
     return max(LEAST_ROWS, -(-total // max(1, partitions)))
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, by: Sequence[str | Column], how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, by: Sequence[str | Column], null_safe: bool = False) -> DataFrame:
     """``rows`` joined with ``groups`` on ``keys``; ``groups`` has one row a key and the key's number of rows in ``size``.
 
     Groups above an even share of all rows are cut into slices by their size: the rows by
@@ -30,11 +30,12 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     total = groups.agg(F.sum(size)).first()[0] or 0
     share = slice_rows(total, shuffle_partitions(rows.sparkSession))
     slices = F.ceil(F.col(size) / F.lit(share)).cast("int")
-    # Keys are compared null-safely, so a null key is a group of its own.
+    # Null-safely, a null key is a group of its own; otherwise it joins nothing.
+    same = lambda a, b: a.eqNullSafe(b) if null_safe else a == b
     large = groups.filter(F.col(size) > share).select(*[F.col(k).alias(f"__l_{k}") for k in keys], slices.alias("__slices"))
-    at = [rows[k].eqNullSafe(large[f"__l_{k}"]) for k in keys]
+    at = [same(rows[k], large[f"__l_{k}"]) for k in keys]
     marked = rows.join(F.broadcast(large), at, "left").withColumn("__slice", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__slices")).cast("int"), F.lit(0)))
     marked = marked.drop("__slices", *[f"__l_{k}" for k in keys])
     dealt = groups.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1))).select(*[F.col(k).alias(f"__r_{k}") for k in keys], "__part", *[c for c in groups.columns if c not in keys])
-    same = [marked[k].eqNullSafe(dealt[f"__r_{k}"]) for k in keys]
-    return marked.join(dealt.hint("merge"), [*same, marked["__slice"] == dealt["__part"]], how).drop("__slice", "__part", *[f"__r_{k}" for k in keys])
+    on = [same(marked[k], dealt[f"__r_{k}"]) for k in keys]
+    return marked.join(dealt.hint("merge"), [*on, marked["__slice"] == dealt["__part"]]).drop("__slice", "__part", *[f"__r_{k}" for k in keys])

@@ -8,14 +8,17 @@ A window of 13 words is an edge between its first and its last 12 words. Passes:
 2. texts with such anchors list the windows around them as edges: the hashes of the
    nodes at both ends (128 bits together) and their coordinates. Copies of a whole text are
    decided by its digest and stay out of the graph;
-3. edges that occur in two documents stay, with their first coordinates as source.
-   Joins with the nodes of one edge in and one out compact them to paths;
-4. occurrences of edges in later documents join their paths and merge into spans while
-   document and source coordinates advance together along a path;
+3. edges are counted with a fingerprint of the set of places where they occur, and those
+   of two documents stay. Two edges are one nonbranching path where a node joins them and
+   the places of the second are those of the first moved by one, as every text that
+   takes one then takes the other. A join by node finds the heads, edges that no other
+   leads to, and a path is its head and the edges that follow in its source;
+4. only heads are joined with their occurrences. An occurrence in a document after the
+   source holds the whole path, so its span follows from the path's length;
 5. each document drops the words of its spans.
 
 Anchors that are frequent are cut down to two rows a batch before the shuffle, edges
-are counted by partial aggregation, and the joins on edges may be split by skew.
+are counted by partial aggregation, and heads meet their occurrences in slices by their count.
 
 Defined cases: a null text has no words; windows are judged on the input, and only a
 smaller doc_id takes precedence, so rows that repeat a doc_id do not remove each other;
@@ -32,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .skew import spread_join
 from .staging import discard, stage
 from .words import WordHashes, shingle_hashes, split_words
 
@@ -118,14 +122,22 @@ def drop_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()).cast(pa.string())], schema=_KEPT)
 
 
+def repeated_edges(windows: DataFrame) -> DataFrame:
+    """Edges that occur in two documents: first place (src_*), number n and fingerprints of all places and of those one word on."""
+    place = lambda by: F.bit_xor(F.xxhash64("doc_id", "nth", F.col("pos") + by))
+    edges = windows.groupBy("lnode", "rnode").agg(F.min(F.struct("doc_id", "nth", "pos")).alias("src"), F.max("doc_id").alias("last"), F.count("*").alias("n"), place(0).alias("places"), place(1).alias("onward"))
+    return edges.filter("last > src.doc_id").select("lnode", "rnode", F.col("src.doc_id").alias("src_id"), F.col("src.nth").alias("src_nth"), F.col("src.pos").alias("src_pos"), "n", "places", "onward")
+
+
 def compacted(edges: DataFrame) -> DataFrame:
-    """Repeated edges with ``path``: the source position that the edge's nonbranching path starts at."""
-    ends = edges.select(F.col("lnode").alias("node"), F.lit(1).alias("outs"), F.lit(0).alias("ins")).unionAll(edges.select(F.col("rnode").alias("node"), F.lit(0).alias("outs"), F.lit(1).alias("ins")))
-    plain = ends.groupBy("node").agg(F.sum("outs").alias("outs"), F.sum("ins").alias("ins")).filter("outs = 1 and ins = 1").select(F.col("node").alias("rnode"), F.lit(True).alias("through"))
-    linked = edges.join(plain, "rnode", "left").withColumn("through", F.coalesce("through", F.lit(False)))
-    walk = Window.partitionBy("src_id", "src_nth").orderBy("src_pos")
-    goes_on = (F.lag("src_pos").over(walk) + 1 == F.col("src_pos")) & F.lag("through").over(walk)
-    return linked.withColumn("begin", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("src_pos"))).select("lnode", "rnode", "src_id", "src_nth", "src_pos", F.last("begin", True).over(walk).alias("path"))
+    """Nonbranching paths of staged repeated edges: nodes of the head, src_id, src_nth, src_pos, number n of occurrences and ``length`` in edges."""
+    leads = edges.select(F.col("rnode").alias("lnode"), F.col("onward").alias("places"), "n", F.lit(True).alias("led"))
+    marked = edges.join(leads.hint("merge"), ["lnode", "places", "n"], "left").withColumn("head", F.col("led").isNull())
+    # What no edge leads to starts a path; an edge that one leads to stands right after it in its source.
+    along = Window.partitionBy("src_id", "src_nth").orderBy("src_pos")
+    walked = marked.withColumn("path", F.last(F.when(F.col("head"), F.col("src_pos")), True).over(along))
+    paths = walked.groupBy("src_id", "src_nth", "path").agg(F.count("*").cast("int").alias("length"), F.max(F.when(F.col("head"), F.struct("lnode", "rnode", "n"))).alias("at"))
+    return paths.select("at.lnode", "at.rnode", "at.n", "src_id", "src_nth", F.col("path").alias("src_pos"), "length")
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,21 +158,17 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = repeated.groupBy("th").agg(F.collect_set("anchor").alias("anchors"))
     wanted = stage(wanted.join(firsts.select("doc_id", "th", "nth"), "th"), "repeated-anchors")
 
-    held = keyed.join(wanted.hint("merge"), ["doc_id", "th"]).select("doc_id", "nth", "text", "anchors")
+    held = keyed.join(wanted.hint("merge"), ["doc_id", "th"])
+    if not copies.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        held = held.dropDuplicates(["doc_id", "th"])  # a row given twice is no second place
+    held = held.select("doc_id", "nth", "text", "anchors")
     windows = stage(held.mapInArrow(list_edges, EDGES), "edges")
-    edges = windows.groupBy("lnode", "rnode").agg(F.min(F.struct("doc_id", "nth", "pos")).alias("src"), F.max("doc_id").alias("last")).filter("last > src.doc_id")
-    edges = stage(edges.select("lnode", "rnode", F.col("src.doc_id").alias("src_id"), F.col("src.nth").alias("src_nth"), F.col("src.pos").alias("src_pos")), "repeated-edges")
+    edges = stage(repeated_edges(windows), "repeated-edges")
     paths = stage(compacted(edges), "paths")
     discard(copies, wanted, edges)
 
-    met = windows.join(paths, ["lnode", "rnode"]).filter("doc_id > src_id").select("doc_id", "nth", "pos", "src_id", "src_nth", "src_pos", "path")
-    along = Window.partitionBy("doc_id", "nth").orderBy("pos")
-    before = F.lag(F.struct("pos", "src_id", "src_nth", "src_pos", "path")).over(along)
-    same = [before[c] == F.col(c) for c in ("src_id", "src_nth", "path")]
-    follows = (before["pos"] + 1 == F.col("pos")) & (before["src_pos"] + 1 == F.col("src_pos")) & same[0] & same[1] & same[2]
-    runs = met.withColumn("begin", F.when(~F.coalesce(follows, F.lit(False)), F.col("pos"))).withColumn("run", F.last("begin", True).over(along))
-    spans = runs.groupBy("doc_id", "nth", "run").agg((F.max("pos") + WINDOW).alias("end")).select("doc_id", "nth", F.col("run").alias("start"), "end")
-    spans = stage(spans, "spans")
+    met = spread_join(windows, paths, ["lnode", "rnode"], "n", ["doc_id", "nth", "pos"]).filter("doc_id > src_id")
+    spans = stage(met.select("doc_id", "nth", F.col("pos").alias("start"), (F.col("pos") + F.col("length") + (WINDOW - 1)).alias("end")), "spans")
     discard(windows, paths)
     return spans.join(firsts.select("doc_id", "nth", "th"), ["doc_id", "nth"]).drop("nth"), later
 

@@ -1,7 +1,9 @@
 import random
 import re
 
-from millrace.llm.substring_dedup import dedup_substrings
+from millrace.llm import substring_dedup as S
+from millrace.llm.substring_dedup import compacted, dedup_substrings, repeated_edges
+from millrace.llm.staging import stage
 from tests.llm.helpers import EDGES, edges, empty
 
 
@@ -26,6 +28,7 @@ def test_shared_passages_match_brute_force(spark):
     for k in range(120):
         parts = [rng.choice(passages) if rng.random() < 0.5 else " ".join(f"u{rng.randrange(9)}" for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 6))]
         rows.append((rng.randrange(90), " \n".join(parts)))
+    rows += rows[:5] + rows[:2]
     rows += [(500, "a b " * 40), (501, "a b " * 41), (3, rows[0][1]), (800, rows[0][1]), (801, rows[0][1])]
     rows = [(d, t) for d, t in rows]
     found = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -36,3 +39,44 @@ def test_edges(spark):
     found = dedup_substrings(edges(spark, "spans")).collect()
     assert sorted(map(tuple, found), key=str) == brute([(d, t) for d, t, *_ in EDGES])
     assert dedup_substrings(empty(spark)).count() == 0
+
+
+def unitigs(texts):
+    """Maximal runs of windows that every text takes whole: (first place, length, occurrences) of those in two documents."""
+    places = {}
+    for doc_id, words in texts:
+        for k in range(len(words) - 12):
+            places.setdefault(tuple(words[k : k + 13]), set()).add((doc_id, k))
+    moved = lambda s: {(d, k + 1) for d, k in s}
+    led = {e: next((p for p in places if p[1:] == e[:-1] and moved(places[p]) == places[e]), None) for e in places}
+    after = {p: e for e, p in led.items() if p}
+    out = []
+    for e in places:
+        if led[e] is None and len({d for d, _ in places[e]}) > 1:
+            n, at = 1, e
+            while at in after:
+                n, at = n + 1, after[at]
+            out.append((*min(places[e]), n, len(places[e])))
+    return sorted(out)
+
+
+def test_paths_are_the_unitigs(spark):
+    rng = random.Random(4)
+    passages = [[f"p{rng.randrange(30)}" for _ in range(rng.randint(14, 40))] for _ in range(5)]
+    texts = [(k, [w for _ in range(4) for w in rng.choice([rng.choice(passages), [f"u{rng.randrange(99)}"], rng.choice(passages)[3:20]])]) for k in range(30)]
+    texts += [(40, ["a", "b"] * 20), (41, ["b"] + ["a", "b"] * 15), (42, ["z"] * 30), (43, ["z"] * 17)]
+    hashes = lambda words: (hash(tuple(words)) >> 1,)
+    windows = [(*hashes(w[k : k + 12]), *hashes(w[k + 1 : k + 13]), d, 1, k) for d, w in texts for k in range(len(w) - 12)]
+    edges = stage(repeated_edges(spark.createDataFrame(windows, S.EDGES)), "test-edges")
+    paths = compacted(edges).collect()
+    want = unitigs(texts)
+    assert sorted((r.src_id, r.src_pos, r.length, r.n) for r in paths) == want
+    assert len(want) < edges.count() / 2 and max(n for _, _, n, _ in want) > 10
+
+
+def test_compaction_decides(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40))), (2, "x " + " ".join(f"w{k}" for k in range(30)) + " y"), (3, "z " + " ".join(f"w{k}" for k in range(10, 40)))], "doc_id long, text string")
+    assert [r.n_removed for r in sorted(dedup_substrings(rows).collect())] == [0, 30, 30]
+    whole = S.compacted
+    monkeypatch.setattr(S, "compacted", lambda edges: whole(edges).withColumn("length", S.F.lit(1)))
+    assert [r.n_removed for r in sorted(dedup_substrings(rows).collect())] != [0, 30, 30]
