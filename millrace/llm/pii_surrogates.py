@@ -10,16 +10,21 @@ whatever document and format, gets the same surrogate:
   with and without its country code agrees; cards end in a valid check digit;
 * addresses are drawn from reserved ranges (class E, example domains);
 * names keep their number of words, are made of syllables of the same script and end by
-  the gender of the title; a surname is drawn by itself, so "Mr A B" and "Mr B" agree.
-  In a text that names a person with a title, the bare surname is replaced as well.
+  the gender of the title; surnames and given names are entities of their own, so
+  "Mr A B" and "Mr B" agree and two names differ wherever their words do. In a text that
+  names a person with a title, the bare surname and given names are replaced as well.
 
 Before anything is replaced, all distinct entities and their surrogates are checked
 against each other: two entities with one surrogate, or a surrogate that some text
-really holds, make the later entity draw again, until no clash is left.
+really holds, make the later entity draw again, until no clash is left. A name gets one
+syllable more with each draw, so names do not run out. Addresses can: there are 2.5e8
+surrogates for IPv4 and 1e8 for social security numbers, and a run ends in an error
+when ``MAX_DRAWS`` draws leave a clash.
 
 Defined cases: a null text stays null; empty texts and texts without entities stay as
 they are; numbers of card length without a valid check digit are no entities; repeated
-rows are replaced alike; an empty table gives an empty result; other columns are kept.
+rows are replaced alike; an empty table gives an empty result; other columns are kept, and
+one named ``n_entities`` is replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .staging import discard, stage
+from .staging import discard, shuffle_partitions, stage
 
 #: Key of the surrogates; give another in production.
 KEY = "millrace"
@@ -62,9 +67,9 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _number(h: Column, at: Column, below: int) -> Column:
+def _number(h: Column, at: int, below: int) -> Column:
     """The ``at``-th number below ``below`` drawn from a hash of 128 hex digits (four a number, so 32 of them)."""
-    return F.conv(F.substring(h, at * 4 + 1, F.lit(4)), 16, 10).cast("int") % F.lit(below)
+    return F.conv(F.substring(h, at * 4 + 1, 4), 16, 10).cast("int") % F.lit(below)
 
 
 def _drawn(kind: Column, canonical: Column, draw: Column, key: str) -> Column:
@@ -112,14 +117,13 @@ def canonical(e: Column, kind: Column) -> Column:
 
 def _refilled(e: Column, digits: Column) -> Column:
     """``e`` with its digits replaced in order by ``digits``."""
-    at = lambda i: F.substring(e, i, F.lit(1))
-    nth = lambda i: F.length(_digits(F.substring(e, F.lit(1), i)))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(e)), lambda i: F.when(at(i).rlike("[0-9]"), F.substring(digits, nth(i), F.lit(1))).otherwise(at(i))), "")
+    return F.array_join(F.zip_with(F.split(e, "[0-9]", -1), F.split(F.concat(digits, F.lit("#")), ""), lambda between, digit: F.concat(between, F.replace(digit, F.lit("#"), F.lit("")))), "")
 
 
-def _numbers(h: Column, n: Column) -> Column:
-    """A string of n digits whose k-th from the right depends on h and k only."""
-    return F.array_join(F.transform(F.sequence(n - 1, F.lit(0)), lambda i: _number(h, i % 32, 10).cast("string")), "")
+def _numbers(h: Column, n: Column | int) -> Column:
+    """A string of n digits, 34 at most, whose k-th from the right depends on h and k only."""
+    half = lambda at: F.right(F.lpad(F.conv(F.substring(h, at, 15), 16, 10), 18, "0"), F.lit(17))
+    return F.right(F.concat(half(16), half(1)), n if isinstance(n, Column) else F.lit(n))
 
 
 def _last_ten(e: Column, h: Column) -> Column:
@@ -135,28 +139,34 @@ def _card(e: Column, h: Column) -> Column:
     return F.concat(body, ((10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
 
 
-def _letters(text: Column, h: Column, first: int) -> Column:
-    """Letters and digits replaced by drawn ones of the same kind, the rest kept; by place in the text."""
-    at = lambda i: F.substring(text, i, F.lit(1))
-    pick = lambda i, letters: F.substring(F.lit(letters), _number(h, (i + first) % 32, len(letters)) + 1, F.lit(1))
-    one = lambda i: F.when(at(i).rlike("[a-z]"), pick(i, "abcdefghijklmnopqrstuvwxyz")).when(at(i).rlike("[A-Z]"), pick(i, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(at(i).rlike("[0-9]"), pick(i, "0123456789")).otherwise(at(i))
-    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise(F.lit(""))
+#: Letters by kind, and what stands for each kind in a mask.
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_MASK = "a" * 26 + "A" * 26 + "0" * 10
+
+
+def _letters(text: Column, h: Column) -> Column:
+    """Letters and digits replaced by drawn ones of the same kind (of 16 letters), the rest kept; by place in the text, repeating after 128."""
+    letters = F.translate(h, _DIGITS, "qrstuvwxyz")
+    bound = F.struct(F.split(text, "").alias("old"), F.split(F.translate(text, _LOWER + _UPPER + _DIGITS, _MASK), "").alias("mask"), F.split(letters, "").alias("lower"), F.split(F.upper(letters), "").alias("upper"), F.split(F.translate(h, "abcdef", "024689"), "").alias("digits"))
+    one = lambda s, i: F.when(s["mask"][i] == "a", s["lower"][i % 128]).when(s["mask"][i] == "A", s["upper"][i % 128]).when(s["mask"][i] == "0", s["digits"][i % 128]).otherwise(s["old"][i])
+    # The lists are bound to a variable, so they are made once a text.
+    made = F.transform(F.array(bound), lambda s: F.array_join(F.transform(F.sequence(F.lit(0), F.size(s["old"]) - 1), lambda i: one(s, i)), ""))[0]
+    return F.when(F.length(text) > 0, made).otherwise(F.lit(""))
 
 
 def _mail(e: Column, h: Column) -> Column:
     """A local part of the same form at a host below an example domain."""
     local = F.substring_index(e, "@", 1)
-    top = F.element_at(F.array(*[F.lit(x) for x in ("com", "net", "org")]), _number(h, F.lit(31), 3) + 1)
-    return F.concat(_letters(F.lower(local), h, 0), F.lit("@m"), F.substring(h, 101, 10), F.lit(".example."), top)
+    top = F.element_at(F.array(*[F.lit(x) for x in ("com", "net", "org")]), _number(h, 31, 3) + 1)
+    return F.concat(_letters(F.lower(local), h), F.lit("@m"), F.substring(h, 101, 10), F.lit(".example."), top)
 
 
 def _ip(h: Column) -> Column:
-    return F.concat_ws(".", (_number(h, F.lit(0), 15) + 240).cast("string"), *[_number(h, F.lit(k), 256).cast("string") for k in (1, 2, 3)])
+    return F.concat_ws(".", (_number(h, 0, 15) + 240).cast("string"), *[_number(h, k, 256).cast("string") for k in (1, 2, 3)])
 
 
-def script_of(e: Column) -> Column:
-    last = surname(e)
-    return F.when(last.rlike(f"^{_CYRILLIC}"), "cyrillic").when(last.rlike(f"^{_GREEK}"), "greek").otherwise("latin")
+def script_of(word: Column) -> Column:
+    return F.when(word.rlike(f"^{_CYRILLIC}"), "cyrillic").when(word.rlike(f"^{_GREEK}"), "greek").otherwise("latin")
 
 
 def gender_of(e: Column) -> Column:
@@ -165,60 +175,68 @@ def gender_of(e: Column) -> Column:
     return F.when(title.isin(MALE), 0).when(title.isin(FEMALE), 1).otherwise(2)
 
 
-def _made_name(h: Column, e: Column, part: int) -> Column:
-    """A capitalised name of three syllables; part 2 is an ending of given names, 3 of surnames."""
-    made = None
-    for name, letters in SCRIPTS.items():
-        take = lambda k, of: F.substring(F.lit(of), _number(h, F.lit(k), len(of)) + 1, F.lit(1))  # noqa: E731, B023
-        stem = F.concat(F.upper(take(0, letters[0])), take(1, letters[1]), *[take(k, letters[k % 2]) for k in range(2, 6)], take(6, letters[0]))
-        # Surnames that are gendered in their language are so by the title; the stem alone tells entities apart.
-        whole = F.concat(stem, F.element_at(F.array(*[F.lit(x) for x in letters[part]]), gender_of(e) + 1))
-        made = F.when(script_of(e) == name, whole) if made is None else made.when(script_of(e) == name, whole)
-    return made
+def name_stem(h: Column, draw: Column, word: Column) -> Column:
+    """A capitalised stem of the word's script: three syllables, one more a draw (six at most), and a consonant."""
+    stem = None
+    for script, (consonants, vowels, _, _) in SCRIPTS.items():
+        take = lambda k: F.substring(F.lit((consonants, vowels)[k % 2]), _number(h, k, len((consonants, vowels)[k % 2])) + 1, F.lit(1))  # noqa: E731, B023
+        more = [F.when(draw > j, F.concat(take(6 + 2 * j), take(7 + 2 * j))).otherwise("") for j in range(6)]
+        whole = F.concat(F.upper(take(0)), *[take(k) for k in range(1, 6)], *more, take(20))
+        stem = F.when(script_of(word) == script, whole) if stem is None else stem.when(script_of(word) == script, whole)
+    return stem
 
 
-def _name(e: Column, h: Column, key: str) -> Column:
-    """Title as it was, given names drawn each by itself and by gender, surname by the entity's hash."""
-    title = F.regexp_extract(e, r"^(\S+ )", 1)
-    words = F.filter(F.split(F.regexp_extract(e, r"^\S+ (.*)$", 1), "[ -]"), lambda w: w != "")
-    given = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
-    drawn = F.transform(given, lambda w: _made_name(_drawn(F.lit("given"), F.lower(w), F.lit(0), key), e, 2))
-    return F.concat(title, F.array_join(F.concat(drawn, F.array(_made_name(h, e, 3))), " "))
+def name_forms(stem: Column, word: Column, kind: Column) -> Column:
+    """The name by gender: male, female, unknown. Endings differ by kind and the stem alone tells names apart."""
+    forms = None
+    for script, endings in SCRIPTS.items():
+        each = F.when(kind == "given", F.array(*[F.concat(stem, F.lit(x)) for x in endings[2]])).otherwise(F.array(*[F.concat(stem, F.lit(x)) for x in endings[3]]))
+        forms = F.when(script_of(word) == script, each) if forms is None else forms.when(script_of(word) == script, each)
+    return forms
 
 
-def surrogate(e: Column, kind: Column, h: Column, key: str = KEY) -> Column:
-    """The surrogate of a mention whose entity drew ``h``."""
-    return (
+def surrogate(e: Column, kind: Column, h: Column, draw: Column) -> Column:
+    """The surrogates of a mention whose entity drew ``h``: one, or for names one a gender."""
+    one = (
         F.when(kind == "mail", _mail(e, h))
         .when(kind == "ip", _ip(h))
         .when(kind == "card", _refilled(e, _card(e, h)))
-        .when(kind == "ssn", _refilled(e, F.concat(F.lit("9"), _numbers(h, F.lit(8)))))
+        .when(kind == "ssn", _refilled(e, F.concat(F.lit("9"), _numbers(h, 8))))
         .when(kind == "phone", _refilled(e, _last_ten(e, h)))
-        .when(kind == "account", F.concat(F.substring(e, 1, 2), _letters(F.substring(e, F.lit(3), F.length(e) - 2), h, 2)))
-        .otherwise(_name(e, h, key))
+        .when(kind == "account", F.concat(F.substring(e, 1, 2), _letters(F.substring(e, F.lit(3), F.length(e) - 2), h)))
     )
+    return F.when(kind.isin("name", "given"), name_forms(name_stem(h, draw, e), e, kind)).otherwise(F.array(one))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to all tasks: surrogates cost more than their few bytes tell."""
+    return df.repartition(shuffle_partitions(df.sparkSession), *keys)
 
 
 def settled(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canonical, h) with draws that do not clash, for entities (kind, canonical, mention).
+    """(kind, canonical, h, draw) with draws that do not clash, for entities (kind, canonical, mention).
 
     In each round a surrogate's canonical form is held by the entity with the fewest
     draws, then the first by name, unless an original holds it; all others draw again.
+    Surnames and given names are checked together, in all their forms.
     """
-    redrawn = F.col("draw") + F.when(F.col("again"), 1).otherwise(0)
-    current = stage(entities.withColumn("draw", F.lit(0)).withColumn("h", _drawn(F.col("kind"), F.col("canonical"), F.col("draw"), key)), "draws")
+    sort = lambda kind: F.when(kind.isin("name", "given"), "word").otherwise(kind)
+    hashed = lambda df: df.withColumn("h", _drawn(F.col("kind"), F.col("canonical"), F.col("draw"), key))
+    current = stage(hashed(entities.withColumn("draw", F.lit(0))), "draws")
     for _ in range(MAX_DRAWS):
-        made = stage(current.select("kind", "canonical", "draw", surrogate(F.col("mention"), F.col("kind"), F.col("h"), key).alias("made")), "made")
-        drawn = made.select("kind", "canonical", "draw", canonical(F.col("made"), F.col("kind")).alias("value"))
-        real = current.select("kind", F.col("canonical").alias("value"), F.lit(True).alias("real"))
-        held = drawn.groupBy("kind", "value").agg(F.min(F.struct("draw", "canonical")).alias("holder"), F.count("*").alias("n"))
-        taken = held.join(real, ["kind", "value"], "left").filter(F.col("real") | (F.col("n") > 1)).select("kind", "value", F.when(F.col("real").isNull(), F.col("holder.canonical")).alias("holder"))
-        lost = stage(drawn.join(taken, ["kind", "value"]).filter(~F.coalesce(F.col("canonical") == F.col("holder"), F.lit(False))).select("kind", "canonical", F.lit(True).alias("again")), "clashes")
+        forms = spread(current, "kind", "canonical").select("kind", "canonical", "draw", F.explode(surrogate(F.col("mention"), F.col("kind"), F.col("h"), F.col("draw"))).alias("made"))
+        drawn = stage(forms.select("kind", "canonical", "draw", sort(F.col("kind")).alias("sort"), F.when(F.col("kind").isin("name", "given"), F.lower("made")).otherwise(canonical(F.col("made"), F.col("kind"))).alias("value")), "made")
+        real = current.select(sort(F.col("kind")).alias("sort"), F.col("canonical").alias("value"), F.lit(True).alias("real")).distinct()
+        held = drawn.groupBy("sort", "value").agg(F.min(F.struct("draw", "kind", "canonical")).alias("holder"), F.count("*").alias("n"))
+        taken = held.join(real, ["sort", "value"], "left").filter(F.col("real") | (F.col("n") > 1)).select("sort", "value", F.when(F.col("real").isNull(), F.struct("holder.kind", "holder.canonical")).alias("holder"))
+        lost = drawn.join(taken, ["sort", "value"]).filter(~F.coalesce(F.struct("kind", "canonical") == F.col("holder"), F.lit(False)))
+        lost = stage(lost.select("kind", "canonical", F.lit(True).alias("again")).distinct(), "clashes")
+        discard(drawn)
         if lost.isEmpty():
-            return current.select("kind", "canonical", "h")
-        after = current.join(lost, ["kind", "canonical"], "left").select("kind", "canonical", "mention", redrawn.alias("draw"))
-        after = stage(after.withColumn("h", _drawn(F.col("kind"), F.col("canonical"), F.col("draw"), key)), "draws")
-        discard(current, made, lost)
+            return current.select("kind", "canonical", "h", "draw")
+        redrawn = current.join(lost, ["kind", "canonical"], "left").select("kind", "canonical", "mention", (F.col("draw") + F.when(F.col("again"), 1).otherwise(0)).alias("draw"))
+        after = stage(hashed(redrawn), "draws")
+        discard(current, lost)
         current = after
     raise RuntimeError(f"entities clash after {MAX_DRAWS} draws")
 
@@ -230,31 +248,52 @@ def find_entities(docs: DataFrame) -> DataFrame:
     return stage(rows.filter(F.size("found") > 0), "found")
 
 
+def given_names(e: Column) -> Column:
+    """Words between the title and the surname."""
+    words = F.filter(F.split(F.regexp_extract(e, r"^\S+ (.*)$", 1), "[ -]"), lambda w: w != "")
+    return F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+
+
+def made_mentions(mentions: DataFrame, key: str = KEY) -> DataFrame:
+    """(mention, kind, made, words) of staged mentions (mention, kind, canonical): the surrogate, and of a name each old and new word."""
+    words = mentions.filter("kind = 'name'").select("mention", F.posexplode(given_names(F.col("mention"))).alias("nth", "word"))
+    words = stage(words.select("mention", "nth", "word", F.lower("word").alias("canonical"), F.lit("given").alias("kind")), "given-names")
+    whole = mentions.select("kind", "canonical", F.when(F.col("kind") == "name", surname(F.col("mention"))).otherwise(F.col("mention")).alias("mention"))
+    every = whole.unionByName(words.select("kind", "canonical", F.col("word").alias("mention")))
+    drawn = settled(every.groupBy("kind", "canonical").agg(F.min("mention").alias("mention")), key)
+    form = lambda word: surrogate(word, F.col("kind"), F.col("h"), F.col("draw"))
+    renamed = lambda word: F.struct(word.alias("old"), form(word)[gender_of(F.col("mention"))].alias("new"))
+    parts = spread(words.join(drawn, ["kind", "canonical"]), "mention").select("mention", F.struct("nth", renamed(F.col("word")).alias("w")).alias("part"))
+    given = parts.groupBy("mention").agg(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["w"]).alias("given"))
+    met = spread(mentions.join(drawn, ["kind", "canonical"]).join(given, "mention", "left"), "mention")
+    last = renamed(surname(F.col("mention")))
+    named = F.concat(F.coalesce(F.col("given"), F.array().cast("array<struct<old:string,new:string>>")), F.array(last))
+    bound = met.withColumn("words", F.when(F.col("kind") == "name", named))
+    title = F.regexp_extract("mention", r"^(\S+ )", 1)
+    made = F.when(F.col("kind") == "name", F.concat(title, F.array_join(F.transform("words", lambda w: w["new"]), " "))).otherwise(form(F.col("mention"))[0])
+    return bound.select("mention", "kind", made.alias("made"), "words")
+
+
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with ``text`` replaced and ``n_entities`` added."""
     found = find_entities(docs)
     mentions = found.select(F.explode("found").alias("mention")).distinct().withColumn("kind", kind_of(F.col("mention"))).filter("kind is not null")
     mentions = stage(mentions.withColumn("canonical", canonical(F.col("mention"), F.col("kind"))), "mentions")
-    drawn = settled(mentions.groupBy("kind", "canonical").agg(F.min("mention").alias("mention")), key)
-    made = mentions.join(drawn, ["kind", "canonical"]).select("mention", "kind", surrogate(F.col("mention"), F.col("kind"), F.col("h"), key).alias("made"))
-    made = stage(made, "surrogates")
+    made = stage(made_mentions(mentions, key), "surrogates")
     # One row for each text with entities; rows that repeat doc_id and text share it.
     held = found.select("__id", "__text", F.explode(F.array_distinct("found")).alias("mention")).distinct().join(made, "mention")
-    per = held.groupBy("__id", "__text").agg(
-        F.map_from_entries(F.collect_list(F.struct("mention", "made"))).alias("__made"),
-        F.collect_list(F.when(F.col("kind") == "name", F.struct(surname(F.col("mention")).alias("old"), surname(F.col("made")).alias("new")))).alias("__names"),
-    )
+    per = held.groupBy("__id", "__text").agg(F.map_from_entries(F.collect_list(F.struct("mention", "made"))).alias("__made"), F.flatten(F.collect_list("words")).alias("__names"))
     per = stage(per.join(found.dropDuplicates(["__id", "__text"]).withColumnRenamed("found", "__found"), ["__id", "__text"]), "replacements")
     same = docs["doc_id"].eqNullSafe(per["__id"]) & (F.xxhash64(docs["text"]) == per["__text"])
     read = docs.join(per.hint("merge"), same, "left")
-    value = F.transform("__found", lambda e: F.coalesce(F.col("__made")[e], e))
+    value = F.transform(per["__found"], lambda e: F.coalesce(per["__made"][e], e))
     joined = F.array_join(F.zip_with(F.split(docs["text"], ENTITY, -1), F.concat(value, F.array(F.lit(""))), lambda p, e: F.concat(p, e)), "")
     whole = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), w, F.lit(r"(?![\p{L}\p{N}])"))
-    bare = F.aggregate(F.array_distinct("__names"), joined, lambda text, x: F.regexp_replace(text, whole(x["old"]), x["new"]))
-    n = F.size(F.filter("__found", lambda e: F.col("__made")[e].isNotNull()))
-    text = F.when(F.col("__made").isNull(), docs["text"]).otherwise(bare)
-    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
-    return read.select(*columns, F.when(F.col("__made").isNull(), 0).otherwise(n).cast("long").alias("n_entities"))
+    bare = F.aggregate(F.array_sort(F.array_distinct(per["__names"])), joined, lambda text, x: F.regexp_replace(text, whole(x["old"]), x["new"]))
+    n = F.size(F.filter(per["__found"], lambda e: per["__made"][e].isNotNull()))
+    text = F.when(per["__made"].isNull(), docs["text"]).otherwise(bare)
+    columns = [text.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "n_entities"]
+    return read.select(*columns, F.when(per["__made"].isNull(), 0).otherwise(n).cast("long").alias("n_entities"))
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

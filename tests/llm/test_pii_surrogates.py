@@ -33,13 +33,31 @@ def test_types_formats_and_coreference(spark):
 def test_clashing_draws_are_repeated(spark, monkeypatch):
     import millrace.llm.pii_surrogates as P
 
-    monkeypatch.setattr(P, "_ip", lambda h: F.concat(F.lit("240.0.0."), P._number(h, F.lit(0), 64).cast("string")))
+    monkeypatch.setattr(P, "_ip", lambda h: F.concat(F.lit("240.0.0."), P._number(h, 0, 64).cast("string")))
     table = spark.createDataFrame([("ip", f"10.0.0.{k}", f"10.0.0.{k}") for k in range(24)] + [("ip", "240.0.0.7", "240.0.0.7")], "kind string, canonical string, mention string")
     drawn = settled(table, "k").join(table, ["kind", "canonical"])
-    made = [r.made for r in drawn.select(surrogate(F.col("mention"), F.col("kind"), F.col("h"), "k").alias("made")).collect()]
+    made = [r.made[0] for r in drawn.select(surrogate(F.col("mention"), F.col("kind"), F.col("h"), F.col("draw")).alias("made")).collect()]
     assert len(set(made)) == 25 and "240.0.0.7" not in made
 
 
+def test_names_do_not_run_out_and_stay_distinct(spark, monkeypatch):
+    import millrace.llm.pii_surrogates as P
+
+    monkeypatch.setattr(P, "SCRIPTS", {k: (c[:2], v[:1], *rest) for k, (c, v, *rest) in P.SCRIPTS.items()})
+    first, last = [f"{a}{b}x" for a in "ABCDE" for b in "abcde"], [f"{a}{b}y" for a in "FGHIJKLM" for b in "abcdefg"]
+    rows = [(i, f"Mr. {f} {s} met Mrs {f} {s}, and {f} called {s}.") for i, (f, s) in enumerate((f, s) for f in first[:12] for s in last)]
+    found = {r.doc_id: r.text for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names = {k: re.fullmatch(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+), and (\w+) called (\w+)\.", t).groups() for k, t in found.items()}
+    assert len(names) == len(rows) == len({(n[0], n[1]) for n in names.values()}) == len({(n[2], n[3]) for n in names.values()})
+    assert all(n[4] in (n[0], n[2]) and n[5] in (n[1], n[3]) for n in names.values())
+    by_first = {t.split()[1]: set() for _, t in rows}
+    for k, t in rows:
+        by_first[t.split()[1]].add(names[k][0])
+    assert all(len(v) == 1 for v in by_first.values())
+    originals = {w for _, t in rows for w in t.split()[1:3]}
+    assert not originals & {w for n in names.values() for w in n}
+
+
 #: Texts with one entity each and nothing else that looks like one.
 LONE = [
     "at 8.8.8.8 here", "at 1.2.3.4", "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 here", "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "card 4111111111111111",
@@ -64,6 +82,40 @@ def test_single_digits_are_replaced_alike(spark):
     assert found[3].text != spaced and found[3].text.replace(" ", "") == found[4].text.replace(" ", "")
 
 
+DIGITS = re.compile(r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|(?<![A-Za-z0-9.+-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])|(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])")
+
+
+def test_entities_match_brute_force(spark):
+    """Over generated texts: what is replaced, in which format, the same everywhere, distinct, and nothing else."""
+    import random
+
+    rng = random.Random(6)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + number(14)
+        return body + next(d for d in "0123456789" if luhn(body + d))
+
+    pool = [f"u{number(3)}.{k}@mail{k}.com" for k in range(8)] + [".".join(str(rng.randrange(1, 200)) for _ in range(4)) for _ in range(8)] + [card() for _ in range(8)] + [f"{number(3)}-{number(2)}-{number(4)}" for _ in range(8)]
+    spaced = lambda e: " ".join(re.findall("....", e)) if re.fullmatch("[0-9]{16}", e) and rng.random() < 0.5 else e
+    rows = [(k, " ; ".join([f"word{k}", *(spaced(rng.choice(pool)) for _ in range(rng.randint(0, 6))), "4111111111111112", "end"])) for k in range(80)]
+    plain = lambda e: re.sub("[ -]", "", e) if "@" not in e else e.lower()
+    given, used = {}, {}
+    for r in replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        old = rows[r.doc_id][1]
+        before, after = DIGITS.findall(old), DIGITS.findall(r.text)
+        real = [e for e in before if e != "4111111111111112"]
+        assert r.n_entities == len(real) and len(before) == len(after) and after[-1] == "4111111111111112"
+        assert DIGITS.split(old) == DIGITS.split(r.text)
+        for a, b in zip(before, after):
+            if a == "4111111111111112":
+                continue
+            assert given.setdefault(plain(a), plain(b)) == plain(b) and used.setdefault(plain(b), plain(a)) == plain(a)
+            assert plain(b) not in {plain(e) for e in pool}
+            if "@" not in a and "." not in a:
+                assert re.sub("[0-9]", "0", a) == re.sub("[0-9]", "0", b) and (len(plain(a)) != 16 or luhn(b))
+
+
 def test_edges(spark):
     left = replace_entities(edges(spark, "found"))
     assert left.columns == [*edges(spark, "found").columns, "n_entities"]
