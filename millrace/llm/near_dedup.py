@@ -4,10 +4,17 @@ A text is the sequence of its five-word shingles, each labelled with its occurre
 in the text. A sketch takes the labelled shingles with the smallest values under one
 random function and keeps them in text order, so it is sensitive to order as well as
 to content. Texts that agree on two sketches or more with a bucket's first member
-gather in neighbourhoods; a neighbourhood is dealt to tasks in pairs of blocks of
-bounded size, and every pair of texts in it is compared: the number of common
-labelled shingles bounds the similarity from above, and what passes is aligned. No
-pair is emitted but the links found that join two parts, at most one a text.
+gather in neighbourhoods, which are compared in blocks of bounded size: the number of
+common labelled shingles bounds the similarity of a pair from above, and what passes is
+aligned. No pair is emitted but the links found that join two parts, at most one a text.
+
+A neighbourhood of one block is done then. In larger ones each block is compared within
+itself, then one text of each part found so far, as long as that joins parts; this makes a
+large group of copies one part in a few linear rounds. What is left are pairs of
+different parts: texts that share a bucket which holds several parts are compared, in
+pairs of blocks that leave out two blocks of one part. Texts at 0.8 share half of their
+buckets, so no pair is lost that way, and texts that share boilerplate only meet in
+few buckets.
 
 Similarity is common / (n1 + n2 - common), where common is the longest common
 subsequence of labelled shingles inside a band. At 0.8 at most a ninth of both texts'
@@ -35,7 +42,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .staging import discard, stage
+from .skew import spread_join
+from .staging import discard, fresh_name, stage
 from .words import WordHashes, _odd, mixed, shingle_hashes, split_words
 
 SHINGLE = 5
@@ -47,8 +55,8 @@ PICKS = 3
 AGREE = 2
 #: Shingles in a block, about; a task holds two blocks.
 BLOCK_SHINGLES = 400_000
-#: Slices of copies of one text.
-SALTS = 16
+#: Rounds over one text of each part go on while they leave no more than this share of the parts.
+SHRINK = 0.7
 _MARKS = re.compile(r"^\W+|\W+$")
 _FACTORS = _odd(7, SKETCHES)
 _ORDER = _odd(8, PICKS)
@@ -117,15 +125,15 @@ def sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, place, text) to (digest, place, sequence) where the text has that digest."""
+    """(digest, text) to (digest, sequence) where the text has that digest."""
     for batch in batches:
         rows = []
-        for digest, place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for digest, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             h = _hashes(text.as_py())
             if _digest(h) == digest:
-                rows.append((digest, place, (labelled_shingles(h) >> np.uint64(32)).astype("<u4").tobytes()))
-        columns = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.binary()))], ["digest", "place", "sequence"])
+                rows.append((digest, (labelled_shingles(h) >> np.uint64(32)).astype("<u4").tobytes()))
+        columns = list(zip(*rows)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["digest", "sequence"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
@@ -146,19 +154,27 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
     return common / (n - common) if n else 1.0
 
 
-def link_blocks(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, np.ndarray]] | None) -> list[tuple[bytes, bytes]]:
-    """Links that join parts, among ``left`` or between ``left`` and ``right``: each as (member, smallest of its part)."""
+Text = tuple[bytes, bytes, np.ndarray]
+
+
+def link_blocks(left: list[Text], right: list[Text] | None) -> list[tuple[bytes, bytes]]:
+    """Links that join parts, among ``left`` or between ``left`` and ``right``: each as (member, smallest of its part).
+
+    Texts are (name, label, sequence); those of one label are known to be of one part.
+    """
     every = left + (right or [])
-    names = [d for d, _ in every]
-    sizes = np.array([len(s) for _, s in every])
-    values, ids = np.unique(np.concatenate([s for _, s in every]), return_inverse=True)
+    names = [d for d, _, _ in every]
+    sizes = np.array([len(s) for _, _, s in every])
+    values, ids = np.unique(np.concatenate([s for _, _, s in every]), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     first = len(left) if right is not None else 0
-    part = np.arange(len(every))
+    known: dict[bytes, int] = {}
+    part = np.array([known.setdefault(label, k) for k, (_, label, _) in enumerate(every)])
     mark = np.zeros(len(values), np.int32)
+    joined: list[tuple[bytes, bytes]] = []
     for k in range(len(left)):
         after = max(first, k + 1)
-        if after >= len(every) or not sizes[k]:
+        if after >= len(every) or not sizes[k] or (part[after:] == part[k]).all():
             continue
         own = ids[starts[k] : starts[k] + sizes[k]]
         mark[own] = 1
@@ -166,37 +182,98 @@ def link_blocks(left: list[tuple[bytes, np.ndarray]], right: list[tuple[bytes, n
         mark[own] = 0
         bound = common / (sizes[k] + sizes[after:] - common)
         for j in (np.flatnonzero((bound >= SIMILARITY - 1e-9) & (part[after:] != part[k])) + after).tolist():
-            if part[j] != part[k] and aligned(every[k][1], every[j][1]) >= SIMILARITY - 1e-9:
+            if part[j] != part[k] and aligned(every[k][2], every[j][2]) >= SIMILARITY - 1e-9:
                 part[part == part[j]] = part[k]
-    out = []
-    for p in np.unique(part):
-        members = [names[k] for k in np.flatnonzero(part == p)]
-        head = min(members)
-        out += [(m, head) for m in members if m != head]
-    return out
+                joined.append((names[j], names[k]))
+    return joined
 
 
 def link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted (place, i, j, block, digest, sequence) to links (a, b); one unit of two blocks is held at a time."""
+    """Sorted (unit, side, digest, label, sequence) to links (a, b); a unit has one side (0) or two (0, 1) and one unit is held at a time."""
     unit, rows = None, []
 
     def links() -> pa.RecordBatch:
-        left = [(d, s) for block, d, s in rows if block == unit[1]]
-        right = [(d, s) for block, d, s in rows if block != unit[1]] if unit[1] != unit[2] else None
-        found = link_blocks(left, right) if left and right != [] else []
+        sides = [[t for side, *t in rows if side == k] for k in (0, 1)]
+        found = link_blocks(sides[0], sides[1] or None) if sides[0] else []
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        for place, i, j, block, digest, sequence in zip(*(c.to_pylist() for c in batch.columns)):
-            if (place, i, j) != unit:
+        for at, side, digest, label, sequence in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != unit:
                 if rows:
                     yield links()
-                unit, rows = (place, i, j), []
-            rows.append((block, digest, np.frombuffer(sequence, "<u4")))
+                unit, rows = at, []
+            rows.append((side, digest, label, np.frombuffer(sequence, "<u4")))
     if rows:
         yield links()
 
 
+def _links(rows: DataFrame) -> DataFrame:
+    """Staged links of (unit, side, digest, label, sequence)."""
+    units = rows.select("unit", "side", "digest", "label", "sequence").repartition("unit").sortWithinPartitions("unit", "side")
+    return stage(units.mapInArrow(link_units, "a binary, b binary"), "links")
+
+
+def _blocks(texts: DataFrame) -> DataFrame:
+    """(place, blocks) for texts (place, n)."""
+    return texts.groupBy("place").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+
+
+def _within_blocks(texts: DataFrame, blocks: DataFrame, held: DataFrame, turn: int) -> DataFrame:
+    """Links among the texts (digest, place) of each block; ``turn`` deals them anew."""
+    dealt = texts.join(blocks, "place").select("digest", F.concat_ws("/", F.hex("place"), F.pmod(F.xxhash64("digest", F.lit(turn)), F.col("blocks")).cast("string")).alias("unit"))
+    return _links(dealt.join(held.hint("merge"), "digest").select("unit", F.lit(0).alias("side"), "digest", F.col("digest").alias("label"), "sequence"))
+
+
+def _labelled(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``texts`` with ``label``: the part of each so far."""
+    return texts.join(found.withColumnsRenamed({"node": "digest"}), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+
+
+def _between_parts(texts: DataFrame, sketched: DataFrame, held: DataFrame) -> DataFrame:
+    """Links between labelled texts (digest, n, label) of different parts that share a bucket."""
+    rows = stage(sketched.select("bucket", "digest").join(texts, "digest"), "shared-buckets")
+    sizes = rows.groupBy("bucket", "label").agg(F.sum("n").alias("n"))
+    # Parts above a block have blocks of their own, the others of a bucket share some.
+    named = sizes.withColumn("set", F.when(F.col("n") > BLOCK_SHINGLES, F.hex("label")).otherwise(""))
+    sets = named.groupBy("bucket", "set").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count("*").alias("parts"), F.any_value("label").alias("any"))
+    sets = stage(sets, "sets")
+    other = sets.select("bucket", F.col("set").alias("set2"), F.col("blocks").alias("blocks2"))
+    # A set meets every other one, and the shared set itself where it holds several parts.
+    pairs = sets.join(other, "bucket").filter((F.col("set") < F.col("set2")) | ((F.col("set") == "") & (F.col("set2") == "") & (F.col("parts") > 1)))
+    pairs = pairs.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.explode(F.sequence(F.when(F.col("set") == F.col("set2"), F.col("i")).otherwise(0), F.col("blocks2") - 1)))
+    unit = F.concat_ws("/", F.col("bucket").cast("string"), "set", F.col("i").cast("string"), "set2", F.col("j").cast("string"))
+    units = stage(pairs.select("bucket", "set", "i", "set2", "j", unit.alias("unit")), "block-pairs")
+    sides = units.select("bucket", "set", F.col("i").alias("block"), "unit", F.lit(0).alias("side")).unionAll(units.filter("set != set2 or i != j").select("bucket", F.col("set2").alias("set"), F.col("j").alias("block"), "unit", F.lit(1).alias("side")))
+    own = rows.join(named.select("bucket", "label", "set"), ["bucket", "label"]).join(sets.select("bucket", "set", "blocks"), ["bucket", "set"])
+    own = own.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    met = own.join(sides, ["bucket", "set", "block"]).select("unit", "side", "digest", "label")
+    links = _links(met.join(held.hint("merge"), "digest"))
+    discard(rows, sets, units)
+    return links
+
+
+def parts_of(members: DataFrame, sketched: DataFrame, held: DataFrame) -> DataFrame:
+    """(node, label) of the texts that links join, for staged members (digest, n, place), their buckets and sequences."""
+    blocks = stage(_blocks(members), "places")
+    links = _within_blocks(members, blocks, held, 0)
+    large = blocks.filter("blocks > 1").select("place")
+    if large.isEmpty():
+        return components(links)
+    texts = stage(members.join(large, "place").select("digest", "n", "place"), "large-places")
+    found, left, turn = components(links), None, 0
+    while True:
+        # One text of each part goes on; copies become one part in rounds that shrink by the size of a block.
+        firsts = stage(_labelled(texts, found).groupBy("place", "label").agg(F.min(F.struct("digest", "n")).alias("first")).select("place", "first.*"), "parts")
+        before, left, turn = left, firsts.count(), turn + 1
+        if before is not None and left > SHRINK * before:
+            break
+        links = stage(links.unionAll(_within_blocks(firsts, _blocks(firsts), held, turn)), "all-links")
+        found = components(links)
+    between = _between_parts(_labelled(texts, found).select("digest", "n", "label"), sketched, held)
+    return components(links.unionAll(between))
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id, key, row, hash (of the raw text), digest, class_id, class_size, kept of each row."""
     read = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("hash"), "text")
@@ -204,30 +281,26 @@ def near_classes(docs: DataFrame) -> DataFrame:
     # One text of each digest goes on; its copies come back in the last join.
     texts = rows.filter("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     sketched = stage(texts.select("digest", "key", "n", F.explode("keys").alias("bucket")), "buckets")
-    heads = stage(sketched.groupBy("bucket").agg(F.min("digest").alias("head"), F.count("*").alias("size")).filter("size > 1").select("bucket", "head"), "heads")
-    agree = sketched.join(heads, "bucket").filter(F.col("digest") != F.col("head")).groupBy(F.col("digest").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("n"))
+    heads = stage(sketched.groupBy("bucket").agg(F.min("digest").alias("head"), F.count("*").alias("size")).filter("size > 1"), "heads")
+    agree = spread_join(sketched, heads, ["bucket"], "size", ["digest"]).filter(F.col("digest") != F.col("head")).groupBy(F.col("digest").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("n"))
     placed = components(stage(agree.filter(F.col("n") >= AGREE).select("a", "b"), "neighbours"))
 
     members = sketched.select("digest", "key", "n").distinct().join(placed.select(F.col("node").alias("digest"), F.col("label").alias("place")), "digest")
     members = stage(members, "members")
     own = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
     # A sort-merge join at every size: it does not turn with the number of members.
-    held = own.join(members.select("key", "digest", "place").hint("merge"), "key").select("digest", "place", "text")
-    held = held.mapInArrow(sequences, "digest binary, place binary, sequence binary").groupBy("digest").agg(F.any_value("place").alias("place"), F.any_value("sequence").alias("sequence"))
-    sizes = stage(members.groupBy("place").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")), "places")
-    held = held.join(sizes, "place").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("place", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "sequence")
-    units = dealt.repartition("place", "i", "j").sortWithinPartitions("place", "i", "j")
-    links = stage(units.mapInArrow(link_units, "a binary, b binary"), "links")
-    found = components(links)
-    discard(heads, sizes)
-
-    salted = rows.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(found.withColumnsRenamed({"node": "digest"}), "digest", "left").select("doc_id", "key", "row", "hash", "digest", "salt", F.coalesce("label", "digest").alias("class"))
-    salted = stage(salted, "labelled")
-    slices = salted.groupBy("class", "salt").agg(F.count("*").alias("n"), F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("stays"))
-    classes = slices.groupBy("class").agg(F.sum("n").alias("class_size"), F.min("id").alias("class_id"), F.min("stays").alias("stays"), F.collect_list("salt").alias("salts"))
-    classes = stage(classes.withColumn("salt", F.explode("salts")).drop("salts"), "classes")
-    return salted.join(classes, ["class", "salt"]).select("doc_id", "key", "row", "hash", "digest", "class_id", "class_size", (F.col("row") == F.col("stays.row")).alias("kept"))
+    held = own.join(members.select("key", "digest").hint("merge"), "key").select("digest", "text").mapInArrow(sequences, "digest binary, sequence binary")
+    held = stage(held.groupBy("digest").agg(F.any_value("sequence").alias("sequence")), "sequences")
+    found = parts_of(members.select("digest", "n", "place"), sketched, held)
+    discard(heads, members, held)
+
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("stays")
+    digests = stage(_labelled(rows.groupBy("digest").agg(F.count("*").alias("rows"), first), found), "digests")
+    classes = digests.groupBy("label").agg(F.sum("rows").alias("class_size"), F.min("stays").alias("stays"), F.count("*").alias("digests"))
+    classes = stage(classes.select("label", "class_size", "digests", F.col("stays.doc_id").alias("class_id"), F.col("stays.row").alias("stays_row")), "classes")
+    decided = stage(spread_join(digests.select("digest", "rows", "label"), classes, ["label"], "digests", ["digest"]).select("digest", "rows", "class_id", "class_size", "stays_row"), "decided")
+    out = spread_join(rows.select("doc_id", "key", "row", "hash", "digest"), decided, ["digest"], "rows", ["row"])
+    return out.select("doc_id", "key", "row", "hash", "digest", "class_id", "class_size", (F.col("row") == F.col("stays_row")).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -235,12 +308,13 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     decided = stage(near_classes(docs).select("key", "hash", "kept"), "near-decisions")
     # Rows of one key and text are alike, so one decision holds for them: at most one of them is kept.
     pairs = stage(decided.groupBy("key", "hash").agg(F.max("kept").alias("stays"), F.count("*").alias("rows")), "near-pairs")
-    gone = pairs.filter(~F.col("stays")).select(F.col("key").alias("__key"), F.col("hash").alias("__hash"))
+    own_key, own_hash = fresh_name(docs, "key"), fresh_name(docs, "hash")
+    gone = pairs.filter(~F.col("stays")).select(F.col("key").alias(own_key), F.col("hash").alias(own_hash))
     hashed = F.xxhash64("text")
-    keyed = docs.withColumn("__key", F.coalesce("doc_id", hashed)).withColumn("__hash", hashed)
-    left = keyed.join(gone.hint("merge"), ["__key", "__hash"], "left_anti")
+    keyed = docs.withColumn(own_key, F.coalesce("doc_id", hashed)).withColumn(own_hash, hashed)
+    left = keyed.join(gone.hint("merge"), [own_key, own_hash], "left_anti")
     if not pairs.filter(F.col("stays") & (F.col("rows") > 1)).isEmpty():
-        left = left.dropDuplicates(["__key", "__hash"])
+        left = left.dropDuplicates([own_key, own_hash])
     return left.select(*docs.columns)
 
 

@@ -62,6 +62,45 @@ def test_classes_match_brute_force(spark):
     assert sum(r.kept for r in rows) == len(set(label)) and all(r.class_size == label.count(r.class_id) for r in rows)
 
 
+def boilerplate(n=60, seed=8):
+    """A large group of near copies, and texts that share most of their words with it and each other."""
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(120)]
+    texts = []
+    for k in range(n):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"x{k}"
+        texts.append(" ".join(copy))
+    for k in range(n):
+        texts.append(" ".join(base[: 84 + k % 5] + [f"own{k // 2}_{j}" for j in range(30)]))
+    return texts
+
+
+def test_large_neighbourhoods_match_brute_force(spark, monkeypatch):
+    import millrace.llm.near_dedup as N
+
+    texts = corpus(9) + boilerplate()
+    seq = [labelled_shingles(_hashes(t)) for t in texts]
+    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if min(len(seq[i]), len(seq[j])) >= 0.8 * max(len(seq[i]), len(seq[j])) and similarity(seq[i], seq[j]) >= SIMILARITY - 1e-9]
+    label = classes(links, len(texts))
+    assert max(label.count(c) for c in set(label)) > 50
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    turns = []
+    between = N._between_parts
+    monkeypatch.setattr(N, "_between_parts", lambda *a: turns.append(1) or between(*a))
+    for block in (700, 3000):
+        monkeypatch.setattr(N, "BLOCK_SHINGLES", block)
+        rows = near_classes(table).collect()
+        assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(label))
+        assert all(r.class_size == label.count(r.class_id) for r in rows) and sum(r.kept for r in rows) == len(set(label))
+    assert turns
+
+
+def test_parts_of_one_label_are_not_compared():
+    a, b = np.arange(50, dtype=np.uint32), np.arange(1, 51, dtype=np.uint32)
+    assert link_blocks([(b"1", b"x", a)], [(b"2", b"x", b)]) == [] and link_blocks([(b"1", b"x", a)], [(b"2", b"y", b)]) == [(b"2", b"1")]
+
+
 def test_alignment_is_exact_where_it_matters():
     rng = random.Random(1)
     for _ in range(200):
@@ -72,10 +111,10 @@ def test_alignment_is_exact_where_it_matters():
 
 
 def test_blocks_find_what_one_block_finds():
-    seq = [(str(k).encode(), labelled_shingles(_hashes(t)).astype(np.uint32)) for k, t in enumerate(corpus(5))]
-    seq = [(d, s) for d, s in seq if len(s)]
+    seq = [(str(k).encode(), str(k).encode(), labelled_shingles(_hashes(t)).astype(np.uint32)) for k, t in enumerate(corpus(5))]
+    seq = [t for t in seq if len(t[2])]
     def parts(links):
-        index = {d: k for k, (d, _) in enumerate(seq)}
+        index = {t[0]: k for k, t in enumerate(seq)}
         return classes([(index[a], index[b]) for a, b in links], len(seq))
     half = len(seq) // 2
     split = link_blocks(seq[:half], None) + link_blocks(seq[half:], None) + link_blocks(seq[:half], seq[half:])
