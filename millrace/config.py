@@ -14,6 +14,10 @@ from millrace.providers import NAMES, ProviderSpec, by_name
 #: Keys of a client block that are merged key by key rather than replaced.
 MERGED = ("init", "options", "engine", "pool", "gen_kwargs")
 POOL_KEYS = ("base_urls", "hosts_file", "url_glob")
+#: Keys of a catalogue's list in order of preference, and of an entry's code and description.
+CATALOG_LISTS = ("professional", "profession", "social", "categories", "personas", "items", "codes")
+CATALOG_CODES = ("code", "name", "persona", "label")
+CATALOG_DETAILS = ("description", "detail")
 
 
 def strict(cls: type, data: Any, where: str) -> Any:
@@ -119,8 +123,8 @@ class ClientConfig:
         served = [k for k in POOL_KEYS if getattr(self, k)]
         if self.provider not in (*NAMES, "echo", "scripted"):
             raise ValueError(f"client: unknown provider {self.provider!r}; choose one of {sorted(NAMES)}")
-        if self.batch_size < 1:
-            raise ValueError("client: batch_size must be 1 or more")
+        if self.batch_size < 1 or (self.num_proc is not None and self.num_proc < 1) or (self.queue_size is not None and self.queue_size < 1):
+            raise ValueError("client: batch_size, num_proc and queue_size must be 1 or more")
         if len(served) > 1:
             raise ValueError(f"client: give one of {POOL_KEYS}, not {served}")
         if served and self.provider != "vllm_online":
@@ -165,7 +169,8 @@ class ClientConfig:
 
     def provider_spec(self, root: Path = Path(".")) -> ProviderSpec:
         engine = self.engine.settings() if self.provider == "vllm_offline" else {}
-        return ProviderSpec(self.provider, self.model or "", {**self.init, **engine}, self.options, self.gen_kwargs, tuple(self.urls(root)))
+        reuse = self.reuse_key() if self.provider == "vllm_offline" else ""
+        return ProviderSpec(self.provider, self.model or "", {**self.init, **engine}, self.options, self.gen_kwargs, tuple(self.urls(root)), reuse)
 
 
 @dataclass(frozen=True)
@@ -260,19 +265,24 @@ def text_of(file: str, root: Path) -> str:
 
 
 def catalog_text(data: Any) -> str:
-    """Bullet list "- `code` — description" of a list of codes, after its instruction."""
-    intro, items = "", data
+    """Lines "- `code` — description" of a list of entries, after its instruction. An entry is a string or a mapping; one without a code is left out."""
+    intro, items = None, data
     if isinstance(data, dict):
-        intro = str(data.get("instruction") or "")
-        items = next((v for v in data.values() if isinstance(v, list)), None)
+        intro = data.get("instruction")
+        named = next((k for k in CATALOG_LISTS if k in data), None)
+        items = data[named] if named else next((v for v in data.values() if isinstance(v, list)), [])
     if not isinstance(items, list):
-        raise ValueError("a catalogue is a list of codes, or an object that holds one")
-    lines = []
-    for item in items:
-        if not isinstance(item, dict) or "code" not in item:
-            raise ValueError("each entry of a catalogue needs a code")
-        lines.append(f"- `{item['code']}`" + (f" — {item['description']}" if item.get("description") else ""))
-    return (f"{intro}\n\n" if intro else "") + "\n".join(lines)
+        raise ValueError("a catalogue is a list of entries, or an object that holds one")
+    entries = [{"code": item} if isinstance(item, str) else item for item in items if isinstance(item, (str, dict))]
+    told = lambda item, keys: next((item[k] for k in keys if item.get(k)), None)
+    lines = [intro.strip()] if isinstance(intro, str) and intro.strip() else []
+    for code, detail in ((told(e, CATALOG_CODES), told(e, CATALOG_DETAILS)) for e in entries):
+        if code is not None:
+            detail = "" if detail is None else str(detail).strip()
+            lines.append(f"- `{str(code).strip()}`" + (f" — {detail}" if detail else ""))
+    if not lines:
+        raise ValueError("the catalogue holds no entries")
+    return "\n".join(lines)
 
 
 @dataclass(frozen=True)

@@ -36,6 +36,14 @@ def compact_number(n: pd.Series) -> pd.Series:
     return n.map(short)
 
 
+@F.pandas_udf(T.StringType())
+def template_prefix(template: pd.Series) -> pd.Series:
+    """What all prompts of a template begin with."""
+    from millrace.plans.template import PromptTemplate
+
+    return template.map(lambda t: None if t is None else PromptTemplate.parse(t).prefix)
+
+
 def in_range(c: Column, low: float | None = None, high: float | None = None) -> Column:
     """Inclusive range test; a missing bound does not bind."""
     above = c >= F.lit(low) if low is not None else F.lit(True)
@@ -48,7 +56,10 @@ def length_in_range(c: Column, low: int | None = None, high: int | None = None)
 
 def n_words(c: Column) -> Column:
     """Number of blank-separated words."""
-    return F.size(F.filter(F.split(c, BLANKS), lambda w: w != "")).cast("long")
+    # Each word with the blanks around it becomes one character.
+    inside = BLANKS[1:-2]
+    marked = F.length(F.regexp_replace(c, rf"[{inside}]*+[^{inside}]++[{inside}]*+", "w"))
+    return F.when(c.rlike(f"[^{inside}]"), marked).when(c.isNotNull(), 0).cast("long")
 
 
 def n_occurrences(c: Column, what: str) -> Column:
@@ -63,7 +74,9 @@ def is_stub(c: Column, marker: str) -> Column:
 def passes_quality(text: Column, sentences: int = 3, words: tuple[int, int] = (30, 24_000), chars: tuple[int, int] = (200, 72_000)) -> Column:
     """Enough sentence ends, and word and character counts strictly inside their bounds."""
     ends = n_occurrences(F.concat(text, F.lit(" ")), ". ")
-    return (ends >= sentences) & (n_words(text) > words[0]) & (n_words(text) < words[1]) & (F.length(text) > chars[0]) & (F.length(text) < chars[1])
+    # The number of words is bound to a variable, so it is counted once, for texts that pass the rest.
+    counted = F.exists(F.array(n_words(text)), lambda n: (n > words[0]) & (n < words[1]))
+    return (F.length(text) > chars[0]) & (F.length(text) < chars[1]) & (ends >= sentences) & counted
 
 
 def title_starts_with(title: Column, prefix: str) -> Column:
@@ -77,8 +90,15 @@ def truncate(c: Column, n: int, marker: str = "") -> Column:
 
 def json_text_length(c: Column) -> Column:
     """Length of a string inside ASCII JSON: quotes, backslashes and short escapes take 2 characters, others 6 or 12."""
-    n = lambda keep: F.length(F.regexp_replace(c, keep, ""))
-    return F.length(c) + n(r'[^"\\\x08\x0c\n\r\t]') + 5 * n(r"[^\x00-\x07\x0b\x0e-\x1f\x7f]") + 5 * n(r"[^\u0080-￿]") + 11 * n(r"[^\x{10000}-\x{10ffff}]")
+
+    def added(special: Column) -> Column:
+        """Further characters of those that are not written as they are."""
+        short = F.length(F.regexp_replace(special, r'[^"\\\x08\x0c\n\r\t]++', ""))
+        wide = (F.octet_length(F.encode(special, "UTF-16BE")) / 2).cast("int") - F.length(special)
+        return 5 * F.length(special) - 4 * short + 6 * wide
+
+    # Runs of plain characters go first, so that the rest is short.
+    return F.length(c) + F.transform(F.array(F.regexp_replace(c, r"[ !#-\[\]-~]++", "")), added)[0]
 
 
 def prompt_length(messages: Column) -> Column:
@@ -95,7 +115,7 @@ def catalog(code: Column, description: Column, order: Column, intro: str = "") -
     """Aggregate: bullet list of codes and descriptions in order, under an optional introduction."""
     line = F.concat(F.lit("- `"), code, F.lit("` — "), description)
     lines = F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("l")))), lambda x: x["l"])
-    return F.concat(F.lit(intro + "\n\n" if intro else ""), F.array_join(lines, "\n"))
+    return F.concat(F.lit(intro.strip() + "\n" if intro.strip() else ""), F.array_join(lines, "\n"))
 
 
 def split_system(messages: Column) -> Column:

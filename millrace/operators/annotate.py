@@ -11,13 +11,14 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.schemas import as_schema, fitted, property_fields
 from millrace.providers import Provider, ProviderSpec, Response
+from millrace.providers.pool import ServerPool
 
 log = logging.getLogger("millrace.annotate")
 RETRIES = 5
@@ -44,6 +45,9 @@ class AnnotateSpec:
     prompt_prefix: str = ""
     system: str | None = None
     verbose: bool = False
+    #: Batches in flight over a pool of servers, and the tasks that share them.
+    queue_size: int | None = None
+    pool_tasks: int = 1
     schema: dict | None = field(init=False, default=None)
 
     def __post_init__(self) -> None:
@@ -147,24 +151,45 @@ def annotate_rows(spec: AnnotateSpec, provider: Provider, rows: list[dict]) -> l
 
 
 def worker(spec: AnnotateSpec, schema: T.StructType):
-    """Function for ``mapInArrow``; the provider is built, warmed up and closed in the task."""
+    """Function for ``mapInArrow``; providers are built, warmed up and closed in the task.
+
+    A pool of servers answers several batches at a time, in order of completion; a single
+    provider answers one after another.
+    """
     arrow = to_arrow_schema(schema)
 
+    def warmed(provider: Provider) -> Provider:
+        if spec.prompt_prefix:
+            provider.warm_up(spec.prompt_prefix, spec.system, spec.provider.runtime_options(provider, spec.schema))
+        return provider
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, spec.batch_size):
+                yield batch.slice(first, spec.batch_size).to_pylist()
+
+    def merged(rows: list[dict], results: list[dict]) -> pa.RecordBatch:
+        whole = [{**a, **b} for a, b in zip(rows, results)]
+        return pa.RecordBatch.from_arrays([pa.array([m.get(f.name) for m in whole], f.type) for f in arrow], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, provider = TaskContext.get(), None
+        context = TaskContext.get()
+        partition = context.partitionId() if context else 0
+        ask = lambda provider, rows: annotate_rows(spec, provider, rows)
+        if len(spec.provider.base_urls) > 1:
+            makers = [lambda make=make: warmed(make()) for make in spec.provider.makers(partition)]
+            share = -(-in_flight(spec.queue_size, len(makers)) // max(1, spec.pool_tasks))
+            with ServerPool(makers) as pool:
+                yield from (merged(rows, results) for rows, results in pool.run(slices(batches), ask, share))
+            return
+        provider = None
         try:
-            for batch in batches:
-                for first in range(0, batch.num_rows, spec.batch_size):
-                    rows = batch.slice(first, spec.batch_size).to_pylist()
-                    if provider is None:
-                        provider = spec.provider.build(context.partitionId() if context else 0)
-                        if spec.prompt_prefix:
-                            provider.warm_up(spec.prompt_prefix, spec.system, spec.provider.runtime_options(provider, spec.schema))
-                    results = annotate_rows(spec, provider, rows)
-                    merged = [{**a, **b} for a, b in zip(rows, results)]
-                    yield pa.RecordBatch.from_pylist([{f.name: m.get(f.name) for f in schema.fields} for m in merged], schema=arrow)
+            for rows in slices(batches):
+                if provider is None:
+                    provider = warmed(spec.provider.build(partition))
+                yield merged(rows, ask(provider, rows))
         finally:
-            if provider is not None:
+            if provider is not None and not spec.provider.shared:
                 provider.close()
 
     return run
@@ -183,9 +208,15 @@ def annotate(df: DataFrame, spec: AnnotateSpec) -> DataFrame:
     return df.select(*needed).mapInArrow(worker(spec, schema), schema)
 
 
-def batched(df: DataFrame, rank: str, batch_size: int, order: str) -> DataFrame:
+def batch_number(rank: Column, batch_size: int) -> Column:
+    return F.floor(rank / F.lit(batch_size))
+
+
+def batched(df: DataFrame, rank: str, batch_size: int, order: str, partitions: int | None = None) -> DataFrame:
     """Deal rows by batches of neighbouring ranks, so that long prompts do not meet in one task."""
-    return df.withColumn("__batch", F.floor(F.col(rank) / batch_size)).repartition("__batch").sortWithinPartitions("__batch", order).drop("__batch")
+    numbered = df.withColumn("__batch", batch_number(F.col(rank), batch_size))
+    dealt = numbered.repartition(partitions, "__batch") if partitions else numbered.repartition("__batch")
+    return dealt.sortWithinPartitions("__batch", order).drop("__batch")
 
 
 def in_flight(queue_size: int | None, clients: int) -> int:
@@ -197,5 +228,3 @@ def in_flight(queue_size: int | None, clients: int) -> int:
     if queue_size < clients:
         log.warning("queue_size %d is raised to the number of clients, %d", queue_size, clients)
     return max(queue_size, clients)
-
-

@@ -5,132 +5,186 @@ from __future__ import annotations
 import json
 import logging
 import platform
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field, replace
 from importlib import metadata
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.annotate import AnnotateSpec, annotate
+from millrace.operators.annotate import AnnotateSpec, annotate, batched
 from millrace.operators.tables import done_rows, keep_first, metadata_counts, skip_done
-from millrace.sources.tables import delete, exists, list_files, read_jsonl, read_text, write_text
+from millrace.plans.prepare import LENGTH_KEY, assign_index
+from millrace.sources.tables import delete, list_files, remove_empty_files, write_text
 
 log = logging.getLogger("millrace.progress")
 #: Rows that one job commits; a crash costs one wave at most.
-WAVE_ROWS = 1000
+WAVE_ROWS = 100_000
 ROWS_PER_FILE = 1000
+#: Columns of a wave that are no results.
+STAMPS = ("wave", "written_at", "seq", "dataset_split", "dataset_config")
 
 
 @dataclass(frozen=True)
 class Progress:
-    """Annotated rows below ``root``; with a backup, each wave is written there as well."""
+    """Annotated rows below ``root``. A manifest names the waves that were committed.
+
+    With a backup, waves are copied there too: each one, or once ``backup_every`` rows have gathered.
+    """
 
     spark: SparkSession
     root: str
     backup: str | None = None
     rows_per_file: int = ROWS_PER_FILE
+    backup_every: int = 0
+    _pending: list = field(default_factory=list, compare=False, repr=False)
 
     @property
     def path(self) -> str:
         return f"{self.root}/progress"
 
     def exists(self, root: str | None = None) -> bool:
-        return bool(self._waves(root or self.root))
+        return bool(self.waves(root or self.root))
 
-    def _waves(self, root: str) -> list[str]:
-        """Folders of waves whose job was committed."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{root}/progress")
-        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(where):
-            return []
-        found = [s.getPath().toString() for s in fs.listStatus(where) if s.isDirectory()]
-        return sorted(p for p in found if exists(self.spark, f"{p}/_SUCCESS"))
+    def waves(self, root: str) -> list[str]:
+        """Folders of the committed waves, by one listing of the manifest."""
+        return [f"{root}/progress/wave={name.rsplit('/', 1)[1]}" for name, _ in list_files(self.spark, f"{root}/manifest")]
 
     def read(self) -> DataFrame | None:
-        """All committed waves, from the backup where there are none here."""
-        waves = self._waves(self.root) or (self._waves(self.backup) if self.backup else [])
-        if not waves:
-            return None
-        base = waves[0].rsplit("/", 1)[0]
-        return self.spark.read.option("basePath", base).parquet(*waves)
-
-    def append(self, rows: DataFrame) -> None:
-        """Commit a wave. Its number is one above the last, so an earlier wave's rows come first."""
-        waves = self._waves(self.root)
-        number = 1 + max((int(w.rsplit("=", 1)[1]) for w in waves), default=-1)
+        """All committed waves, from the backup where there are none here. Waves may differ in columns."""
+        root = self.root if self.exists() else self.backup
+        waves = self.waves(root) if root else []
+        return self.spark.read.option("basePath", f"{root}/progress").option("mergeSchema", "true").parquet(*waves) if waves else None
+
+    def next_number(self) -> int:
+        """One above the last wave's, so an earlier wave's rows come first."""
+        return 1 + max((int(w.rsplit("=", 1)[1]) for w in self.waves(self.root)), default=-1)
+
+    def append(self, rows: DataFrame, number: int | None = None) -> None:
+        """Commit a wave; its data are written first, then its name."""
+        number = self.next_number() if number is None else number
         stamped = rows.withColumn("written_at", F.current_timestamp()).withColumn("seq", F.monotonically_increasing_id())
         target = f"{self.path}/wave={number:08d}"
         stamped.write.mode("overwrite").option("maxRecordsPerFile", self.rows_per_file).parquet(target)
+        write_text(self.spark, f"{self.root}/manifest/{number:08d}", "")
         if self.backup:
-            self.spark.read.parquet(target).write.mode("overwrite").parquet(f"{self.backup}/progress/wave={number:08d}")
+            self._pending.append((number, self.spark.read.parquet(target).count() if self.backup_every else 0))
+            if sum(n for _, n in self._pending) >= self.backup_every:
+                self.copy_pending()
+
+    def copy_pending(self) -> None:
+        """Copy the waves that the backup does not have yet."""
+        for number, _ in self._pending:
+            rows = self.spark.read.parquet(f"{self.path}/wave={number:08d}")
+            rows.write.mode("overwrite").parquet(f"{self.backup}/progress/wave={number:08d}")
+            write_text(self.spark, f"{self.backup}/manifest/{number:08d}", "")
+        self._pending.clear()
 
     def clear(self) -> None:
-        delete(self.spark, self.path)
+        for name in ("manifest", "progress", "todo"):
+            delete(self.spark, f"{self.root}/{name}")
 
 
 def import_jsonl(spark: SparkSession, folder: str, schema: T.StructType, idx: str = "idx") -> DataFrame:
-    """Rows of older progress files. A bad last line of a file is left out; one before it is an error, as is a missing index."""
-    rows = None
-    for file, size in list_files(spark, folder, ".jsonl"):
-        if size == 0:
-            delete(spark, file)
-            continue
-        lines = read_text(spark, file).splitlines()  # files are rotated, so each is small
-        for k, line in enumerate(lines):
-            try:
-                found = json.loads(line)
-            except ValueError:
-                if k < len(lines) - 1:
-                    raise ValueError(f"{file}: line {k + 1} is not JSON") from None
-                log.warning("%s: the last line is cut and left out", file)
-                continue
-            if idx not in found:
-                raise ValueError(f"{file}: line {k + 1} has no {idx!r}")
-    if any(size for _, size in list_files(spark, folder, ".jsonl")):
-        rows, _ = read_jsonl(spark, f"{folder}/*.jsonl", schema)
-    return rows if rows is not None else spark.createDataFrame([], schema)
-
-
-def run_annotation(prepared: DataFrame, spec: AnnotateSpec, progress: Progress, wave_rows: int = WAVE_ROWS, overwrite: bool = False, partitions: int | None = None, retry_errors: bool = False, max_waves: int | None = None) -> DataFrame:
+    """Rows of older progress files. A bad last line of a file is left out; one before it is an error, as is a missing index.
+
+    Lines are checked where they are read; what is gathered is one bad line at most.
+    """
+    remove_empty_files(spark, folder)
+    if not list_files(spark, folder, ".jsonl"):
+        return spark.createDataFrame([], schema)
+    full = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(f"{folder}/*.jsonl").select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad", "allowSingleQuotes": "false"}
+    parsed = lines.filter(F.trim("value") != "").withColumn("row", F.from_json("value", full, options))
+    bad = F.col("row").isNull() | F.col("row.__bad").isNotNull()
+    last = parsed.groupBy("file").agg(F.max("at").alias("last"))
+    wrong = parsed.filter(bad | F.col(f"row.{idx}").isNull()).join(last, "file").filter(~bad | (F.col("at") < F.col("last")))
+    first = wrong.orderBy("file", "at").select("file", "at", bad.alias("bad")).first()
+    if first is not None:
+        number = lines.filter((F.col("file") == first.file) & (F.col("at") <= F.struct(F.lit(first["at"].block).alias("block"), F.lit(first["at"].line).alias("line")))).count()
+        raise ValueError(f"{first.file}: line {number} is not JSON" if first.bad else f"{first.file}: line {number} has no {idx!r}")
+    if not parsed.filter(bad).isEmpty():
+        log.warning("%s: the cut last line of a file is left out", folder)
+    return parsed.filter(~bad).select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields])
+
+
+def run_annotation(
+    prepared: DataFrame,
+    spec: AnnotateSpec,
+    progress: Progress,
+    wave_rows: int = WAVE_ROWS,
+    overwrite: bool = False,
+    partitions: int | None = None,
+    retry_errors: bool = False,
+    max_waves: int | None = None,
+    dataset_split: str | None = None,
+    dataset_config: str | None = None,
+) -> DataFrame:
     """Annotate what is not done, wave by wave, and return the final table.
 
-    Waves are ranges of the prepared rows' own order, numbered once; rows that are done are
-    anti-joined away before the model is asked.
+    Waves are ranges of the prepared rows' order. What is to do is written once, a folder a
+    wave, so each wave reads its own rows only. Rows that are done are anti-joined away
+    before the model is asked; with a split or configuration named, only progress of
+    the same one counts.
     """
-    idx = spec.idx_column
+    idx, scope = spec.idx_column, {"dataset_split": dataset_split, "dataset_config": dataset_config}
+    scope = {k: v for k, v in scope.items() if v is not None}
     if overwrite:
         progress.clear()
     done = progress.read()
-    todo = prepared if done is None else skip_done(prepared, done_rows(done, idx, f"{spec.task_prefix}error" if retry_errors else None), idx)
-    bounds = _wave_bounds(todo, idx, wave_rows)
-    for low, high in bounds[:max_waves]:
-        wave = todo.filter(F.col(idx).between(low, high))
-        wave = wave.repartition(partitions) if partitions else wave
-        progress.append(annotate(wave, spec))
+    todo = prepared if done is None else skip_done(prepared, done_rows(done, idx, f"{spec.task_prefix}error" if retry_errors else None, **scope), idx)
+    spec = replace(spec, pool_tasks=partitions or 1)
+    number = progress.next_number()
+    for wave in _waves(todo, idx, wave_rows, progress, max_waves):
+        if LENGTH_KEY in wave.columns:
+            # Prompts of like length meet in a batch, and each task gets whole batches.
+            wave = batched(assign_index(wave, [LENGTH_KEY, idx], "__rank"), "__rank", spec.batch_size, "__rank", partitions).drop("__rank", LENGTH_KEY)
+        elif partitions:
+            wave = wave.repartition(partitions)
+        progress.append(annotate(wave, spec).withColumns({k: F.lit(v) for k, v in scope.items()}), number)
+        number += 1
+    progress.copy_pending()
+    delete(progress.spark, f"{progress.root}/todo")
     found = progress.read()
     if found is None:
-        progress.append(annotate(prepared.limit(0), spec))
+        progress.append(annotate(prepared.drop(LENGTH_KEY).limit(0), spec))
         found = progress.read()
+    for column, value in scope.items():
+        if column in found.columns:
+            found = found.filter(F.col(column).isNull() | (F.col(column) == value))
     return finalized(found, idx)
 
 
-def _wave_bounds(todo: DataFrame, idx: str, wave_rows: int) -> list[tuple[int, int]]:
-    """First and last index of each wave: gathers one row a wave, not the indices."""
-    width = todo.agg(F.min(idx).alias("low"), F.max(idx).alias("high"), F.count("*").alias("n")).first()
-    if not width.n:
-        return []
-    # Ranges of equal width, grouped until each has about wave_rows rows.
-    span = max(1, (width.high - width.low + 1) * wave_rows // max(width.n, 1))
-    cell = F.floor((F.col(idx) - width.low) / span)
-    rows = todo.groupBy(cell.alias("cell")).agg(F.min(idx).alias("low"), F.max(idx).alias("high")).orderBy("cell").collect()
-    return [(r.low, r.high) for r in rows]
+def _waves(todo: DataFrame, idx: str, wave_rows: int, progress: Progress, most: int | None):
+    """The rows of each wave in turn, in order of the prepared rows."""
+    order = LENGTH_KEY if LENGTH_KEY in todo.columns else idx
+    range_of = todo.agg(F.count("*").alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).first()
+    if not range_of.n:
+        return
+    waves = -(-range_of.n // wave_rows)
+    if waves == 1 and most is None:
+        yield todo
+        return
+    if order == idx:
+        # Equal ranges of the index, which is unique: a wave holds its width in rows at most.
+        width = -(-(range_of.high - range_of.low + 1) // waves)
+        cut = todo.withColumn("__wave", F.floor((F.col(idx) - F.lit(range_of.low)) / F.lit(width)).cast("int"))
+    else:
+        cut = assign_index(todo, [order, idx], "__at").withColumn("__wave", F.floor(F.col("__at") / wave_rows).cast("int")).drop("__at")
+    path = f"{progress.root}/todo/{uuid.uuid4().hex}"
+    cut.write.partitionBy("__wave").option("maxRecordsPerFile", ROWS_PER_FILE * 10).parquet(path)
+    for k in range(waves if most is None else min(waves, most)):
+        if list_files(progress.spark, f"{path}/__wave={k}"):
+            yield progress.spark.read.schema(todo.schema).parquet(f"{path}/__wave={k}")
 
 
 def finalized(rows: DataFrame, idx: str = "idx") -> DataFrame:
     """One row for each index, the first written, in order of the index."""
     first = keep_first(rows, [idx], ["wave", "written_at", "seq"])
-    return first.drop("wave", "written_at", "seq").orderBy(idx)
+    return first.drop(*STAMPS).orderBy(idx)
 
 
 def versions() -> dict[str, str]:

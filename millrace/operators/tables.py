@@ -97,5 +97,5 @@ def within_token_limit(df: DataFrame, column: str, limit: int) -> DataFrame:
 
 def batch_alarms(df: DataFrame, verdict: str, idx: str, batch_size: int) -> DataFrame:
     """(batch, rows) of batches without a single valid row."""
-    groups = df.groupBy(F.floor(F.col(idx) / batch_size).alias("batch"))
+    groups = df.groupBy(F.floor(F.col(idx) / F.lit(batch_size)).alias("batch"))
     return groups.agg(F.count("*").alias("rows"), F.max(F.coalesce(F.col(verdict), F.lit(False))).alias("any")).filter(~F.col("any")).drop("any")

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.config import PipelineConfig
-from millrace.operators.annotate import AnnotateSpec, in_flight
+from millrace.operators.annotate import AnnotateSpec
 from millrace.operators.tables import drop, filter_invalid, rename
 from millrace.plans.annotator import annotate_dataset, generate_dataset
 from millrace.providers.http import wait_for_servers
@@ -59,19 +59,20 @@ def run_step(spark: SparkSession, config: PipelineConfig, k: int, data: DataFram
     step, client = config.steps[k], config.step_client(config.steps[k])
     provider = client.provider_spec(root)
     if provider.base_urls:
-        in_flight(client.queue_size, len(provider.base_urls))
         if client.wait_for_servers:
             wait_for_servers(provider.base_urls, client.wait_for_servers)
         run_options.setdefault("partitions", len(provider.base_urls))
-    spec = AnnotateSpec(provider, step.schema(root), step.prefix, config.idx_column, True, client.batch_size, step.num_retries_invalid, verbose=config.verbose)
-    where, prepare = config.step_dir(k), {"sort_by_length": step.sort_by_length}
-    options = {"system": step.system(root), "force_data_preparation": step.force_data_preparation, "backup": step.backup, **run_options}
+    spec = AnnotateSpec(provider, step.schema(root), step.prefix, config.idx_column, True, client.batch_size, step.num_retries_invalid, verbose=config.verbose, queue_size=client.queue_size)
+    where, prepare = config.step_dir(k), {"sort_by_length": step.sort_by_length, "num_proc": client.num_proc}
+    options = {"system": step.system(root), "force_data_preparation": step.force_data_preparation, "backup": step.backup, "rows_per_file": step.max_samples_per_output_file, "backup_every": step.upload_every_n_samples or 0, **run_options}
     if step.type == "generate":
         found = generate_dataset(spark, step.all_prompts(root), where, spec, prompt_template=step.template(root), prepare_options=prepare, **options)
     else:
         if k == 0:
             source = config.dataset
-            data = spark.read.parquet(source.path if "://" in source.path else str(root / source.path)) if source.path else load_dataset(spark, source.data_dir or source.name, split=source.split, fmt=source.name if source.data_dir else "parquet")
+            folder = None if source.path is None else source.path if "://" in source.path else str(root / source.path)
+            data = load_dataset(spark, folder or source.data_dir or source.name, split=source.split, fmt=source.name if source.data_dir else "parquet", config=source.config)
+            options |= {"dataset_split": source.split, "dataset_config": source.config}
             prepare |= {"shuffle_seed": source.shuffle_seed, "max_samples": source.max_num_samples}
         found = annotate_dataset(data, where, spec, step.template(root), prepare_options=prepare, **options)
     before = found.count()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import logging
 from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
@@ -9,10 +12,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.annotate import AnnotateSpec
-from millrace.operators.progress import Progress, run_annotation, write_final, write_metadata
-from millrace.plans.prepare import PrepareSpec, generated, prepare_data
+from millrace.operators.progress import ROWS_PER_FILE, Progress, import_jsonl, run_annotation, write_final, write_metadata
+from millrace.plans.prepare import LENGTH_KEY, PrepareSpec, generated, prepare_data
 from millrace.plans.template import PromptTemplate
-from millrace.sources.tables import delete, exists
+from millrace.sources.tables import delete, exists, read_text, write_text
+
+log = logging.getLogger("millrace.annotator")
 
 
 def annotate_dataset(
@@ -28,12 +33,22 @@ def annotate_dataset(
     keep_idx_column: bool = True,
     overwrite: bool = False,
     prepare_options: dict[str, Any] | None = None,
+    version: str | None = None,
+    import_from: str | None = None,
+    dataset_split: str | None = None,
+    dataset_config: str | None = None,
+    rows_per_file: int = ROWS_PER_FILE,
+    backup_every: int = 0,
     **run_options: Any,
 ) -> DataFrame:
     """Prepare, annotate what is missing, and write ``<output_dir>/final`` with its metadata.
 
-    A finished ``final`` is returned as it is. ``overwrite`` discards progress and result and
-    keeps the prepared rows, unless ``force_data_preparation`` is set as well.
+    Prepared rows, progress and result belong to what they were made from: template,
+    options, hook, split, output schema and the source's files (or ``version``). A finished
+    ``final`` made from the same is returned as it is, and progress of the same is resumed;
+    anything else is left aside and made anew. ``overwrite`` discards progress and result and
+    keeps the prepared rows, unless ``force_data_preparation`` is set as well. JSON lines of
+    an older run in ``import_from`` count as progress.
     """
     if prompt_template is not None and full_prompt_template is not None:
         raise ValueError("give one of prompt_template and full_prompt_template")
@@ -41,19 +56,29 @@ def annotate_dataset(
     if template is None:
         raise TypeError("a prompt template is needed")
     spark, prefix = df.sparkSession, spec.task_prefix
-    final = f"{output_dir}/{prefix}final"
+    plan = PrepareSpec(template, system, prefix, spec.idx_column, keep_columns=spec.keep_columns, **(prepare_options or {}))
+    scope = {"dataset_split": dataset_split, "dataset_config": dataset_config}
+    mark = plan.fingerprint(df, preprocess, version)
+    made = hashlib.sha256(json.dumps([mark, spec.schema, spec.extra_columns, keep_idx_column, scope], sort_keys=True).encode()).hexdigest()
+    final, note = f"{output_dir}/{prefix}final", f"{output_dir}/{prefix}final.fingerprint"
     if overwrite:
         delete(spark, final)
     elif exists(spark, f"{final}/_SUCCESS"):
-        return spark.read.parquet(final)
-    plan = PrepareSpec(template, system, prefix, spec.idx_column, keep_columns=spec.keep_columns, **(prepare_options or {}))
-    copies = {"backup": f"{backup}/{prefix}prepared" if backup else None, "force": force_data_preparation}
+        if exists(spark, note) and read_text(spark, note) == made:
+            return spark.read.parquet(final)
+        log.warning("%s was made from another source, template or schema; it is made anew", final)
+    copies = {"backup": f"{backup}/{prefix}prepared" if backup else None, "force": force_data_preparation, "mark": mark}
     prepared = prepare_data(df, plan, f"{output_dir}/{prefix}prepared", preprocess, **copies)
     spec = replace(spec, prompt_prefix=PromptTemplate.parse(template).prefix, system=system)
-    progress = Progress(spark, f"{output_dir}/{prefix}run", f"{backup}/{prefix}run" if backup else None)
-    rows = run_annotation(prepared, spec, progress, overwrite=overwrite, **run_options)
+    run = f"{prefix}run/{made[:16]}"
+    progress = Progress(spark, f"{output_dir}/{run}", f"{backup}/{run}" if backup else None, rows_per_file, backup_every)
+    if import_from is not None and not progress.exists():
+        progress.append(import_jsonl(spark, import_from, spec.output_schema_of(prepared.drop(LENGTH_KEY)), spec.idx_column))
+    rows = run_annotation(prepared, spec, progress, overwrite=overwrite, **scope, **run_options)
+    delete(spark, note)
     found = write_final(rows if keep_idx_column else rows.drop(spec.idx_column), final, f"{backup}/{prefix}final" if backup else None)
-    write_metadata(found, output_dir, prefix, {"template": template, "task_prefix": prefix})
+    write_text(spark, note, made)
+    write_metadata(found, output_dir, prefix, {"template": template, "task_prefix": prefix, "fingerprint": made, **{k: v for k, v in scope.items() if v}})
     return found
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import logging
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
 
@@ -16,8 +18,10 @@ from millrace.plans.template import PromptTemplate, messages
 from millrace.sources.tables import exists, read_text, write_text
 
 log = logging.getLogger("millrace.prepare")
-#: Ranges that ``assign_index`` numbers in parallel, and sampled keys for each bound between them.
-INDEX_RANGES, KEYS_PER_BOUND = 64, 32
+#: Ranges that ``assign_index`` numbers in parallel, at least and at most (as many as shuffle partitions in between), and sampled keys for each bound.
+LEAST_RANGES, MOST_RANGES, KEYS_PER_BOUND = 64, 512, 32
+#: Column of prepared rows that are sorted by length: the key that they are in order of.
+LENGTH_KEY = "__length_key"
 
 
 def key_ranges(df: DataFrame, keys: list[str]) -> Column:
@@ -26,7 +30,8 @@ def key_ranges(df: DataFrame, keys: list[str]) -> Column:
     The bounds are literals taken from a bounded sample of keys (those of smallest hash),
     so every evaluation of the plan deals rows alike.
     """
-    sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(INDEX_RANGES * KEYS_PER_BOUND).orderBy(*keys).collect()
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sample = df.select(*keys).orderBy(F.xxhash64(*keys)).limit(ranges * KEYS_PER_BOUND).orderBy(*keys).collect()
     kinds = [df.schema[k].dataType for k in keys]
     bounds = [F.struct(*[F.lit(v).cast(t).alias(k) for k, v, t in zip(keys, row, kinds)]) for row in sample[KEYS_PER_BOUND::KEYS_PER_BOUND]]
     if not bounds:
@@ -82,14 +87,63 @@ class PrepareSpec:
     keep_columns: tuple[str, ...] | bool = ()
     #: False, True or "longest_first", or "shortest_first".
     sort_by_length: bool | str = False
+    #: Tasks that prepare rows, at most; all by default.
+    num_proc: int | None = None
 
     def parsed(self) -> PromptTemplate:
         return PromptTemplate.parse(self.template).swapped(dict(self.swap_fields))
 
-    def fingerprint(self, df: DataFrame) -> str:
-        """Changes with the spec, the source's columns and its plan."""
-        plan = df._jdf.queryExecution().analyzed().canonicalized().semanticHash()
-        return hashlib.sha256(json.dumps([asdict(self), df.schema.json(), plan], sort_keys=True, default=str).encode()).hexdigest()
+    def fingerprint(self, df: DataFrame, preprocess: Callable | None = None, version: str | None = None) -> str:
+        """Changes with the spec, the hook's code and what ``df`` reads; the same in every session.
+
+        ``version`` names the source's state in place of what is found out about it.
+        """
+        code = getattr(preprocess, "__code__", None)
+        hook = [getattr(preprocess, "__qualname__", repr(type(preprocess))), code.co_code.hex() if code else "", [c for c in code.co_consts if isinstance(c, (str, int, float))] if code else []] if preprocess else None
+        spec = {k: v for k, v in asdict(self).items() if k != "num_proc"}
+        source = version if version is not None else source_state(df)
+        return hashlib.sha256(json.dumps([spec, hook, df.schema.json(), source], sort_keys=True, default=str).encode()).hexdigest()
+
+
+#: Plan nodes whose content is told by their text.
+_TOLD = ("Range", "OneRowRelation")
+_IDS = re.compile(r"#\d+L?|plan_id=\d+|\[id=#?\d+\]|@[0-9a-f]{5,}")
+
+
+@contextlib.contextmanager
+def _whole_plans(spark: SparkSession):
+    """Plans are written without leaving columns out."""
+    name = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 20))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def source_state(df: DataFrame) -> list:
+    """What tells a table's content: its plan without the numbers of a session, and its files with length and time of change.
+
+    A table that is not read from files alone is told by a hash of its rows as well. Files
+    are listed and hashed by a Spark job.
+    """
+    spark = df.sparkSession
+    with _whole_plans(spark):
+        analyzed = df._jdf.queryExecution().analyzed()
+        plan = _IDS.sub("", analyzed.canonicalized().toString())
+        leaves = analyzed.collectLeaves()
+        kinds = {leaves.apply(k).getClass().getSimpleName() for k in range(leaves.size())}
+    state: list = [plan]
+    files = df.inputFiles() if kinds - set(_TOLD) else []
+    if files:
+        listed = spark.read.format("binaryFile").load(files)
+        one = F.xxhash64("path", "length", F.col("modificationTime").cast("double"))
+        state += list(listed.agg(F.count("*"), F.sum("length"), F.bit_xor(one)).first())
+    if kinds - {"LogicalRelation", "DataSourceV2Relation", "HiveTableRelation", "SubqueryAlias", *_TOLD}:
+        one = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+        state += list(df.agg(F.count("*"), F.bit_xor(one), F.sum(one.cast("decimal(38,0)")).cast("string")).first())
+    return state
 
 
 def prepare(df: DataFrame, spec: PrepareSpec, preprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -112,21 +166,24 @@ def prepare(df: DataFrame, spec: PrepareSpec, preprocess: Callable[[DataFrame],
     template.check(df)
     if preprocess is not None:
         df = df.transform(preprocess)
+    if spec.num_proc:
+        df = df.coalesce(spec.num_proc)
     df = df.withColumn(f"{prefix}messages", messages(template.column(df), spec.system))
     kept = [c for c in df.columns if c != f"{prefix}messages" and (spec.keep_columns is True or c == spec.idx_column or c in (spec.keep_columns or ()))]
     df = df.select(*kept, f"{prefix}messages")
     if spec.sort_by_length:
-        length = prompt_length(F.col(f"{prefix}messages"))
-        df = df.orderBy(length.asc() if spec.sort_by_length == "shortest_first" else length.desc(), spec.idx_column)
+        # The key stays with the prepared rows, so that waves and batches follow it.
+        length = prompt_length(F.col(f"{prefix}messages")).cast("long")
+        df = df.withColumn(LENGTH_KEY, length if spec.sort_by_length == "shortest_first" else -length).orderBy(LENGTH_KEY, spec.idx_column)
     return df
 
 
-def prepare_data(df: DataFrame, spec: PrepareSpec, path: str, preprocess=None, force: bool = False, backup: str | None = None) -> DataFrame:
+def prepare_data(df: DataFrame, spec: PrepareSpec, path: str, preprocess=None, force: bool = False, backup: str | None = None, mark: str | None = None) -> DataFrame:
     """Prepared prompts, written once: read from ``path``, else from ``backup``, else built.
 
-    Each copy carries a fingerprint; one that was made otherwise is built anew.
+    Each copy carries a fingerprint (``mark``); one that was made otherwise is built anew.
     """
-    spark, mark = df.sparkSession, spec.fingerprint(df)
+    spark, mark = df.sparkSession, mark or spec.fingerprint(df, preprocess)
     for place in [] if force else [path, backup]:
         if place and exists(spark, f"{place}/data/_SUCCESS"):
             if read_text(spark, f"{place}/fingerprint") == mark:

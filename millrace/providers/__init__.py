@@ -15,10 +15,11 @@ from .base import (
     ProviderSpec,
     Response,
     RuntimeOptions,
+    UnavailableError,
     halving,
 )
 
-__all__ = ["ClientError", "ConfigurationError", "Messages", "OnError", "ParsingError", "Provider", "ProviderError", "ProviderSpec", "Response", "RuntimeOptions", "by_name", "halving"]
+__all__ = ["ClientError", "ConfigurationError", "Messages", "OnError", "ParsingError", "Provider", "ProviderError", "ProviderSpec", "Response", "RuntimeOptions", "UnavailableError", "by_name", "halving"]
 
 #: Names of the hosted and served providers as configurations spell them.
 NAMES = ("openai", "claude", "vllm_online", "vllm_offline")

@@ -7,6 +7,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields, replace
+from functools import partial
 from typing import Any, Literal
 
 log = logging.getLogger("millrace.providers")
@@ -26,6 +27,10 @@ class ProviderError(ClientError):
     """A provider failed or did not finish an answer."""
 
 
+class UnavailableError(ProviderError):
+    """A server could not be reached."""
+
+
 class ParsingError(ClientError):
     """An answer could not be read."""
 
@@ -63,6 +68,8 @@ class Provider(ABC):
         if on_error not in ("raise", "ignore", "warn"):
             raise ValueError("on_error must be raise, ignore or warn")
         self.model, self.max_workers, self.on_error = model, max_workers, on_error
+        #: Whether an unreachable server is an error under any policy, so that a pool can ask another one.
+        self.raise_unavailable = False
 
     @abstractmethod
     def generate(self, messages: Messages, options: RuntimeOptions, **extra: Any) -> Response:
@@ -96,7 +103,7 @@ class Provider(ABC):
     def failed(self, e: Exception, partial: Response | None = None) -> Response:
         """Raise, or make an error row that keeps what there is of an answer."""
         known = e if isinstance(e, ClientError) else ProviderError(f"{type(e).__name__}: {e}")
-        if self.on_error == "raise":
+        if self.on_error == "raise" or (self.raise_unavailable and isinstance(known, UnavailableError)):
             raise known from e
         if self.on_error == "warn":
             log.warning("%s: %s", self.name, known)
@@ -116,6 +123,10 @@ class Provider(ABC):
         self.close()
 
 
+#: Providers that this worker keeps, by their spec's ``reuse``.
+_KEPT: dict[str, Provider] = {}
+
+
 @dataclass(frozen=True)
 class ProviderSpec:
     """Everything to build a provider in a worker. ``factory`` is a name known to ``providers`` or a callable."""
@@ -125,15 +136,34 @@ class ProviderSpec:
     init: dict = field(default_factory=dict)
     options: dict = field(default_factory=dict)
     extra: dict = field(default_factory=dict)
-    #: One of these is given as ``base_url`` by the number of the partition.
+    #: Servers, each given as ``base_url``; several form a pool in each task.
     base_urls: tuple[str, ...] = ()
+    #: Name under which a worker keeps the provider for later tasks and steps; one is kept at a time.
+    reuse: str = ""
+
+    @property
+    def shared(self) -> bool:
+        return bool(self.reuse) and len(self.base_urls) < 2
 
     def build(self, partition: int = 0) -> Provider:
+        if not self.shared:
+            return self.makers(partition)[0]()
+        if self.reuse not in _KEPT:
+            for name in list(_KEPT):
+                _KEPT.pop(name).close()
+            _KEPT[self.reuse] = self.makers(partition)[0]()
+        return _KEPT[self.reuse]
+
+    def makers(self, partition: int = 0) -> list[Callable[[], Provider]]:
+        """What makes a client for each server, beginning with the partition's own."""
         from millrace import providers
+        from millrace.providers.pool import first_server
 
         make = providers.by_name(self.factory) if isinstance(self.factory, str) else self.factory
-        urls = {"base_url": self.base_urls[partition % len(self.base_urls)]} if self.base_urls else {}
-        return make(model=self.model, **self.init, **urls)
+        if not self.base_urls:
+            return [partial(make, model=self.model, **self.init)]
+        first = first_server(partition, len(self.base_urls))
+        return [partial(make, model=self.model, **self.init, base_url=url) for url in (*self.base_urls[first:], *self.base_urls[:first])]
 
     def runtime_options(self, provider: Provider, schema: dict | None) -> RuntimeOptions:
         unknown = set(self.options) - {f.name for f in fields(provider.options_class)}

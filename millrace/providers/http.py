@@ -14,7 +14,7 @@ from typing import Any
 
 from millrace.functions.schemas import close_objects, drop_integer_bounds
 
-from .base import ConfigurationError, Messages, Provider, ProviderError, Response, RuntimeOptions
+from .base import ConfigurationError, Messages, Provider, ProviderError, Response, RuntimeOptions, UnavailableError
 
 
 def post(url: str, body: dict | bytes | None, headers: dict[str, str], timeout: float = 600.0, method: str | None = None) -> Any:
@@ -25,8 +25,11 @@ def post(url: str, body: dict | bytes | None, headers: dict[str, str], timeout:
         with urllib.request.urlopen(request, timeout=timeout) as reply:
             return json.loads(reply.read() or b"null")
     except urllib.error.HTTPError as e:
-        raise ProviderError(f"HTTP {e.code}: {e.read(500).decode(errors='replace')}") from e
-    except (urllib.error.URLError, OSError, ValueError) as e:
+        kind = UnavailableError if e.code in (502, 503, 504) else ProviderError
+        raise kind(f"HTTP {e.code}: {e.read(500).decode(errors='replace')}") from e
+    except (urllib.error.URLError, OSError) as e:
+        raise UnavailableError(str(e)) from e
+    except ValueError as e:
         raise ProviderError(str(e)) from e
 
 

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.config import DatasetConfig, PipelineConfig
 from millrace.functions import scalar as S
 from millrace.operators import tables as R
-from millrace.operators.annotate import AnnotateSpec, annotate, batched
+from millrace.operators.annotate import AnnotateSpec, annotate, batch_number, batched
 from millrace.operators.progress import Progress, run_annotation
+from millrace.pipeline import run_pipeline
+from millrace.plans.annotator import annotate_dataset
 from millrace.plans.prepare import PrepareSpec, assign_index, generated, prepare, shuffled
 from millrace.plans.template import PromptTemplate
-from millrace.providers import Messages, Provider, ProviderError, ProviderSpec, Response, RuntimeOptions
-from millrace.sources.tables import rotated_name, write_jsonl
+from millrace.providers import Messages, Provider, ProviderError, ProviderSpec, Response, RuntimeOptions, UnavailableError
+from millrace.providers.pool import first_server
+from millrace.sources.tables import write_jsonl
 from millrace.streaming.resume import counts_stream, total_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,8 +106,11 @@ def prompt_length_key(spark, sf_dir):
 
 @query(f"SELECT doc_id AS idx, row_number() OVER (ORDER BY {_LENGTH} DESC, doc_id) - 1 AS rank FROM (SELECT doc_id, text AS t FROM documents)")
 def sort_by_length(spark, sf_dir):
-    rows = prompted(table(spark, sf_dir, "documents"), "doc_id", "{text}").select("idx", S.prompt_length(F.col("messages")).alias("length"))
-    return assign_index(rows.select(F.col("idx").alias("id"), (-F.col("length")).alias("key")), ["key", "id"], "rank").select(F.col("id").alias("idx"), "rank")
+    rows = prompted(table(spark, sf_dir, "documents"), "doc_id", "{text}").select(F.col("idx").alias("id"), (-S.prompt_length(F.col("messages"))).alias("key"))
+    # The index reads the keys three times; they are computed once.
+    where = work_dir(spark)
+    rows.write.parquet(where)
+    return assign_index(spark.read.parquet(where), ["key", "id"], "rank").select(F.col("id").alias("idx"), "rank")
 
 
 @query("SELECT doc_id AS idx, 'Classify: ' || lang AS prompt FROM documents")
@@ -260,7 +268,11 @@ def resume_scoped_skip(spark, sf_dir):
 
 @query("SELECT doc_id, quality, toxic, NULL::varchar AS lang FROM labels UNION ALL SELECT doc_id, NULL, NULL, lang FROM documents")
 def progress_union(spark, sf_dir):
-    return table(spark, sf_dir, "labels").unionByName(table(spark, sf_dir, "documents").select("doc_id", "lang"), allowMissingColumns=True)
+    """Two committed waves of different columns, read back as one table."""
+    progress = Progress(spark, work_dir(spark))
+    progress.append(table(spark, sf_dir, "labels"))
+    progress.append(table(spark, sf_dir, "documents").select("doc_id", "lang"))
+    return progress.read().select("doc_id", "quality", "toxic", "lang")
 
 
 @query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
@@ -273,23 +285,60 @@ def dedup_sha256(spark, sf_dir):
     return R.dedup_by_hash(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"]).select("doc_id", S.sha256_hex(F.col("text")).alias("digest"))
 
 
-@query("SELECT o_orderkey // 256 AS batch, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1")
+@query("SELECT o_orderkey // 256 AS batch, count(*) AS n, min(o_orderkey) AS first, 1 AS tasks, true AS ordered FROM orders GROUP BY 1")
 def batch_assignment(spark, sf_dir):
-    dealt = batched(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 256, "o_orderkey")
-    return dealt.groupBy(F.floor(F.col("o_orderkey") / 256).alias("batch")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    """Batches as the tasks get them: each whole in one task, in order."""
+    dealt = batched(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 256, "o_orderkey", 16)
+    place = dealt.withColumn("task", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    numbered = place.withColumn("batch", batch_number(F.col("o_orderkey"), 256))
+    ordered = F.col("at") - F.min("at").over(Window.partitionBy("batch")) == F.row_number().over(Window.partitionBy("batch").orderBy("o_orderkey")) - 1
+    return numbered.withColumn("fits", ordered).groupBy("batch").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"), F.count_distinct("task").cast("int").alias("tasks"), F.min("fits").alias("ordered"))
 
 
-@query("SELECT 'out_' || (o_orderkey // 1000) || '.jsonl' AS file, count(*) AS n FROM orders GROUP BY 1")
+@query("""SELECT n AS rows, count(*) AS files FROM (SELECT k // 1000 AS file, count(*) AS n FROM (SELECT row_number() OVER () - 1 AS k FROM orders) GROUP BY 1) GROUP BY 1""")
 def file_index(spark, sf_dir):
-    number = F.floor(F.col("o_orderkey") / 1000).cast("string")
-    stem, _, suffix = rotated_name("out", 0, 1000).partition("0")
-    return table(spark, sf_dir, "orders").groupBy(F.concat(F.lit(stem), number, F.lit(suffix)).alias("file")).agg(F.count("*").alias("n"))
+    """Rows of the files that one task's progress rotates through."""
+    progress = Progress(spark, work_dir(spark), rows_per_file=1000)
+    progress.append(table(spark, sf_dir, "orders").select("o_orderkey").repartition(1))
+    files = progress.read().groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"))
+    return files.groupBy("rows").agg(F.count("*").alias("files"))
 
 
 @query("SELECT (o_orderkey // 256) % 4 AS server, count(DISTINCT o_orderkey // 256) AS batches, count(*) AS n FROM orders GROUP BY 1")
 def server_round_robin(spark, sf_dir):
-    batch = F.floor(F.col("o_orderkey") / 256)
-    return table(spark, sf_dir, "orders").groupBy((batch % 4).alias("server")).agg(F.count_distinct(batch).alias("batches"), F.count("*").alias("n"))
+    """The server that each batch's task asks first, if every batch is a task."""
+    rows = table(spark, sf_dir, "orders").withColumn("batch", batch_number(F.col("o_orderkey"), 256))
+    return rows.groupBy(first_server(F.col("batch"), 4).alias("server")).agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("n"))
+
+
+class ServedProvider(Provider):
+    """Answers with its server's name and the message; the server ``down`` cannot be reached, ``slow`` takes its time."""
+
+    name = "served"
+
+    def __init__(self, model: str = "", base_url: str = "", **kwargs):
+        super().__init__(model, **{"on_error": "ignore", **kwargs})
+        self.base_url = base_url
+
+    def batch(self, batch, options: RuntimeOptions, **extra) -> list[Response]:
+        if self.base_url == "slow":
+            time.sleep(0.05)
+        return super().batch(batch, options, **extra)
+
+    def generate(self, messages: Messages, options: RuntimeOptions, **extra) -> Response:
+        if self.base_url == "down":
+            raise UnavailableError("no route")
+        return Response(f"{self.base_url}:{messages[-1]['content']}", "stop", None, self.name)
+
+
+@query("SELECT doc_id AS idx, lang AS said, true AS by_a_server, NULL::varchar AS error FROM documents")
+def server_pool(spark, sf_dir):
+    """Every batch is answered once, by a server that can be reached."""
+    rows = prompted(table(spark, sf_dir, "documents"), "doc_id", "{lang}").repartition(3)
+    spec = AnnotateSpec(ProviderSpec(ServedProvider, base_urls=("down", "slow", "quick")), batch_size=16, queue_size=6, pool_tasks=3)
+    found = annotate(rows, spec)
+    server, said = F.substring_index("response", ":", 1), F.substring_index("response", ":", -1)
+    return found.select("idx", said.alias("said"), server.isin("slow", "quick").alias("by_a_server"), "error")
 
 
 @query("""WITH r AS (SELECT CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS finish_reason, lang AS error_type, quality = 1 AS valid_fields FROM documents LEFT JOIN labels USING (doc_id))
@@ -321,8 +370,7 @@ def compact_number(spark, sf_dir):
 
 @query("SELECT n_nationkey, 'Say ' || n_name || ': ' AS prefix FROM nation")
 def prompt_prefix(spark, sf_dir):
-    names = table(spark, sf_dir, "nation")
-    return names.select("n_nationkey", F.split(F.concat(F.lit("Say "), "n_name", F.lit(": {text} and {lang}")), r"\{[^}]+\}")[0].alias("prefix"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", S.template_prefix(F.concat(F.lit("Say "), "n_name", F.lit(": {text} and {lang}"))).alias("prefix"))
 
 
 _WORDS = r"len(regexp_extract_all(text, '\S+'))"
@@ -387,7 +435,7 @@ def system_split(spark, sf_dir):
     return split.select("conv_id", F.size("s.messages").cast("long").alias("n"), "s.system")
 
 
-@query("""SELECT r_regionkey, 'Nations:' || chr(10) || chr(10) || string_agg('- `' || n_nationkey || '` — ' || n_name, chr(10) ORDER BY n_nationkey) AS catalog
+@query("""SELECT r_regionkey, 'Nations:' || chr(10) || string_agg('- `' || n_nationkey || '` — ' || n_name, chr(10) ORDER BY n_nationkey) AS catalog
 FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
 def catalog_render(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -399,18 +447,16 @@ def rename_drop(spark, sf_dir):
     return R.drop(R.rename(table(spark, sf_dir, "supplier"), {"s_suppkey": "id", "s_name": "name"}), ["s_nationkey"])
 
 
-@query("SELECT idx, text, 'question::Ask: ' || text AS question_v1, 'answer::Rate: question::Ask: ' || text AS answer FROM (SELECT item_id AS idx, text FROM benchmark)")
+@query("SELECT item_id, text, 'question::Ask: ' || text AS question_v1, 'answer::Rate: question::Ask: ' || text AS answer FROM benchmark")
 def two_step_pipeline(spark, sf_dir):
-    """Each step is committed in waves; the second reads what the first wrote."""
-    where = work_dir(spark)
-    ask = {"type": "object", "properties": {"question": {"type": "string"}}, "required": ["question"]}
-    rate = {"type": "object", "properties": {"answer": {"type": "string"}}, "required": ["answer"]}
-    first = prompted(table(spark, sf_dir, "benchmark"), "item_id", "Ask: {text}", keep=("text",))
-    first = run_annotation(first, echo(output_schema=ask, keep_columns=("text",)), Progress(spark, f"{where}/1"))
-    first = R.rename(R.filter_invalid(first), {"question": "question_v1"}).select("idx", "text", "question_v1")
-    second = prepare(first, PrepareSpec("Rate: {question_v1}", keep_columns=("text", "question_v1")))
-    second = run_annotation(second, echo(output_schema=rate, keep_columns=("text", "question_v1")), Progress(spark, f"{where}/2"))
-    return R.filter_invalid(second).select("idx", "text", "question_v1", "answer")
+    """A pipeline of two steps; the second reads what the first wrote and renamed."""
+    schema = lambda name: {"type": "object", "properties": {name: {"type": "string"}}, "required": [name]}
+    steps = [
+        {"name": "ask", "prompt": "Ask: {text}", "output_schema": schema("question"), "filter_invalid": True, "rename": {"question": "question_v1"}},
+        {"name": "rate", "prompt": "Rate: {question_v1}", "output_schema": schema("answer"), "filter_invalid": True},
+    ]
+    config = PipelineConfig(work_dir(spark), steps, DatasetConfig(path=f"{sf_dir}/benchmark.parquet"), {"provider": "echo"})
+    return run_pipeline(spark, config).select("item_id", "text", "question_v1", "answer")
 
 
 @query("SELECT doc_id AS idx, 'Again: ' || lang AS response FROM documents")
@@ -423,6 +469,39 @@ def crash_and_resume(spark, sf_dir):
     return run_annotation(rows, echo(), progress, wave_rows=wave).select("idx", "response")
 
 
+@query("SELECT doc_id AS idx, 'B ' || source AS response FROM documents")
+def changed_input_is_not_reused(spark, sf_dir):
+    """A run with one template stops after two waves; one with another in the same folder answers every row anew."""
+    where, docs = work_dir(spark), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "lang", "source")
+    wave = max(1, docs.count() // 4)
+    annotate_dataset(docs, where, echo(), "A {lang}", wave_rows=wave, max_waves=2)
+    annotate_dataset(docs.filter("idx % 2 = 0"), where, echo(), "B {source}", wave_rows=wave)
+    return annotate_dataset(docs, where, echo(), "B {source}", wave_rows=wave).select("idx", "response")
+
+
+@query("SELECT batch, n, longest, shortest FROM (SELECT rank // 64 AS batch, count(*) AS n, max(length) AS longest, min(length) AS shortest FROM (SELECT length(text) AS length, row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1 AS rank FROM documents WHERE NOT regexp_matches(text, '[^ !#-\\[\\]-~]')) GROUP BY 1)")
+def length_sorted_batches(spark, sf_dir):
+    """Batches that reach the model when prompts are sorted by length; of texts that are written in JSON as they are."""
+    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^ !#-\[\]-~]")).select(F.col("doc_id").alias("idx"), "text")
+    spec = AnnotateSpec(ProviderSpec(BatchLengthProvider), batch_size=64)
+    rows = prepare(docs, PrepareSpec("{text}", sort_by_length=True))
+    found = run_annotation(rows, spec, Progress(spark, work_dir(spark)), partitions=4)
+    told = F.split("response", " ")
+    per = found.select(*[told[k].cast("long").alias(n) for k, n in enumerate(("n", "longest", "shortest"))]).withColumn("one", F.lit(1))
+    batches = per.groupBy("n", "longest", "shortest").agg(F.count("*").alias("rows")).withColumn("times", F.explode(F.expr("sequence(1, cast(rows / n AS int))")))
+    return assign_index(batches.select((-F.col("longest")).alias("a"), (-F.col("shortest")).alias("b"), (-F.col("n")).alias("c"), "times"), ["a", "b", "c", "times"], "batch").select("batch", (-F.col("c")).alias("n"), (-F.col("a")).alias("longest"), (-F.col("b")).alias("shortest"))
+
+
+class BatchLengthProvider(LastMessageProvider):
+    """Answers with the number of messages in the batch and the lengths of the longest and shortest."""
+
+    name = "batch_length"
+
+    def batch(self, batch, options: RuntimeOptions, **extra) -> list[Response]:
+        sizes = [len(m[-1]["content"]) for m in batch]
+        return [Response(f"{len(sizes)} {max(sizes)} {min(sizes)}", "stop", None, self.name) for _ in sizes]
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_resume(spark, sf_dir):
     """Two runs over one checkpoint: the second adds nothing."""

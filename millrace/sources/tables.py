@@ -49,31 +49,38 @@ def list_files(spark: SparkSession, path: str, suffix: str = "") -> list[tuple[s
     return sorted(f for f in found if f[0].endswith(suffix))
 
 
-def load_dataset(spark: SparkSession, name: str | None = None, data: DataFrame | None = None, split: str | None = None, fmt: str = "parquet", **options: str) -> DataFrame:
+def committed(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """Folders ``<prefix>*`` below ``path`` whose job was committed, by name; found by one listing."""
+    fs, where = _at(spark, f"{path}/{prefix}*/_SUCCESS")
+    return sorted(s.getPath().getParent().toString() for s in fs.globStatus(where) or ())
+
+
+def load_dataset(spark: SparkSession, name: str | None = None, data: DataFrame | None = None, split: str | None = None, fmt: str = "parquet", config: str | None = None, **options: str) -> DataFrame:
     """A named table, a folder of files, or a given DataFrame: exactly one source.
 
-    Splits are folders ``split=<name>``; without one named, the only one is taken.
+    Splits are folders ``split=<name>`` and configurations folders ``config=<name>``;
+    without one named, the only one is taken.
     """
     if (name is None) == (data is None):
         raise ValueError("give exactly one of a name and a DataFrame")
     if data is None:
         data = spark.table(name) if "/" not in name and spark.catalog.tableExists(name) else spark.read.format(fmt).options(**options).load(name)
-    return with_split(data, split)
+    return with_split(with_split(data, config, "config"), split)
 
 
-def with_split(df: DataFrame, split: str | None) -> DataFrame:
-    """Rows of a split, if the table has a column ``split``."""
-    if "split" not in df.columns:
+def with_split(df: DataFrame, split: str | None, column: str = "split") -> DataFrame:
+    """Rows of a split, or of a configuration, if the table has a column of that name."""
+    if column not in df.columns:
         if split is not None:
-            raise ValueError(f"the table has no split {split!r}")
+            raise ValueError(f"the table has no {column} {split!r}")
         return df
     if split is None:
-        names = [r[0] for r in df.select("split").distinct().limit(2).collect()]
+        names = [r[0] for r in df.select(column).distinct().limit(2).collect()]
         if len(names) > 1:
-            raise ValueError(f"several splits; name one, such as {names[0]!r}")
-    elif df.filter(F.col("split") == split).isEmpty():
-        raise ValueError(f"the table has no split {split!r}")
-    return (df.filter(F.col("split") == split) if split is not None else df).drop("split")
+            raise ValueError(f"several values of {column}; name one, such as {names[0]!r}")
+    elif df.filter(F.col(column) == split).isEmpty():
+        raise ValueError(f"the table has no {column} {split!r}")
+    return (df.filter(F.col(column) == split) if split is not None else df).drop(column)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None, dedup_on: str | None = None) -> tuple[DataFrame, DataFrame]:

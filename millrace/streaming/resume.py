@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.annotate import AnnotateSpec, annotate
 from millrace.operators.tables import keep_first
-from millrace.sources.tables import exists
+from millrace.sources.tables import committed
 
 
 def annotate_stream(source: DataFrame, spec: AnnotateSpec, path: str, checkpoint: str) -> None:
@@ -23,10 +23,11 @@ def annotate_stream(source: DataFrame, spec: AnnotateSpec, path: str, checkpoint
 
 
 def read_stream_results(spark: SparkSession, path: str, idx: str = "idx") -> DataFrame | None:
-    """One row for each index, of the first micro-batch that has it."""
-    if not exists(spark, path):
+    """One row for each index, of the first committed micro-batch that has it."""
+    batches = committed(spark, path, "batch=")
+    if not batches:
         return None
-    rows = spark.read.option("basePath", path).parquet(path)
+    rows = spark.read.option("basePath", path).parquet(*batches)
     return keep_first(rows, [idx], ["batch"]).drop("batch")
 
 
@@ -40,4 +41,4 @@ def counts_stream(source: DataFrame, key: str, path: str, checkpoint: str) -> No
 
 
 def total_counts(spark: SparkSession, path: str, key: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path).groupBy(key).agg(F.sum("n").alias("n"))
+    return spark.read.option("basePath", path).parquet(*committed(spark, path, "batch=")).groupBy(key).agg(F.sum("n").alias("n"))

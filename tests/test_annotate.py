@@ -138,7 +138,7 @@ def test_resume_asks_only_what_is_missing(spark, tmp_path):
 def test_an_uncommitted_wave_does_not_count(spark, tmp_path):
     progress = Progress(spark, f"file://{tmp_path}/run")
     run_annotation(prepared(spark), spec(), progress, wave_rows=5)
-    os.remove(tmp_path / "run/progress/wave=00000001/_SUCCESS")
+    os.remove(tmp_path / "run/manifest/00000001")
     assert run_annotation(prepared(spark), spec(), progress).count() == 13
 
 

@@ -70,7 +70,7 @@ def test_files(tmp_path):
     (tmp_path / "p.json").write_text(json.dumps({"instruction": "Pick:", "codes": [{"code": "x", "description": "the x"}, {"code": "y"}]}))
     config = load_pipeline(tmp_path / "c.yaml", log_level="DEBUG")
     assert config.output_dir == str(tmp_path / "out") and config.log_level == "DEBUG" and config.step_dir(0).endswith("out/01-a")
-    assert config.steps[0].template(tmp_path) == "Pick:\n\n- `x` — the x\n- `y`" == catalog_text(json.loads((tmp_path / "p.json").read_text()))
+    assert config.steps[0].template(tmp_path) == "Pick:\n- `x` — the x\n- `y`" == catalog_text(json.loads((tmp_path / "p.json").read_text()))
     (tmp_path / "hosts").write_text("http://a/v1\n\n http://b/v1 \n")
     pointed = load_pipeline(tmp_path / "c.yaml", with_hosts(config, str(tmp_path / "hosts")))
     assert pointed.step_client(pointed.steps[0]).urls(tmp_path) == ["http://a/v1", "http://b/v1"]
