@@ -1,5 +1,9 @@
 import json
 import os
+import subprocess
+import sys
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,10 +14,12 @@ from millrace.operators.annotate import AnnotateSpec, annotate, annotate_rows, i
 from millrace.operators.progress import Progress, import_jsonl, run_annotation, write_metadata
 from millrace.plans.annotator import annotate_dataset, generate_dataset
 from millrace.plans.prepare import PrepareSpec, assign_index, prepare, prepare_data
-from millrace.providers import Provider, ProviderSpec, Response
+from millrace.providers import Provider, ProviderSpec, Response, UnavailableError
+from millrace.providers.pool import ServerPool
 from millrace.queries import LastMessageProvider
 from millrace.sources import tables as src
 from millrace.streaming.resume import annotate_stream, read_stream_results
+from tests.conftest import ROOT
 
 LABEL = {"type": "object", "properties": {"label": {"type": "string"}}, "required": ["label"]}
 
@@ -275,3 +281,142 @@ def test_splits_and_prompts(spark, tmp_path):
     assert [r.prompt for r in src.read_prompts(spark, f"file://{tmp_path}/p.txt").collect()] == ["one", " two"]
     assert src.count_lines(spark, f"file://{tmp_path}/p.txt") == 3
     assert isinstance(spec().provider.build(), Provider)
+
+
+def source(spark, tmp_path, n=8):
+    texts(spark, n).withColumn("idx", F.col("k")).write.mode("overwrite").parquet(f"file://{tmp_path}/src")
+    return spark.read.parquet(f"file://{tmp_path}/src")
+
+
+def test_a_fingerprint_is_the_same_in_another_session(spark, tmp_path):
+    rows = source(spark, tmp_path)
+    mark = PrepareSpec("A {text}").fingerprint(rows.filter("k > 1"))
+    code = f"""
+from pyspark.sql import SparkSession
+from millrace.plans.prepare import PrepareSpec
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+spark.range(3).count()
+print("mark", PrepareSpec("A {{text}}").fingerprint(spark.read.parquet("file://{tmp_path}/src").filter("k > 1")))
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, capture_output=True, text=True, timeout=300).stdout
+    assert out.split("mark ")[1].strip() == mark
+    others = [PrepareSpec("B {text}").fingerprint(rows.filter("k > 1")), PrepareSpec("A {text}").fingerprint(rows.filter("k > 2")), PrepareSpec("A {text}").fingerprint(rows.filter("k > 1"), lambda d: d)]
+    rows.limit(3).write.mode("append").parquet(f"file://{tmp_path}/src")
+    others.append(PrepareSpec("A {text}").fingerprint(spark.read.parquet(f"file://{tmp_path}/src").filter("k > 1")))
+    assert len({mark, *others}) == 5
+    one, two = (spark.createDataFrame([(k, t)], "k long, text string") for k, t in ((1, "a"), (1, "b")))
+    assert PrepareSpec("{text}").fingerprint(one) != PrepareSpec("{text}").fingerprint(two)
+    assert PrepareSpec("{text}").fingerprint(one, version="7") == PrepareSpec("{text}").fingerprint(two, version="7")
+
+
+def test_results_belong_to_their_inputs(spark, tmp_path):
+    rows, where = source(spark, tmp_path), f"file://{tmp_path}/out"
+    said = lambda df: sorted(r.response for r in df.collect())
+    annotate_dataset(rows, where, spec(), "A {text}", wave_rows=3, max_waves=1)
+    assert said(annotate_dataset(rows, where, spec(), "B {text}")) == [f"B document {k}" for k in range(8)]
+    assert said(annotate_dataset(rows.filter("k < 2"), where, spec(), "B {text}")) == ["B document 0", "B document 1"]
+    assert said(annotate_dataset(rows, where, spec(), "B {text}")) == [f"B document {k}" for k in range(8)]
+    log = str(tmp_path / "log")
+    counting = spec(ProviderSpec(CountingProvider, init={"log": log}))
+    assert said(annotate_dataset(rows, where, counting, "B {text}")) == [f"B document {k}" for k in range(8)] and not os.path.exists(log)
+    assert [r.label for r in annotate_dataset(rows, where, spec(output_schema=LABEL), "B {text}").orderBy("idx").collect()] == [f"label::B document {k}" for k in range(8)]
+
+
+def test_progress_of_a_split_counts_for_it_alone(spark, tmp_path):
+    progress = Progress(spark, f"file://{tmp_path}/run")
+    run_annotation(prepared(spark, 6), spec(), progress, dataset_split="train")
+    other = run_annotation(prepared(spark, 6, "test {text}"), spec(), progress, dataset_split="test")
+    assert [r.response for r in other.collect()] == [f"test document {k}" for k in range(6)]
+    again = run_annotation(prepared(spark, 6, "again {text}"), spec(), progress, dataset_split="train")
+    assert [r.response for r in again.collect()] == [f"document {k}" for k in range(6)] and "dataset_split" not in again.columns
+
+
+def test_waves_do_not_scan_what_they_do_not_hold(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = prepared(spark, 500)
+    out = run_annotation(rows.mapInArrow(count, rows.schema), spec(), Progress(spark, f"file://{tmp_path}/run"), wave_rows=10)
+    assert out.count() == 500 and seen.value <= 2 * 500
+    assert len(src.list_files(spark, f"file://{tmp_path}/run/manifest")) == 50 and not os.path.exists(tmp_path / "run/todo")
+
+
+def test_older_progress_is_imported_into_a_run(spark, tmp_path):
+    os.makedirs(tmp_path / "old")
+    (tmp_path / "old/p_0.jsonl").write_text('{"idx": 0, "text": "t", "response": "old"}\n{"idx": 2, "response": "older"}\n')
+    out = annotate_dataset(source(spark, tmp_path, 4), f"file://{tmp_path}/out", spec(), "{text}", import_from=f"file://{tmp_path}/old")
+    assert [r.response for r in out.orderBy("idx").collect()] == ["old", "document 1", "older", "document 3"]
+
+
+def test_backups_gather_and_files_rotate(spark, tmp_path):
+    progress = Progress(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b", rows_per_file=2, backup_every=7)
+    for k in range(3):
+        progress.append(annotate(prepared(spark, 4).coalesce(1), spec()))
+        assert len(src.list_files(spark, f"file://{tmp_path}/b/manifest")) == (0, 2, 2)[k]
+    progress.copy_pending()
+    assert len(progress.waves(progress.backup)) == 3 and len(src.list_files(spark, f"file://{tmp_path}/a/progress/wave=00000000", ".parquet")) == 2
+
+
+class Served(LastMessageProvider):
+    def __init__(self, model="", base_url="", **kwargs):
+        super().__init__(model, **{"on_error": "ignore", **kwargs})
+        self.base_url = base_url
+
+    def batch(self, batch, options, **extra):
+        time.sleep(0.2 if self.base_url == "slow" else 0.0)
+        return super().batch(batch, options, **extra)
+
+    def generate(self, messages, options, **extra):
+        if self.base_url == "down":
+            raise UnavailableError("no route")
+        return Response(self.base_url, "stop")
+
+
+def test_a_free_server_takes_the_next_batch(spark):
+    pool = lambda *urls, **more: spec(ProviderSpec(Served, base_urls=urls), batch_size=2, **more)
+    rows = prepared(spark, 80).coalesce(1)
+    took = {r.response: r.n for r in annotate(rows, pool("down", "slow", "quick")).groupBy("response").agg(F.count("*").alias("n")).collect()}
+    assert set(took) <= {"slow", "quick"} and sum(took.values()) == 80 and took["quick"] > 4 * took.get("slow", 0)
+    assert sorted(r.idx for r in annotate(rows, pool("quick", "slow", queue_size=2)).collect()) == list(range(80))
+    lost = annotate(prepared(spark, 4), pool("down", "down")).collect()
+    assert len(lost) == 4 and {r.error_type for r in lost} == {"UnavailableError"}
+    with pytest.raises(Exception, match="no route"):
+        annotate(prepared(spark, 4), spec(ProviderSpec(Served, init={"on_error": "raise"}, base_urls=("down", "down")))).collect()
+
+
+def test_pools_bound_what_is_in_flight():
+    running, most, lock = [0], [0], threading.Lock()
+
+    def work(client, batch):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.01)
+        with lock:
+            running[0] -= 1
+        return batch * 2
+
+    taken = []
+    with ServerPool([Served] * 8) as pool:
+        found = sorted(pool.run((taken.append(k) or k for k in range(30)), work, 3))
+    assert found == [(k, 2 * k) for k in range(30)] and most[0] <= 3 and len(taken) == 30
+
+
+def test_a_worker_keeps_one_reusable_provider():
+    a, b = ProviderSpec(Served, reuse="a"), ProviderSpec(Served, reuse="b")
+    first = a.build()
+    assert a.build(3) is first and ProviderSpec(Served).build() is not first
+    assert b.build() is not first and a.build() is not first
+
+
+def test_an_uncommitted_micro_batch_does_not_count(spark, tmp_path):
+    rows = prepared(spark, 4)
+    rows.write.parquet(f"file://{tmp_path}/in")
+    annotate_stream(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), spec(), f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
+    annotate(prepared(spark, 9), spec()).write.parquet(f"file://{tmp_path}/out/batch=7")
+    os.remove(tmp_path / "out/batch=7/_SUCCESS")
+    assert read_stream_results(spark, f"file://{tmp_path}/out").count() == 4 and read_stream_results(spark, f"file://{tmp_path}/none") is None

@@ -146,3 +146,33 @@ def test_public_names():
     assert all(getattr(millrace, name) is not None for name in millrace.__all__)
     with pytest.raises(AttributeError):
         millrace.nope
+
+
+@pytest.mark.parametrize(
+    "data, text",
+    [
+        (["a ", {"name": "b", "detail": " d "}, {"persona": "c"}, {"label": "e", "description": ""}, {"detail": "no code"}, 7], "- `a`\n- `b` — d\n- `c`\n- `e`"),
+        ({"instruction": " Pick: ", "other": ["z"], "items": [{"code": "x", "name": "n", "description": "the x"}]}, "Pick:\n- `x` — the x"),
+        ({"instruction": 5, "other": ["z"]}, "- `z`"),
+        ({"instruction": "Only this"}, "Only this"),
+    ],
+)
+def test_catalogue_forms(data, text):
+    assert catalog_text(data) == text
+
+
+@pytest.mark.parametrize("bad", [5, {"items": "x"}, [], [{"detail": "x"}]])
+def test_bad_catalogues(bad):
+    with pytest.raises(ValueError):
+        catalog_text(bad)
+
+
+def test_dataset_configurations_are_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(k, f"t{k}", "ab"[k % 2], "train") for k in range(6)], "k long, text string, config string, split string")
+    rows.write.partitionBy("config", "split").parquet(f"file://{tmp_path}/data")
+    make = lambda out, **more: PipelineConfig(f"file://{tmp_path}/{out}", [step("one", sort_by_length=True, max_samples_per_output_file=1)], {"path": f"file://{tmp_path}/data", **more}, {"provider": "echo", "num_proc": 2})
+    assert sorted(r.text for r in run_pipeline(spark, make("x", config="b", split="train")).collect()) == ["t1", "t3", "t5"]
+    with pytest.raises(ValueError, match="several values of config"):
+        run_pipeline(spark, make("y"))
+    with pytest.raises(ValueError, match="no config 'c'"):
+        run_pipeline(spark, make("z", config="c"))

@@ -123,3 +123,14 @@ def test_document_properties():
     assert spark_type(json.loads(text)["properties"]["content_type"]).simpleString() == "array<string>"
     system, user = property_messages("abcdef", "guide", 3)
     assert system["content"] == "guide" and "abc\n<truncated_content>" in user["content"] and "<start_of_document>" in user["content"]
+
+
+def test_measures_of_odd_texts(spark):
+    rng = random.Random(1)
+    odd = '"\\\b\f\n\r\t\x00\x1f\x7f\x80\u00e9\u2028\uffff\U0001f600 ab[]{}~!#'
+    blanks = "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u2003\u2028\u3000"
+    texts = ["", " ", None, *("".join(rng.choices(odd, k=rng.randint(1, 40))) for _ in range(200)), *("".join(rng.choices(blanks + "xyz", k=rng.randint(1, 20))) for _ in range(200))]
+    table = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for r in table.select("k", S.json_text_length(F.col("t")).alias("n"), S.n_words(F.col("t")).alias("w")).collect():
+        t = texts[r.k]
+        assert (r.n, r.w) == ((None, None) if t is None else (len(json.dumps(t)) - 2, len(t.split()))), repr(t)
