@@ -11,8 +11,8 @@ A window of 13 words is an edge between its first and its last 12 words. Passes:
 3. edges are counted with a fingerprint of the set of places where they occur, and those
    of two documents stay. Two edges are one nonbranching path where a node joins them and
    the places of the second are those of the first moved by one, as every text that
-   takes one then takes the other. A join by node finds the heads, edges that no other
-   leads to, and a path is its head and the edges that follow in its source;
+   takes one then takes the other. A join along source coordinates finds the heads, edges
+   that no other leads to, and a path is its head and the edges that follow in its source;
 4. only heads are joined with their occurrences. An occurrence in a document after the
    source holds the whole path, so its span follows from the path's length;
 5. each document drops the words of its spans.
@@ -77,7 +77,8 @@ def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(th), pa.array(anchor, mask=rank >= 2)], ["anchor", "th", "deal"])
 
 
-EDGES = "lnode long, rnode long, doc_id long, nth int, pos int"
+#: ``at`` holds which text of its doc_id it is (upper 32 bits) and the word that the window starts at.
+EDGES = "lnode long, rnode long, doc_id long, at long"
 
 
 def list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,17 +86,17 @@ def list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first in range(0, batch.num_rows, 512):
             part = batch.slice(first, 512)
-            columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
             for doc_id, nth, text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)):
                 hashes = _WORDS.of(split_words(text.as_py()))
                 pos = np.flatnonzero(np.isin(anchors(hashes), wanted.values.to_numpy().view(np.uint64)))
                 if not len(pos):
                     continue
                 nodes = shingle_hashes(hashes, WINDOW - 1, seed=4).view(np.int64)
-                for c, v in zip(columns, (nodes[pos], nodes[pos + 1], np.full(len(pos), doc_id), np.full(len(pos), nth, np.int32), pos.astype(np.int32))):
+                for c, v in zip(columns, (nodes[pos], nodes[pos + 1], np.full(len(pos), doc_id), pos + (nth << 32))):
                     c.append(v)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lnode", "rnode", "doc_id", "nth", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lnode", "rnode", "doc_id", "at"])
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -123,21 +124,28 @@ def drop_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_edges(windows: DataFrame) -> DataFrame:
-    """Edges that occur in two documents: first place (src_*), number n and fingerprints of all places and of those one word on."""
-    place = lambda by: F.bit_xor(F.xxhash64("doc_id", "nth", F.col("pos") + by))
-    edges = windows.groupBy("lnode", "rnode").agg(F.min(F.struct("doc_id", "nth", "pos")).alias("src"), F.max("doc_id").alias("last"), F.count("*").alias("n"), place(0).alias("places"), place(1).alias("onward"))
-    return edges.filter("last > src.doc_id").select("lnode", "rnode", F.col("src.doc_id").alias("src_id"), F.col("src.nth").alias("src_nth"), F.col("src.pos").alias("src_pos"), "n", "places", "onward")
+    """Edges that occur in two documents: first place (src_id, src_at), number n and fingerprints of all places and of those one word on."""
+    place = lambda by: F.bit_xor(F.xxhash64("doc_id", F.col("at") + by))
+    edges = windows.groupBy("lnode", "rnode").agg(F.min(F.struct("doc_id", "at")).alias("src"), F.max("doc_id").alias("last"), F.count("*").alias("n"), place(0).alias("places"), place(1).alias("onward"))
+    return edges.filter("last > src.doc_id").select("lnode", "rnode", F.col("src.doc_id").alias("src_id"), F.col("src.at").alias("src_at"), "n", "places", "onward")
 
 
 def compacted(edges: DataFrame) -> DataFrame:
-    """Nonbranching paths of staged repeated edges: nodes of the head, src_id, src_nth, src_pos, number n of occurrences and ``length`` in edges."""
-    leads = edges.select(F.col("rnode").alias("lnode"), F.col("onward").alias("places"), "n", F.lit(True).alias("led"))
-    marked = edges.join(leads.hint("merge"), ["lnode", "places", "n"], "left").withColumn("head", F.col("led").isNull())
-    # What no edge leads to starts a path; an edge that one leads to stands right after it in its source.
-    along = Window.partitionBy("src_id", "src_nth").orderBy("src_pos")
-    walked = marked.withColumn("path", F.last(F.when(F.col("head"), F.col("src_pos")), True).over(along))
-    paths = walked.groupBy("src_id", "src_nth", "path").agg(F.count("*").cast("int").alias("length"), F.max(F.when(F.col("head"), F.struct("lnode", "rnode", "n"))).alias("at"))
-    return paths.select("at.lnode", "at.rnode", "at.n", "src_id", "src_nth", F.col("path").alias("src_pos"), "length")
+    """Nonbranching paths of staged repeated edges: nodes of the head, src_id, src_at, number n of occurrences and ``length`` in edges.
+
+    Where one edge leads to the next in every place, their first places follow each other,
+    so each edge is joined with the one a word before its first place, and stays on that
+    one's path if the node and the fingerprints agree. A path ends where the next head
+    of its source starts or the source's repeated edges break off.
+    """
+    ahead = edges.select("src_id", (F.col("src_at") + 1).alias("src_at"), F.col("rnode").alias("lnode"), F.col("onward").alias("places"), "n", F.lit(True).alias("led"))
+    text = F.shiftright("src_at", 32)
+    dealt = lambda df: df.withColumn("src_text", text)
+    marked = dealt(edges).join(dealt(ahead).hint("merge"), ["src_id", "src_text", "src_at", "lnode", "places", "n"], "left")
+    along = Window.partitionBy("src_id", "src_text").orderBy("src_at")
+    walked = marked.withColumn("path", F.last(F.when(F.col("led").isNull(), F.col("src_at")), True).over(along))
+    paths = walked.groupBy("src_id", "src_text", "path").agg(F.count("*").alias("length"), F.max(F.when(F.col("led").isNull(), F.struct("lnode", "rnode", "n"))).alias("head"))
+    return paths.select("head.lnode", "head.rnode", "head.n", "src_id", F.col("path").alias("src_at"), "length")
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -167,8 +175,9 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     paths = stage(compacted(edges), "paths")
     discard(copies, wanted, edges)
 
-    met = spread_join(windows, paths, ["lnode", "rnode"], "n", ["doc_id", "nth", "pos"]).filter("doc_id > src_id")
-    spans = stage(met.select("doc_id", "nth", F.col("pos").alias("start"), (F.col("pos") + F.col("length") + (WINDOW - 1)).alias("end")), "spans")
+    met = spread_join(windows, paths, ["lnode", "rnode"], "n", ["doc_id", "at"]).filter("doc_id > src_id")
+    start = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    spans = stage(met.select("doc_id", F.shiftright("at", 32).cast("int").alias("nth"), start.alias("start"), (start + F.col("length") + (WINDOW - 1)).cast("int").alias("end")), "spans")
     discard(windows, paths)
     return spans.join(firsts.select("doc_id", "nth", "th"), ["doc_id", "nth"]).drop("nth"), later
 
