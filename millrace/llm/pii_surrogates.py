@@ -175,24 +175,32 @@ def gender_of(e: Column) -> Column:
     return F.when(title.isin(MALE), 0).when(title.isin(FEMALE), 1).otherwise(2)
 
 
+def _by_script(word: Column, of) -> Column:
+    """A constant by the script of a word."""
+    chosen = None
+    for script, letters in SCRIPTS.items():
+        chosen = F.when(script_of(word) == script, of(letters)) if chosen is None else chosen.when(script_of(word) == script, of(letters))
+    return chosen
+
+
 def name_stem(h: Column, draw: Column, word: Column) -> Column:
     """A capitalised stem of the word's script: three syllables, one more a draw (six at most), and a consonant."""
-    stem = None
-    for script, (consonants, vowels, _, _) in SCRIPTS.items():
-        take = lambda k: F.substring(F.lit((consonants, vowels)[k % 2]), _number(h, k, len((consonants, vowels)[k % 2])) + 1, F.lit(1))  # noqa: E731, B023
+    letters = _by_script(word, lambda x: F.array(F.lit(x[0]), F.lit(x[1])))
+
+    def spelt(drawn: Column, of: Column) -> Column:
+        take = lambda k: F.substring(of[k % 2], F.conv(F.substring(drawn, k * 4 + 1, 4), 16, 10).cast("int") % F.length(of[k % 2]) + 1, F.lit(1))
         more = [F.when(draw > j, F.concat(take(6 + 2 * j), take(7 + 2 * j))).otherwise("") for j in range(6)]
-        whole = F.concat(F.upper(take(0)), *[take(k) for k in range(1, 6)], *more, take(20))
-        stem = F.when(script_of(word) == script, whole) if stem is None else stem.when(script_of(word) == script, whole)
-    return stem
+        return F.concat(F.upper(take(0)), *[take(k) for k in range(1, 6)], *more, take(20))
+
+    # The letters are bound to a variable, so they are chosen once.
+    return F.transform(F.array(letters), lambda of: spelt(h, of))[0]
 
 
 def name_forms(stem: Column, word: Column, kind: Column) -> Column:
     """The name by gender: male, female, unknown. Endings differ by kind and the stem alone tells names apart."""
-    forms = None
-    for script, endings in SCRIPTS.items():
-        each = F.when(kind == "given", F.array(*[F.concat(stem, F.lit(x)) for x in endings[2]])).otherwise(F.array(*[F.concat(stem, F.lit(x)) for x in endings[3]]))
-        forms = F.when(script_of(word) == script, each) if forms is None else forms.when(script_of(word) == script, each)
-    return forms
+    ends = lambda k: _by_script(word, lambda x: F.array(*[F.lit(e) for e in x[k]]))
+    endings = F.when(kind == "given", ends(2)).otherwise(ends(3))
+    return F.transform(F.array(stem), lambda s: F.transform(endings, lambda e: F.concat(s, e)))[0]
 
 
 def surrogate(e: Column, kind: Column, h: Column, draw: Column) -> Column:
