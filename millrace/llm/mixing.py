@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import stage
+from .staging import fresh_name, stage
 from .words import mixed, word_count
 
 #: Weights by order of the source's name, repeating.
@@ -177,24 +177,41 @@ def apply_mix(docs: DataFrame) -> DataFrame:
     chunk of a source, so that the words of a source still add up near its target.
     Documents read less than once in all drop out; those without words stay once.
     """
-    digest = F.xxhash64("text").alias("__hash")
-    taken = mix(_sized(docs, digest))
-    run = Window.partitionBy("src", "chunk").orderBy("size", "start", "doc_id", "__hash")
+    taken = mix(_sized(docs, F.xxhash64("text").alias("hash")))
+    run = Window.partitionBy("src", "chunk").orderBy("size", "start", "doc_id", "hash")
     reads = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0))
     upto = taken.withColumn("upto", F.sum(reads).over(run.rowsBetween(Window.unboundedPreceding, 0)) + F.lit(0.5))
     copies = F.floor("upto") - F.floor(F.coalesce(F.lag("upto").over(run), F.lit(0.5)))
-    each = upto.select("doc_id", "__hash", "source", F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).alias("copies"))
-    decided = stage(each.groupBy("doc_id", "__hash", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "copies")
-    keyed = docs.withColumn("__hash", F.xxhash64("text"))
+    each = upto.select("doc_id", "hash", "source", F.when(F.col("size") > 0, copies).otherwise(F.lit(1)).alias("copies"))
+    decided = stage(each.groupBy("doc_id", "hash", "source").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "copies")
+    name, times = fresh_name(docs, "hash"), fresh_name(docs, "copies")
+    keyed = docs.withColumn(name, F.xxhash64("text"))
     if not decided.filter("rows > 1").isEmpty():
-        keyed = keyed.dropDuplicates(["doc_id", "__hash", "source"])
-    same = keyed["doc_id"].eqNullSafe(decided["doc_id"]) & (keyed["__hash"] == decided["__hash"]) & keyed["source"].eqNullSafe(decided["source"])
-    out = keyed.join(decided.filter("copies > 0").hint("merge"), same).select(*[keyed[c] for c in docs.columns], decided["copies"].alias("__copies"))
-    return out.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copies")
+        keyed = keyed.dropDuplicates(["doc_id", name, "source"])
+    same = keyed["doc_id"].eqNullSafe(decided["doc_id"]) & (keyed[name] == decided["hash"]) & keyed["source"].eqNullSafe(decided["source"])
+    out = keyed.join(decided.filter("copies > 0").hint("merge"), same).select(*[keyed[c] for c in docs.columns], decided["copies"].alias(times))
+    return out.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(times)
 
 
-def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and target of each source, and the words of its documents, by the operator."""
     taken = mix(_sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
+    per = taken.groupBy("source", "source_size", F.round("target", 3).alias("target"))
+    return per.agg(F.sum("size").alias("words"), F.count("*").alias("n_docs"))
+
+
+#: Sources in order of the level at which they are full: the full ones come first, and the rest shares what they leave.
+MIXING_SQL = r"""
+WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS n, count(*) AS n_docs FROM documents GROUP BY source),
+  w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS share FROM s),
+  o AS (SELECT *, sum(3 * n) OVER up AS full_upto, sum(share) OVER up AS share_upto, sum(n) OVER () AS total, sum(share) OVER () AS shares
+        FROM w WINDOW up AS (ORDER BY 3 * n / share, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+  f AS (SELECT *, 3 * n <= (total - (full_upto - 3 * n)) * share / (shares - (share_upto - share)) AS is_full FROM o),
+  r AS (SELECT total - coalesce(sum(3 * n) FILTER (is_full) OVER (), 0) AS rest, shares - coalesce(sum(share) FILTER (is_full) OVER (), 0) AS rest_shares, * FROM f)
+SELECT source, n AS source_size, round(CASE WHEN is_full THEN 3.0 * n ELSE rest * share / rest_shares END, 3) AS target, n AS words, n_docs FROM r
+"""
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mix(_sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "source")

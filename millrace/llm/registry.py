@@ -7,10 +7,10 @@ from .bpe_codec import op3_bpe
 from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op10_language_id, op10_page_language
-from .mixing import op5_mixing
+from .mixing import MIXING_SQL, mixing_targets, op5_mixing
 from .near_dedup import op2_near_dedup
 from .pii_surrogates import op4_pii_surrogates
-from .secret_scan import op7_secret_scan
+from .secret_scan import SECRET_SQL, op7_secret_scan, secret_base_counts
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 
 QUERIES = {
@@ -25,9 +25,13 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
     "op10_page_language": op10_page_language,
+    "mixing_targets": mixing_targets,
+    "secret_base_counts": secret_base_counts,
 }
 SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
+    "mixing_targets": MIXING_SQL,
+    "secret_base_counts": SECRET_SQL,
 }

@@ -269,3 +269,17 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.selectExpr("doc_id", "n_assign", "n_access", "n_hex", "lower(sha2(base_spans, 256)) AS base_sha256", "spans")
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base patterns of each document, by the operator."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRET_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  m AS (SELECT doc_id, regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) AS assigned,
+        regexp_extract_all(text, 'AKIA[A-Z0-9]+') AS access, regexp_extract_all(text, '[0-9a-f]+') AS hex FROM t)
+SELECT doc_id, len(list_filter(assigned, lambda x: length(x) >= 6)) AS n_assign,
+       len(list_filter(access, lambda x: length(x) >= 20)) AS n_access, len(list_filter(hex, lambda x: length(x) >= 24)) AS n_hex FROM m
+"""

@@ -1,0 +1,19 @@
+import pytest
+
+from millrace.llm.registry import QUERIES, SQL
+from tests.conftest import SF
+from tests.test_entry import TABLES, plain
+
+duckdb = pytest.importorskip("duckdb")
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_queries_match_their_sql(spark, name):
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found, told = QUERIES[name](spark, SF), duck.sql(SQL[name])
+    columns = sorted(told.columns)
+    assert columns == sorted(found.columns)
+    rows = sorted(tuple(plain(r[c]) for c in columns) for r in found.collect())
+    assert rows == sorted(tuple(map(plain, r)) for r in told.select(*[f'"{c}"' for c in columns]).fetchall()) and rows
