@@ -19,27 +19,50 @@ from millrace.llm.staging import stage
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language."""
+    """Documents in a known language.
+
+    Null, empty and letterless texts go, with and without an id; long texts are read whole;
+    rows of one text go or stay together, so ties and repeated rows need no rule; an empty
+    table stays empty; other columns are kept, whatever their names.
+    """
     return drop_unknown(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: the largest doc_id, a null one only if no other is there.
+
+    Null and empty texts are one text; texts are compared whole by digest; rows that repeat
+    doc_id and text become one; an empty table stays empty; other columns are kept.
+    """
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: the smallest doc_id, a null one only if no other is there.
+
+    Null, empty and blank texts are one class, texts of fewer than five words one shingle,
+    long texts are compared whole; of rows that repeat the smallest doc_id one stays; an
+    empty table stays empty; other columns are kept.
+    """
     return drop_near_copies(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources reads them."""
+    """Documents as often as the mix of sources reads them, at most three times, ties by doc_id and text.
+
+    A null source is a source of its own; documents without words stay once; a document of a
+    third of a source counts by its words like any other; rows that repeat doc_id, text and
+    source are taken together; an empty table stays empty; other columns are kept.
+    """
     return apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length and digests of each mixed document's tokens."""
+    """Length and digests of each mixed document's tokens, one row for each row.
+
+    A null text counts as empty and has no tokens; long texts are encoded whole; repeated
+    rows are encoded each; an empty table gives an empty result; other columns are not read.
+    """
     return encode_documents(docs)
 
 
