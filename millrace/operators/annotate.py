@@ -49,9 +49,12 @@ class AnnotateSpec:
     queue_size: int | None = None
     pool_tasks: int = 1
     schema: dict | None = field(init=False, default=None)
+    #: Columns of the schema's properties, found once.
+    fields: tuple[T.StructField, ...] = field(init=False, default=(), repr=False)
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "schema", as_schema(self.output_schema))
+        object.__setattr__(self, "fields", tuple(property_fields(self.schema)) if self.schema is not None else ())
         if self.batch_size < 1 or self.num_retries_invalid < 0:
             raise ValueError("batch_size must be 1 or more, num_retries_invalid 0 or more")
 
@@ -60,7 +63,7 @@ class AnnotateSpec:
         p, text = self.task_prefix, T.StringType()
         out = [T.StructField(f"{p}response", text), T.StructField(f"{p}finish_reason", text), T.StructField(f"{p}num_tokens", T.IntegerType()), T.StructField(f"{p}error", text), T.StructField(f"{p}error_type", text)]
         if self.schema is not None:
-            out += [T.StructField(f"{p}valid_fields", T.BooleanType()), *property_fields(self.schema), T.StructField(f"{p}extra_json", text)]
+            out += [T.StructField(f"{p}valid_fields", T.BooleanType()), *self.fields, T.StructField(f"{p}extra_json", text)]
         if self.extra_columns:
             out += T.StructType.fromDDL(self.extra_columns).fields
         if self.validate is not None:
@@ -82,8 +85,8 @@ def parsed(spec: AnnotateSpec, r: Response) -> dict[str, Any]:
     row: dict[str, Any] = {f"{p}response": r.text, f"{p}finish_reason": r.stop_reason, f"{p}num_tokens": r.num_output_tokens, f"{p}error": r.error, f"{p}error_type": r.error_type}
     if spec.schema is None:
         return row
-    fields = property_fields(spec.schema)
-    row |= {f.name: None for f in fields} | {f"{p}valid_fields": False, f"{p}extra_json": None}
+    fields = spec.fields
+    row |= {f"{p}valid_fields": False, f"{p}extra_json": None} | dict.fromkeys([f.name for f in fields])
     if r.error is not None:
         return row
     try:
@@ -93,10 +96,11 @@ def parsed(spec: AnnotateSpec, r: Response) -> dict[str, Any]:
     if not isinstance(value, dict):
         return row
     required = spec.schema.get("required")
-    row |= {f.name: fitted(value.get(f.name), f.dataType) for f in fields}
-    more = {k: v for k, v in value.items() if k not in {f.name for f in fields}}
-    row[f"{p}extra_json"] = json.dumps(more, ensure_ascii=False) if more else None
-    row[f"{p}valid_fields"] = all(k in value for k in required) if required else None
+    whole = all(k in value for k in required) if required else None
+    for f in fields:
+        row[f.name] = fitted(value.pop(f.name, None), f.dataType)
+    row[f"{p}extra_json"] = json.dumps(value, ensure_ascii=False) if value else None
+    row[f"{p}valid_fields"] = whole
     return row
 
 
@@ -163,31 +167,41 @@ def worker(spec: AnnotateSpec, schema: T.StructType):
             provider.warm_up(spec.prompt_prefix, spec.system, spec.provider.runtime_options(provider, spec.schema))
         return provider
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    # Only what hooks and the provider read becomes Python objects; kept columns stay as they are.
+    hooked = spec.validate is not None or spec.postprocess is not None
+    results_of = {f.name for f in spec.result_fields()}
+    messages = f"{spec.task_prefix}messages"
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
         for batch in batches:
             for first in range(0, batch.num_rows, spec.batch_size):
-                yield batch.slice(first, spec.batch_size).to_pylist()
+                part = batch.slice(first, spec.batch_size)
+                yield part, (part if hooked else part.select([messages])).to_pylist()
+
+    def merged(part: pa.RecordBatch, rows: list[dict], results: list[dict]) -> pa.RecordBatch:
+        def column(f: pa.Field) -> pa.Array:
+            if f.name not in results_of and spec.postprocess is None:
+                return part.column(f.name).cast(f.type)
+            return pa.array([r[f.name] if f.name in r else row.get(f.name) for row, r in zip(rows, results)], f.type)
 
-    def merged(rows: list[dict], results: list[dict]) -> pa.RecordBatch:
-        whole = [{**a, **b} for a, b in zip(rows, results)]
-        return pa.RecordBatch.from_arrays([pa.array([m.get(f.name) for m in whole], f.type) for f in arrow], schema=arrow)
+        return pa.RecordBatch.from_arrays([column(f) for f in arrow], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         partition = context.partitionId() if context else 0
-        ask = lambda provider, rows: annotate_rows(spec, provider, rows)
+        ask = lambda provider, slice_: annotate_rows(spec, provider, slice_[1])
         if len(spec.provider.base_urls) > 1:
             makers = [lambda make=make: warmed(make()) for make in spec.provider.makers(partition)]
             share = -(-in_flight(spec.queue_size, len(makers)) // max(1, spec.pool_tasks))
             with ServerPool(makers) as pool:
-                yield from (merged(rows, results) for rows, results in pool.run(slices(batches), ask, share))
+                yield from (merged(part, rows, results) for (part, rows), results in pool.run(slices(batches), ask, share))
             return
         provider = None
         try:
-            for rows in slices(batches):
+            for part, rows in slices(batches):
                 if provider is None:
                     provider = warmed(spec.provider.build(partition))
-                yield merged(rows, ask(provider, rows))
+                yield merged(part, rows, annotate_rows(spec, provider, rows))
         finally:
             if provider is not None and not spec.provider.shared:
                 provider.close()

@@ -1,3 +1,5 @@
+import os
+import shutil
 import subprocess
 import sys
 
@@ -40,5 +42,13 @@ def test_entry(spark):
 
 
 def test_the_package_stands_without_the_corpus_subpackage(tmp_path):
-    code = "import sys; sys.modules['millrace.llm'] = None; import importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n.startswith('millrace.llm') else f(n, *a); import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); import millrace.pipeline, millrace.cli"
-    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+    """In a copy of the repository from which the subpackage, its tests and the pipeline are deleted."""
+    shutil.copytree(ROOT / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(ROOT / "tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "bench.py"):
+        shutil.copy(ROOT / name, tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') or k == 'pipeline' for k in q); import millrace.pipeline, millrace.cli, bench"
+    clean = {**os.environ, "PYTHONPATH": os.pathsep.join(p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and p != str(ROOT))}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, check=True, timeout=120)
+    found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
+    assert found.returncode == 0 and "error" not in found.stdout.lower().splitlines()[-1], found.stdout[-2000:]
