@@ -33,7 +33,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -171,7 +173,6 @@ def link_blocks(left: list[Text], right: list[Text] | None) -> list[tuple[bytes,
     known: dict[bytes, int] = {}
     part = np.array([known.setdefault(label, k) for k, (_, label, _) in enumerate(every)])
     mark = np.zeros(len(values), np.int32)
-    joined: list[tuple[bytes, bytes]] = []
     for k in range(len(left)):
         after = max(first, k + 1)
         if after >= len(every) or not sizes[k] or (part[after:] == part[k]).all():
@@ -184,8 +185,12 @@ def link_blocks(left: list[Text], right: list[Text] | None) -> list[tuple[bytes,
         for j in (np.flatnonzero((bound >= SIMILARITY - 1e-9) & (part[after:] != part[k])) + after).tolist():
             if part[j] != part[k] and aligned(every[k][2], every[j][2]) >= SIMILARITY - 1e-9:
                 part[part == part[j]] = part[k]
-                joined.append((names[j], names[k]))
-    return joined
+    # A part that holds several labels is joined: each label's first text is linked with the smallest text of the part.
+    head: dict[int, bytes] = {}
+    for p, name in zip(part.tolist(), names):
+        head[p] = min(name, head.get(p, name))
+    labels = Counter(int(part[k]) for k in known.values())
+    return [(names[k], head[part[k]]) for k in known.values() if names[k] != head[part[k]] and labels[int(part[k])] > 1]
 
 
 def link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,17 +266,20 @@ def parts_of(members: DataFrame, sketched: DataFrame, held: DataFrame) -> DataFr
     if large.isEmpty():
         return components(links)
     texts = stage(members.join(large, "place").select("digest", "n", "place"), "large-places")
-    found, left, turn = components(links), None, 0
-    while True:
-        # One text of each part goes on; copies become one part in rounds that shrink by the size of a block.
-        firsts = stage(_labelled(texts, found).groupBy("place", "label").agg(F.min(F.struct("digest", "n")).alias("first")).select("place", "first.*"), "parts")
-        before, left, turn = left, firsts.count(), turn + 1
-        if before is not None and left > SHRINK * before:
-            break
-        links = stage(links.unionAll(_within_blocks(firsts, _blocks(firsts), held, turn)), "all-links")
-        found = components(links)
-    between = _between_parts(_labelled(texts, found).select("digest", "n", "label"), sketched, held)
-    return components(links.unionAll(between))
+    # One text of each part goes on; copies become one part in rounds that shrink by the size of a block.
+    # A block's links lead each text to the first of its part, so the texts without one are the firsts.
+    rounds, before, turn = [links], texts.count(), 0
+    firsts = stage(texts.join(links.select(F.col("a").alias("digest")), "digest", "left_anti"), "firsts")
+    while (left := firsts.count()) <= SHRINK * before:
+        before, turn = left, turn + 1
+        rounds.append(_within_blocks(firsts, _blocks(firsts), held, turn))
+        firsts = stage(firsts.join(rounds[-1].select(F.col("a").alias("digest")), "digest", "left_anti"), "firsts")
+    labelled = texts.withColumn("label", F.col("digest"))
+    for found in rounds:
+        step = found.select(F.col("a").alias("label"), F.col("b").alias("beyond"))
+        labelled = labelled.join(step, "label", "left").select("digest", "n", F.coalesce("beyond", "label").alias("label"))
+    between = _between_parts(stage(labelled, "parts"), sketched, held)
+    return components(reduce(DataFrame.unionAll, rounds, between))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:

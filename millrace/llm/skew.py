@@ -27,11 +27,14 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: s
     holds a whole share. ``groups`` is read three times, so it should be staged.
     """
     keys = list(keys)
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    share = slice_rows(total, shuffle_partitions(rows.sparkSession))
+    sums = groups.agg(F.sum(size).alias("total"), F.max(size).alias("most")).first()
+    share = slice_rows(sums.total or 0, shuffle_partitions(rows.sparkSession))
     slices = F.ceil(F.col(size) / F.lit(share)).cast("int")
     # Null-safely, a null key is a group of its own; otherwise it joins nothing.
     same = lambda a, b: a.eqNullSafe(b) if null_safe else a == b
+    if (sums.most or 0) <= share:  # nothing to slice
+        named = groups.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
+        return rows.join(named.hint("merge"), [same(rows[k], named[f"__r_{k}"]) for k in keys]).drop(*[f"__r_{k}" for k in keys])
     large = groups.filter(F.col(size) > share).select(*[F.col(k).alias(f"__l_{k}") for k in keys], slices.alias("__slices"))
     at = [same(rows[k], large[f"__l_{k}"]) for k in keys]
     marked = rows.join(F.broadcast(large), at, "left").withColumn("__slice", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__slices")).cast("int"), F.lit(0)))
