@@ -2,7 +2,9 @@
 
 Every multi-pass operator writes what it reuses as Parquet below
 ``spark.checkpoint.dir``. The files outlive a lost executor, and the shuffle
-files of the pass that made them are released as soon as it ends.
+files of the pass that made them are released as soon as it ends. A result is
+lazy and reads staged tables, so they stay until it is written; inside
+``temporary`` they are deleted at the end, but for what is kept.
 """
 
 from __future__ import annotations
@@ -27,19 +29,36 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Paths of the tables staged inside each open ``temporary``.
+_OPEN: list[list[str]] = []
+
+
+class Temporary:
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Keep a staged table beyond the block."""
+        self.paths.remove(df._staged_at)
+        return df
+
+
 @contextlib.contextmanager
-def settings(spark: SparkSession, **conf: str):
-    """Session settings for the length of a block; names have dots as ``__``."""
-    before = {}
-    for name, value in conf.items():
-        key = name.replace("__", ".")
-        before[key] = spark.conf.get(key, None)
-        spark.conf.set(key, value)
+def temporary(spark: SparkSession):
+    """Delete what is staged inside the block when it ends. Write results inside it, or keep them."""
+    paths: list[str] = []
+    _OPEN.append(paths)
     try:
-        yield
+        yield Temporary(paths)
     finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        _OPEN.pop()
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -54,14 +73,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    if _OPEN:
+        _OPEN[-1].append(path)
     return out
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._staged_at)
 
 
 def fresh_name(df: DataFrame, name: str) -> str:
