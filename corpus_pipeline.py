@@ -6,8 +6,6 @@ return the columns of ``documents``; the last returns each mixed document's enco
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.bpe_codec import encode_documents
@@ -15,7 +13,7 @@ from millrace.llm.exact_dedup import drop_copies
 from millrace.llm.language_id import drop_unknown
 from millrace.llm.mixing import apply_mix
 from millrace.llm.near_dedup import drop_near_copies
-from millrace.llm.staging import stage
+from millrace.llm.staging import discard, stage, temporary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +70,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written as Parquet and reread as the next one's input."""
+    """All stages over ``documents``; what each returns is written as Parquet and reread as the next one's input.
+
+    Tables that a stage works with are deleted when its result is written, and the result
+    when the next one's is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     *earlier, (_, last) = STAGES
-    docs = reduce(lambda kept, step: stage(step[1](spark, kept, sf_dir), step[0]), earlier, docs)
+    written: list[DataFrame] = []
+    for name, step in earlier:
+        with temporary(spark) as tables:
+            docs = tables.keep(stage(step(spark, docs, sf_dir), name))
+        discard(*written)
+        written = [docs]
     return last(spark, docs, sf_dir)
