@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .staging import fresh_name, stage
+from .staging import fresh_name, shuffle_partitions, stage
 from .words import mixed, word_count
 
 #: Weights by order of the source's name, repeating.
@@ -167,7 +167,8 @@ def _slot_counts(spark: SparkSession, slots: list[int], blocks: list[int], per_s
     split = runs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step)))).select(
         "src", "n_blocks", (F.col("first") + F.col("k") * step).alias("first"), F.least(step, F.col("n") - F.col("k") * step).alias("n")
     )
-    return split.repartition("src", "first").mapInArrow(slot_blocks(seed), "src int, block long").groupBy("src", "block").agg(F.count("*").alias("times"))
+    # So many tasks whatever the bytes: a row of a few bytes stands for thousands of slots.
+    return split.repartition(shuffle_partitions(spark), "src", "first").mapInArrow(slot_blocks(seed), "src int, block long").groupBy("src", "block").agg(F.count("*").alias("times"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
