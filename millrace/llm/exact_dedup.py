@@ -52,8 +52,12 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def fresh(self, keyed: DataFrame) -> DataFrame:
-        """(digest, keep_id) of the batch's texts that the index does not hold."""
-        batch = keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        """(digest, keep_id) of the batch's texts that the index does not hold.
+
+        The batch's distinct digests are staged: Spark would push the anti-join below the
+        aggregation, and a large group's rows would all be shuffled to one task.
+        """
+        batch = stage(keyed.groupBy("digest").agg(F.max("doc_id").alias("keep_id")), "batch-digests")
         return batch.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def add(self, keyed: DataFrame) -> None:
