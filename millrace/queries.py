@@ -9,18 +9,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.config import DatasetConfig, PipelineConfig
+from millrace.config import DatasetConfig, PipelineConfig, catalog_text
 from millrace.functions import scalar as S
+from millrace.functions.properties import ORDER as PROPERTIES
+from millrace.functions.properties import property_schema
 from millrace.operators import tables as R
 from millrace.operators.annotate import AnnotateSpec, annotate, batch_number, batched
 from millrace.operators.progress import Progress, run_annotation
 from millrace.pipeline import run_pipeline
-from millrace.plans.annotator import annotate_dataset
-from millrace.plans.prepare import PrepareSpec, assign_index, generated, prepare, shuffled
-from millrace.plans.template import PromptTemplate
+from millrace.plans.annotator import annotate_dataset, generate_dataset
+from millrace.plans.prepare import PrepareSpec, assign_index, generated, prepare, prepare_data, shuffled
+from millrace.plans.template import PromptTemplate, TemplateError
 from millrace.providers import Messages, Provider, ProviderError, ProviderSpec, Response, RuntimeOptions, UnavailableError
 from millrace.providers.pool import first_server
-from millrace.sources.tables import write_jsonl
+from millrace.sources.tables import count_lines, list_files, load_dataset, read_jsonl, read_prompts, read_text, remove_empty_files, write_jsonl, write_text
 from millrace.streaming.resume import counts_stream, total_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -516,8 +518,6 @@ def stream_resume(spark, sf_dir):
 
 @query("SELECT doc_id, quality, toxic FROM labels")
 def jsonl_round_trip(spark, sf_dir):
-    from millrace.sources.tables import read_jsonl
-
     where, labels = work_dir(spark), table(spark, sf_dir, "labels")
     write_jsonl(labels, where, 100)
     return read_jsonl(spark, where, labels.schema)[0]
@@ -529,6 +529,214 @@ def batch_alarms(spark, sf_dir):
     return R.batch_alarms(rows, "valid", "o_orderkey", 256)
 
 
+# Sources, sinks and whole runs.
+
+
+@query("SELECT doc_id, source FROM documents WHERE lang = 'fr' AND doc_id % 2 = 1")
+def split_read(spark, sf_dir):
+    """One split of one configuration of a dataset of folders."""
+    where = work_dir(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("split"), (F.col("doc_id") % 2).cast("string").alias("config"))
+    rows.write.partitionBy("config", "split").parquet(where)
+    return load_dataset(spark, where, split="fr", config="1")
+
+
+def _lines(spark, sf_dir, where: str) -> str:
+    """A text file of the nations' prompts with blank lines between them."""
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("Tell of "), "n_name").alias("value"))
+    rows.unionByName(rows.select(F.lit(" ").alias("value"))).coalesce(1).write.text(where)
+    return where
+
+
+@query("SELECT 'Tell of ' || n_name AS prompt FROM nation")
+def prompt_file(spark, sf_dir):
+    return read_prompts(spark, _lines(spark, sf_dir, work_dir(spark)))
+
+
+@query("SELECT 2 * count(*) AS lines FROM nation")
+def line_count(spark, sf_dir):
+    return spark.range(1).select(F.lit(count_lines(spark, _lines(spark, sf_dir, work_dir(spark)))).cast("long").alias("lines"))
+
+
+@query("""SELECT 'Nations:' || chr(10) || string_agg('- `' || n_name || '`' || CASE WHEN n_nationkey % 2 = 0 THEN ' — number ' || n_nationkey ELSE '' END, chr(10) ORDER BY n_nationkey) AS catalog FROM nation""")
+def catalog_file(spark, sf_dir):
+    """A catalogue of strings and of entries with a detail, as its file holds it."""
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    data = {"instruction": "Nations:", "items": [{"name": r.n_name, "detail": f"number {r.n_nationkey}"} if r.n_nationkey % 2 == 0 else r.n_name for r in rows]}
+    return spark.createDataFrame([(catalog_text(data),)], "catalog string")
+
+
+@query("SELECT 'a.jsonl' AS file UNION ALL SELECT 'c.jsonl'")
+def empty_files_removed(spark, sf_dir):
+    """Empty files of a folder, which are deleted; the one with a line stays."""
+    where = work_dir(spark)
+    for name, text in (("a", ""), ("b", "{}"), ("c", "")):
+        write_text(spark, f"{where}/{name}.jsonl", text)
+    gone = remove_empty_files(spark, where)
+    left = {f for f, _ in list_files(spark, where)}
+    return spark.createDataFrame([(f.rsplit("/", 1)[1],) for f in gone if f not in left], "file string")
+
+
+@query("SELECT doc_id AS idx, lang, 'Of ' || source AS prompt, 1 AS builds FROM documents")
+def prepared_restored(spark, sf_dir):
+    """Prepared rows are built by the first call and read back by the second."""
+    where, docs = work_dir(spark), table(spark, sf_dir, "documents").withColumn("idx", F.col("doc_id"))
+    builds = []
+    hook = lambda df: builds.append(1) or df
+    for _ in range(2):
+        rows = prepare_data(docs, PrepareSpec("Of {source}", keep_columns=("lang",)), where, hook)
+    return rows.select("idx", "lang", F.col("messages")[0]["content"].alias("prompt"), F.lit(len(builds)).alias("builds"))
+
+
+@query("SELECT doc_id AS idx, 'Loud: ' || upper(lang) AS prompt FROM documents")
+def preprocess_hook(spark, sf_dir):
+    hook = lambda df: df.withColumn("loud", F.upper("lang"))
+    rows = prepare(table(spark, sf_dir, "documents").withColumn("idx", F.col("doc_id")).drop("text"), PrepareSpec("Loud: {lang}"), lambda df: hook(df).drop("lang").withColumnRenamed("loud", "lang"))
+    return rows.select("idx", F.col("messages")[0]["content"].alias("prompt"))
+
+
+@query("SELECT 'langs' AS missing FROM range(1)")
+def template_check(spark, sf_dir):
+    """The column that a template names and the table lacks, from the error's text."""
+    try:
+        prepare(table(spark, sf_dir, "documents").withColumn("idx", F.col("doc_id")), PrepareSpec("{lang} {langs}"))
+    except TemplateError as e:
+        return spark.createDataFrame([(str(e).split("'")[1],)], "missing string")
+    raise AssertionError("a missing column was not found")
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, 'Tag ' || lang AS response, true AS ordered FROM documents")
+def annotate_final(spark, sf_dir):
+    """The final table of a run as it lies on disk, in order of the index."""
+    where = work_dir(spark)
+    annotate_dataset(table(spark, sf_dir, "documents"), where, echo(keep_columns=("doc_id",)), "Tag {lang}", prepare_options={"order_by": ("doc_id",)})
+    final = spark.read.parquet(f"{where}/final").withColumn("at", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
+    ordered = final.withColumn("before", F.lag("idx").over(Window.orderBy("at")))
+    return ordered.select("idx", "doc_id", "response", (F.coalesce("before", F.lit(-1)) == F.col("idx") - 1).alias("ordered"))
+
+
+@query("SELECT item_id, 'Copy ' || item_id AS response FROM benchmark")
+def backup_restores(spark, sf_dir):
+    """Progress is gone but for its backup, and the model would fail: the answers come from there."""
+    where, rows = work_dir(spark), table(spark, sf_dir, "benchmark").select("item_id")
+    prompts = prompted(rows, "item_id", "Copy {item_id}", keep=("item_id",))
+    run_annotation(prompts, echo(keep_columns=("item_id",)), Progress(spark, f"{where}/a", f"{where}/b"))
+    failing = AnnotateSpec(ProviderSpec(FailingProvider, init={"on_error": "raise"}), keep_columns=("item_id",))
+    return run_annotation(prompts, failing, Progress(spark, f"{where}/c", f"{where}/b")).select("item_id", "response")
+
+
+@query("SELECT 'doc_id,response,finish_reason,num_tokens,error,error_type' AS columns, count(*) AS n FROM documents")
+def dropped_columns(spark, sf_dir):
+    """Index and messages leave the result of a step that keeps neither."""
+    where = work_dir(spark)
+    found = annotate_dataset(table(spark, sf_dir, "documents").select("doc_id"), where, echo(keep_columns=("doc_id",)), "{doc_id}", keep_idx_column=False).drop("messages")
+    return found.select(F.lit(",".join(found.columns)).alias("columns")).groupBy("columns").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS idx, 'old ' || lang AS response FROM documents WHERE doc_id % 5 > 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 5 = 0")
+def older_progress(spark, sf_dir):
+    """A run goes on from JSON lines of an older one; the cut last line of a file counts as not done."""
+    where, docs = work_dir(spark), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "lang")
+    old = docs.filter("idx % 5 > 0").select("idx", F.concat(F.lit("old "), "lang").alias("response"))
+    write_jsonl(old, f"{where}/old", 50)
+    for name, _ in list_files(spark, f"{where}/old", ".json"):
+        write_text(spark, name.removesuffix(".json") + ".jsonl", read_text(spark, name) + '{"idx": 0, "respon')
+    return annotate_dataset(docs, where, echo(), "new", import_from=f"{where}/old").select("idx", "response")
+
+
+@query("SELECT 'Fact on ' || n_name AS response FROM nation")
+def generate_list(spark, sf_dir):
+    """One answer to each prompt of a list."""
+    prompts = [r[0] for r in table(spark, sf_dir, "nation").select(F.concat(F.lit("Fact on "), "n_name")).collect()]
+    return generate_dataset(spark, prompts, work_dir(spark), echo()).select("response")
+
+
+def _pipeline(spark, sf_dir, where: str, **more) -> PipelineConfig:
+    steps = [{"name": "one", "prompt": "One {text}", "rename": {"one_response": "said"}}, {"name": "two", "prompt": "Two {said}", "keep_messages": True}]
+    return PipelineConfig(where, steps, DatasetConfig(path=f"{sf_dir}/benchmark.parquet"), {"provider": "echo"}, **more)
+
+
+@query("SELECT item_id, 'One ' || text AS said FROM benchmark")
+def step_snapshot(spark, sf_dir):
+    """What the first step left behind, after the second ran over it."""
+    config = _pipeline(spark, sf_dir, work_dir(spark))
+    run_pipeline(spark, config)
+    return spark.read.parquet(f"{config.step_dir(0)}/output").select("item_id", "said")
+
+
+@query("SELECT item_id, 'Two One ' || text AS two_response, 'Two One ' || text AS asked FROM benchmark")
+def resumed_step(spark, sf_dir):
+    """The second step alone, over the first one's snapshot of an earlier run; copied to the pipeline's backup."""
+    where = work_dir(spark)
+    run_pipeline(spark, _pipeline(spark, sf_dir, where), ["one"])
+    run_pipeline(spark, _pipeline(spark, sf_dir, where, backup=f"{where}/copy"), ["two"])
+    return spark.read.parquet(f"{where}/copy").select("item_id", "two_response", F.element_at("two_messages", -1)["content"].alias("asked"))
+
+
+@query("SELECT 'one' AS name, 'One {text}' AS prompt, 'echo' AS provider UNION ALL SELECT 'two', 'Two {said}', 'echo'")
+def resolved_config(spark, sf_dir):
+    """The configuration that a run wrote beside its steps."""
+    where = work_dir(spark)
+    run_pipeline(spark, _pipeline(spark, sf_dir, where))
+    told = spark.read.option("multiLine", "true").json(f"{where}/pipeline.json")
+    return told.select(F.explode("steps").alias("s"), "client.provider").select("s.name", "s.prompt", "provider")
+
+
+@query("SELECT count(*) AS num_rows, count(*) AS stopped FROM documents")
+def metadata_file(spark, sf_dir):
+    where = work_dir(spark)
+    annotate_dataset(table(spark, sf_dir, "documents").select("doc_id", "lang"), where, echo(), "{lang}")
+    return spark.read.option("multiLine", "true").json(f"{where}/metadata.json").select("num_rows", F.col("counts.finish_reason.stop").alias("stopped"))
+
+
+class WarmedProvider(LastMessageProvider):
+    """Answers with what it was warmed up with, and how often."""
+
+    name = "warmed"
+
+    def __init__(self, model: str = "", **kwargs):
+        super().__init__(model, **kwargs)
+        self.warm: list[str] = []
+
+    def warm_up(self, prefix, system, options) -> None:
+        self.warm.append(f"{system}/{prefix}")
+
+    def generate(self, messages: Messages, options: RuntimeOptions, **extra) -> Response:
+        return Response("+".join(self.warm), "stop", None, self.name)
+
+
+@query(f"SELECT doc_id, '{SYSTEM}/Label ' AS response FROM documents")
+def warm_up(spark, sf_dir):
+    """Each task warms its provider up once, with the prompts' common beginning."""
+    spec = AnnotateSpec(ProviderSpec(WarmedProvider), keep_columns=("doc_id",), batch_size=16)
+    return annotate_dataset(table(spark, sf_dir, "documents"), work_dir(spark), spec, "Label {lang}", system=SYSTEM).select("doc_id", "response")
+
+
+@query("SELECT conv_id, turn, trim(coalesce(text, '') || chr(10) || role) AS said FROM conversations WHERE text IS NOT NULL")
+def text_blocks(spark, sf_dir):
+    block = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("text"))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null")
+    return rows.select("conv_id", "turn", S.join_text_blocks(F.array(block("text", F.col("text")), block("image", F.lit("x")), block("text", F.col("role")))).alias("said"))
+
+
+@query("SELECT doc_id, 'content_quality::' || lang AS content_quality, 'one_sentence_description::' || lang AS one_sentence_description, 18 AS n FROM documents")
+def document_properties(spark, sf_dir):
+    """Documents annotated with the schema of all properties."""
+    spec = AnnotateSpec(ProviderSpec("echo"), property_schema(), keep_columns=("doc_id",), num_retries_invalid=0)
+    found = annotate(prompted(table(spark, sf_dir, "documents"), "doc_id", "{lang}", keep=("doc_id",)), spec)
+    return found.select("doc_id", "content_quality", "one_sentence_description", F.lit(sum(c in found.columns for c in PROPERTIES)).alias("n"))
+
+
+@query("SELECT doc_id AS idx, 'A ' || lang AS response, 'train' AS dataset_split FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'B ' || lang, 'test' FROM documents WHERE doc_id % 2 = 1")
+def split_progress(spark, sf_dir):
+    """Progress of one split does not count for another one's rows of the same index."""
+    progress, docs = Progress(spark, work_dir(spark)), table(spark, sf_dir, "documents")
+    run_annotation(prompted(docs, "doc_id", "A {lang}"), echo(), progress, dataset_split="train")
+    test = run_annotation(prompted(docs.filter("doc_id % 2 = 1"), "doc_id", "B {lang}"), echo(), progress, dataset_split="test")
+    train = run_annotation(prompted(docs, "doc_id", "C {lang}"), echo(), progress, dataset_split="train").filter("idx % 2 = 0")
+    return train.select("idx", "response", F.lit("train").alias("dataset_split")).unionByName(test.select("idx", "response", F.lit("test").alias("dataset_split")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents prompted, answered by the echo provider, committed and read back in order."""
     docs = table(spark, sf_dir, "documents")
