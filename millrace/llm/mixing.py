@@ -129,14 +129,18 @@ def mix(sized: DataFrame, block_words: int = BLOCK_WORDS, per_shard: int = SLOTS
     table = spark.createDataFrame([(k, name, n, t, b) for k, ((name, n), t, b) in enumerate(zip(sources, goal, blocks))], "src int, __source string, source_size long, target double, n_blocks long")
 
     chunks = max(1, n_rows // CHUNK_ROWS)
-    named = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
-    named = named.join(table, named["source"].eqNullSafe(table["__source"])).drop("__source", "n_blocks")
     rest = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
+    # Ids may be null or repeated, so all that is known of a row deals it.
+    named = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", *rest), F.lit(chunks)).cast("int"))
+    named = named.join(table, named["source"].eqNullSafe(table["__source"])).drop("__source", "n_blocks")
     within = Window.partitionBy("src", "chunk").orderBy("doc_id", "size", *rest).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = named.groupBy("src", "chunk").agg(F.sum("size").alias("n")).select("src", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = named.withColumn("upto", F.sum("size").over(within)).join(totals, ["src", "chunk"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("base", "upto")
-    placed = stage(placed, "placed")
+    # Rows without words take no place, however many there are of them.
+    counted = named.filter("size > 0").withColumn("upto", F.sum("size").over(within)).join(totals, ["src", "chunk"])
+    placed = counted.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("base", "upto")
+    empty = named.filter("size = 0").withColumn("start", F.lit(0).cast("long"))
+    placed = stage(placed.unionByName(empty), "placed")
 
     width = F.lit(block_words)
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + F.col("size") - 1) / width))))
@@ -214,5 +218,5 @@ SELECT source, n AS source_size, round(CASE WHEN is_full THEN 3.0 * n ELSE rest
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = mix(_sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    taken = mix(_sized(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.xxhash64("text").alias("hash")))
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")

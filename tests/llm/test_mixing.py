@@ -57,3 +57,17 @@ def test_edges(spark):
     assert mix(_sized(empty(spark))).count() == 0
     mixed = apply_mix(edges(spark, "copies"))
     assert mixed.columns == edges(spark, "copies").columns and mixed.count() > 0
+
+
+def test_rows_without_ids_are_dealt(spark, monkeypatch):
+    import millrace.llm.mixing as M
+
+    monkeypatch.setattr(M, "CHUNK_ROWS", 50)
+    docs = spark.range(600).selectExpr("CAST(NULL AS long) AS doc_id", "concat('s', id % 2) AS source", "repeat('w ', CAST(id % 37 AS int)) AS text", "id")
+    taken = mix(_sized(docs, M.F.xxhash64("id").alias("hash"))).collect()
+    assert len(taken) == 600 and len({r.chunk for r in taken}) > 6
+    for source in ("s0", "s1"):
+        own = [r for r in taken if r.source == source]
+        spans = sorted((r.start, r["size"]) for r in own if r["size"])
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(n for _, n in spans) == own[0].source_size
+        assert abs(sum(r.taken for r in own) - own[0].target) <= BLOCK_WORDS
