@@ -22,6 +22,8 @@ log = logging.getLogger("millrace.progress")
 #: Rows that one job commits; a crash costs one wave at most.
 WAVE_ROWS = 100_000
 ROWS_PER_FILE = 1000
+#: Tasks that write the rows to do of one wave.
+WAVE_TASKS = 8
 #: Columns of a wave that are no results.
 STAMPS = ("wave", "written_at", "seq", "dataset_split", "dataset_config")
 
@@ -175,7 +177,9 @@ def _waves(todo: DataFrame, idx: str, wave_rows: int, progress: Progress, most:
     else:
         cut = assign_index(todo, [order, idx], "__at").withColumn("__wave", F.floor(F.col("__at") / wave_rows).cast("int")).drop("__at")
     path = f"{progress.root}/todo/{uuid.uuid4().hex}"
-    cut.write.partitionBy("__wave").option("maxRecordsPerFile", ROWS_PER_FILE * 10).parquet(path)
+    # A wave's rows are gathered in a few tasks, so it has a few files and not one for each task there is.
+    dealt = cut.repartition("__wave", F.pmod(F.xxhash64(idx), F.lit(WAVE_TASKS)))
+    dealt.write.partitionBy("__wave").option("maxRecordsPerFile", ROWS_PER_FILE * 10).parquet(path)
     for k in range(waves if most is None else min(waves, most)):
         if list_files(progress.spark, f"{path}/__wave={k}"):
             yield progress.spark.read.schema(todo.schema).parquet(f"{path}/__wave={k}")
