@@ -11,9 +11,9 @@ A window of 13 words is an edge between its first and its last 12 words. Passes:
 3. edges are counted with a fingerprint of the set of places where they occur, and those
    of two documents stay. Two edges are one nonbranching path where a node joins them and
    the places of the second are those of the first moved by one, as every text that
-   takes one then takes the other. A join along source coordinates finds the heads, edges
+   takes one then takes the other. Walks along source coordinates find the heads, edges
    that no other leads to, and a path is its head and the edges that follow in its source;
-4. only heads are joined with their occurrences. An occurrence in a document after the
+4. only heads are joined with their occurrences. An occurrence in a text after the
    source holds the whole path, so its span follows from the path's length;
 5. each document drops the words of its spans.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .skew import spread_join
-from .staging import discard, stage
+from .staging import discard, shuffle_partitions, stage
 from .words import WordHashes, shingle_hashes, split_words
 
 #: Words in a window, and in the grams that anchors are chosen from.
@@ -77,26 +77,27 @@ def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(th), pa.array(anchor, mask=rank >= 2)], ["anchor", "th", "deal"])
 
 
-#: ``at`` holds which text of its doc_id it is (upper 32 bits) and the word that the window starts at.
-EDGES = "lnode long, rnode long, doc_id long, at long"
+#: ``at`` holds the text's number and, in its low bits, the word that the window starts at (no Spark string has more words).
+EDGES = "lnode long, rnode long, at long"
+WORD_BITS = 30
 
 
 def list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, nth, text, anchors) to the windows whose anchor is among those given."""
+    """(number, text, anchors) to the windows whose anchor is among those given."""
     for batch in batches:
         for first in range(0, batch.num_rows, 512):
             part = batch.slice(first, 512)
-            columns: list[list[np.ndarray]] = [[] for _ in range(4)]
-            for doc_id, nth, text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3)):
+            columns: list[list[np.ndarray]] = [[] for _ in range(3)]
+            for number, text, wanted in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
                 hashes = _WORDS.of(split_words(text.as_py()))
                 pos = np.flatnonzero(np.isin(anchors(hashes), wanted.values.to_numpy().view(np.uint64)))
                 if not len(pos):
                     continue
                 nodes = shingle_hashes(hashes, WINDOW - 1, seed=4).view(np.int64)
-                for c, v in zip(columns, (nodes[pos], nodes[pos + 1], np.full(len(pos), doc_id), pos + (nth << 32))):
+                for c, v in zip(columns, (nodes[pos], nodes[pos + 1], pos + (number << WORD_BITS))):
                     c.append(v)
             if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lnode", "rnode", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lnode", "rnode", "at"])
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -123,39 +124,48 @@ def drop_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()).cast(pa.string())], schema=_KEPT)
 
 
+def numbered(texts: DataFrame) -> DataFrame:
+    """Staged ``texts`` with ``number``: 0, 1... in order of doc_id, then th. One count of each range is gathered."""
+    dealt = texts.repartitionByRange(shuffle_partitions(texts.sparkSession), "doc_id", "th").withColumn("part", F.spark_partition_id())
+    dealt = stage(dealt.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "th", "digest"))), "dealt-texts")
+    counts = {r.part: r.n for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    if sum(counts.values()) >= 1 << (63 - WORD_BITS):
+        raise ValueError(f"more than {1 << (63 - WORD_BITS)} different texts")
+    before = [sum(n for p, n in counts.items() if p < k) for k in range(max(counts, default=0) + 1)]
+    start = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("part") + 1)
+    return stage(dealt.select(*texts.columns, (start + F.col("row") - 1).alias("number")), "numbered-texts")
+
+
 def repeated_edges(windows: DataFrame) -> DataFrame:
-    """Edges that occur in two documents: first place (src_id, src_at), number n and fingerprints of all places and of those one word on."""
-    place = lambda by: F.bit_xor(F.xxhash64("doc_id", F.col("at") + by))
-    edges = windows.groupBy("lnode", "rnode").agg(F.min(F.struct("doc_id", "at")).alias("src"), F.max("doc_id").alias("last"), F.count("*").alias("n"), place(0).alias("places"), place(1).alias("onward"))
-    return edges.filter("last > src.doc_id").select("lnode", "rnode", F.col("src.doc_id").alias("src_id"), F.col("src.at").alias("src_at"), "n", "places", "onward")
+    """Edges that occur in two texts: first place ``src``, number n and fingerprints of all places and of those one word on."""
+    place = lambda by: F.bit_xor(F.xxhash64(F.col("at") + by))
+    edges = windows.groupBy("lnode", "rnode").agg(F.min("at").alias("src"), F.max("at").alias("last"), F.count("*").alias("n"), place(0).alias("places"), place(1).alias("onward"))
+    return edges.filter(F.shiftright("last", WORD_BITS) > F.shiftright("src", WORD_BITS)).drop("last")
 
 
 def compacted(edges: DataFrame) -> DataFrame:
-    """Nonbranching paths of staged repeated edges: nodes of the head, src_id, src_at, number n of occurrences and ``length`` in edges.
+    """Nonbranching paths of repeated edges: nodes of the head, first place ``src``, number n of occurrences and ``length`` in edges.
 
-    Where one edge leads to the next in every place, their first places follow each other,
-    so each edge is joined with the one a word before its first place, and stays on that
-    one's path if the node and the fingerprints agree. A path ends where the next head
-    of its source starts or the source's repeated edges break off.
+    Where one edge leads to the next in every place, their first places follow each other.
+    So along each source an edge stays on the path of the one a word before it if the node
+    and the fingerprints agree, and heads a path of its own otherwise.
     """
-    ahead = edges.select("src_id", (F.col("src_at") + 1).alias("src_at"), F.col("rnode").alias("lnode"), F.col("onward").alias("places"), "n", F.lit(True).alias("led"))
-    text = F.shiftright("src_at", 32)
-    dealt = lambda df: df.withColumn("src_text", text)
-    marked = dealt(edges).join(dealt(ahead).hint("merge"), ["src_id", "src_text", "src_at", "lnode", "places", "n"], "left")
-    along = Window.partitionBy("src_id", "src_text").orderBy("src_at")
-    walked = marked.withColumn("path", F.last(F.when(F.col("led").isNull(), F.col("src_at")), True).over(along))
-    paths = walked.groupBy("src_id", "src_text", "path").agg(F.count("*").alias("length"), F.max(F.when(F.col("led").isNull(), F.struct("lnode", "rnode", "n"))).alias("head"))
-    return paths.select("head.lnode", "head.rnode", "head.n", "src_id", F.col("path").alias("src_at"), "length")
+    along = Window.partitionBy("text").orderBy("src")
+    before = F.lag(F.struct("src", "rnode", "n", "onward")).over(along)
+    led = (before["src"] + 1 == F.col("src")) & (before["rnode"] == F.col("lnode")) & (before["n"] == F.col("n")) & (before["onward"] == F.col("places"))
+    marked = edges.withColumn("text", F.shiftright("src", WORD_BITS)).withColumn("heads", ~F.coalesce(led, F.lit(False)))
+    walked = marked.withColumn("path", F.last(F.when(F.col("heads"), F.col("src")), True).over(along))
+    paths = walked.groupBy("text", "path").agg(F.count("*").alias("length"), F.max(F.when(F.col("heads"), F.struct("lnode", "rnode", "n"))).alias("head"))
+    return paths.select("head.lnode", "head.rnode", "head.n", F.col("path").alias("src"), "length")
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans (doc_id, th, start, end) of words to drop, and the later copies (doc_id, th) of whole texts."""
     keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
     copies = stage(keyed.select("doc_id", "th", F.unhex(F.md5("text")).alias("digest")), "digests")
-    # One text of each digest goes on; nth tells texts apart that share a doc_id.
+    # One text of each digest goes on.
     firsts = copies.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    firsts = firsts.select("digest", "first.*").withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("th", "digest")))
-    firsts = stage(firsts, "first-copies")
+    firsts = numbered(firsts.select("digest", "first.*"))
     copied = firsts.select("digest", F.col("doc_id").alias("first"))
     later = stage(copies.join(copied, "digest").filter("doc_id > first").select("doc_id", "th").distinct(), "later-copies")
 
@@ -164,22 +174,24 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = listed.select("anchor", "th", F.col("deal").isNull().alias("alone"), F.coalesce("deal", F.xxhash64("anchor", "th")).alias("dealt"))
     repeated = dealt.withColumn("differ", F.col("alone") | (F.min("th").over(group) != F.max("th").over(group))).filter("differ")
     wanted = repeated.groupBy("th").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = stage(wanted.join(firsts.select("doc_id", "th", "nth"), "th"), "repeated-anchors")
+    wanted = stage(wanted.join(firsts.select("doc_id", "th", "number"), "th"), "repeated-anchors")
 
     held = keyed.join(wanted.hint("merge"), ["doc_id", "th"])
     if not copies.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         held = held.dropDuplicates(["doc_id", "th"])  # a row given twice is no second place
-    held = held.select("doc_id", "nth", "text", "anchors")
+    held = held.select("number", "text", "anchors")
     windows = stage(held.mapInArrow(list_edges, EDGES), "edges")
-    edges = stage(repeated_edges(windows), "repeated-edges")
-    paths = stage(compacted(edges), "paths")
-    discard(copies, wanted, edges)
-
-    met = spread_join(windows, paths, ["lnode", "rnode"], "n", ["doc_id", "at"]).filter("doc_id > src_id")
-    start = F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
-    spans = stage(met.select("doc_id", F.shiftright("at", 32).cast("int").alias("nth"), start.alias("start"), (start + F.col("length") + (WINDOW - 1)).cast("int").alias("end")), "spans")
+    # A path's source is the first of the texts that hold it; other texts of its doc_id keep theirs.
+    sources = firsts.select(F.col("number").alias("src_text"), F.col("doc_id").alias("src_id"))
+    paths = compacted(stage(repeated_edges(windows), "repeated-edges")).withColumn("src_text", F.shiftright("src", WORD_BITS))
+    paths = stage(paths.join(sources, "src_text").select("lnode", "rnode", "n", "src_id", "src_text", "length"), "paths")
+    discard(copies, wanted)
+
+    met = spread_join(windows, paths, ["lnode", "rnode"], "n", ["at"]).withColumn("number", F.shiftright("at", WORD_BITS)).filter("number > src_text")
+    start = F.col("at").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).cast("int")
+    spans = stage(met.select("number", "src_id", start.alias("start"), (start + F.col("length") + (WINDOW - 1)).cast("int").alias("end")), "spans")
     discard(windows, paths)
-    return spans.join(firsts.select("doc_id", "nth", "th"), ["doc_id", "nth"]).drop("nth"), later
+    return spans.join(firsts.select("doc_id", "th", "number"), "number").filter("doc_id > src_id").select("doc_id", "th", "start", "end"), later
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:

@@ -66,11 +66,11 @@ def test_paths_are_the_unitigs(spark):
     texts = [(k, [w for _ in range(4) for w in rng.choice([rng.choice(passages), [f"u{rng.randrange(99)}"], rng.choice(passages)[3:20]])]) for k in range(30)]
     texts += [(40, ["a", "b"] * 20), (41, ["b"] + ["a", "b"] * 15), (42, ["z"] * 30), (43, ["z"] * 17)]
     hashes = lambda words: (hash(tuple(words)) >> 1,)
-    windows = [(*hashes(w[k : k + 12]), *hashes(w[k + 1 : k + 13]), d, (1 << 32) + k) for d, w in texts for k in range(len(w) - 12)]
+    windows = [(*hashes(w[k : k + 12]), *hashes(w[k + 1 : k + 13]), (d << S.WORD_BITS) + k) for d, w in texts for k in range(len(w) - 12)]
     edges = stage(repeated_edges(spark.createDataFrame(windows, S.EDGES)), "test-edges")
     paths = compacted(edges).collect()
     want = unitigs(texts)
-    assert sorted((r.src_id, r.src_at - (1 << 32), r.length, r.n) for r in paths) == want
+    assert sorted((r.src >> S.WORD_BITS, r.src & ((1 << S.WORD_BITS) - 1), r.length, r.n) for r in paths) == want
     assert len(want) < edges.count() / 2 and max(n for _, _, n, _ in want) > 10
 
 
