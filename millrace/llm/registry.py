@@ -7,6 +7,7 @@ from .bpe_codec import op3_bpe
 from .chat_format import OP9_SQL, op9_chat_format
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op10_language_id, op10_page_language
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import MIXING_SQL, mixing_targets, op5_mixing
 from .near_dedup import op2_near_dedup
 from .pii_surrogates import op4_pii_surrogates
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_language_id": op10_language_id,
     "op10_page_language": op10_page_language,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "mixing_targets": mixing_targets,
     "secret_base_counts": secret_base_counts,
 }
@@ -32,6 +34,7 @@ SQL = {
     "op6_exact_dedup": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "mixing_targets": MIXING_SQL,
     "secret_base_counts": SECRET_SQL,
 }
