@@ -10,6 +10,7 @@ from .language_id import op10_language_id, op10_page_language
 from .merkle import OP11_SQL, op11_merkle_manifest
 from .mixing import MIXING_SQL, mixing_targets, op5_mixing
 from .near_dedup import op2_near_dedup
+from .phrase_mining import OP12_SQL, op12_phrase_mining
 from .pii_surrogates import op4_pii_surrogates
 from .secret_scan import SECRET_SQL, op7_secret_scan, secret_base_counts
 from .substring_dedup import OP8_SQL, op8_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op10_page_language": op10_page_language,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_phrase_mining": op12_phrase_mining,
     "mixing_targets": mixing_targets,
     "secret_base_counts": secret_base_counts,
 }
@@ -35,6 +37,7 @@ SQL = {
     "op8_substring_dedup": OP8_SQL,
     "op9_chat_format": OP9_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_phrase_mining": OP12_SQL,
     "mixing_targets": MIXING_SQL,
     "secret_base_counts": SECRET_SQL,
 }

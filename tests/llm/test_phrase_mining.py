@@ -1,0 +1,123 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from millrace.llm import phrase_mining as pm
+from tests.llm.helpers import EDGES, edges, empty
+
+
+def brute(rows, min_count, top, max_n=5, absorbed=100):
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        folded = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", folded):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, max_n + 1):
+                for i in range(len(words) - k + 1):
+                    f[lang, tuple(words[i : i + k])] += 1
+    f = {p: c for p, c in f.items() if c >= min_count}
+    gone = set()
+    for (lang, w), c in f.items():
+        for s in range(2, len(w)):
+            for i in range(len(w) - s + 1):
+                if 100 * c >= absorbed * f[lang, w[i : i + s]]:
+                    gone.add((lang, w[i : i + s]))
+    out = {}
+    for (lang, w), a in f.items():
+        if len(w) > 1 and (lang, w) not in gone:
+            score, _, left, right = min((1000 * a * n[lang] // (f[lang, w[:k]] * f[lang, w[k:]]), k, f[lang, w[:k]], f[lang, w[k:]]) for k in range(1, len(w)))
+            out.setdefault(lang, []).append((-score, -a, " ".join(w).encode(), left, right))
+    return sorted((lang, k, p.decode(), -a, left, right, n[lang], -score) for lang, found in out.items() for k, (score, a, p, left, right) in enumerate(sorted(found)[:top], 1))
+
+
+def mined(spark, rows, **options):
+    docs = spark.createDataFrame([(k, t, x, "n", "clash") for k, (t, x) in enumerate(rows)], "doc_id long, text string, lang string, n string, phrase_key string")
+    return sorted(tuple(r) for r in pm.mine_phrases(docs.repartition(3), **options).collect())
+
+
+def corpus(n=300, seed=3):
+    rng, words = random.Random(seed), ["The", "of", "a", "New", "York", "Straße", "x\x01y", "中文", "naïve", "it's", "\x00"]
+    rows = []
+    for _ in range(n):
+        said = [rng.choice(words) if rng.random() < 0.7 else f"w{rng.randrange(200)}" for _ in range(rng.randrange(40))]
+        marks = [rng.choice([" ", " ", " ", "\t", ", ", "\n", " ! ", ".", "\x0b"]) for _ in said]
+        rows.append(("".join(a + b for a, b in zip(said, marks)), rng.choice(["en", "en", "de", None, "und", ""])))
+    return rows + [(None, "en"), ("", None), (" \t.,", "de")] + [("deep learning is a common line here", "en")] * 60
+
+
+@pytest.mark.parametrize("top", [5, 2000])
+def test_matches_brute_force(spark, top):
+    rows = corpus()
+    got = mined(spark, rows, min_count=4, top=top, cells=1 << 16)
+    assert got == brute(rows, 4, top) and len({r[0] for r in got}) == 4
+
+
+def test_any_share_of_a_longer_phrase(spark):
+    rows = corpus(seed=5)
+    assert mined(spark, rows, min_count=3, absorbed=70, max_n=4, cells=1 << 16) == brute(rows, 3, 2000, 4, 70)
+
+
+def test_cells_that_are_all_full_change_nothing(spark):
+    rows = corpus(100)
+    assert mined(spark, rows, min_count=3, cells=1 << 15) == mined(spark, rows, min_count=3, cells=1 << 20) == brute(rows, 3, 2000)
+
+
+def test_common_words_pairs_and_lines_are_split(spark, monkeypatch):
+    """One word before half of all words, one pair, one whole line: each is dealt by its next word, and sums are right."""
+    rng = random.Random(1)
+    rows = [(" ".join(f"hot pair w{rng.randrange(60)}" if rng.random() < 0.4 else f"hot w{rng.randrange(60)}" for _ in range(50)), "en") for _ in range(60)]
+    rows += [("one very common line of seven words", "en")] * 500
+    seen = []
+    real = pm.common_prefixes
+    monkeypatch.setattr(pm, "common_prefixes", lambda *a: seen.append(real(*a)) or seen[-1])
+    assert mined(spark, rows, min_count=5, cells=1 << 16) == brute(rows, 5, 2000)
+    assert len(seen[0]) >= 2
+
+
+def test_all_prefixes_common_or_none(spark, monkeypatch):
+    rows = corpus(80, seed=9)
+    told = brute(rows, 3, 2000)
+    monkeypatch.setattr(pm, "common_prefixes", lambda *a: np.empty(0, np.uint64))
+    assert mined(spark, rows, min_count=3, cells=1 << 16) == told
+    monkeypatch.setattr(pm, "among", lambda values, ordered: np.ones(len(values), bool))
+    assert mined(spark, rows, min_count=3, cells=1 << 16) == told
+
+
+def test_edges_and_long_texts(spark):
+    """Long texts are read in slices and windows; nothing is lost at their borders."""
+    long = " ".join(f"a{k % 7} b{k % 5} c{k % 3}" for k in range(400_000)) + " " + "z" * 100_000
+    rows = [(r[1], r[2]) for r in EDGES] + [(long, "en")]
+    assert mined(spark, rows, min_count=100, cells=1 << 16) == brute(rows, 100, 2000)
+    assert pm.mine_phrases(edges(spark), min_count=2, cells=1 << 16).count() > 0
+    assert pm.mine_phrases(empty(spark), cells=1 << 16).count() == 0
+
+
+def test_slices_end_between_words(monkeypatch):
+    monkeypatch.setattr(pm, "SLICE_BYTES", 16)
+    texts = ["one two three. four", "a-word-that-is-longer-than-a-slice and more", "", "A\tB"]
+    found = [w for part in pm.folded_slices(texts) for w in part]
+    assert found == b"one two three . four . a-word-that-is-longer-than-a-slice and more . . a b .".split()
+
+
+def test_a_clash_of_hashes_starts_again(spark, monkeypatch):
+    rows = corpus(60)
+    real, seeds = pm._prefix_counts, []
+
+    def once(docs, seed, *rest):
+        seeds.append(seed)
+        if seed == 0:
+            raise RuntimeError("HashClash: two words")
+        return real(docs, seed, *rest)
+
+    monkeypatch.setattr(pm, "_prefix_counts", once)
+    assert mined(spark, rows, min_count=3, cells=1 << 16) == brute(rows, 3, 2000) and seeds == [0, 1]
+    with pytest.raises(pm.HashClash):
+        words = pm.Vocabulary(0, named=True)
+        words.names[words[b"a"]] = b"b"
+        words.pop(b"a")
+        words[b"a"]
