@@ -12,6 +12,7 @@ from .mixing import MIXING_SQL, mixing_targets, op5_mixing
 from .near_dedup import op2_near_dedup
 from .phrase_mining import OP12_SQL, op12_phrase_mining
 from .pii_surrogates import op4_pii_surrogates
+from .pu_quality import op13_pu_quality
 from .secret_scan import SECRET_SQL, op7_secret_scan, secret_base_counts
 from .substring_dedup import OP8_SQL, op8_substring_dedup
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_page_language": op10_page_language,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_phrase_mining": op12_phrase_mining,
+    "op13_pu_quality": op13_pu_quality,
     "mixing_targets": mixing_targets,
     "secret_base_counts": secret_base_counts,
 }

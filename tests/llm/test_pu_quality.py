@@ -1,0 +1,100 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import pu_quality as pq
+from millrace.llm.words import WordHashes
+from tests.llm.helpers import EDGES, edges, empty
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    return {r.doc_id: r for r in pq.op13_pu_quality(spark, SF).collect()}
+
+
+def test_held_out_accuracy(tables, found):
+    docs, labels = tables
+    assert len(found) == docs.count()
+    told = [(found[r.doc_id].score, r.quality) for r in labels.collect() if found[r.doc_id].held_out]
+    good, bad = ([s for s, q in told if q == k] for k in (1, 0))
+    assert np.mean([[g > b for b in bad] for g in good]) > 0.97
+    assert np.mean([s >= 0.5 for s in good]) > 0.97
+    assert np.mean([(s >= 0.5) == q for s, q in told]) > 0.93
+    for r in found.values():
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def scores(docs, labels):
+    return {r.doc_id: r.score for r in pq.score_texts(docs, pq.fit_quality(*pq.gathered(docs, labels))).collect()}
+
+
+def test_only_trusted_positives_are_learnt_from(tables, found):
+    """Labels 0, held-out labels, and the other columns of both tables change no score."""
+    docs, labels = tables
+    hidden = labels.filter("quality = 1").filter(~pq.held_out(F.col("doc_id")))
+    other = docs.withColumns({"source": F.lit("x"), "lang": F.lit(None).cast("string"), "n_chars": F.lit(0), "score": F.lit("clash"), "hash": F.lit("clash"), "good": F.lit(1)})
+    assert scores(other.repartition(5), hidden) == {k: r.score for k, r in found.items()}
+    flipped = labels.withColumn("quality", F.when(pq.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert scores(docs, flipped) == {k: r.score for k, r in found.items()}
+
+
+def test_prior_of_a_known_mixture():
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.6, 0.9):
+        positive, both = rng.normal(2, 1, 4000), rng.random(6000) < share
+        unlabelled = np.where(both, rng.normal(2, 1, 6000), rng.normal(-2, 1, 6000))
+        assert abs(pq.class_prior(positive, unlabelled) - share) < 0.08
+
+
+def test_risk_finds_the_hidden_negatives():
+    """Unlabelled examples hold both kinds; the classifier tells them apart without one labelled negative."""
+    rng = np.random.default_rng(5)
+    positive = rng.normal(0, 1, (1500, 6)).astype(np.float32)
+    kind = rng.random(3000) < 0.7
+    unlabelled = rng.normal(0, 1, (3000, 6)).astype(np.float32)
+    unlabelled[~kind, :2] += 4
+    model = pq.fit_quality(positive, unlabelled)
+    assert abs(model.prior - 0.7) < 0.1
+    assert np.mean((model.score(unlabelled) >= 0.5) == kind) > 0.97
+    assert pq.fit_quality(positive[:0], unlabelled) is None
+
+
+def test_texts_are_read_whole(monkeypatch):
+    long = "Plain words in a row. " * 40_000
+    whole = pq.described(long + "### " * 40_000, WordHashes())
+    assert np.abs(whole - pq.described(long, WordHashes())).max() > 0.05
+    monkeypatch.setattr(pq, "SLICE", 1000)
+    assert np.array_equal(pq.described(long + "### " * 40_000, WordHashes()), whole)
+
+
+def test_edges(spark, tables):
+    docs, labels = tables
+    model = pq.fit_quality(*pq.gathered(docs, labels))
+    rows = pq.score_texts(edges(spark, "score"), model).collect()
+    assert len(rows) == len(EDGES)
+    by = {}
+    for r, (doc_id, *_) in zip(rows, EDGES):
+        by.setdefault(doc_id, []).append(r.score)
+    assert by[1] == by[2] and by[5] == by[6] and by[7][0] == by[7][1] and None in by
+    assert pq.score_texts(empty(spark), model).count() == 0
+    # Without positives, or with contradicting or null labels only, nothing is learnt.
+    unsure = spark.createDataFrame([(5, 1), (5, 0), (6, None), (None, 1)], "doc_id long, quality int")
+    none = pq.fit_quality(*pq.gathered(edges(spark, "good"), unsure))
+    assert none is None and {r.score for r in pq.score_texts(edges(spark), none).collect()} == {0.5}
+    assert [len(x) for x in pq.gathered(empty(spark), labels)] == [0, 0]
+
+
+def test_the_fit_is_bounded(tables):
+    docs, labels = tables
+    p, u = pq.gathered(docs, labels, 50, 70)
+    assert len(p) == 50 and len(u) == 70
