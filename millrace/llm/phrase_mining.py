@@ -4,17 +4,18 @@ Two passes over the texts. The first counts words in hashed cells; the cells tha
 ``min_count`` words or more are a bitmap of fixed size (``CELLS`` bits), and a word
 outside them is certainly too rare to be part of a frequent phrase, so it ends a
 piece like punctuation does. The second pass emits the suffixes of all pieces, cut to ``max_n``
-words, equal ones of a task counted together. They are dealt by language and first word, sorted in reverse
-order of their words' 64-bit hashes, and one stack counts all prefixes: a prefix of
-d words is closed where fewer than d words agree with the suffix before. Parts of a
-phrase are phrases too, at least as frequent as itself, so joins of the result with
-itself give the counts for its score.
+words, equal ones of a window of words counted together. They are dealt by language and first word,
+as sorted and compressed columns (a few bytes a suffix), sorted again in reverse order of their
+words' 64-bit hashes, and one stack counts all prefixes: a prefix of d words is
+closed where fewer than d words agree with the suffix before. Parts of a phrase are
+phrases too, at least as frequent as itself, so joins of the result with itself give
+the counts for its score.
 
 A first word that is common in a bounded sample is dealt by its second word too, a
 common pair by its third, and so on; the sample decides only where suffixes go. The
-count of such a common prefix is the sum of what each task has of it. A task
-holds the suffixes of one dealing key at a time, so memory is bounded by the share of all
-suffixes that the sample takes for common (``1 / (4 * shuffle partitions)``).
+count of such a common prefix is the sum of what each task has of it. A task counts
+parts of about ``PART_WORDS`` words; where its share of all words is larger, a second shuffle
+deals packed windows to parts.
 
 Hashes are checked: each task compares the words behind equal hashes, and a clash
 starts the run again with another seed.
@@ -28,6 +29,7 @@ an empty table gives an empty result; other columns are not read, whatever their
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ CELLS = 1 << 24
 BITMAP_BITS = 32_768
 #: Words whose suffixes a task holds at a time, and documents in the sample that finds common prefixes.
 WINDOW_WORDS, SAMPLE_ROWS = 1 << 20, 2000
+#: Words whose suffixes are counted together, about.
+PART_WORDS = 1 << 22
 #: Different words that a task remembers by name (about 100 MB).
 NAMED_WORDS = 300_000
 #: Bytes of text that are split into words at a time.
@@ -54,8 +58,8 @@ RANK_TASKS = 64
 #: Characters that end a piece; blanks that separate words are a space and a tab.
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes.maketrans(PIECE_ENDS + bytes(range(65, 91)), b"." * len(PIECE_ENDS) + bytes(range(97, 123)))
-SUFFIX_ARROW = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("first", pa.int64()), ("word", pa.binary()), ("suffixes", pa.binary())])
-SUFFIX_SCHEMA = "lang string, key long, first long, word binary, suffixes binary"
+SUFFIX_ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("lang", pa.string()), ("size", pa.int64()), ("packed", pa.binary())])
+SUFFIX_SCHEMA = "bucket int, part int, lang string, size long, packed binary"
 PREFIX_ARROW = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase_key", pa.binary()), ("f", pa.int64()), ("word", pa.binary())])
 PREFIX_SCHEMA = "lang string, words int, phrase_key binary, f long, word binary"
 
@@ -187,136 +191,191 @@ def dealing_keys(lang: str, suffixes: np.ndarray, common: np.ndarray) -> np.ndar
     return key
 
 
-def combined(suffixes: np.ndarray, counts: np.ndarray, *before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of suffixes (columns), after the keys ``before``, largest first; and where a new one begins in it."""
-    order = np.lexsort((*suffixes[::-1], *before[::-1]))[::-1]
+def sort_keys(codes: np.ndarray, distinct: int) -> tuple[np.ndarray, ...]:
+    """Sort keys of suffixes of small codes (columns), the last one first: several codes in one number where they fit."""
+    bits = max(1, int(distinct).bit_length())
+    width = 63 // bits
+    keys = []
+    for first in range(0, len(codes), width):
+        key = np.zeros(codes.shape[1], np.int64)
+        for column in codes[first : first + width]:
+            key = (key << bits) | column
+        keys.append(key)
+    return tuple(reversed(keys))
+
+
+def runs_of(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Where, in the given order, a row differs from the one before in any column."""
     new = np.zeros(len(order), bool)
-    for column in (*before, *suffixes):
+    new[:1] = True
+    for column in columns:
         ordered = column[order]
         new[1:] |= ordered[1:] != ordered[:-1]
-    new[:1] = True
-    starts = np.flatnonzero(new)
-    return order, starts, np.add.reduceat(counts[order], starts) if len(order) else counts
+    return np.flatnonzero(new)
+
+
+@dataclass
+class Suffixes:
+    """Suffixes as codes (one column each) of a list of word hashes, code 0 the end; with counts, and the names of first words."""
+
+    hashes: np.ndarray
+    codes: np.ndarray
+    counts: np.ndarray
+    names: dict[int, bytes]
+
+    def packed(self) -> tuple[int, bytes]:
+        """Size and compressed bytes: sorted columns of small codes shrink to a few bytes a suffix."""
+        used, local = np.unique(self.codes, return_inverse=True)
+        if len(used) == 0 or used[0] != 0:
+            used, local = np.insert(used, 0, 0), local + 1
+        kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+        columns = np.ascontiguousarray(local.reshape(self.codes.shape).astype(kind))
+        firsts = np.unique(columns[0]).astype(np.uint32)
+        texts = [self.names[h] for h in self.hashes[used[firsts]].tolist()]
+        head = np.array([self.codes.shape[1], len(used), len(firsts)], np.uint32)
+        lengths = np.array([len(t) for t in texts], np.uint32)
+        data = b"".join((head.tobytes(), self.hashes[used].tobytes(), firsts.tobytes(), lengths.tobytes(), columns.tobytes(), self.counts.astype(np.uint32).tobytes(), *texts))
+        return len(data), pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+    @staticmethod
+    def unpacked(size: int, data: bytes, max_n: int) -> Suffixes:
+        raw = pa.Codec("zstd").decompress(data, size, asbytes=True)
+        at = 12
+
+        def take(kind, n: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(raw, kind, n, at)
+            at += out.nbytes
+            return out
+
+        rows, words, named = np.frombuffer(raw, np.uint32, 3).tolist()
+        hashes, firsts, lengths = take(np.uint64, words), take(np.uint32, named), take(np.uint32, named)
+        codes, counts = take(np.uint16 if words < 1 << 16 else np.uint32, rows * max_n).reshape(max_n, rows), take(np.uint32, rows)
+        names = {}
+        for h, n in zip(hashes[firsts].tolist(), lengths.tolist()):
+            names[h] = raw[at : at + n]
+            at += n
+        return Suffixes(hashes, codes, counts.astype(np.int64), names)
+
+
+def windowed(lang: str, ids: np.ndarray, max_n: int, common: np.ndarray, names: dict[int, bytes]) -> tuple[Suffixes, np.ndarray]:
+    """The different suffixes of a window of words, sorted by dealing key, and their dealing keys."""
+    hashes, code = np.unique(np.append(ids, np.uint64(0)), return_inverse=True)
+    suffixes = suffix_matrix(ids, max_n)
+    codes = suffix_matrix(code[:-1].astype(np.uint64), max_n).astype(np.int64)
+    key = dealing_keys(lang, suffixes, common)
+    order = np.lexsort((*sort_keys(codes, len(hashes)), key))
+    starts = runs_of(order, key, *codes)
+    counts = np.diff(np.append(starts, len(order)))
+    picked = order[starts]
+    return Suffixes(hashes, codes[:, picked], counts, names), key[picked]
+
+
+def dealt(found: Suffixes, place: np.ndarray, lang: str, bucket_of) -> Iterator[tuple]:
+    """One packed row for each place (a number; rows of one place need not stand together)."""
+    order = np.argsort(place, kind="stable")
+    ordered = place[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else []
+    for first, end in zip(starts, [*starts[1:], len(order)]):
+        rows = order[first:end]
+        yield (*bucket_of(int(ordered[first])), lang, *Suffixes(found.hashes, found.codes[:, rows], found.counts[rows], found.names).packed())
+
+
+def suffix_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SUFFIX_ARROW)], schema=SUFFIX_ARROW)
+
+
+def suffix_windows(batches: Iterator[pa.RecordBatch], seed: int, max_n: int, cells: int, frequent, common: np.ndarray) -> Iterator[tuple[str, Suffixes, np.ndarray]]:
+    """(lang, suffixes, dealing keys) of each window of words of (lang, text) rows."""
+    vocabulary = Vocabulary(seed, named=True)
+    bits = np.frombuffer(frequent.value, np.uint8)
+    pad = np.zeros(max_n, np.uint64)
+    for lang, texts in by_language(batches):
+        rest = np.empty(0, np.uint64)
+        for words in folded_slices(texts):
+            ids = vocabulary.of(words, rest)
+            cell = cells_of(ids, lang, cells)
+            ids = np.where((bits[cell >> 3] >> (cell & 7)) & 1, ids, 0)
+            rest = np.concatenate([rest, ids])
+            while len(rest) > WINDOW_WORDS + max_n:
+                # The last words of a window are looked at, and begin the next one.
+                if rest[:WINDOW_WORDS].any():
+                    yield lang, *windowed(lang, rest[: WINDOW_WORDS + max_n], max_n, common, vocabulary.names)
+                rest = rest[WINDOW_WORDS:]
+        if rest.any():
+            yield lang, *windowed(lang, np.concatenate([rest, pad]), max_n, common, vocabulary.names)
+
+
+def suffix_emitter(seed: int, max_n: int, cells: int, frequent, common: np.ndarray, buckets: int):
+    """Function for ``mapInArrow``: (lang, text) to packed suffixes, one row for each bucket and window of words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, found, key in suffix_windows(batches, seed, max_n, cells, frequent, common):
+            yield suffix_batch(list(dealt(found, (key % np.uint64(buckets)).astype(np.int64), lang, lambda k: (k, 0))))
+
+    return run
 
-def suffix_emitter(seed: int, max_n: int, cells: int, frequent, common: np.ndarray):
-    """Function for ``mapInArrow``: (lang, text) to suffixes, one row for each dealing key of a window of words."""
+
+def part_emitter(max_n: int, buckets: int, parts: int, common: np.ndarray):
+    """Function for ``mapInArrow``: packed suffixes to those of the parts of their bucket, a window at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(seed, named=True)
-        bits = np.frombuffer(frequent.value, np.uint8)
-
-        def emitted(lang: str, ids: np.ndarray) -> pa.RecordBatch:
-            suffixes = suffix_matrix(ids, max_n)
-            key = dealing_keys(lang, suffixes, common)
-            order, starts, n = combined(suffixes, np.ones(suffixes.shape[1], np.int64), key)
-            picked = order[starts]
-            record = np.empty((len(picked), max_n + 1), np.uint64)
-            for k in range(max_n):
-                record[:, k] = suffixes[k][picked]
-            record[:, max_n] = n
-            key, first = key[picked], record[:, 0]
-            heads = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1])]))
-            offsets = np.append(heads, len(picked)).astype(np.int64) * record.itemsize * (max_n + 1)
-            if offsets[-1] > 2**31 - 1:
-                raise ValueError("a window of words is too large")
-            blobs = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(record))])
-            words = pa.array([vocabulary.names[w] for w in first[heads].tolist()], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(heads), np.int32))), pa.array(key[heads].view(np.int64)), pa.array(first[heads].view(np.int64)), words, blobs], schema=SUFFIX_ARROW)
-
-        pad = np.zeros(max_n, np.uint64)
-        for lang, texts in by_language(batches):
-            rest = np.empty(0, np.uint64)
-            for words in folded_slices(texts):
-                ids = vocabulary.of(words, rest)
-                cell = cells_of(ids, lang, cells)
-                ids = np.where((bits[cell >> 3] >> (cell & 7)) & 1, ids, 0)
-                rest = np.concatenate([rest, ids])
-                while len(rest) > WINDOW_WORDS + max_n:
-                    # The last words of a window are looked at, and begin the next one.
-                    if rest[:WINDOW_WORDS].any():
-                        yield emitted(lang, rest[: WINDOW_WORDS + max_n])
-                    rest = rest[WINDOW_WORDS:]
-            if rest.any():
-                yield emitted(lang, np.concatenate([rest, pad]))
+        for batch in batches:
+            for bucket, _, lang, size, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                found = Suffixes.unpacked(size, packed, max_n)
+                key = dealing_keys(lang, found.hashes[found.codes], common)
+                yield suffix_batch(list(dealt(found, (key // np.uint64(buckets) % np.uint64(parts)).astype(np.int64), lang, lambda k, b=bucket: (b, k))))
 
     return run
 
 
 def prefix_counter(max_n: int, min_count: int, common: np.ndarray):
-    """Function for ``mapInArrow``: suffixes sorted by (lang, key) to prefixes and their counts.
+    """Function for ``mapInArrow``: packed suffixes sorted by (part, lang) to prefixes and their counts.
 
-    Whole dealing keys are counted together. Prefixes below ``min_count`` are left out, but for
-    the common ones, of which other tasks hold a part.
+    Prefixes below ``min_count`` are left out, but for the common ones, of which other tasks hold a part.
     """
 
-    def counted(langs: np.ndarray, names: list[str], suffixes: np.ndarray, counts: np.ndarray, words: dict) -> Iterator[pa.RecordBatch]:
-        order, starts, n = combined(suffixes, counts, langs)
-        picked = order[starts]
-        lang, stack = langs[picked], [column[picked] for column in suffixes]
-        seeds = np.array([lang_hash(x) for x in names], np.uint64)
-        closed = np.concatenate([[True], lang[1:] != lang[:-1]])
-        for depth, hashes in enumerate(prefix_hashes(seeds[lang], np.stack(stack)), 1):
+    def counted(lang: str, held: list[Suffixes]) -> Iterator[pa.RecordBatch]:
+        names: dict[int, bytes] = {}
+        for found in held:
+            for h, text in found.names.items():
+                if names.setdefault(h, text) != text:
+                    raise HashClash(f"{text!r} and {names[h]!r}")
+        # One list of words for all; codes keep the order of the hashes, and larger ones come first.
+        hashes, place = np.unique(np.concatenate([f.hashes for f in held]), return_inverse=True)
+        ends = np.cumsum([0, *(len(f.hashes) for f in held)])
+        codes = np.concatenate([place[a:b][f.codes] for f, a, b in zip(held, ends, ends[1:])], axis=1)
+        counts = np.concatenate([f.counts for f in held])
+        order = np.lexsort(sort_keys(codes, len(hashes)))[::-1]
+        stack, n = codes[:, order], counts[order]
+        closed = np.zeros(len(order), bool)
+        closed[0] = True
+        for depth, prefixes in enumerate(prefix_hashes(np.uint64(lang_hash(lang)), hashes[stack]), 1):
             # A prefix of this depth ends where this word, or one before it, is another.
-            closed |= np.concatenate([[True], stack[depth - 1][1:] != stack[depth - 1][:-1]])
+            closed[1:] |= stack[depth - 1][1:] != stack[depth - 1][:-1]
             heads = np.flatnonzero(closed)
             f = np.add.reduceat(n, heads)
-            wanted = (stack[depth - 1][heads] != 0) & ((f >= min_count) | among(hashes[heads], common))
+            wanted = (hashes[stack[depth - 1][heads]] != 0) & ((f >= min_count) | among(prefixes[heads], common))
             heads, f = heads[wanted], f[wanted]
             if not len(heads):
                 continue
-            width = 8 * depth
-            keys = np.stack([stack[k][heads].astype(">u8") for k in range(depth)], axis=1)
-            offsets = (np.arange(len(heads) + 1) * width).astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(keys))])
-            text = [words[key] for key in zip(lang[heads].tolist(), stack[0][heads].tolist())] if depth == 1 else [None] * len(heads)
-            yield pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(lang[heads])), pa.array(np.full(len(heads), depth, np.int32)), packed, pa.array(f), pa.array(text, pa.binary())], schema=PREFIX_ARROW)
+            keys = np.ascontiguousarray(hashes[stack[:depth, heads]].T.astype(">u8"))
+            offsets = (np.arange(len(heads) + 1) * 8 * depth).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(keys)])
+            text = [names[h] for h in hashes[stack[0][heads]].tolist()] if depth == 1 else [None] * len(heads)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(heads), pa.string()), pa.array(np.full(len(heads), depth, np.int32)), packed, pa.array(f), pa.array(text, pa.binary())], schema=PREFIX_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        words: dict[tuple[int, int], bytes] = {}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size, last = 0, None
-
-        def hold(code: np.ndarray, records: np.ndarray, lengths: np.ndarray, first: np.ndarray, texts: list[bytes]) -> None:
-            nonlocal size
-            for lang, word, text in zip(code.tolist(), first.tolist(), texts):
-                if words.setdefault((lang, word), text) != text:
-                    raise HashClash(f"{text!r} and {words[lang, word]!r}")
-            held.append((np.repeat(code, lengths), records))
-            size += len(records)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal size
-            if size:
-                records = np.concatenate([r for _, r in held])
-                yield from counted(np.concatenate([x for x, _ in held]), list(names), records[:, :max_n].T, records[:, max_n].astype(np.int64), words)
-            held.clear()
-            words.clear()
-            size = 0
-
+        last, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            langs, keys = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            first, texts, blobs = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3).to_pylist(), batch.column(4)
-            offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
-            records = np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64).reshape(-1, max_n + 1)
-            lengths = np.diff(offsets) // (8 * (max_n + 1))
-            code = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
-            cut = 0
-            if size + len(records) > WINDOW_WORDS:
-                # Rows of one key stand together; what is held is counted up to the last key's first row.
-                change = np.flatnonzero(np.concatenate([[last != (langs[0], keys[0])], (code[1:] != code[:-1]) | (keys[1:] != keys[:-1])]))
-                if len(change):
-                    cut = int(change[-1])
-                    done = int(lengths[:cut].sum())
-                    hold(code[:cut], records[:done], lengths[:cut], first[:cut], texts[:cut])
-                    yield from flush()
-                    records = records[done:]
-            hold(code[cut:], records, lengths[cut:], first[cut:], texts[cut:])
-            last = (langs[-1], keys[-1])
-        yield from flush()
+            for bucket, part, lang, size, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and last != (bucket, part, lang):
+                    yield from counted(last[2], held)
+                    held = []
+                last = (bucket, part, lang)
+                held.append(Suffixes.unpacked(size, packed, max_n))
+        if held:
+            yield from counted(last[2], held)
 
     return run
 
@@ -330,14 +389,11 @@ def common_prefixes(docs: DataFrame, seed: int, max_n: int, cells: int, frequent
     sample = docs if rows <= SAMPLE_ROWS else docs.sample(SAMPLE_ROWS / rows, seed=7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in suffix_emitter(seed, max_n, cells, frequent, np.empty(0, np.uint64))(batches):
-            records = np.frombuffer(batch.column(4).buffers()[2], np.uint64).reshape(-1, max_n + 1)
-            lang = np.uint64(lang_hash(batch.column(0)[0].as_py()))
-            for hashes in prefix_hashes(lang, records[:, :max_n].T):
-                which, place = np.unique(hashes, return_inverse=True)
-                n = np.bincount(place, records[:, max_n].astype(np.float64)).astype(np.int64)
+        for lang, found, _ in suffix_windows(batches, seed, max_n, cells, frequent, np.empty(0, np.uint64)):
+            for hashes in prefix_hashes(np.uint64(lang_hash(lang)), found.hashes[found.codes]):
                 # Suffixes alike are counted together, so what a prefix weighs is its different suffixes.
-                yield pa.RecordBatch.from_arrays([pa.array(which.view(np.int64)), pa.array(np.minimum(n, np.bincount(place)).astype(np.int64))], ["hash", "n"])
+                which, n = np.unique(hashes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(which.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
 
     counts = stage(sample.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")), "prefix-sample")
     total = (counts.agg(F.sum("n")).first()[0] or 0) / max_n
@@ -377,9 +433,13 @@ def _prefix_counts(docs: DataFrame, seed: int, max_n: int, min_count: int, cells
     totals = stage(counts.filter("cell is null").select("lang", "n"), "language-words")
     discard(counts)
     common = common_prefixes(said, seed, max_n, cells, frequent, docs.count())
-    suffixes = said.mapInArrow(suffix_emitter(seed, max_n, cells, frequent, common), SUFFIX_SCHEMA)
-    dealt = suffixes.repartition(shuffle_partitions(spark), "lang", "key").sortWithinPartitions("lang", "key")
-    prefixes = dealt.mapInArrow(prefix_counter(max_n, min_count, common), PREFIX_SCHEMA)
+    buckets = shuffle_partitions(spark)
+    rows = said.mapInArrow(suffix_emitter(seed, max_n, cells, frequent, common, buckets), SUFFIX_SCHEMA).repartitionById(buckets, F.col("bucket"))
+    # What a task gets is counted in parts that fit into memory; parts are dealt out by a second shuffle, of packed windows again.
+    parts = -(-(totals.agg(F.sum("n")).first()[0] or 0) // (buckets * PART_WORDS))
+    if parts > 1:
+        rows = rows.mapInArrow(part_emitter(max_n, buckets, parts, common), SUFFIX_SCHEMA).repartition(buckets * parts, "bucket", "part")
+    prefixes = rows.sortWithinPartitions("bucket", "part", "lang").mapInArrow(prefix_counter(max_n, min_count, common), PREFIX_SCHEMA)
     whole = prefixes.groupBy("lang", "words", "phrase_key").agg(F.sum("f").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")).filter(F.col("f") >= min_count)
     found = stage(whole, "phrases")
     frequent.unpersist()

@@ -97,6 +97,34 @@ def test_edges_and_long_texts(spark):
     assert pm.mine_phrases(empty(spark), cells=1 << 16).count() == 0
 
 
+def test_a_share_that_is_too_large_is_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pm, "PART_WORDS", 300)
+    rows = corpus()
+    assert mined(spark, rows, min_count=4, cells=1 << 16) == brute(rows, 4, 2000)
+
+
+def test_windows_overlap_by_what_their_last_suffixes_need(spark, monkeypatch):
+    rows = [(" ".join(f"w{k * k % 13}" for k in range(500)), "en")]
+    for size in (7, 64):
+        monkeypatch.setattr(pm, "WINDOW_WORDS", size)
+        bits = type("Bits", (), {"value": b"\xff" * (1 << 13)})
+        found = pm.suffix_windows(iter([pm.pa.RecordBatch.from_arrays([["en"], [rows[0][0]]], ["lang", "text"])]), 0, 5, 1 << 16, bits, np.empty(0, np.uint64))
+        assert sum(int(s.counts.sum()) for _, s, _ in found) == 500
+
+
+def test_packed_suffixes_come_back():
+    rng = np.random.default_rng(2)
+    for words in (5, 70_000):
+        hashes = np.sort(rng.integers(1, 1 << 62, words).astype(np.uint64))
+        hashes[0] = 0
+        codes = rng.integers(0, words, (5, 90_000))
+        codes[0] = np.maximum(codes[0], 1)
+        found = pm.Suffixes(hashes, codes, rng.integers(1, 99, 90_000), {int(h): str(h).encode() for h in hashes})
+        back = pm.Suffixes.unpacked(*found.packed(), 5)
+        assert np.array_equal(back.hashes[back.codes], hashes[codes]) and np.array_equal(back.counts, found.counts)
+        assert all(back.names[int(h)] == str(h).encode() for h in np.unique(hashes[codes[0]]))
+
+
 def test_slices_end_between_words(monkeypatch):
     monkeypatch.setattr(pm, "SLICE_BYTES", 16)
     texts = ["one two three. four", "a-word-that-is-longer-than-a-slice and more", "", "A\tB"]
