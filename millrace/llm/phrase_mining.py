@@ -1,20 +1,17 @@
 """Collocations: phrases that occur more often than their parts would by chance, by suffix sorting.
 
-Two passes over the texts. The first counts words in hashed cells; the cells that hold
-``min_count`` words or more are a bitmap of fixed size (``CELLS`` bits), and a word
-outside them is certainly too rare to be part of a frequent phrase, so it ends a
-piece like punctuation does. The second pass emits the suffixes of all pieces, cut to ``max_n``
-words, equal ones of a window of words counted together. They are dealt by language and first word,
-as sorted and compressed columns (a few bytes a suffix), sorted again in reverse order of their
-words' 64-bit hashes, and one stack counts all prefixes: a prefix of d words is
-closed where fewer than d words agree with the suffix before. Parts of a phrase are
-phrases too, at least as frequent as itself, so joins of the result with itself give
-the counts for its score.
+One pass over the texts emits the suffixes of all pieces, cut to ``max_n`` words,
+equal ones of a window of words counted together. They are dealt by language and
+first word, as sorted and compressed columns (some bytes a suffix), sorted again in
+reverse order of their words' 64-bit hashes, and one stack counts all prefixes: a
+prefix of d words is closed where fewer than d words agree with the suffix before.
+Parts of a phrase are phrases too, at least as frequent as itself, so joins of the
+result with itself give the counts for its score.
 
 A first word that is common in a bounded sample is dealt by its second word too, a
 common pair by its third, and so on; the sample decides only where suffixes go. The
 count of such a common prefix is the sum of what each task has of it. A task counts
-parts of about ``PART_WORDS`` words; where its share of all words is larger, a second shuffle
+parts of about ``PART_BYTES`` of text; where its share of all words is larger, a second shuffle
 deals packed windows to parts.
 
 Hashes are checked: each task compares the words behind equal hashes, and a clash
@@ -42,13 +39,10 @@ from .words import WordHashes, mixed
 MAX_N, MIN_COUNT, TOP = 5, 100, 2000
 #: Percentage of a phrase's occurrences that must lie within a longer one for the phrase to go.
 ABSORBED = 100
-#: Bits of the map of cells that hold frequent words (2 MB).
-CELLS = 1 << 24
-BITMAP_BITS = 32_768
 #: Words whose suffixes a task holds at a time, and documents in the sample that finds common prefixes.
 WINDOW_WORDS, SAMPLE_ROWS = 1 << 20, 2000
-#: Words whose suffixes are counted together, about.
-PART_WORDS = 1 << 22
+#: Bytes of text whose suffixes are counted together, about (four million words).
+PART_BYTES = 24 << 20
 #: Different words that a task remembers by name (about 100 MB).
 NAMED_WORDS = 300_000
 #: Bytes of text that are split into words at a time.
@@ -111,10 +105,6 @@ def folded_slices(texts: list[str]) -> Iterator[list[bytes]]:
         at = end
 
 
-def cells_of(hashes: np.ndarray, lang: str, cells: int) -> np.ndarray:
-    return (mixed(hashes ^ np.uint64(lang_hash(lang))) % np.uint64(cells)).astype(np.int64)
-
-
 def lang_hash(lang: str) -> int:
     import xxhash
 
@@ -135,24 +125,6 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[s
     yield from held.items()
 
 
-def cell_counter(seed: int, cells: int):
-    """Function for ``mapInArrow``: (lang, text) to words per cell (lang null) and per language (cell null)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(seed)
-        for lang, texts in by_language(batches):
-            total = 0
-            for words in folded_slices(texts):
-                hashes = vocabulary.of(words)
-                hashes = hashes[hashes != 0]
-                total += len(hashes)
-                cell, n = np.unique(cells_of(hashes, lang, cells), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(cell), pa.string()), pa.array(cell), pa.array(n.astype(np.int64))], ["lang", "cell", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([None], pa.int64()), pa.array([total])], ["lang", "cell", "n"])
-
-    return run
-
-
 def suffix_matrix(ids: np.ndarray, max_n: int) -> np.ndarray:
     """One row a word: the word and those after it in its piece, ``max_n`` at most, 0 beyond the end."""
     at = np.flatnonzero(ids[: len(ids) - max_n])
@@ -285,18 +257,14 @@ def suffix_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SUFFIX_ARROW)], schema=SUFFIX_ARROW)
 
 
-def suffix_windows(batches: Iterator[pa.RecordBatch], seed: int, max_n: int, cells: int, frequent, common: np.ndarray) -> Iterator[tuple[str, Suffixes, np.ndarray]]:
+def suffix_windows(batches: Iterator[pa.RecordBatch], seed: int, max_n: int, common: np.ndarray) -> Iterator[tuple[str, Suffixes, np.ndarray]]:
     """(lang, suffixes, dealing keys) of each window of words of (lang, text) rows."""
     vocabulary = Vocabulary(seed, named=True)
-    bits = np.frombuffer(frequent.value, np.uint8)
     pad = np.zeros(max_n, np.uint64)
     for lang, texts in by_language(batches):
         rest = np.empty(0, np.uint64)
         for words in folded_slices(texts):
-            ids = vocabulary.of(words, rest)
-            cell = cells_of(ids, lang, cells)
-            ids = np.where((bits[cell >> 3] >> (cell & 7)) & 1, ids, 0)
-            rest = np.concatenate([rest, ids])
+            rest = np.concatenate([rest, vocabulary.of(words, rest)])
             while len(rest) > WINDOW_WORDS + max_n:
                 # The last words of a window are looked at, and begin the next one.
                 if rest[:WINDOW_WORDS].any():
@@ -306,11 +274,11 @@ def suffix_windows(batches: Iterator[pa.RecordBatch], seed: int, max_n: int, cel
             yield lang, *windowed(lang, np.concatenate([rest, pad]), max_n, common, vocabulary.names)
 
 
-def suffix_emitter(seed: int, max_n: int, cells: int, frequent, common: np.ndarray, buckets: int):
+def suffix_emitter(seed: int, max_n: int, common: np.ndarray, buckets: int):
     """Function for ``mapInArrow``: (lang, text) to packed suffixes, one row for each bucket and window of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, found, key in suffix_windows(batches, seed, max_n, cells, frequent, common):
+        for lang, found, key in suffix_windows(batches, seed, max_n, common):
             yield suffix_batch(list(dealt(found, (key % np.uint64(buckets)).astype(np.int64), lang, lambda k: (k, 0))))
 
     return run
@@ -330,7 +298,7 @@ def part_emitter(max_n: int, buckets: int, parts: int, common: np.ndarray):
 
 
 def prefix_counter(max_n: int, min_count: int, common: np.ndarray):
-    """Function for ``mapInArrow``: packed suffixes sorted by (part, lang) to prefixes and their counts.
+    """Function for ``mapInArrow``: packed suffixes sorted by (part, lang) to prefixes and their counts; words 0 is the language's number of words.
 
     Prefixes below ``min_count`` are left out, but for the common ones, of which other tasks hold a part.
     """
@@ -346,6 +314,8 @@ def prefix_counter(max_n: int, min_count: int, common: np.ndarray):
         ends = np.cumsum([0, *(len(f.hashes) for f in held)])
         codes = np.concatenate([place[a:b][f.codes] for f, a, b in zip(held, ends, ends[1:])], axis=1)
         counts = np.concatenate([f.counts for f in held])
+        # Each word begins one suffix.
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([b""]), pa.array([int(counts.sum())]), pa.array([None], pa.binary())], schema=PREFIX_ARROW)
         order = np.lexsort(sort_keys(codes, len(hashes)))[::-1]
         stack, n = codes[:, order], counts[order]
         closed = np.zeros(len(order), bool)
@@ -380,7 +350,7 @@ def prefix_counter(max_n: int, min_count: int, common: np.ndarray):
     return run
 
 
-def common_prefixes(docs: DataFrame, seed: int, max_n: int, cells: int, frequent, rows: int) -> np.ndarray:
+def common_prefixes(docs: DataFrame, seed: int, max_n: int, rows: int) -> np.ndarray:
     """Sorted hashes of prefixes that hold more than a quarter of a task's share of a sample's suffixes.
 
     The list is bounded by the share: at most ``4 * max_n * shuffle partitions`` entries.
@@ -389,7 +359,7 @@ def common_prefixes(docs: DataFrame, seed: int, max_n: int, cells: int, frequent
     sample = docs if rows <= SAMPLE_ROWS else docs.sample(SAMPLE_ROWS / rows, seed=7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, found, _ in suffix_windows(batches, seed, max_n, cells, frequent, np.empty(0, np.uint64)):
+        for lang, found, _ in suffix_windows(batches, seed, max_n, np.empty(0, np.uint64)):
             for hashes in prefix_hashes(np.uint64(lang_hash(lang)), found.hashes[found.codes]):
                 # Suffixes alike are counted together, so what a prefix weighs is its different suffixes.
                 which, n = np.unique(hashes, return_counts=True)
@@ -402,50 +372,34 @@ def common_prefixes(docs: DataFrame, seed: int, max_n: int, cells: int, frequent
     return np.sort(np.array([r.hash for r in found], np.int64).view(np.uint64))
 
 
-def frequent_cells(counts: DataFrame, min_count: int, cells: int) -> bytes:
-    """Bitmap of the cells that hold ``min_count`` words or more, built by Spark's bitmap aggregate."""
-    cell = counts.filter((F.col("n") >= min_count) & F.col("cell").isNotNull()).select(F.bitmap_bucket_number("cell").alias("bucket"), F.bitmap_bit_position("cell").alias("bit"))
-    size = BITMAP_BITS // 8
-    bits = bytearray(cells // 8 + size)
-    for r in cell.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
-        bits[(r.bucket - 1) * size : r.bucket * size] = r.bits
-    return bytes(bits)
-
-
-def prefix_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, cells: int = CELLS) -> tuple[DataFrame, DataFrame]:
+def prefix_counts(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """Staged (lang, words, phrase_key, f, word) of all phrases of 1 to ``max_n`` words with f of ``min_count`` or more, and (lang, n)."""
     for seed in range(8):
         try:
-            return _prefix_counts(docs, seed, max_n, min_count, cells)
+            return _prefix_counts(docs, seed, max_n, min_count)
         except Exception as e:
             if "HashClash" not in str(e) or seed == 7:
                 raise
     raise AssertionError
 
 
-def _prefix_counts(docs: DataFrame, seed: int, max_n: int, min_count: int, cells: int) -> tuple[DataFrame, DataFrame]:
+def _prefix_counts(docs: DataFrame, seed: int, max_n: int, min_count: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     said = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text")).filter("text is not null and text <> ''")
-    # Cell k is counted as k + 1, as Spark's bitmaps begin with 1.
-    counted = said.mapInArrow(cell_counter(seed, cells), "lang string, cell long, n long").groupBy("lang", (F.col("cell") + 1).alias("cell")).agg(F.sum("n").alias("n"))
-    counts = stage(counted, "word-cells")
-    frequent = spark.sparkContext.broadcast(frequent_cells(counts, min_count, cells))
-    totals = stage(counts.filter("cell is null").select("lang", "n"), "language-words")
-    discard(counts)
-    common = common_prefixes(said, seed, max_n, cells, frequent, docs.count())
+    rows, size = said.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    common = common_prefixes(said, seed, max_n, rows)
     buckets = shuffle_partitions(spark)
-    rows = said.mapInArrow(suffix_emitter(seed, max_n, cells, frequent, common, buckets), SUFFIX_SCHEMA).repartitionById(buckets, F.col("bucket"))
+    packed = said.mapInArrow(suffix_emitter(seed, max_n, common, buckets), SUFFIX_SCHEMA).repartitionById(buckets, F.col("bucket"))
     # What a task gets is counted in parts that fit into memory; parts are dealt out by a second shuffle, of packed windows again.
-    parts = -(-(totals.agg(F.sum("n")).first()[0] or 0) // (buckets * PART_WORDS))
+    parts = -(-(size or 0) // (buckets * PART_BYTES))
     if parts > 1:
-        rows = rows.mapInArrow(part_emitter(max_n, buckets, parts, common), SUFFIX_SCHEMA).repartition(buckets * parts, "bucket", "part")
-    prefixes = rows.sortWithinPartitions("bucket", "part", "lang").mapInArrow(prefix_counter(max_n, min_count, common), PREFIX_SCHEMA)
-    whole = prefixes.groupBy("lang", "words", "phrase_key").agg(F.sum("f").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")).filter(F.col("f") >= min_count)
-    found = stage(whole, "phrases")
-    frequent.unpersist()
+        packed = packed.mapInArrow(part_emitter(max_n, buckets, parts, common), SUFFIX_SCHEMA).repartition(buckets * parts, "bucket", "part")
+    prefixes = packed.sortWithinPartitions("bucket", "part", "lang").mapInArrow(prefix_counter(max_n, min_count, common), PREFIX_SCHEMA)
+    whole = prefixes.groupBy("lang", "words", "phrase_key").agg(F.sum("f").alias("f"), F.min("word").alias("word"), F.max("word").alias("other"))
+    found = stage(whole.filter((F.col("f") >= min_count) | (F.col("words") == 0)), "phrases")
     if not found.filter("word <> other").isEmpty():
         raise HashClash("HashClash between words of two tasks")
-    return found.drop("other"), totals
+    return found.filter("words > 0").drop("other"), found.filter("words = 0").select("lang", F.col("f").alias("n"))
 
 
 def part(key: Column, first: Column | int, words: Column | int) -> Column:
@@ -455,14 +409,14 @@ def part(key: Column, first: Column | int, words: Column | int) -> Column:
     return F.substring(key, at * 8 + 1, n * 8)
 
 
-def mine_phrases(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, top: int = TOP, absorbed: int = ABSORBED, cells: int = CELLS) -> DataFrame:
+def mine_phrases(docs: DataFrame, max_n: int = MAX_N, min_count: int = MIN_COUNT, top: int = TOP, absorbed: int = ABSORBED) -> DataFrame:
     """Each language's best phrases: lang, rank, phrase, a, l, r, n, score.
 
     ``a`` is the phrase's count, ``l`` and ``r`` are those of its parts at the cut that scores
     least, and the score is ``floor(1000 * a * n / (l * r))``. Phrases of which ``absorbed`` percent
     lie within a longer phrase are left out.
     """
-    found, totals = prefix_counts(docs, max_n, min_count, cells)
+    found, totals = prefix_counts(docs, max_n, min_count)
     phrases = found.filter("words > 1").select("lang", "words", "phrase_key", F.col("f").alias("a"))
     # Every run of words inside a phrase, with the phrase's count.
     runs = phrases.filter("words > 2").withColumn("size", F.explode(F.sequence(F.lit(2), F.col("words") - 1))).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("words") - F.col("size"))))

@@ -53,18 +53,13 @@ def corpus(n=300, seed=3):
 @pytest.mark.parametrize("top", [5, 2000])
 def test_matches_brute_force(spark, top):
     rows = corpus()
-    got = mined(spark, rows, min_count=4, top=top, cells=1 << 16)
+    got = mined(spark, rows, min_count=4, top=top)
     assert got == brute(rows, 4, top) and len({r[0] for r in got}) == 4
 
 
 def test_any_share_of_a_longer_phrase(spark):
     rows = corpus(seed=5)
-    assert mined(spark, rows, min_count=3, absorbed=70, max_n=4, cells=1 << 16) == brute(rows, 3, 2000, 4, 70)
-
-
-def test_cells_that_are_all_full_change_nothing(spark):
-    rows = corpus(100)
-    assert mined(spark, rows, min_count=3, cells=1 << 15) == mined(spark, rows, min_count=3, cells=1 << 20) == brute(rows, 3, 2000)
+    assert mined(spark, rows, min_count=3, absorbed=70, max_n=4) == brute(rows, 3, 2000, 4, 70)
 
 
 def test_common_words_pairs_and_lines_are_split(spark, monkeypatch):
@@ -75,7 +70,7 @@ def test_common_words_pairs_and_lines_are_split(spark, monkeypatch):
     seen = []
     real = pm.common_prefixes
     monkeypatch.setattr(pm, "common_prefixes", lambda *a: seen.append(real(*a)) or seen[-1])
-    assert mined(spark, rows, min_count=5, cells=1 << 16) == brute(rows, 5, 2000)
+    assert mined(spark, rows, min_count=5) == brute(rows, 5, 2000)
     assert len(seen[0]) >= 2
 
 
@@ -83,32 +78,31 @@ def test_all_prefixes_common_or_none(spark, monkeypatch):
     rows = corpus(80, seed=9)
     told = brute(rows, 3, 2000)
     monkeypatch.setattr(pm, "common_prefixes", lambda *a: np.empty(0, np.uint64))
-    assert mined(spark, rows, min_count=3, cells=1 << 16) == told
+    assert mined(spark, rows, min_count=3) == told
     monkeypatch.setattr(pm, "among", lambda values, ordered: np.ones(len(values), bool))
-    assert mined(spark, rows, min_count=3, cells=1 << 16) == told
+    assert mined(spark, rows, min_count=3) == told
 
 
 def test_edges_and_long_texts(spark):
     """Long texts are read in slices and windows; nothing is lost at their borders."""
     long = " ".join(f"a{k % 7} b{k % 5} c{k % 3}" for k in range(400_000)) + " " + "z" * 100_000
     rows = [(r[1], r[2]) for r in EDGES] + [(long, "en")]
-    assert mined(spark, rows, min_count=100, cells=1 << 16) == brute(rows, 100, 2000)
-    assert pm.mine_phrases(edges(spark), min_count=2, cells=1 << 16).count() > 0
-    assert pm.mine_phrases(empty(spark), cells=1 << 16).count() == 0
+    assert mined(spark, rows, min_count=100) == brute(rows, 100, 2000)
+    assert pm.mine_phrases(edges(spark), min_count=2).count() > 0
+    assert pm.mine_phrases(empty(spark)).count() == 0
 
 
 def test_a_share_that_is_too_large_is_counted_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(pm, "PART_WORDS", 300)
+    monkeypatch.setattr(pm, "PART_BYTES", 300)
     rows = corpus()
-    assert mined(spark, rows, min_count=4, cells=1 << 16) == brute(rows, 4, 2000)
+    assert mined(spark, rows, min_count=4) == brute(rows, 4, 2000)
 
 
 def test_windows_overlap_by_what_their_last_suffixes_need(spark, monkeypatch):
     rows = [(" ".join(f"w{k * k % 13}" for k in range(500)), "en")]
     for size in (7, 64):
         monkeypatch.setattr(pm, "WINDOW_WORDS", size)
-        bits = type("Bits", (), {"value": b"\xff" * (1 << 13)})
-        found = pm.suffix_windows(iter([pm.pa.RecordBatch.from_arrays([["en"], [rows[0][0]]], ["lang", "text"])]), 0, 5, 1 << 16, bits, np.empty(0, np.uint64))
+        found = pm.suffix_windows(iter([pm.pa.RecordBatch.from_arrays([["en"], [rows[0][0]]], ["lang", "text"])]), 0, 5, np.empty(0, np.uint64))
         assert sum(int(s.counts.sum()) for _, s, _ in found) == 500
 
 
@@ -143,7 +137,7 @@ def test_a_clash_of_hashes_starts_again(spark, monkeypatch):
         return real(docs, seed, *rest)
 
     monkeypatch.setattr(pm, "_prefix_counts", once)
-    assert mined(spark, rows, min_count=3, cells=1 << 16) == brute(rows, 3, 2000) and seeds == [0, 1]
+    assert mined(spark, rows, min_count=3) == brute(rows, 3, 2000) and seeds == [0, 1]
     with pytest.raises(pm.HashClash):
         words = pm.Vocabulary(0, named=True)
         words.names[words[b"a"]] = b"b"
