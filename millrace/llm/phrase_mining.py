@@ -25,7 +25,7 @@ an empty table gives an empty result; other columns are not read, whatever their
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,7 +46,7 @@ PART_BYTES = 24 << 20
 #: Different words that a task remembers by name (about 100 MB).
 NAMED_WORDS = 300_000
 #: Bytes of text that are split into words at a time.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
 #: Tasks that rank one language's phrases before its last ranking.
 RANK_TASKS = 64
 #: Characters that end a piece; blanks that separate words are a space and a tab.
@@ -112,35 +112,35 @@ def lang_hash(lang: str) -> int:
 
 
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
-    """Texts of one language at a time, about ``SLICE_BYTES`` characters together."""
+    """Texts of one language at a time, some slices together."""
     held: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for batch in batches:
         for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
             held.setdefault(lang, []).append(text)
             size[lang] = size.get(lang, 0) + len(text)
-            if size[lang] > SLICE_BYTES or len(held) > 64:
+            if size[lang] > 4 * SLICE_BYTES or len(held) > 64:
                 yield lang, held.pop(lang)
                 size.pop(lang)
     yield from held.items()
 
 
-def suffix_matrix(ids: np.ndarray, max_n: int) -> np.ndarray:
-    """One row a word: the word and those after it in its piece, ``max_n`` at most, 0 beyond the end."""
-    at = np.flatnonzero(ids[: len(ids) - max_n])
-    out = np.zeros((max_n, len(at)), np.uint64)
+def suffix_matrix(codes: np.ndarray, max_n: int) -> np.ndarray:
+    """One column a word: the word and those after it in its piece, ``max_n`` at most, 0 beyond the end."""
+    at = np.flatnonzero(codes[: len(codes) - max_n])
+    out = np.zeros((max_n, len(at)), codes.dtype)
     alive = np.ones(len(at), bool)
     for k in range(max_n):
-        word = ids[at + k]
+        word = codes[at + k]
         alive &= word != 0
         out[k] = np.where(alive, word, 0)
     return out
 
 
-def prefix_hashes(lang: np.ndarray | np.uint64, suffixes: np.ndarray) -> Iterator[np.ndarray]:
-    """Hash of the first word, of the first two, and so on, of each suffix (a column) in its language."""
-    value = lang
-    for k, words in enumerate(suffixes):
+def prefix_hashes(lang: str, columns: Iterable[np.ndarray]) -> Iterator[np.ndarray]:
+    """Hash of the first word, of the first two, and so on, of each suffix in its language; columns hold words' hashes."""
+    value = np.uint64(lang_hash(lang))
+    for k, words in enumerate(columns):
         value = mixed(words * np.uint64(0x9E3779B97F4A7C15 + 2 * k) + value)
         yield value
 
@@ -151,10 +151,10 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
 
 
-def dealing_keys(lang: str, suffixes: np.ndarray, common: np.ndarray) -> np.ndarray:
+def dealing_keys(lang: str, columns: Iterable[np.ndarray], common: np.ndarray) -> np.ndarray:
     """What a suffix is dealt by: its first word, and one word more as long as that is a common prefix."""
     key, going = None, None
-    for hashes in prefix_hashes(np.uint64(lang_hash(lang)), suffixes):
+    for hashes in prefix_hashes(lang, columns):
         key = hashes if key is None else np.where(going, hashes, key)
         here = among(hashes, common)
         going = here if going is None else going & here
@@ -233,9 +233,8 @@ class Suffixes:
 def windowed(lang: str, ids: np.ndarray, max_n: int, common: np.ndarray, names: dict[int, bytes]) -> tuple[Suffixes, np.ndarray]:
     """The different suffixes of a window of words, sorted by dealing key, and their dealing keys."""
     hashes, code = np.unique(np.append(ids, np.uint64(0)), return_inverse=True)
-    suffixes = suffix_matrix(ids, max_n)
-    codes = suffix_matrix(code[:-1].astype(np.uint64), max_n).astype(np.int64)
-    key = dealing_keys(lang, suffixes, common)
+    codes = suffix_matrix(code[:-1].astype(np.int32), max_n)
+    key = dealing_keys(lang, (hashes[c] for c in codes), common)
     order = np.lexsort((*sort_keys(codes, len(hashes)), key))
     starts = runs_of(order, key, *codes)
     counts = np.diff(np.append(starts, len(order)))
@@ -291,7 +290,7 @@ def part_emitter(max_n: int, buckets: int, parts: int, common: np.ndarray):
         for batch in batches:
             for bucket, _, lang, size, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 found = Suffixes.unpacked(size, packed, max_n)
-                key = dealing_keys(lang, found.hashes[found.codes], common)
+                key = dealing_keys(lang, (found.hashes[c] for c in found.codes), common)
                 yield suffix_batch(list(dealt(found, (key // np.uint64(buckets) % np.uint64(parts)).astype(np.int64), lang, lambda k, b=bucket: (b, k))))
 
     return run
@@ -312,27 +311,34 @@ def prefix_counter(max_n: int, min_count: int, common: np.ndarray):
         # One list of words for all; codes keep the order of the hashes, and larger ones come first.
         hashes, place = np.unique(np.concatenate([f.hashes for f in held]), return_inverse=True)
         ends = np.cumsum([0, *(len(f.hashes) for f in held)])
-        codes = np.concatenate([place[a:b][f.codes] for f, a, b in zip(held, ends, ends[1:])], axis=1)
-        counts = np.concatenate([f.counts for f in held])
+        place = place.astype(np.int32)
+        codes = np.empty((max_n, sum(f.codes.shape[1] for f in held)), np.int32)
+        counts, at = np.empty(codes.shape[1], np.int64), 0
+        for a, b in zip(ends, ends[1:]):
+            f = held.pop(0)
+            upto = at + f.codes.shape[1]
+            codes[:, at:upto], counts[at:upto] = place[a:b][f.codes], f.counts
+            at = upto
         # Each word begins one suffix.
         yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([0], pa.int32()), pa.array([b""]), pa.array([int(counts.sum())]), pa.array([None], pa.binary())], schema=PREFIX_ARROW)
         order = np.lexsort(sort_keys(codes, len(hashes)))[::-1]
-        stack, n = codes[:, order], counts[order]
+        n = counts[order]
         closed = np.zeros(len(order), bool)
         closed[0] = True
-        for depth, prefixes in enumerate(prefix_hashes(np.uint64(lang_hash(lang)), hashes[stack]), 1):
+        for depth, prefixes in enumerate(prefix_hashes(lang, (hashes[c[order]] for c in codes)), 1):
             # A prefix of this depth ends where this word, or one before it, is another.
-            closed[1:] |= stack[depth - 1][1:] != stack[depth - 1][:-1]
+            word = codes[depth - 1][order]
+            closed[1:] |= word[1:] != word[:-1]
             heads = np.flatnonzero(closed)
             f = np.add.reduceat(n, heads)
-            wanted = (hashes[stack[depth - 1][heads]] != 0) & ((f >= min_count) | among(prefixes[heads], common))
-            heads, f = heads[wanted], f[wanted]
+            wanted = (hashes[word[heads]] != 0) & ((f >= min_count) | among(prefixes[heads], common))
+            heads, f = order[heads[wanted]], f[wanted]
             if not len(heads):
                 continue
-            keys = np.ascontiguousarray(hashes[stack[:depth, heads]].T.astype(">u8"))
+            keys = np.ascontiguousarray(hashes[codes[:depth, heads]].T.astype(">u8"))
             offsets = (np.arange(len(heads) + 1) * 8 * depth).astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(keys)])
-            text = [names[h] for h in hashes[stack[0][heads]].tolist()] if depth == 1 else [None] * len(heads)
+            text = [names[h] for h in hashes[codes[0][heads]].tolist()] if depth == 1 else [None] * len(heads)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(heads), pa.string()), pa.array(np.full(len(heads), depth, np.int32)), packed, pa.array(f), pa.array(text, pa.binary())], schema=PREFIX_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +366,7 @@ def common_prefixes(docs: DataFrame, seed: int, max_n: int, rows: int) -> np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, found, _ in suffix_windows(batches, seed, max_n, np.empty(0, np.uint64)):
-            for hashes in prefix_hashes(np.uint64(lang_hash(lang)), found.hashes[found.codes]):
+            for hashes in prefix_hashes(lang, (found.hashes[c] for c in found.codes)):
                 # Suffixes alike are counted together, so what a prefix weighs is its different suffixes.
                 which, n = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(which.view(np.int64)), pa.array(n.astype(np.int64))], ["hash", "n"])
