@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.functions.identity import code_mark
 from millrace.functions.schemas import as_schema, fitted, property_fields
 from millrace.providers import Provider, ProviderSpec, Response
+from millrace.providers.leases import LeaseAddress, Leases
 from millrace.providers.pool import ServerPool
 
 log = logging.getLogger("millrace.annotate")
@@ -48,6 +50,8 @@ class AnnotateSpec:
     #: Batches in flight over a pool of servers, and the tasks that share them.
     queue_size: int | None = None
     pool_tasks: int = 1
+    #: Where tasks lease places at servers, while a run serves them.
+    leases: LeaseAddress | None = None
     schema: dict | None = field(init=False, default=None)
     #: Columns of the schema's properties, found once.
     fields: tuple[T.StructField, ...] = field(init=False, default=(), repr=False)
@@ -70,6 +74,14 @@ class AnnotateSpec:
             out.append(T.StructField(f"{p}valid", T.BooleanType()))
         return out
 
+    def mark(self) -> dict[str, Any]:
+        """What the answers depend on, as plain data: model and options, schema, hooks and retries, but no servers and no secrets."""
+        provider = self.provider
+        factory = provider.factory if isinstance(provider.factory, str) else code_mark(provider.factory)
+        asked = {"provider": factory, "model": provider.model, "options": code_mark(provider.options), "extra": code_mark(provider.extra)}
+        judged = {"schema": self.schema, "validate": code_mark(self.validate), "postprocess": code_mark(self.postprocess), "extra_columns": self.extra_columns}
+        return {**asked, **judged, "retries": self.num_retries_invalid, "null_validity_is_ok": self.null_validity_is_ok}
+
     def output_schema_of(self, df: DataFrame) -> T.StructType:
         """Kept input columns, then results; a result takes the place of an input of its name."""
         messages = f"{self.task_prefix}messages"
@@ -193,7 +205,11 @@ def worker(spec: AnnotateSpec, schema: T.StructType):
         if len(spec.provider.base_urls) > 1:
             makers = [lambda make=make: warmed(make()) for make in spec.provider.makers(partition)]
             share = -(-in_flight(spec.queue_size, len(makers)) // max(1, spec.pool_tasks))
-            with ServerPool(makers) as pool:
+            # Makers begin with the task's own server where tasks choose; places are numbered alike in all tasks.
+            leases = Leases(spec.leases, partition) if spec.leases is not None else None
+            if leases is not None:
+                makers = [lambda make=make: warmed(make()) for make in spec.provider.makers(0)]
+            with ServerPool(makers, leases=leases) as pool:
                 yield from (merged(part, rows, results) for (part, rows), results in pool.run(slices(batches), ask, share))
             return
         provider = None

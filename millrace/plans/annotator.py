@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.operators.annotate import AnnotateSpec
-from millrace.operators.progress import ROWS_PER_FILE, Progress, import_jsonl, run_annotation, write_final, write_metadata
+from millrace.operators.progress import ROWS_PER_FILE, Progress, import_jsonl, run_annotation, to_do, write_final, write_metadata
 from millrace.plans.prepare import LENGTH_KEY, PrepareSpec, generated, prepare_data
 from millrace.plans.template import PromptTemplate
 from millrace.sources.tables import delete, exists, read_text, write_text
@@ -44,9 +44,11 @@ def annotate_dataset(
     """Prepare, annotate what is missing, and write ``<output_dir>/final`` with its metadata.
 
     Prepared rows, progress and result belong to what they were made from: template,
-    options, hook, split, output schema and the source's files (or ``version``). A finished
-    ``final`` made from the same is returned as it is, and progress of the same is resumed;
-    anything else is left aside and made anew. ``overwrite`` discards progress and result and
+    options, hooks, split, output schema, model and its options, and the source's files (or
+    ``version``); servers and secrets do not count. A ``final`` made from the same is returned
+    as it is, and progress of the same is resumed; anything else is left aside and made anew.
+    A run that ``max_waves`` ends early returns what it has and writes no ``final``; with
+    ``retry_errors`` the rows that ended in an error are asked again and a ``final`` is made anew. ``overwrite`` discards progress and result and
     keeps the prepared rows, unless ``force_data_preparation`` is set as well. JSON lines of
     an older run in ``import_from`` count as progress.
     """
@@ -59,14 +61,16 @@ def annotate_dataset(
     plan = PrepareSpec(template, system, prefix, spec.idx_column, keep_columns=spec.keep_columns, **(prepare_options or {}))
     scope = {"dataset_split": dataset_split, "dataset_config": dataset_config}
     mark = plan.fingerprint(df, preprocess, version)
-    made = hashlib.sha256(json.dumps([mark, spec.schema, spec.extra_columns, keep_idx_column, scope], sort_keys=True).encode()).hexdigest()
+    made = hashlib.sha256(json.dumps([mark, spec.mark(), keep_idx_column, scope], sort_keys=True).encode()).hexdigest()
     final, note = f"{output_dir}/{prefix}final", f"{output_dir}/{prefix}final.fingerprint"
     if overwrite:
         delete(spark, final)
-    elif exists(spark, f"{final}/_SUCCESS"):
+    elif exists(spark, f"{final}/_SUCCESS") and not run_options.get("retry_errors"):
         if exists(spark, note) and read_text(spark, note) == made:
             return spark.read.parquet(final)
-        log.warning("%s was made from another source, template or schema; it is made anew", final)
+        log.warning("%s was made from another source, template, model or schema; it is made anew", final)
+        delete(spark, note)
+        delete(spark, final)
     copies = {"backup": f"{backup}/{prefix}prepared" if backup else None, "force": force_data_preparation, "mark": mark}
     prepared = prepare_data(df, plan, f"{output_dir}/{prefix}prepared", preprocess, **copies)
     spec = replace(spec, prompt_prefix=PromptTemplate.parse(template).prefix, system=system)
@@ -75,8 +79,15 @@ def annotate_dataset(
     if import_from is not None and not progress.exists():
         progress.append(import_jsonl(spark, import_from, spec.output_schema_of(prepared.drop(LENGTH_KEY)), spec.idx_column))
     rows = run_annotation(prepared, spec, progress, overwrite=overwrite, **scope, **run_options)
+    shown = rows if keep_idx_column else rows.drop(spec.idx_column)
+    if run_options.get("max_waves") is not None:
+        scoped = {k: v for k, v in scope.items() if v is not None}
+        if not to_do(prepared, progress, spec.idx_column, f"{prefix}error", scope=scoped).isEmpty():
+            log.warning("%s: the run ends before all rows are done", output_dir)
+            delete(spark, note)
+            return shown
     delete(spark, note)
-    found = write_final(rows if keep_idx_column else rows.drop(spec.idx_column), final, f"{backup}/{prefix}final" if backup else None)
+    found = write_final(shown, final, f"{backup}/{prefix}final" if backup else None)
     write_text(spark, note, made)
     write_metadata(found, output_dir, prefix, {"template": template, "task_prefix": prefix, "fingerprint": made, **{k: v for k, v in scope.items() if v}})
     return found

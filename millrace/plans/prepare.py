@@ -13,7 +13,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.identity import code_mark
 from millrace.functions.scalar import prompt_length
+from millrace.plans.source_order import in_source_order
 from millrace.plans.template import PromptTemplate, messages
 from millrace.sources.tables import exists, read_text, write_text
 
@@ -98,11 +100,9 @@ class PrepareSpec:
 
         ``version`` names the source's state in place of what is found out about it.
         """
-        code = getattr(preprocess, "__code__", None)
-        hook = [getattr(preprocess, "__qualname__", repr(type(preprocess))), code.co_code.hex() if code else "", [c for c in code.co_consts if isinstance(c, (str, int, float))] if code else []] if preprocess else None
         spec = {k: v for k, v in asdict(self).items() if k != "num_proc"}
         source = version if version is not None else source_state(df)
-        return hashlib.sha256(json.dumps([spec, hook, df.schema.json(), source], sort_keys=True, default=str).encode()).hexdigest()
+        return hashlib.sha256(json.dumps([spec, code_mark(preprocess), df.schema.json(), source], sort_keys=True, default=str).encode()).hexdigest()
 
 
 #: Plan nodes whose content is told by their text.
@@ -146,6 +146,16 @@ def source_state(df: DataFrame) -> list:
     return state
 
 
+def numbered(df: DataFrame, order_by: tuple[str, ...] = (), name: str = "idx") -> DataFrame:
+    """Rows with an index: in the given order, else in the source's own; by first column and content where a plan has none."""
+    if order_by:
+        return assign_index(df, order_by, name)
+    if (found := in_source_order(df, name)) is not None:
+        return found
+    content = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}))
+    return assign_index(df.withColumn("__content", content), [df.columns[0], "__content"], name).drop("__content")
+
+
 def prepare(df: DataFrame, spec: PrepareSpec, preprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Lazy plan of idx, kept columns and messages.
 
@@ -154,7 +164,7 @@ def prepare(df: DataFrame, spec: PrepareSpec, preprocess: Callable[[DataFrame],
     """
     template, prefix = spec.parsed(), spec.task_prefix
     if spec.idx_column not in df.columns:
-        df = assign_index(df, spec.order_by or df.columns[:1], spec.idx_column)
+        df = numbered(df, spec.order_by, spec.idx_column)
     elif spec.order_by:
         raise ValueError(f"column {spec.idx_column!r} exists already")
     if spec.shuffle_seed is not None:

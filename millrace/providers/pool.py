@@ -10,11 +10,10 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from typing import Any, TypeVar
 
 from .base import Provider, UnavailableError
+from .leases import AWAY_SECONDS, Leases
 
 log = logging.getLogger("millrace.pool")
 Batch = TypeVar("Batch")
-#: Seconds after which a server that could not be reached is tried again.
-AWAY_SECONDS = 30.0
 
 
 def first_server(partition: Any, servers: int) -> Any:
@@ -25,18 +24,24 @@ def first_server(partition: Any, servers: int) -> Any:
 class ServerPool:
     """Clients that are lent to batches, so a fast server answers more of them.
 
-    A client whose server cannot be reached is put aside for a while and its batch goes to
-    another; only when none is left does the batch fail under the error policy.
+    A server that cannot be reached is put aside for a while and its batch goes to
+    another; only when none is left does the batch fail under the error policy. With
+    ``leases`` the places at servers are those of all tasks of a job; without, each
+    server answers one batch of this task at a time.
     """
 
-    def __init__(self, makers: Sequence[Callable[[], Provider]], away: float = AWAY_SECONDS):
-        self.makers, self.away = list(makers), away
-        self.clients: dict[int, Provider] = {}
+    def __init__(self, makers: Sequence[Callable[[], Provider]], away: float = AWAY_SECONDS, leases: Leases | None = None):
+        self.makers, self.away, self.leases = list(makers), away, leases
+        self.clients: list[Provider] = []
+        #: Clients of each server that no batch holds: one answers a batch at a time.
+        self.idle: dict[int, list[Provider]] = {}
         self.free, self.aside = list(range(len(self.makers))), {}
         self.changed = threading.Condition()
 
     def lease(self) -> int | None:
         """Number of a free server; none if no server is left."""
+        if self.leases is not None:
+            return self.leases.take()
         with self.changed:
             while True:
                 now = time.monotonic()
@@ -50,22 +55,31 @@ class ServerPool:
                 self.changed.wait(1.0)
 
     def client(self, number: int) -> Provider:
-        """The server's client, made when it is first asked."""
-        if number not in self.clients:
-            self.clients[number] = self.makers[number]()
-        return self.clients[number]
+        """A client of the server, made when none is idle."""
+        with self.changed:
+            if self.idle.get(number):
+                return self.idle[number].pop()
+        made = self.makers[number]()
+        with self.changed:
+            self.clients.append(made)
+        return made
 
-    def give_back(self, client: int, reached: bool = True) -> None:
+    def give_back(self, number: int, client: Provider | None, reached: bool = True) -> None:
+        with self.changed:
+            if client is not None:
+                self.idle.setdefault(number, []).append(client)
+        if self.leases is not None:
+            return self.leases.give(reached)
         with self.changed:
             if reached:
-                self.free.append(client)
+                self.free.append(number)
             else:
-                self.aside[client] = time.monotonic()
+                self.aside[number] = time.monotonic()
             self.changed.notify_all()
 
     def ask(self, batch: Batch, work: Callable[[Provider, Batch], Any]) -> Any:
         while (number := self.lease()) is not None:
-            reached = True
+            reached, client = True, None
             try:
                 client = self.client(number)
                 client.raise_unavailable = True
@@ -74,7 +88,7 @@ class ServerPool:
                 log.warning("a server is put aside: %s", e)
                 reached = False
             finally:
-                self.give_back(number, reached)
+                self.give_back(number, client, reached)
         last = self.client(0)
         last.raise_unavailable = False
         return work(last, batch)
@@ -100,5 +114,7 @@ class ServerPool:
         return self
 
     def __exit__(self, *_: object) -> None:
-        for client in self.clients.values():
+        if self.leases is not None:
+            self.leases.close()
+        for client in self.clients:
             client.close()

@@ -49,6 +49,19 @@ def list_files(spark: SparkSession, path: str, suffix: str = "") -> list[tuple[s
     return sorted(f for f in found if f[0].endswith(suffix))
 
 
+def has_files(spark: SparkSession, path: str, suffix: str = "") -> bool:
+    """Whether a folder has a file of that ending right below it; the listing stops at the first."""
+    fs, where = _at(spark, path)
+    if not fs.exists(where):
+        return False
+    found = fs.listStatusIterator(where)
+    while found.hasNext():
+        status = found.next()
+        if status.isFile() and status.getPath().getName().endswith(suffix):
+            return True
+    return False
+
+
 def committed(spark: SparkSession, path: str, prefix: str) -> list[str]:
     """Folders ``<prefix>*`` below ``path`` whose job was committed, by name; found by one listing."""
     fs, where = _at(spark, f"{path}/{prefix}*/_SUCCESS")

@@ -316,9 +316,11 @@ def test_results_belong_to_their_inputs(spark, tmp_path):
     assert said(annotate_dataset(rows, where, spec(), "B {text}")) == [f"B document {k}" for k in range(8)]
     assert said(annotate_dataset(rows.filter("k < 2"), where, spec(), "B {text}")) == ["B document 0", "B document 1"]
     assert said(annotate_dataset(rows, where, spec(), "B {text}")) == [f"B document {k}" for k in range(8)]
-    log = str(tmp_path / "log")
-    counting = spec(ProviderSpec(CountingProvider, init={"log": log}))
-    assert said(annotate_dataset(rows, where, counting, "B {text}")) == [f"B document {k}" for k in range(8)] and not os.path.exists(log)
+    logs = [str(tmp_path / name) for name in ("one", "two")]
+    for log in logs:
+        counting = spec(ProviderSpec(CountingProvider, init={"log": log}))
+        assert said(annotate_dataset(rows, where, counting, "B {text}")) == [f"B document {k}" for k in range(8)]
+    assert os.path.exists(logs[0]) and not os.path.exists(logs[1])
     assert [r.label for r in annotate_dataset(rows, where, spec(output_schema=LABEL), "B {text}").orderBy("idx").collect()] == [f"label::B document {k}" for k in range(8)]
 
 
