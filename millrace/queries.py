@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -15,14 +16,15 @@ from millrace.functions.properties import ORDER as PROPERTIES
 from millrace.functions.properties import property_schema
 from millrace.operators import tables as R
 from millrace.operators.annotate import AnnotateSpec, annotate, batch_number, batched
+from millrace.operators.donebits import bitmaps, merged, skip_set
 from millrace.operators.progress import Progress, run_annotation
 from millrace.pipeline import run_pipeline
 from millrace.plans.annotator import annotate_dataset, generate_dataset
-from millrace.plans.prepare import PrepareSpec, assign_index, generated, prepare, prepare_data, shuffled
+from millrace.plans.prepare import PrepareSpec, assign_index, generated, numbered, prepare, prepare_data, shuffled
+from millrace.plans.source_order import in_source_order
 from millrace.plans.template import PromptTemplate, TemplateError
 from millrace.providers import Messages, Provider, ProviderError, ProviderSpec, Response, RuntimeOptions, UnavailableError
-from millrace.providers.pool import first_server
-from millrace.sources.tables import count_lines, list_files, load_dataset, read_jsonl, read_prompts, read_text, remove_empty_files, write_jsonl, write_text
+from millrace.sources.tables import count_lines, exists, list_files, load_dataset, read_jsonl, read_prompts, read_text, remove_empty_files, write_jsonl, write_text
 from millrace.streaming.resume import counts_stream, total_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,9 +130,11 @@ def prune_columns(spark, sf_dir):
     return rows.select("idx", "lang", F.length(F.col("messages")[0]["content"]).cast("long").alias("n"))
 
 
-@query("SELECT i AS idx, 'Write a fact' AS prompt FROM range(7) AS t(i)")
+@query("SELECT row_number() OVER () - 1 AS idx, 'Write a fact on ' || (SELECT min(source) FROM documents) AS prompt FROM documents")
 def generate_repeat(spark, sf_dir):
-    return generated(spark, "Write a fact", 7).select("idx", "prompt")
+    """One prompt, as often as there are documents."""
+    docs = table(spark, sf_dir, "documents").agg(F.min("source").alias("source"), F.count("*").alias("n")).first()
+    return generated(spark, f"Write a fact on {docs.source}", docs.n).select("idx", "prompt")
 
 
 @query("SELECT doc_id AS idx, lang, 'Say: ' || text AS response, 'stop' AS finish_reason, 3 AS num_tokens, NULL::varchar AS error, NULL::varchar AS error_type FROM documents")
@@ -306,11 +310,15 @@ def file_index(spark, sf_dir):
     return files.groupBy("rows").agg(F.count("*").alias("files"))
 
 
-@query("SELECT (o_orderkey // 256) % 4 AS server, count(DISTINCT o_orderkey // 256) AS batches, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT 'server' || t AS first_asked, true AS own FROM range(4) AS r(t)")
 def server_round_robin(spark, sf_dir):
-    """The server that each batch's task asks first, if every batch is a task."""
-    rows = table(spark, sf_dir, "orders").withColumn("batch", batch_number(F.col("o_orderkey"), 256))
-    return rows.groupBy(first_server(F.col("batch"), 4).alias("server")).agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("n"))
+    """Each task's first batch goes to a server of its own: tasks begin with different ones."""
+    rows = prompted(table(spark, sf_dir, "documents"), "doc_id", "{lang}").withColumn("task", F.pmod(F.col("idx"), F.lit(4)).cast("int"))
+    dealt = rows.repartitionById(4, F.col("task")).drop("task")
+    spec = AnnotateSpec(ProviderSpec(ServedProvider, base_urls=tuple(f"server{k}" for k in range(4))), batch_size=16, queue_size=4, pool_tasks=4)
+    found = annotate(dealt, spec).select(F.spark_partition_id().alias("task"), F.substring_index("response", ":", 1).alias("server"), F.monotonically_increasing_id().alias("at"))
+    first = found.groupBy("task").agg(F.min_by("server", "at").alias("first_asked"))
+    return first.select("first_asked", (F.col("first_asked") == F.concat(F.lit("server"), F.col("task").cast("string"))).alias("own"))
 
 
 class ServedProvider(Provider):
@@ -481,10 +489,10 @@ def changed_input_is_not_reused(spark, sf_dir):
     return annotate_dataset(docs, where, echo(), "B {source}", wave_rows=wave).select("idx", "response")
 
 
-@query("SELECT batch, n, longest, shortest FROM (SELECT rank // 64 AS batch, count(*) AS n, max(length) AS longest, min(length) AS shortest FROM (SELECT length(text) AS length, row_number() OVER (ORDER BY length(text) DESC, doc_id) - 1 AS rank FROM documents WHERE NOT regexp_matches(text, '[^ !#-\\[\\]-~]')) GROUP BY 1)")
+@query(f"SELECT batch, n, longest, shortest FROM (SELECT rank // 64 AS batch, count(*) AS n, max(length) AS longest, min(length) AS shortest FROM (SELECT {_LENGTH} AS length, row_number() OVER (ORDER BY {_LENGTH} DESC, doc_id) - 1 AS rank FROM (SELECT doc_id, text AS t FROM documents)) GROUP BY 1)")
 def length_sorted_batches(spark, sf_dir):
-    """Batches that reach the model when prompts are sorted by length; of texts that are written in JSON as they are."""
-    docs = table(spark, sf_dir, "documents").filter(~F.col("text").rlike(r"[^ !#-\[\]-~]")).select(F.col("doc_id").alias("idx"), "text")
+    """Batches that reach the model when prompts are sorted by length: rows, and the longest and shortest as written in JSON."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "text")
     spec = AnnotateSpec(ProviderSpec(BatchLengthProvider), batch_size=64)
     rows = prepare(docs, PrepareSpec("{text}", sort_by_length=True))
     found = run_annotation(rows, spec, Progress(spark, work_dir(spark)), partitions=4)
@@ -500,7 +508,7 @@ class BatchLengthProvider(LastMessageProvider):
     name = "batch_length"
 
     def batch(self, batch, options: RuntimeOptions, **extra) -> list[Response]:
-        sizes = [len(m[-1]["content"]) for m in batch]
+        sizes = [len(json.dumps(m[-1]["content"])) - 2 for m in batch]
         return [Response(f"{len(sizes)} {max(sizes)} {min(sizes)}", "stop", None, self.name) for _ in sizes]
 
 
@@ -566,15 +574,16 @@ def catalog_file(spark, sf_dir):
     return spark.createDataFrame([(catalog_text(data),)], "catalog string")
 
 
-@query("SELECT 'a.jsonl' AS file UNION ALL SELECT 'c.jsonl'")
+@query("SELECT (SELECT count(DISTINCT source) FROM documents) AS removed, (SELECT count(*) FROM documents WHERE lang = 'fr') AS rows_left")
 def empty_files_removed(spark, sf_dir):
-    """Empty files of a folder, which are deleted; the one with a line stays."""
-    where = work_dir(spark)
-    for name, text in (("a", ""), ("b", "{}"), ("c", "")):
-        write_text(spark, f"{where}/{name}.jsonl", text)
-    gone = remove_empty_files(spark, where)
-    left = {f for f, _ in list_files(spark, where)}
-    return spark.createDataFrame([(f.rsplit("/", 1)[1],) for f in gone if f not in left], "file string")
+    """Progress files of which some are empty: one of each source beside those with rows; the rows stay."""
+    where, docs = work_dir(spark), table(spark, sf_dir, "documents")
+    write_jsonl(docs.filter("lang = 'fr'").select("doc_id", "source"), where, 100)
+    for r in docs.select("source").distinct().collect():
+        write_text(spark, f"{where}/{r.source}.json", "")
+    gone = remove_empty_files(spark, where, ".json")
+    left = spark.read.schema("doc_id long, source string").json(where)
+    return left.agg(F.lit(len(gone)).cast("long").alias("removed"), F.count("*").alias("rows_left"))
 
 
 @query("SELECT doc_id AS idx, lang, 'Of ' || source AS prompt, 1 AS builds FROM documents")
@@ -595,24 +604,120 @@ def preprocess_hook(spark, sf_dir):
     return rows.select("idx", F.col("messages")[0]["content"].alias("prompt"))
 
 
-@query("SELECT 'langs' AS missing FROM range(1)")
+@query("SELECT 'langs' AS missing, doc_id AS idx, lang AS prompt FROM documents")
 def template_check(spark, sf_dir):
-    """The column that a template names and the table lacks, from the error's text."""
+    """The column that a template names and the table lacks, from the error's text, and the prompts once it is there."""
+    docs = table(spark, sf_dir, "documents").withColumn("idx", F.col("doc_id"))
     try:
-        prepare(table(spark, sf_dir, "documents").withColumn("idx", F.col("doc_id")), PrepareSpec("{lang} {langs}"))
+        prepare(docs, PrepareSpec("{langs}"))
     except TemplateError as e:
-        return spark.createDataFrame([(str(e).split("'")[1],)], "missing string")
+        rows = prepare(docs.withColumnRenamed("lang", str(e).split("'")[1]), PrepareSpec("{langs}"))
+        return rows.select(F.lit(str(e).split("'")[1]).alias("missing"), "idx", F.col("messages")[0]["content"].alias("prompt"))
     raise AssertionError("a missing column was not found")
 
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS idx, doc_id, 'Tag ' || lang AS response, true AS ordered FROM documents")
 def annotate_final(spark, sf_dir):
-    """The final table of a run as it lies on disk, in order of the index."""
+    """The final table of a run as it lies on disk: numbered in order of its files, each row has its own index."""
     where = work_dir(spark)
     annotate_dataset(table(spark, sf_dir, "documents"), where, echo(keep_columns=("doc_id",)), "Tag {lang}", prepare_options={"order_by": ("doc_id",)})
-    final = spark.read.parquet(f"{where}/final").withColumn("at", F.struct(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row")))
-    ordered = final.withColumn("before", F.lag("idx").over(Window.orderBy("at")))
-    return ordered.select("idx", "doc_id", "response", (F.coalesce("before", F.lit(-1)) == F.col("idx") - 1).alias("ordered"))
+    final = in_source_order(spark.read.parquet(f"{where}/final"), "at")
+    return final.select("idx", "doc_id", "response", (F.col("at") == F.col("idx")).alias("ordered"))
+
+
+@query("SELECT row_number() OVER (ORDER BY lang, doc_id) - 1 AS idx, doc_id, lang FROM documents")
+def source_order(spark, sf_dir):
+    """Rows of many files numbered as they lie there, though the first column ties; no row is shuffled for it."""
+    where = work_dir(spark)
+    docs = table(spark, sf_dir, "documents").select("lang", "doc_id").repartitionByRange(8, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
+    docs.write.option("maxRecordsPerFile", 40).parquet(where)
+    return numbered(spark.read.parquet(where)).select("idx", "doc_id", "lang")
+
+
+@query("SELECT doc_id AS idx, 'Model b on ' || lang AS response, length(lang) > 5 AS valid FROM documents")
+def changed_model_is_not_reused(spark, sf_dir):
+    """One folder and template, then another model, then another validator: each is a run of its own."""
+    where, docs = work_dir(spark), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "lang")
+    model = lambda name, **hooks: AnnotateSpec(ProviderSpec(NamedProvider, name), num_retries_invalid=0, **hooks)
+    annotate_dataset(docs, where, model("a"), "{lang}")
+    annotate_dataset(docs, where, model("b", validate=lambda row: True), "{lang}")
+    found = annotate_dataset(docs, where, model("b", validate=lambda row: len(row["response"]) > len("Model b on ") + 5), "{lang}")
+    return found.select("idx", "response", "valid")
+
+
+class NamedProvider(LastMessageProvider):
+    """Answers with the model's name and the message."""
+
+    name = "named"
+
+    def generate(self, messages: Messages, options: RuntimeOptions, **extra) -> Response:
+        return Response(f"Model {self.model} on {messages[-1]['content']}", "stop", None, self.name)
+
+
+@query("SELECT doc_id AS idx, 'On ' || source AS response, true AS early FROM documents")
+def unfinished_run_goes_on(spark, sf_dir):
+    """A run that is ended after two of four waves has no final table; the same call later does the rest."""
+    where, docs = work_dir(spark), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), "source")
+    wave = max(1, docs.count() // 4)
+    part = annotate_dataset(docs, where, echo(), "On {source}", wave_rows=wave, max_waves=2)
+    early = part.count() < docs.count() and not exists(spark, f"{where}/final")
+    return annotate_dataset(docs, where, echo(), "On {source}").select("idx", "response", F.lit(early).alias("early"))
+
+
+@query("SELECT doc_id AS idx, doc_id::varchar AS response, NULL::varchar AS error, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) AS failed FROM documents")
+def retried_errors_replace(spark, sf_dir):
+    """Rows that ended in an error are asked again, and the new answers take their place."""
+    progress, rows = Progress(spark, work_dir(spark)), prompted(table(spark, sf_dir, "documents"), "doc_id", "{doc_id}")
+    failed = run_annotation(rows, AnnotateSpec(ProviderSpec(FailingProvider)), progress).filter("error is not null").count()
+    found = run_annotation(rows, echo(), progress, retry_errors=True)
+    return found.select("idx", "response", "error", F.lit(failed).cast("long").alias("failed"))
+
+
+@query("SELECT doc_id AS idx, CASE WHEN doc_id % 8 = 5 THEN 'second' ELSE 'first' END AS response FROM documents")
+def broken_job_keeps_its_tasks(spark, sf_dir):
+    """A job whose last task dies: what its other tasks had committed counts, and the second run asks for the rest alone."""
+    progress, docs = Progress(spark, work_dir(spark)), table(spark, sf_dir, "documents").select("doc_id")
+    # Eight tasks of neighbouring indices; the index of a row tells its task.
+    n = docs.count()
+    rows = prompted(docs.withColumn("at", F.col("doc_id") % 8 * n + F.floor(F.col("doc_id") / 8)), "at", "{doc_id}", keep=("doc_id",))
+    dying = AnnotateSpec(ProviderSpec(DyingProvider, "first", {"on_error": "raise"}, extra={}), keep_columns=("doc_id",))
+    try:
+        run_annotation(rows.filter("doc_id % 8 <> 5"), dying, progress, partitions=8)
+        run_annotation(rows, dying, progress, partitions=8)
+    except Exception as e:  # noqa: BLE001
+        if "dies" not in str(e):
+            raise
+    found = run_annotation(rows, AnnotateSpec(ProviderSpec(DyingProvider, "second"), keep_columns=("doc_id",)), progress)
+    return found.select(F.col("doc_id").alias("idx"), "response")
+
+
+class DyingProvider(LastMessageProvider):
+    """Answers with the model's name; the first model dies at messages whose number is 5 modulo 8."""
+
+    name = "dying"
+
+    def generate(self, messages: Messages, options: RuntimeOptions, **extra) -> Response:
+        if self.model == "first" and int(messages[-1]["content"]) % 8 == 5:
+            raise ProviderError("dies")
+        return Response(self.model, "stop", None, self.name)
+
+
+@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def done_bits(spark, sf_dir):
+    """Documents without a label, told by the bits of those that have one: one bit a document in place of a join of rows."""
+    path = f"{work_dir(spark)}/bits"
+    merged(bitmaps(table(spark, sf_dir, "labels"), "doc_id")).write.parquet(path)
+    return skip_set(table(spark, sf_dir, "documents").select("doc_id"), spark.read.parquet(path), "doc_id")
+
+
+@query("SELECT doc_id AS idx, 'said ' || lang AS said, true AS by_a_server FROM documents")
+def leased_places(spark, sf_dir):
+    """Tasks of one run share the places at two servers that answer and one that is down."""
+    rows = prompted(table(spark, sf_dir, "documents"), "doc_id", "said {lang}")
+    spec = AnnotateSpec(ProviderSpec(ServedProvider, base_urls=("down", "slow", "quick")), batch_size=16, queue_size=3)
+    found = run_annotation(rows, spec, Progress(spark, work_dir(spark)), partitions=4)
+    server, said = F.substring_index("response", ":", 1), F.substring_index("response", ":", -1)
+    return found.select("idx", said.alias("said"), server.isin("slow", "quick").alias("by_a_server"))
 
 
 @query("SELECT item_id, 'Copy ' || item_id AS response FROM benchmark")
