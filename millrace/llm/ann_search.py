@@ -57,37 +57,63 @@ RECALL = 0.95
 SEED = 5
 
 
+#: Norms of one band differ by this factor at most, so sums of a few bytes tell its vectors apart.
+BAND = 16.0
+
+
+def log_norms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors divided by their largest component, and the logarithm of their norms; no square leaves the range of numbers."""
+    most = np.abs(x).max(1)
+    unit = x / most[:, None]
+    return unit, np.log(most) + 0.5 * np.log((unit * unit).sum(1))
+
+
 @dataclass
 class Space:
-    """What tasks need: rotation, cells, centroids by cell, probes and the largest norm (bounded by the sample and the dimension)."""
+    """What tasks need: rotation, cells, centroids by cell, probes and the largest norm (bounded by the sample and the dimension).
+
+    Vectors are sorted into bands by norm, each divided by the largest norm of its band; a
+    list holds the vectors of one band that are nearest to one centroid.
+    """
 
     rotation: np.ndarray
-    norm: float
+    #: Logarithm of the largest norm.
+    largest: float
     cells: np.ndarray
     centroids: np.ndarray
     #: First list of each cell, and the number of lists last.
     firsts: np.ndarray
     probes: int = 1
 
-    def vectors(self, x: np.ndarray) -> np.ndarray:
-        """Rotated vectors with the component that brings them to the largest norm."""
-        rest = np.sqrt(np.maximum(0.0, self.norm**2 - (x * x).sum(1)))
-        return (np.column_stack([x, rest]) @ self.rotation).astype(np.float32)
+    def vectors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rotated vectors with the component that brings them to their band's norm, and the bands."""
+        unit, norm = log_norms(x)
+        band = np.maximum(0, np.floor((self.largest - norm) / np.log(BAND) - 1e-9)).astype(np.int64)
+        scale = norm - (self.largest - band * np.log(BAND))
+        x = unit * (np.exp(np.minimum(scale, 0.0)) / np.sqrt((unit * unit).sum(1)))[:, None]
+        rest = np.sqrt(np.maximum(0.0, 1 - (x * x).sum(1)))
+        return (np.column_stack([x, rest]) @ self.rotation).astype(np.float32), band
 
     def queries(self, q: np.ndarray) -> np.ndarray:
-        """Rotated queries, brought to the largest norm by scaling, which changes no order."""
-        q = q * (self.norm / np.sqrt((q * q).sum(1, keepdims=True)))
+        """Rotated queries of norm 1; scaling changes no order."""
+        unit, _ = log_norms(q)
+        q = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
         return (np.column_stack([q, np.zeros(len(q))]) @ self.rotation).astype(np.float32)
 
-    def lists(self, x: np.ndarray) -> np.ndarray:
-        """The list of each vector: the nearest of its nearest cell."""
-        out = np.empty(len(x), np.int32)
+    def nearest_lists(self, x: np.ndarray) -> np.ndarray:
+        """The centroid of each rotated vector: the nearest of its nearest cell."""
+        out = np.empty(len(x), np.int64)
         cell = nearest(x, self.cells)
         for c in np.unique(cell):
             at = np.flatnonzero(cell == c)
             out[at] = self.firsts[c] + nearest(x[at], self.centroids[self.firsts[c] : self.firsts[c + 1]])
         return out
 
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector: its centroid within its band."""
+        turned, band = self.vectors(x)
+        return band * len(self.centroids) + self.nearest_lists(turned)
+
 
 def distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (centroids**2).sum(1)[None, :] - 2 * x @ centroids.T
@@ -123,11 +149,11 @@ def sample_size(n_rows: int) -> int:
     return int(np.clip(SAMPLE_PER_LIST * list_count(n_rows), LEAST_SAMPLE, MOST_SAMPLE))
 
 
-def fit(sample: np.ndarray, n_rows: int, norm: float) -> Space:
-    """Space fitted on sampled vectors; ``n_rows`` and ``norm`` are those of the whole table."""
+def fit(sample: np.ndarray, n_rows: int, largest: float) -> Space:
+    """Space fitted on sampled vectors; ``n_rows`` and the logarithm of the ``largest`` norm are those of the whole table."""
     turn, none = rotation(sample.shape[1] + 1), np.empty((0, 0), np.float32)
-    space = Space(turn, norm, none, none, np.zeros(1, np.int64))
-    x = space.vectors(sample)
+    space = Space(turn, largest, none, none, np.zeros(1, np.int64))
+    x, _ = space.vectors(sample)
     k = min(list_count(n_rows), max(1, len(sample) // SAMPLE_PER_LIST))
     space.cells = kmeans(x, max(1, round(k**0.5)))
     cell = nearest(x, space.cells)
@@ -137,11 +163,11 @@ def fit(sample: np.ndarray, n_rows: int, norm: float) -> Space:
         fitted.append(kmeans(own, max(1, min(len(own), round(k * len(own) / len(x)))), 4) if len(own) else space.cells[c : c + 1])
     space.centroids, space.firsts = np.concatenate(fitted), np.cumsum([0, *map(len, fitted)])
     some = sample[:: max(1, len(sample) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
-    product = some @ sample.T
-    best = np.argsort(-product, axis=1)[:, 1 : K + 1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        best = np.argsort(-np.nan_to_num(some @ sample.T), axis=1)[:, 1 : K + 1]
     order = np.argsort(distances(space.queries(some), space.centroids), axis=1)
     place = np.argsort(order, axis=1)
-    depth = np.take_along_axis(place, space.lists(x)[best], axis=1)
+    depth = np.take_along_axis(place, space.nearest_lists(x)[best], axis=1)
     space.probes = 1 + int(np.quantile(depth, RECALL, method="higher")) if depth.size else len(space.centroids)
     return space
 
@@ -186,7 +212,6 @@ def scan(columns: list[np.ndarray], queries: np.ndarray, allowed: np.ndarray, k:
         keep = sums <= test(seen)[who]
         who, at, sums = who[keep], at[keep], sums[keep]
     return who, near[at]
-    return who, at
 
 
 def assign(space: Space):
@@ -196,19 +221,23 @@ def assign(space: Space):
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch.column(2))
-                lists = pa.array(space.lists(space.vectors(x.astype(np.float64))))
+                lists = pa.array(space.lists(x.astype(np.float64)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, _binary(x)], ["row", "vec_id", "list", "vector"])
 
     return run
 
 
 def units_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First unit and number of units of each list: lists side by side share one of about ``BLOCK_ROWS`` rows, longer ones have several."""
-    first, count = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32)
+    """First unit and number of units of each list, for sizes [band, centroid].
+
+    Lists side by side share a unit of about ``BLOCK_ROWS`` rows, longer ones have several;
+    no unit holds two bands, as a bound holds within one.
+    """
+    first, count = np.zeros(sizes.size, np.int32), np.ones(sizes.size, np.int32)
     unit, held = 0, 0
-    for k, n in enumerate(sizes.tolist()):
+    for k, n in enumerate(sizes.ravel().tolist()):
         count[k] = max(1, -(-n // BLOCK_ROWS))
-        if held and held + n > BLOCK_ROWS:
+        if held and (held + n > BLOCK_ROWS or k % sizes.shape[1] == 0):
             unit, held = unit + 1, 0
         first[k] = unit
         held += n
@@ -218,8 +247,9 @@ def units_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probe(space: Space, sizes: np.ndarray, k: int):
-    """Function for ``mapInArrow``: queries (row, vec_id, embedding) to a row for each unit they probe, with the lists in it: the nearest ``probes``, and on until 4k rows lie in them."""
+    """Function for ``mapInArrow``: queries (row, vec_id, embedding) to a row for each unit they probe, with the lists in it: in each band the nearest ``probes``, and on until 4k rows lie in them."""
     first, count = units_of(sizes)
+    bands = np.flatnonzero(sizes.sum(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,12 +257,15 @@ def probe(space: Space, sizes: np.ndarray, k: int):
                 part = batch.slice(begin, 1024)
                 x = _matrix(part.column(2))
                 order = np.argsort(distances(space.queries(x.astype(np.float64)), space.centroids), axis=1)
-                enough = (np.cumsum(sizes[order], axis=1) >= min(4 * k, sizes.sum())).argmax(1) + 1
+                enough = [(np.cumsum(sizes[b][order], axis=1) >= min(4 * k, sizes[b].sum())).argmax(1) + 1 for b in bands]
                 who, units, lists = [], [], []
-                for q, wanted in enumerate(np.maximum(space.probes, enough).tolist()):
+                for q in range(len(x)):
+                    chosen = [b * sizes.shape[1] + order[q, : max(space.probes, int(n[q]))] for b, n in zip(bands, enough)]
+                    chosen = np.concatenate(chosen)
+                    chosen = chosen[sizes.ravel()[chosen] > 0]
                     # A list of several units is named once for each.
-                    times = count[order[q, :wanted]]
-                    probed = np.repeat(order[q, :wanted], times)
+                    times = count[chosen]
+                    probed = np.repeat(chosen, times)
                     unit = first[probed] + np.arange(len(probed)) - np.repeat(np.cumsum(times) - times, times)
                     by = np.argsort(unit, kind="stable")
                     ends = np.flatnonzero(np.append(unit[by][1:] != unit[by][:-1], True)) + 1
@@ -267,7 +300,7 @@ def search_units(space: Space, dtype: str, k: int):
 
         def hold() -> tuple:
             vectors = matrix([r[3] for r in rows])
-            turned = space.vectors(vectors).T
+            turned = space.vectors(vectors)[0].T
             columns = [np.ascontiguousarray(turned[a : a + COLUMNS]) for a in range(0, len(turned), COLUMNS)]
             return columns, vectors, np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2][0] for r in rows])
 
@@ -279,7 +312,8 @@ def search_units(space: Space, dtype: str, k: int):
             who, near = scan(columns, space.queries(exact), allowed, k + 1)
             other = row_of[near] != query_row[who]
             who, near = who[other], near[other]
-            score = (vectors[near] * exact[who]).sum(1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = (vectors[near] * exact[who]).sum(1)
             order = np.lexsort((id_of[near], -score, who))
             place = np.arange(len(order)) - np.searchsorted(who[order], who[order])
             order = order[place < k]
@@ -323,21 +357,25 @@ def search(vectors: DataFrame, is_query: str, k: int = K) -> DataFrame:
     single = vectors.schema["embedding"].dataType.elementType.simpleString() == "float"
     vector, dtype = ("array<float>", "<f4") if single else ("array<double>", "<f8")
     good = vectors.filter(sound("embedding")).select(F.monotonically_increasing_id().alias("row"), "vec_id", F.col("embedding").cast(vector).alias("embedding"))
-    square = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
-    widths = good.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.max(square).alias("square"))
+    # The logarithm of the norm, by way of the largest component, as squares may leave the range of numbers.
+    most = F.array_max(F.transform(F.col("embedding").cast("array<double>"), F.abs))
+    square = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, x: a + (x / most) * (x / most))
+    widths = good.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.max(F.log(most) + F.log(square) / 2).alias("norm"))
     most = widths.orderBy(F.desc("n"), "width").first()
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     good = stage(good.filter(F.size("embedding") == most.width), "vectors")
     sample = good.select(F.xxhash64("vec_id", "row").alias("h"), "embedding").orderBy("h").limit(sample_size(most.n))
-    space = fit(np.array([r.embedding for r in sample.select("embedding").collect()], np.float64), most.n, float(np.sqrt(most.square)))
+    space = fit(np.array([r.embedding for r in sample.select("embedding").collect()], np.float64), most.n, float(most.norm))
 
     placed = stage(good.mapInArrow(assign(space), "row long, vec_id long, list int, vector binary"), "lists")
     counts = {r.list: r.n for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    sizes = np.array([counts.get(x, 0) for x in range(len(space.centroids))])
+    # Bands by centroids; a list's number says which. Norms of numbers lie in 512 bands at most.
+    sizes = np.zeros((max(counts) // len(space.centroids) + 1, len(space.centroids)), np.int64)
+    sizes.ravel()[list(counts)] = list(counts.values())
     first, count = units_of(sizes)
-    # One row a list: at most MOST_SAMPLE / SAMPLE_PER_LIST of them.
-    units = F.broadcast(spark.createDataFrame([(k, int(a), int(n)) for k, (a, n) in enumerate(zip(first, count))], "list int, first int, n int"))
+    # One row a list that holds rows: at most MOST_SAMPLE / SAMPLE_PER_LIST of them a band.
+    units = F.broadcast(spark.createDataFrame([(k, int(first[k]), int(count[k])) for k in sorted(counts)], "list int, first int, n int"))
     data = placed.join(units, "list").select((F.col("first") + F.pmod(F.xxhash64("row"), F.col("n"))).cast("int").alias("unit"), F.lit(False).alias("is_query"), "row", "vec_id", F.array("list").alias("lists"), "vector")
     asked = good.filter(is_query).mapInArrow(probe(space, sizes, k), "row long, vec_id long, unit int, lists array<int>, vector binary")
     asked = asked.select("unit", F.lit(True).alias("is_query"), "row", "vec_id", "lists", "vector")

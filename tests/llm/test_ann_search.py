@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from millrace.llm import ann_search as A
 from tests.conftest import SF
@@ -45,3 +46,25 @@ def test_small_tables_are_searched_whole(spark):
     x, ids = np.stack(e.embedding.to_numpy()).astype(float), e.vec_id.to_numpy()
     best = {(int(ids[q]), k + 1): v for q in np.flatnonzero(ids % 20 == 0) for k, v in enumerate(brute(ids, x, q, 20))}
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in rows} == best
+
+
+@pytest.mark.parametrize("kind, scales", [("float", (1e-30, 1.0, 1e20, 1e38)), ("double", (1e-30, 1.0, 1e20, 1e38)), ("double", (1e-150, 1.0, 1e150))])
+@pytest.mark.parametrize("few", [True, False])
+def test_any_finite_scale(spark, monkeypatch, kind, scales, few):
+    """Vectors of very different sizes, or one that is much larger than all others: every query is answered."""
+    rng = np.random.default_rng(3)
+    n = 900
+    x = (rng.standard_normal((10, 16))[rng.integers(0, 10, n)] + 0.4 * rng.standard_normal((n, 16))) / 10
+    x *= (np.where(np.arange(n) == 77, scales[-1], 1.0) if few else np.array(scales)[rng.integers(0, len(scales), n)])[:, None]
+    if kind == "float":
+        x = x.astype(np.float32).astype(float)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    for rows in (4096, 100):
+        monkeypatch.setattr(A, "LIST_ROWS", rows)
+        found = {}
+        for r in A.search(table, "vec_id % 20 = 0").collect():
+            found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert len(found) == 45 and all(sorted(f)[k][0] == k + 1 for f in found.values() for k in range(20))
+        with np.errstate(over="ignore", invalid="ignore"):
+            hits = sum(len({v for _, v, _ in found[q]} & {v for v, _ in brute(np.arange(n), x, q, 20)}) for q in found)
+        assert hits >= 0.9 * 45 * 20
