@@ -287,17 +287,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     read = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("hash"), "text")
     rows = stage(read.mapInArrow(sketch_rows, "doc_id long, key long, row long, hash long, digest binary, n long, keys array<long>"), "sketches")
     # One text of each digest goes on; its copies come back in the last join.
-    texts = rows.filter("n > 0").groupBy("digest").agg(F.min("key").alias("key"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
-    sketched = stage(texts.select("digest", "key", "n", F.explode("keys").alias("bucket")), "buckets")
+    texts = rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct("key", "hash")).alias("of"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    sketched = stage(texts.select("digest", "of", "n", F.explode("keys").alias("bucket")), "buckets")
     heads = stage(sketched.groupBy("bucket").agg(F.min("digest").alias("head"), F.count("*").alias("size")).filter("size > 1"), "heads")
     agree = spread_join(sketched, heads, ["bucket"], "size", ["digest"]).filter(F.col("digest") != F.col("head")).groupBy(F.col("digest").alias("a"), F.col("head").alias("b")).agg(F.count("*").alias("n"))
     placed = components(stage(agree.filter(F.col("n") >= AGREE).select("a", "b"), "neighbours"))
 
-    members = sketched.select("digest", "key", "n").distinct().join(placed.select(F.col("node").alias("digest"), F.col("label").alias("place")), "digest")
+    members = sketched.select("digest", "of.key", "of.hash", "n").distinct().join(placed.select(F.col("node").alias("digest"), F.col("label").alias("place")), "digest")
     members = stage(members, "members")
-    own = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), "text")
-    # A sort-merge join at every size: it does not turn with the number of members.
-    held = own.join(members.select("key", "digest").hint("merge"), "key").select("digest", "text").mapInArrow(sequences, "digest binary, sequence binary")
+    own = docs.select(F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.xxhash64("text").alias("hash"), "text")
+    # A sort-merge join at every size: it does not turn with the number of members. Ids may repeat, so texts are named by both.
+    held = own.join(members.select("key", "hash", "digest").hint("merge"), ["key", "hash"]).select("digest", "text").mapInArrow(sequences, "digest binary, sequence binary")
     held = stage(held.groupBy("digest").agg(F.any_value("sequence").alias("sequence")), "sequences")
     found = parts_of(members.select("digest", "n", "place"), sketched, held)
     discard(heads, members, held)

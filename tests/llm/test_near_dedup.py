@@ -145,3 +145,13 @@ def test_repeated_ids_lose_copies_only(spark):
     assert found == [(-1, "no copy of any other text here"), (0, b), (1, a), (3, d)]
     assert [r.text.rstrip("!") for r in left if r.doc_id == 2] == [c]
     assert sum(r.doc_id == 7 for r in drop_near_copies(edges(spark, "row")).collect()) == 1
+
+
+def test_many_texts_under_one_id_are_read_once(spark):
+    """Sequences are joined by id and text: near copies that share an id give no more rows than there are texts."""
+    words = [f"w{k}" for k in range(60)]
+    rows = [(7, " ".join(words[:50] + [f"x{k}"] + words[50:])) for k in range(300)] + [(8, " ".join(words))]
+    decided = near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.class_id, r.class_size) for r in decided.collect()} == {(7, 301)}
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert kept.count() == 1
