@@ -4,7 +4,7 @@ Three base patterns find assigned values, access key ids and long hex runs. Besi
 them the method decodes base64 and hex candidates and reports one only when its
 bytes parse: PEM blocks and bare DER keys by nested lengths that add up exactly,
 SSH keys by their length-prefixed fields, signed tokens by a JSON header that
-names an algorithm. Bodies may be wrapped over lines, with real or escaped line
+names an algorithm. PEM blocks may be encoded once more; public keys are no secrets. Bodies may be wrapped over lines, with real or escaped line
 breaks, and hex may start with 0x. Every base span stays; confirmed spans are added.
 
 Defined cases: a null text counts as empty and gives no spans; texts are scanned
@@ -45,8 +45,10 @@ _LAST_LINE = re.compile(r"([A-Za-z0-9+/]+={0,2})(?![A-Za-z0-9+/=_-])")
 _TOKEN_RUN = re.compile(r"[A-Za-z0-9_.-]+")
 _TOKEN_START = re.compile(r"e[yw]")
 _MAX_NESTING = 16
-#: SSH key types.
-_SSH_TYPES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
+#: Integers of the shortest private key that is a list of integers.
+_PRIVATE_INTEGERS = 6
+#: Fixed value: what a private SSH container starts with.
+_SSH_PRIVATE = b"openssh-key-v1\0"
 
 
 def decoded(text: str) -> bytes | None:
@@ -83,7 +85,10 @@ def _der_items(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """A sequence, filling the data, that holds a key: integers, an algorithm with a bit or octet string, or a version with an octet string, or an algorithm with an encrypted octet string."""
+    """A sequence, filling the data, that holds a private key: a version, an algorithm and an octet string; an encrypted
+    octet string after its algorithm; a version with an octet string; or a version 0 with the integers of a private key.
+    Public keys are no secrets: a bit string after an algorithm, or few integers.
+    """
     if len(data) < 24 or data[0] != 0x30:
         return False
     outer = _der_items(data)
@@ -93,17 +98,17 @@ def is_der_key(data: bytes) -> bool:
     tags = [t for t, _ in inside]
     if tags == [0x30, 0x04]:  # encrypted: the algorithm is named by an object identifier
         return inside[0][1][:1] == b"\x06"
-    return tags[:3] == [0x02, 0x30, 0x04] or tags == [0x30, 0x03] or tags[:2] == [0x02, 0x04] or (len(tags) >= 2 and set(tags) == {0x02} and max(len(b) for _, b in inside) >= 16)
+    if tags[:3] == [0x02, 0x30, 0x04] or tags[:2] == [0x02, 0x04]:
+        return True
+    return len(tags) >= _PRIVATE_INTEGERS and set(tags[:_PRIVATE_INTEGERS]) == {0x02} and inside[0][1] in (b"\0", b"\1") and max(len(b) for _, b in inside) >= 16
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields that fill the data, the first one a key type; or the private container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        data = data[15:]
-        fields, left = _fields(data, 3)
-        return len(fields) == 3 and len(left) > 4
-    fields, left = _fields(data, 8)
-    return len(fields) >= 2 and not left and fields[0] in _SSH_TYPES
+    """The private container: length-prefixed names of cipher and key derivation with its options, then keys."""
+    if not data.startswith(_SSH_PRIVATE):
+        return False
+    fields, left = _fields(data[len(_SSH_PRIVATE) :], 3)
+    return len(fields) == 3 and len(left) > 4
 
 
 def _fields(data: bytes, most: int) -> tuple[list[bytes], bytes]:
@@ -181,14 +186,16 @@ def pem_spans(text: str) -> list[tuple[int, int]]:
 
 
 def _key_kind(run: str) -> int | None:
-    """4 for a DER key, 5 for an SSH key in base64 or hex."""
-    data = decoded(run)
-    if not (data and (is_der_key(data) or is_ssh_key(data))):
-        m = _ANY_HEX.fullmatch(run)
-        data = bytes.fromhex(m[1]) if m and len(m[1]) % 2 == 0 else b""
-        if not (data and (is_der_key(data) or is_ssh_key(data))):
-            return None
-    return 4 if data[0] == 0x30 else 5
+    """4 for a DER key, 5 for an SSH key, 3 for a whole PEM block, in base64 or hex."""
+    m = _ANY_HEX.fullmatch(run)
+    for data in (decoded(run), bytes.fromhex(m[1]) if m and len(m[1]) % 2 == 0 else None):
+        if data and is_der_key(data):
+            return 4
+        if data and is_ssh_key(data):
+            return 5
+        if data and data.lstrip()[:11] == b"-----BEGIN " and pem_spans(data.decode("latin-1")):
+            return 3
+    return None
 
 
 def encoded_spans(text: str) -> list[tuple[int, int, int]]:

@@ -14,7 +14,7 @@ def der(tag, *parts):
 
 
 PKCS8 = der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"\x2b\x65\x70")), der(0x04, der(0x04, bytes(range(32)))))
-RSA = der(0x30, *[der(0x02, bytes([1]) * n) for n in (1, 64, 3, 64)])
+RSA = der(0x30, der(0x02, b"\0"), *[der(0x02, bytes([1]) * n) for n in (64, 3, 64, 32, 32, 32, 32, 32)])
 
 
 def b64(data):
@@ -42,10 +42,18 @@ def test_base_spans_match_brute_force():
 
 def test_structures_confirm():
     kinds = lambda text: [KINDS[k] for _, k, _ in confirmed_spans(text)]
-    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))
+    field = lambda *parts: b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+    ssh = b"openssh-key-v1\0" + field(b"none", b"none", b"") + (1).to_bytes(4, "big") + field(bytes(51), bytes(136))
     assert kinds(f"x {b64(PKCS8)} y") == ["der"]
     assert kinds(PKCS8.hex()) == ["der"]
     assert kinds(b64(ssh)) == ["ssh"]
+    # Public keys are no secrets: an SSH key line, an algorithm with a bit string, a modulus with its exponent.
+    public = der(0x30, der(0x30, der(0x06, b"\x2b\x65\x70")), der(0x03, b"\0", bytes(range(32))))
+    modulus = der(0x30, der(0x02, bytes([1]) * 64), der(0x02, b"\1\0\1"))
+    for data in (field(b"ssh-ed25519", bytes(32)), public, modulus):
+        assert kinds(b64(data)) == kinds(data.hex()) == kinds(f"-----BEGIN PUBLIC KEY-----\n{b64(data)}\n-----END PUBLIC KEY-----") == []
+    block = f"-----BEGIN PRIVATE KEY-----\n{b64(PKCS8)}\n-----END PRIVATE KEY-----\n"
+    assert kinds(b64(block.encode())) == ["pem"] and kinds(b64(block.replace("PRIVATE KEY-----\n", "PRIVATE KEY-----\nAAAA", 1).encode())) == []
     assert "pem" in kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{b64(RSA)}\n-----END RSA PRIVATE KEY-----")
     assert kinds(f"{url({'alg': 'HS256'})}.{url({'sub': 1})}.c2ln") == ["token"]
     assert kinds(f"{url({'typ': 'HS256'})}.{url({'sub': 1})}.c2ln") == []
@@ -54,7 +62,7 @@ def test_structures_confirm():
 
 def test_common_encodings_of_keys():
     kinds = lambda text: [(KINDS[k], text[a:b]) for a, k, b in confirmed_spans(text)]
-    long = der(0x30, *[der(0x02, bytes([1]) * n) for n in (1, 128, 3, 128)])
+    long = der(0x30, der(0x02, b"\0"), *[der(0x02, bytes([1]) * n) for n in (128, 3, 128, 64, 64, 64)])
     lines = re.findall(".{1,64}", b64(long))
     begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
     escaped = begin + "\\n" + "\\n".join(lines) + "\\n" + end
@@ -91,3 +99,42 @@ def test_edges(spark):
     assert find_secrets(empty(spark)).count() == 0
     one = find_secrets(spark.createDataFrame([(1, TEXTS[0])], "doc_id long, text string")).first()
     assert one.n_assign == sum(k == 0 for _, k, _ in brute(TEXTS[0])) and one.spans.startswith("assign:")
+
+
+def test_spans_of_planted_secrets_match_brute_force():
+    """Keys and tokens at random places among prose, decoys and public keys: exactly the planted spans are found."""
+    import random
+
+    rng = random.Random(11)
+    field = lambda *parts: b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+    def secret():
+        kind = rng.choice(["der", "hex", "ssh", "token", "pem", "pem64", "ec"])
+        data = rng.randbytes(32)
+        key = der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"\x2b\x65\x70")), der(0x04, der(0x04, data)))
+        block = f"-----BEGIN PRIVATE KEY-----\n{b64(key)}\n-----END PRIVATE KEY-----"
+        return {
+            "der": ("der", b64(key)), "hex": ("der", key.hex()), "ec": ("der", b64(der(0x30, der(0x02, b"\1"), der(0x04, data)))),
+            "ssh": ("ssh", b64(b"openssh-key-v1\0" + field(b"none", b"none", b"") + (1).to_bytes(4, "big") + field(data, data * 4))),
+            "token": ("token", f"{url({'alg': 'RS256', 'n': rng.random()})}.{url({'sub': rng.random()})}.{b64(data).rstrip('=').replace('+', '-').replace('/', '_')}"),
+            "pem": ("pem", block), "pem64": ("pem", b64(block.encode())),
+        }[kind]
+
+    def decoy():
+        data = rng.randbytes(40)
+        return rng.choice([b64(data), data.hex(), b64(der(0x30, der(0x30, der(0x06, b"\x2a")), der(0x03, data))), "a.b.c", "-----BEGIN CERTIFICATE-----", url({"typ": "x"}) + ".e30.sig", "MII" + "A" * 60])
+
+    for _ in range(150):
+        text, want = "", []
+        for _ in range(rng.randrange(1, 7)):
+            text += rng.choice([" some words, ", "\n", " é 中 ", "\t(", " = "])
+            if rng.random() < 0.5:
+                kind, body = secret()
+                want.append((len(text), kind, len(text) + len(body)))
+            else:
+                body = decoy()
+            text += body + rng.choice([" ", "\n\n", ") ", " ; "])
+        found = [(a, KINDS[k], b) for a, k, b in sorted(confirmed_spans(text)) if KINDS[k] in ("pem", "der", "ssh", "token")]
+        # Inside a PEM block its body may be told once more.
+        found = [f for f in found if not any(w[1] == "pem" and w != f and w[0] <= f[0] and f[2] <= w[2] for w in want)]
+        assert found == want, text
