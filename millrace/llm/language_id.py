@@ -49,9 +49,33 @@ SMOOTHING = 20.0
 #: Log odds that text in no known language starts with.
 UNKNOWN_PRIOR = -4.0
 #: The first language of the html element, without its region; the host of an address, without user, port and last dot.
-_DECLARED = r"(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]+)"
+_DECLARED = r"(?is)<html\b[^<>]*?\s(?:xml:)?lang\s*=\s*[\"']?\s*([a-z]+)"
 _HOST = r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:@]+?)\.?(?:[:/?#]|\s*$)"
-_UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|</?[A-Za-z!?][^>]*>", re.S | re.I)
+_UNSEEN = re.compile(r"<!--.*?(?:-->|(?P<open>\Z))|<(?P<name>script|style)\b.*?(?:</(?P=name)\s*>|(?P<unended>\Z))|</?[A-Za-z!?][^>]*>", re.S | re.I)
+_UNENDED = re.compile(r"<!--|<(?:script|style)\b", re.I)
+
+
+def seen_text(page: str) -> str:
+    """Text of a page without tags, comments and scripts, in linear time.
+
+    No tag is closed behind the last ``>``, so none is looked for there; a comment or script
+    that nothing ends reaches to the end of the page.
+    """
+    last = page.rfind(">") + 1
+    head, tail, reached = page[:last], page[last:], False
+
+    def blank(m: re.Match) -> str:
+        nonlocal reached
+        reached = m["open"] is not None or m["unended"] is not None
+        return " "
+
+    head = _UNSEEN.sub(blank, head)
+    if reached:
+        return html.unescape(head)
+    cut = _UNENDED.search(tail)
+    return html.unescape(head + (f"{tail[: cut.start()]} " if cut else tail))
+
+
 _LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _PLAIN = np.where(_LETTER, _LOWER, ord(" ")).astype(np.uint8)
@@ -129,7 +153,7 @@ def visible_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with html last to those with the ``text`` that it shows: no comments, scripts, styles and tags; references resolved."""
     for batch in batches:
         pages = batch.column(batch.num_columns - 1).to_pylist()
-        text = pa.array([None if p is None else html.unescape(_UNSEEN.sub(" ", p)) for p in pages], pa.string())
+        text = pa.array([None if p is None else seen_text(p) for p in pages], pa.string())
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], [*batch.schema.names[:-1], "text"])
 
 

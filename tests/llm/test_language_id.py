@@ -122,3 +122,25 @@ def test_sample_is_bounded_and_columns_may_clash(spark, monkeypatch):
     found = identify(names, carry=["host", "grams", "row", "__hash"])
     assert found.columns == ["doc_id", "host", "grams", "row", "__hash", "language", "confidence", "kept"] and found.filter("row = 'r' and grams = 1 and host is not null").count() == docs.count()
     assert drop_unknown(names).columns == names.columns and drop_unknown(names).filter("__hash = 2").count() > 0
+
+
+def test_pages_of_open_tags_take_linear_time(spark):
+    import re
+    import time
+
+    from pyspark.sql import functions as F
+
+    from millrace.llm import language_id as L
+
+    for unit in ("<a", "<html", "<!--", "<script", "</script ", "<html lang ", "<", "<a>", "<!", "<html xml:lang = "):
+        page = unit * (1_000_000 // len(unit))
+        began = time.perf_counter()
+        L.seen_text(page)
+        assert time.perf_counter() - began < 1, unit
+        rows = spark.createDataFrame([(page,)], "html string").select(F.regexp_extract("html", L._DECLARED, 1).alias("d"))
+        began = time.perf_counter()
+        rows.collect()
+        assert time.perf_counter() - began < 3, unit
+    plain = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|</?[A-Za-z!?][^>]*>", re.S | re.I)
+    for page in ("a <b>c</b> d", "x <!-- y > z", "x <!-- y > z --> w <i", "<script>a > b", "a > b <script c", "a <style> b </style > c <p", "a <p", "a > b <!-- c", "1 < 2 > 0 <b", "", ">", "<a<b<c>d", "<!-- <script> --> t <script> </SCRIPT> u"):
+        assert L.seen_text(page) == L.html.unescape(plain.sub(" ", page)), page
