@@ -77,27 +77,30 @@ def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(th), pa.array(anchor, mask=rank >= 2)], ["anchor", "th", "deal"])
 
 
-#: ``at`` holds the text's number and, in its low bits, the word that the window starts at (no Spark string has more words).
+#: ``at`` holds the text's number and, in its low bits, the word that the window starts at: as many bits as the longest text needs.
 EDGES = "lnode long, rnode long, at long"
-WORD_BITS = 30
 
 
-def list_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(number, text, anchors) to the windows whose anchor is among those given."""
-    for batch in batches:
-        for first in range(0, batch.num_rows, 512):
-            part = batch.slice(first, 512)
-            columns: list[list[np.ndarray]] = [[] for _ in range(3)]
-            for number, text, wanted in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
-                hashes = _WORDS.of(split_words(text.as_py()))
-                pos = np.flatnonzero(np.isin(anchors(hashes), wanted.values.to_numpy().view(np.uint64)))
-                if not len(pos):
-                    continue
-                nodes = shingle_hashes(hashes, WINDOW - 1, seed=4).view(np.int64)
-                for c, v in zip(columns, (nodes[pos], nodes[pos + 1], pos + (number << WORD_BITS))):
-                    c.append(v)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lnode", "rnode", "at"])
+def list_edges(word_bits: int):
+    """Function for ``mapInArrow``: (number, text, anchors) to the windows whose anchor is among those given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                columns: list[list[np.ndarray]] = [[] for _ in range(3)]
+                for number, text, wanted in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
+                    hashes = _WORDS.of(split_words(text.as_py()))
+                    pos = np.flatnonzero(np.isin(anchors(hashes), wanted.values.to_numpy().view(np.uint64)))
+                    if not len(pos):
+                        continue
+                    nodes = shingle_hashes(hashes, WINDOW - 1, seed=4).view(np.int64)
+                    for c, v in zip(columns, (nodes[pos], nodes[pos + 1], pos + (number << word_bits))):
+                        c.append(v)
+                if columns[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lnode", "rnode", "at"])
+
+    return run
 
 
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -124,26 +127,32 @@ def drop_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()).cast(pa.string())], schema=_KEPT)
 
 
-def numbered(texts: DataFrame) -> DataFrame:
-    """Staged ``texts`` with ``number``: 0, 1... in order of doc_id, then th. One count of each range is gathered."""
+def numbered(texts: DataFrame) -> tuple[DataFrame, int]:
+    """Staged ``texts`` (doc_id, th, digest, bytes) with ``number``: 0, 1... in order of doc_id, then th; and the bits of a word's place.
+
+    One count of each range is gathered. A text of n bytes has n / 2 words at most, so numbers and
+    places fit into 63 bits unless there are more texts than 2 ** 63 over the words of the longest.
+    """
     dealt = texts.repartitionByRange(shuffle_partitions(texts.sparkSession), "doc_id", "th").withColumn("part", F.spark_partition_id())
     dealt = stage(dealt.withColumn("row", F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "th", "digest"))), "dealt-texts")
-    counts = {r.part: r.n for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    if sum(counts.values()) >= 1 << (63 - WORD_BITS):
-        raise ValueError(f"more than {1 << (63 - WORD_BITS)} different texts")
+    found = dealt.groupBy("part").agg(F.count("*").alias("n"), F.max("bytes").alias("bytes")).collect()
+    counts = {r.part: r.n for r in found}
+    word_bits = int(max((r.bytes for r in found), default=0) // 2 + 1).bit_length()
+    if sum(counts.values()) >= 1 << (63 - word_bits):
+        raise ValueError(f"more than {1 << (63 - word_bits)} different texts, the longest of 2 ** {word_bits} words")
     before = [sum(n for p, n in counts.items() if p < k) for k in range(max(counts, default=0) + 1)]
     start = F.element_at(F.array(*[F.lit(n).cast("long") for n in before]), F.col("part") + 1)
-    return stage(dealt.select(*texts.columns, (start + F.col("row") - 1).alias("number")), "numbered-texts")
+    return stage(dealt.select("doc_id", "th", "digest", (start + F.col("row") - 1).alias("number")), "numbered-texts"), word_bits
 
 
-def repeated_edges(windows: DataFrame) -> DataFrame:
+def repeated_edges(windows: DataFrame, word_bits: int) -> DataFrame:
     """Edges that occur in two texts: first place ``src``, number n and fingerprints of all places and of those one word on."""
     place = lambda by: F.bit_xor(F.xxhash64(F.col("at") + by))
     edges = windows.groupBy("lnode", "rnode").agg(F.min("at").alias("src"), F.max("at").alias("last"), F.count("*").alias("n"), place(0).alias("places"), place(1).alias("onward"))
-    return edges.filter(F.shiftright("last", WORD_BITS) > F.shiftright("src", WORD_BITS)).drop("last")
+    return edges.filter(F.shiftright("last", word_bits) > F.shiftright("src", word_bits)).drop("last")
 
 
-def compacted(edges: DataFrame) -> DataFrame:
+def compacted(edges: DataFrame, word_bits: int) -> DataFrame:
     """Nonbranching paths of repeated edges: nodes of the head, first place ``src``, number n of occurrences and ``length`` in edges.
 
     Where one edge leads to the next in every place, their first places follow each other.
@@ -153,7 +162,7 @@ def compacted(edges: DataFrame) -> DataFrame:
     along = Window.partitionBy("text").orderBy("src")
     before = F.lag(F.struct("src", "rnode", "n", "onward")).over(along)
     led = (before["src"] + 1 == F.col("src")) & (before["rnode"] == F.col("lnode")) & (before["n"] == F.col("n")) & (before["onward"] == F.col("places"))
-    marked = edges.withColumn("text", F.shiftright("src", WORD_BITS)).withColumn("heads", ~F.coalesce(led, F.lit(False)))
+    marked = edges.withColumn("text", F.shiftright("src", word_bits)).withColumn("heads", ~F.coalesce(led, F.lit(False)))
     walked = marked.withColumn("path", F.last(F.when(F.col("heads"), F.col("src")), True).over(along))
     paths = walked.groupBy("text", "path").agg(F.count("*").alias("length"), F.max(F.when(F.col("heads"), F.struct("lnode", "rnode", "n"))).alias("head"))
     return paths.select("head.lnode", "head.rnode", "head.n", F.col("path").alias("src"), "length")
@@ -162,10 +171,10 @@ def compacted(edges: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Spans (doc_id, th, start, end) of words to drop, and the later copies (doc_id, th) of whole texts."""
     keyed = docs.filter("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text")
-    copies = stage(keyed.select("doc_id", "th", F.unhex(F.md5("text")).alias("digest")), "digests")
+    copies = stage(keyed.select("doc_id", "th", F.unhex(F.md5("text")).alias("digest"), F.octet_length("text").alias("bytes")), "digests")
     # One text of each digest goes on.
-    firsts = copies.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    firsts = numbered(firsts.select("digest", "first.*"))
+    firsts = copies.groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.max("bytes").alias("bytes"))
+    firsts, word_bits = numbered(firsts.select("digest", "first.*", "bytes"))
     copied = firsts.select("digest", F.col("doc_id").alias("first"))
     later = stage(copies.join(copied, "digest").filter("doc_id > first").select("doc_id", "th").distinct(), "later-copies")
 
@@ -180,15 +189,15 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not copies.groupBy("doc_id", "th").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
         held = held.dropDuplicates(["doc_id", "th"])  # a row given twice is no second place
     held = held.select("number", "text", "anchors")
-    windows = stage(held.mapInArrow(list_edges, EDGES), "edges")
+    windows = stage(held.mapInArrow(list_edges(word_bits), EDGES), "edges")
     # A path's source is the first of the texts that hold it; other texts of its doc_id keep theirs.
     sources = firsts.select(F.col("number").alias("src_text"), F.col("doc_id").alias("src_id"))
-    paths = compacted(stage(repeated_edges(windows), "repeated-edges")).withColumn("src_text", F.shiftright("src", WORD_BITS))
+    paths = compacted(stage(repeated_edges(windows, word_bits), "repeated-edges"), word_bits).withColumn("src_text", F.shiftright("src", word_bits))
     paths = stage(paths.join(sources, "src_text").select("lnode", "rnode", "n", "src_id", "src_text", "length"), "paths")
     discard(copies, wanted)
 
-    met = spread_join(windows, paths, ["lnode", "rnode"], "n", ["at"]).withColumn("number", F.shiftright("at", WORD_BITS)).filter("number > src_text")
-    start = F.col("at").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).cast("int")
+    met = spread_join(windows, paths, ["lnode", "rnode"], "n", ["at"]).withColumn("number", F.shiftright("at", word_bits)).filter("number > src_text")
+    start = F.col("at").bitwiseAND(F.lit((1 << word_bits) - 1)).cast("int")
     spans = stage(met.select("number", "src_id", start.alias("start"), (start + F.col("length") + (WINDOW - 1)).cast("int").alias("end")), "spans")
     discard(windows, paths)
     return spans.join(firsts.select("doc_id", "th", "number"), "number").filter("doc_id > src_id").select("doc_id", "th", "start", "end"), later

@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from millrace.llm import substring_dedup as S
 from millrace.llm.substring_dedup import compacted, dedup_substrings, repeated_edges
 from millrace.llm.staging import stage
@@ -66,11 +69,11 @@ def test_paths_are_the_unitigs(spark):
     texts = [(k, [w for _ in range(4) for w in rng.choice([rng.choice(passages), [f"u{rng.randrange(99)}"], rng.choice(passages)[3:20]])]) for k in range(30)]
     texts += [(40, ["a", "b"] * 20), (41, ["b"] + ["a", "b"] * 15), (42, ["z"] * 30), (43, ["z"] * 17)]
     hashes = lambda words: (hash(tuple(words)) >> 1,)
-    windows = [(*hashes(w[k : k + 12]), *hashes(w[k + 1 : k + 13]), (d << S.WORD_BITS) + k) for d, w in texts for k in range(len(w) - 12)]
-    edges = stage(repeated_edges(spark.createDataFrame(windows, S.EDGES)), "test-edges")
-    paths = compacted(edges).collect()
+    windows = [(*hashes(w[k : k + 12]), *hashes(w[k + 1 : k + 13]), (d << 30) + k) for d, w in texts for k in range(len(w) - 12)]
+    edges = stage(repeated_edges(spark.createDataFrame(windows, S.EDGES), 30), "test-edges")
+    paths = compacted(edges, 30).collect()
     want = unitigs(texts)
-    assert sorted((r.src >> S.WORD_BITS, r.src & ((1 << S.WORD_BITS) - 1), r.length, r.n) for r in paths) == want
+    assert sorted((r.src >> 30, r.src & ((1 << 30) - 1), r.length, r.n) for r in paths) == want
     assert len(want) < edges.count() / 2 and max(n for _, _, n, _ in want) > 10
 
 
@@ -78,5 +81,16 @@ def test_compaction_decides(spark, monkeypatch):
     rows = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40))), (2, "x " + " ".join(f"w{k}" for k in range(30)) + " y"), (3, "z " + " ".join(f"w{k}" for k in range(10, 40)))], "doc_id long, text string")
     assert [r.n_removed for r in sorted(dedup_substrings(rows).collect())] == [0, 30, 30]
     whole = S.compacted
-    monkeypatch.setattr(S, "compacted", lambda edges: whole(edges).withColumn("length", S.F.lit(1)))
+    monkeypatch.setattr(S, "compacted", lambda edges, bits: whole(edges, bits).withColumn("length", S.F.lit(1)))
     assert [r.n_removed for r in sorted(dedup_substrings(rows).collect())] != [0, 30, 30]
+
+
+def test_numbers_leave_room_for_the_longest_text(spark):
+    """Places take as many bits as the longest text's words, so all others number texts; too many of both are an error."""
+    from millrace.llm.substring_dedup import numbered
+
+    texts = spark.createDataFrame([(k, k, bytes([k]), 10 + k) for k in range(5)], "doc_id long, th long, digest binary, bytes int")
+    rows, bits = numbered(texts)
+    assert sorted((r.doc_id, r.number) for r in rows.collect()) == [(k, k) for k in range(5)] and bits == 4
+    with pytest.raises(ValueError, match="different texts"):
+        numbered(texts.withColumn("bytes", F.lit(1 << 62)))
