@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.functions.identity import code_mark
 from millrace.functions.schemas import as_schema, fitted, property_fields
+from millrace.operators.open_answers import as_variant, plain
 from millrace.providers import Provider, ProviderSpec, Response
 from millrace.providers.leases import LeaseAddress, Leases
 from millrace.providers.pool import ServerPool
@@ -67,7 +68,7 @@ class AnnotateSpec:
         p, text = self.task_prefix, T.StringType()
         out = [T.StructField(f"{p}response", text), T.StructField(f"{p}finish_reason", text), T.StructField(f"{p}num_tokens", T.IntegerType()), T.StructField(f"{p}error", text), T.StructField(f"{p}error_type", text)]
         if self.schema is not None:
-            out += [T.StructField(f"{p}valid_fields", T.BooleanType()), *self.fields, T.StructField(f"{p}extra_json", text)]
+            out += [T.StructField(f"{p}valid_fields", T.BooleanType()), *self.fields, T.StructField(f"{p}extra", T.VariantType())]
         if self.extra_columns:
             out += T.StructType.fromDDL(self.extra_columns).fields
         if self.validate is not None:
@@ -98,7 +99,7 @@ def parsed(spec: AnnotateSpec, r: Response) -> dict[str, Any]:
     if spec.schema is None:
         return row
     fields = spec.fields
-    row |= {f"{p}valid_fields": False, f"{p}extra_json": None} | dict.fromkeys([f.name for f in fields])
+    row |= {f"{p}valid_fields": False, f"{p}extra": None} | dict.fromkeys([f.name for f in fields])
     if r.error is not None:
         return row
     try:
@@ -111,7 +112,7 @@ def parsed(spec: AnnotateSpec, r: Response) -> dict[str, Any]:
     whole = all(k in value for k in required) if required else None
     for f in fields:
         row[f.name] = fitted(value.pop(f.name, None), f.dataType)
-    row[f"{p}extra_json"] = json.dumps(value, ensure_ascii=False) if value else None
+    row[f"{p}extra"] = json.dumps(plain(value), ensure_ascii=False) if value else None
     row[f"{p}valid_fields"] = whole
     return row
 
@@ -235,7 +236,17 @@ def annotate(df: DataFrame, spec: AnnotateSpec) -> DataFrame:
     for c in callables:
         inspect.signature(c)  # not callable: fails here, not in a task
     needed = df.columns if callables else [c for c in df.columns if c in schema.names or c == messages]
-    return df.select(*needed).mapInArrow(worker(spec, schema), schema)
+    sent = df.select(*[F.to_json(f"`{c}`").alias(c) if isinstance(df.schema[c].dataType, T.VariantType) else F.col(f"`{c}`") for c in needed])
+    return read_variants(sent.mapInArrow(worker(spec, on_wire(schema)), on_wire(schema)), schema)
+
+
+def on_wire(schema: T.StructType) -> T.StructType:
+    """The schema that workers hand on: variants are JSON text there."""
+    return T.StructType([T.StructField(f.name, T.StringType()) if isinstance(f.dataType, T.VariantType) else f for f in schema.fields])
+
+
+def read_variants(df: DataFrame, schema: T.StructType) -> DataFrame:
+    return df.select(*[as_variant(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.VariantType) else F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def batch_number(rank: Column, batch_size: int) -> Column:

@@ -16,10 +16,11 @@ from pyspark.sql import types as T
 
 from millrace.operators import donebits
 from millrace.operators.annotate import AnnotateSpec, annotate, batched, in_flight
+from millrace.operators.open_answers import merged_schemas, shared_schema
 from millrace.operators.tables import done_rows, keep_first, metadata_counts, skip_done
 from millrace.plans.prepare import LENGTH_KEY, assign_index
 from millrace.providers.leases import LeaseBroker, driver_host
-from millrace.sources.tables import delete, exists, has_files, list_files, remove_empty_files, write_text
+from millrace.sources.tables import delete, exists, has_files, list_files, read_text, remove_empty_files, write_text
 
 log = logging.getLogger("millrace.progress")
 #: Rows that one task answers and commits; a crash costs the rows of the running tasks.
@@ -105,6 +106,13 @@ class Progress:
             rows = self.spark.read.parquet(folder)
             if donebits.countable(rows, idx):
                 _bits(rows, idx, error).write.mode("overwrite").parquet(f"{self.root}/done/wave={number:08d}")
+            for f in rows.schema.fields:
+                if isinstance(f.dataType, T.VariantType):
+                    write_text(self.spark, f"{self.root}/open/{f.name}/{number:08d}", shared_schema(rows, f.name))
+
+    def open_schema(self, column: str) -> str:
+        """What the keys beyond the schema hold, over all waves that ended."""
+        return merged_schemas([read_text(self.spark, f) for f, _ in list_files(self.spark, f"{self.root}/open/{column}")])
 
     def done_bits(self, idx: str, error: str, good: bool, scope: dict[str, str]) -> DataFrame | None:
         """Merged bitmaps (bucket, bits) of the done rows, staged; None where indices have no bits.
@@ -133,7 +141,7 @@ class Progress:
         return self.spark.read.parquet(path)
 
     def clear(self) -> None:
-        for name in ("manifest", "progress", "done", "todo"):
+        for name in ("manifest", "progress", "done", "open", "todo"):
             delete(self.spark, f"{self.root}/{name}")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
 import uuid
@@ -17,6 +18,7 @@ from millrace.functions.properties import property_schema
 from millrace.operators import tables as R
 from millrace.operators.annotate import AnnotateSpec, annotate, batch_number, batched
 from millrace.operators.donebits import bitmaps, merged, skip_set
+from millrace.operators.open_answers import extracted
 from millrace.operators.progress import Progress, run_annotation
 from millrace.pipeline import run_pipeline
 from millrace.plans.annotator import annotate_dataset, generate_dataset
@@ -193,6 +195,17 @@ def parse_required(spark, sf_dir):
     return _answered_by_props(spark, sf_dir, "k").select("idx", "valid_fields", "k")
 
 
+@query("SELECT event_id AS idx, CAST(json_extract(props, '$.k') AS BIGINT) AS k, NULL::varchar AS none, 'OBJECT<k: BIGINT>' AS schema FROM events")
+def open_answers(spark, sf_dir):
+    """Answers of keys that no schema names, in two waves: a typed path, one that no row has, and the schema of both waves."""
+    rows = prompted(table(spark, sf_dir, "events"), "event_id", "{props}")
+    spec = AnnotateSpec(ProviderSpec(LastMessageProvider), output_schema={"type": "object", "properties": {"other": {"type": "string"}}}, num_retries_invalid=0)
+    progress = Progress(spark, work_dir(spark))
+    found = run_annotation(rows, spec, progress, wave_rows=max(1, rows.count() // 2))
+    typed = extracted(found, "extra", {"k": ("$.k", "long"), "none": ("$.none", "string")})
+    return typed.select("idx", "k", "none", F.lit(progress.open_schema("extra")).alias("schema"))
+
+
 @query("SELECT event_id AS idx, false AS valid_fields, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def parse_missing_required(spark, sf_dir):
     return _answered_by_props(spark, sf_dir, "absent").select("idx", "valid_fields", "k")
@@ -590,11 +603,11 @@ def empty_files_removed(spark, sf_dir):
 def prepared_restored(spark, sf_dir):
     """Prepared rows are built by the first call and read back by the second."""
     where, docs = work_dir(spark), table(spark, sf_dir, "documents").withColumn("idx", F.col("doc_id"))
-    builds = []
-    hook = lambda df: builds.append(1) or df
+    builds = itertools.count()
+    hook = lambda df: df if next(builds) >= 0 else df.limit(0)
     for _ in range(2):
         rows = prepare_data(docs, PrepareSpec("Of {source}", keep_columns=("lang",)), where, hook)
-    return rows.select("idx", "lang", F.col("messages")[0]["content"].alias("prompt"), F.lit(len(builds)).alias("builds"))
+    return rows.select("idx", "lang", F.col("messages")[0]["content"].alias("prompt"), F.lit(next(builds)).alias("builds"))
 
 
 @query("SELECT doc_id AS idx, 'Loud: ' || upper(lang) AS prompt FROM documents")

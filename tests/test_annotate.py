@@ -72,7 +72,7 @@ def test_parsing_of_errors_and_open_schemas():
     assert parsed(spec(output_schema=LABEL), response('{"label": "a"}', error="cut"))["valid_fields"] is False
     free = {"type": "object", "properties": {"label": {"type": "string"}}}
     row = parsed(spec(output_schema=free), response('{"label": "a", "more": 1}'))
-    assert row["valid_fields"] is None and json.loads(row["extra_json"]) == {"more": 1}
+    assert row["valid_fields"] is None and json.loads(row["extra"]) == {"more": 1}
 
 
 def test_only_invalid_rows_are_retried():
@@ -107,7 +107,7 @@ def test_hooks_are_checked():
 
 def test_columns_and_order(spark):
     out = annotate(prepared(spark), spec(output_schema=LABEL, task_prefix=""))
-    assert out.columns == ["idx", "text", "messages", "response", "finish_reason", "num_tokens", "error", "error_type", "valid_fields", "label", "extra_json"]
+    assert out.columns == ["idx", "text", "messages", "response", "finish_reason", "num_tokens", "error", "error_type", "valid_fields", "label", "extra"]
     assert {r.label for r in out.collect()} == {f"label::document {k}" for k in range(13)}
 
 
