@@ -27,6 +27,7 @@ from millrace.plans.source_order import in_source_order
 from millrace.plans.template import PromptTemplate, TemplateError
 from millrace.providers import Messages, Provider, ProviderError, ProviderSpec, Response, RuntimeOptions, UnavailableError
 from millrace.sources.tables import count_lines, exists, list_files, load_dataset, read_jsonl, read_prompts, read_text, remove_empty_files, write_jsonl, write_text
+from millrace.streaming.done_state import annotate_once
 from millrace.streaming.resume import counts_stream, total_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,7 +197,7 @@ def parse_required(spark, sf_dir):
 
 
 @query("SELECT event_id AS idx, CAST(json_extract(props, '$.k') AS BIGINT) AS k, NULL::varchar AS none, 'OBJECT<k: BIGINT>' AS schema FROM events")
-def open_answers(spark, sf_dir):
+def answers_of_any_keys(spark, sf_dir):
     """Answers of keys that no schema names, in two waves: a typed path, one that no row has, and the schema of both waves."""
     rows = prompted(table(spark, sf_dir, "events"), "event_id", "{props}")
     spec = AnnotateSpec(ProviderSpec(LastMessageProvider), output_schema={"type": "object", "properties": {"other": {"type": "string"}}}, num_retries_invalid=0)
@@ -537,6 +538,18 @@ def stream_resume(spark, sf_dir):
     return total_counts(spark, f"{where}/out", "event_type")
 
 
+@query("SELECT event_id AS idx, event_type AS response, 1 AS times FROM events")
+def stream_annotate(spark, sf_dir):
+    """A stream of events whose source repeats every row, in two runs: each index is answered once."""
+    where, events = work_dir(spark), prompted(table(spark, sf_dir, "events"), "event_id", "{event_type}")
+    for n in range(2):
+        events.filter(F.lit(n == 1) | (F.col("idx") % 2 == 0)).write.mode("append").parquet(f"{where}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{where}/in")
+        annotate_once(source, echo(), f"{where}/out", f"{where}/checkpoint")
+    found = spark.read.parquet(f"{where}/out")
+    return found.groupBy("idx", "response").agg(F.count("*").cast("int").alias("times"))
+
+
 @query("SELECT doc_id, quality, toxic FROM labels")
 def jsonl_round_trip(spark, sf_dir):
     where, labels = work_dir(spark), table(spark, sf_dir, "labels")

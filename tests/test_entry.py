@@ -52,3 +52,6 @@ def test_the_package_stands_without_the_corpus_subpackage(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=clean, check=True, timeout=120)
     found = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=300)
     assert found.returncode == 0 and "error" not in found.stdout.lower().splitlines()[-1], found.stdout[-2000:]
+    # Those that need no long Spark job are run there as well.
+    ran = subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_config.py", "tests/test_providers.py", "tests/test_functions.py", "tests/test_open_answers.py"], cwd=tmp_path, env=clean, capture_output=True, text=True, timeout=900)
+    assert ran.returncode == 0, ran.stdout[-2000:]
