@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators import donebits
+from millrace.operators import donebits, wave_stats
 from millrace.operators.annotate import AnnotateSpec, annotate, batched, in_flight
 from millrace.operators.open_answers import merged_schemas, shared_schema
 from millrace.operators.tables import done_rows, keep_first, metadata_counts, skip_done
@@ -106,10 +106,21 @@ class Progress:
             rows = self.spark.read.parquet(folder)
             if donebits.countable(rows, idx):
                 _bits(rows, idx, error).write.mode("overwrite").parquet(f"{self.root}/done/wave={number:08d}")
+            prefix = error.removesuffix("error")
+            if f"{prefix}num_tokens" in rows.columns:
+                wave_stats.wave_stats(rows, prefix).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/stats/wave={number:08d}")
             for f in rows.schema.fields:
                 if isinstance(f.dataType, T.VariantType):
                     write_text(self.spark, f"{self.root}/open/{f.name}/{number:08d}", shared_schema(rows, f.name))
 
+    def stats(self) -> DataFrame | None:
+        """Counts and token sketch over all waves that ended, merged from what each left; no row is read.
+
+        Each answer counts, also one that a retry replaced later.
+        """
+        names = [n for n in self._named(self.root) if exists(self.spark, f"{self.root}/stats/wave={n}/_SUCCESS")]
+        return wave_stats.read_stats(self.spark, [f"{self.root}/stats/wave={n}" for n in names])
+
     def open_schema(self, column: str) -> str:
         """What the keys beyond the schema hold, over all waves that ended."""
         return merged_schemas([read_text(self.spark, f) for f, _ in list_files(self.spark, f"{self.root}/open/{column}")])
@@ -141,7 +152,7 @@ class Progress:
         return self.spark.read.parquet(path)
 
     def clear(self) -> None:
-        for name in ("manifest", "progress", "done", "open", "todo"):
+        for name in ("manifest", "progress", "done", "stats", "open", "jobs", "todo"):
             delete(self.spark, f"{self.root}/{name}")
 
 
@@ -212,7 +223,11 @@ def run_annotation(
     if overwrite:
         progress.clear()
     progress.copy_pending()
-    todo = to_do(prepared, progress, idx, error, retry_errors, scope)
+    if spec.provider.options.get("batch_api"):
+        from millrace.operators.batch_jobs import run_batch_jobs
+
+        run_batch_jobs(prepared, spec, progress, scope, retry_errors)
+    todo = to_do(prepared, progress, idx, error, retry_errors and not spec.provider.options.get("batch_api"), scope)
     slots = max(1, progress.spark.sparkContext.defaultParallelism)
     if wave_rows is None:
         wave_rows = progress.backup_every or task_rows * TASKS_PER_SLOT * slots

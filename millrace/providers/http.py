@@ -115,17 +115,44 @@ class OpenAIProvider(Provider):
             return [self.failed(e) for _ in batch]
 
     def _batch_job(self, batch: Sequence[Messages], options: OpenAIOptions, extra: dict) -> list[Response]:
-        """Upload requests as a file, wait for the job's end, and put its results in order."""
+        """Submit a job, wait for its end, and put its results in order."""
+        name = self.submit(batch, options, extra, uuid.uuid4().hex)
+        while not self.job_ended(name):
+            time.sleep(options.poll_seconds)
+        return self.job_results(name, len(batch))
+
+    def submit(self, batch: Sequence[Messages], options: OpenAIOptions, extra: dict, key: str, look: bool = False) -> str:
+        """Name of the job that answers a batch. With ``look`` a job of the same key that is there already is taken."""
+        if look and (found := self._job_of(key)):
+            return found
         lines = [{"custom_id": str(k), "method": "POST", "url": "/v1/chat/completions", "body": self.payload(m, options, extra)} for k, m in enumerate(batch)]
         edge = uuid.uuid4().hex
         part = f'--{edge}\r\nContent-Disposition: form-data; name="purpose"\r\n\r\nbatch\r\n--{edge}\r\nContent-Disposition: form-data; name="file"; filename="requests.jsonl"\r\n\r\n'
         body = part.encode() + "\n".join(map(json.dumps, lines)).encode() + f"\r\n--{edge}--\r\n".encode()
         sent = post(f"{self.base_url}/files", body, {**self.headers, "Content-Type": f"multipart/form-data; boundary={edge}"}, self.timeout)
-        job = post(f"{self.base_url}/batches", {"input_file_id": sent["id"], "endpoint": "/v1/chat/completions", "completion_window": "24h"}, self.headers, self.timeout)
-        while job["status"] not in ("completed", "failed", "expired", "cancelled"):
-            time.sleep(options.poll_seconds)
-            job = post(f"{self.base_url}/batches/{job['id']}", None, self.headers, self.timeout)
-        found: dict[int, Response] = {}
+        made = {"input_file_id": sent["id"], "endpoint": "/v1/chat/completions", "completion_window": "24h", "metadata": {"key": key}}
+        return post(f"{self.base_url}/batches", made, self.headers, self.timeout)["id"]
+
+    def _job_of(self, key: str) -> str | None:
+        after = ""
+        while True:
+            page = post(f"{self.base_url}/batches?limit=100{after}", None, self.headers, self.timeout)
+            for job in page.get("data", ()):
+                if (job.get("metadata") or {}).get("key") == key and job["status"] not in ("failed", "cancelled", "expired"):
+                    return job["id"]
+            if not page.get("has_more") or not page.get("data"):
+                return None
+            after = f"&after={page['data'][-1]['id']}"
+
+    def _job(self, name: str) -> dict:
+        return post(f"{self.base_url}/batches/{name}", None, self.headers, self.timeout)
+
+    def job_ended(self, name: str) -> bool:
+        return self._job(name)["status"] in ("completed", "failed", "expired", "cancelled")
+
+    def job_results(self, name: str, n: int) -> list[Response]:
+        """Responses of a job that ended, in the order of its batch; what has no result is an error."""
+        job, found = self._job(name), {}
         for file in filter(None, (job.get("output_file_id"), job.get("error_file_id"))):
             request = urllib.request.Request(f"{self.base_url}/files/{file}/content", headers=self.headers)
             with urllib.request.urlopen(request, timeout=self.timeout) as reply:
@@ -135,7 +162,7 @@ class OpenAIProvider(Provider):
                     trouble = item.get("error") or body.get("error")
                     at = int(item["custom_id"])
                     found[at] = self.failed(ProviderError(str(trouble))) if trouble else self.checked(self.response(body))
-        return [found.get(k) or self.failed(ProviderError(f"batch {job['status']}: no result")) for k in range(len(batch))]
+        return [found.get(k) or self.failed(ProviderError(f"batch {job['status']}: no result")) for k in range(n)]
 
 
 @dataclass(frozen=True)

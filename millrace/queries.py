@@ -20,12 +20,14 @@ from millrace.operators.annotate import AnnotateSpec, annotate, batch_number, ba
 from millrace.operators.donebits import bitmaps, merged, skip_set
 from millrace.operators.open_answers import extracted
 from millrace.operators.progress import Progress, run_annotation
+from millrace.operators.wave_stats import RANK_ERROR, counted, token_percentiles
 from millrace.pipeline import run_pipeline
 from millrace.plans.annotator import annotate_dataset, generate_dataset
 from millrace.plans.prepare import PrepareSpec, assign_index, generated, numbered, prepare, prepare_data, shuffled
 from millrace.plans.source_order import in_source_order
 from millrace.plans.template import PromptTemplate, TemplateError
 from millrace.providers import Messages, Provider, ProviderError, ProviderSpec, Response, RuntimeOptions, UnavailableError
+from millrace.providers.http import OpenAIOptions
 from millrace.sources.tables import count_lines, exists, list_files, load_dataset, read_jsonl, read_prompts, read_text, remove_empty_files, write_jsonl, write_text
 from millrace.streaming.done_state import annotate_once
 from millrace.streaming.resume import counts_stream, total_counts
@@ -728,6 +730,58 @@ class DyingProvider(LastMessageProvider):
         return Response(self.model, "stop", None, self.name)
 
 
+@query("""WITH r AS (SELECT length(text) - length(replace(text, ' ', '')) + 1 AS n FROM documents)
+SELECT count(*) AS rows, count(*) AS stopped, min(n) AS least, max(n) AS most, true AS percentiles_hold FROM r""")
+def merged_statistics(spark, sf_dir):
+    """Counts and percentiles of a run of four waves, merged from the waves' own; percentiles are held against the exact ones by rank."""
+    progress, docs = Progress(spark, work_dir(spark)), table(spark, sf_dir, "documents")
+    n = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1
+    rows = prompted(docs.select("doc_id", n.alias("n")), "doc_id", "{n}")
+    found = run_annotation(rows, AnnotateSpec(ProviderSpec(TokenProvider)), progress, wave_rows=max(1, docs.count() // 4))
+    merged = progress.stats()
+    total, counts = counted(merged)
+    told, every = token_percentiles(merged).first(), found.count()
+    below = found.agg(*[F.count_if(F.col("num_tokens") <= told[c]).alias(c) for c in told.__fields__ if c.startswith("p")]).first()
+    hold = all(below[f"p{str(p).removesuffix('.0').replace('.', '_')}"] / every >= p / 100 - RANK_ERROR for p in R.PERCENTILES)
+    return spark.range(1).select(F.lit(total).cast("long").alias("rows"), F.lit(counts["finish_reason"]["stop"]).cast("long").alias("stopped"), F.lit(told.min).cast("long").alias("least"), F.lit(told.max).cast("long").alias("most"), F.lit(hold).alias("percentiles_hold"))
+
+
+class TokenProvider(LastMessageProvider):
+    """Answers with as many tokens as the message says."""
+
+    name = "tokens"
+
+    def generate(self, messages: Messages, options: RuntimeOptions, **extra) -> Response:
+        return Response("", "stop", None, self.name, int(messages[-1]["content"]))
+
+
+@query("SELECT doc_id AS idx, 'job ' || lang AS response, 1::BIGINT AS submitted FROM documents")
+def batch_jobs(spark, sf_dir):
+    """Answers of batch jobs, with how often the ledger says that each row was submitted; the second run submits nothing."""
+    progress, rows = Progress(spark, work_dir(spark)), prompted(table(spark, sf_dir, "documents"), "doc_id", "job {lang}")
+    spec = AnnotateSpec(ProviderSpec(JobProvider, options={"batch_api": True, "poll_seconds": 0.1}), batch_size=64)
+    for _ in range(2):
+        found = run_annotation(rows, spec, progress)
+    times = Progress(spark, f"{progress.root}/jobs").read().groupBy("idx").agg(F.count("*").alias("submitted"))
+    return found.join(times, "idx").select("idx", "response", "submitted")
+
+
+class JobProvider(LastMessageProvider):
+    """A batch service without a server: a job's name holds what was asked."""
+
+    name = "jobs"
+    options_class = OpenAIOptions
+
+    def submit(self, batch, options, extra, key: str, look: bool = False) -> str:
+        return json.dumps([m[-1]["content"] for m in batch])
+
+    def job_ended(self, name: str) -> bool:
+        return True
+
+    def job_results(self, name: str, n: int) -> list[Response]:
+        return [Response(said, "stop", None, self.name) for said in json.loads(name)]
+
+
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def done_bits(spark, sf_dir):
     """Documents without a label, told by the bits of those that have one: one bit a document in place of a join of rows."""

@@ -1,0 +1,136 @@
+import json
+import re
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+
+from millrace.operators.progress import Progress, run_annotation
+from millrace.providers import ProviderSpec
+from tests.test_annotate import LABEL, prepared, spec
+
+
+class Jobs(BaseHTTPRequestHandler):
+    """A batch service: files, jobs with keys, and results once a job was looked at often enough."""
+
+    files: dict = {}
+    jobs: dict = {}
+    submitted: list = []
+    looks_needed = 2
+    trouble = ""
+    fail_at: str = ""
+
+    def log_message(self, *_):
+        pass
+
+    def reply(self, body, code=200):
+        data = body if isinstance(body, bytes) else json.dumps(body).encode()
+        self.send_response(code)
+        self.send_header("Content-Length", str(len(data)))
+        self.end_headers()
+        self.wfile.write(data)
+
+    def do_POST(self):
+        raw = self.rfile.read(int(self.headers["Content-Length"]))
+        if self.path.endswith("/files"):
+            name = f"f{len(self.files)}"
+            self.files[name] = [json.loads(x) for x in raw.decode().splitlines() if x.startswith("{")]
+            return self.reply({"id": name})
+        body = json.loads(raw)
+        name = f"j{len(self.jobs)}"
+        self.jobs[name] = {"id": name, "status": "in_progress", "looks": 0, **body}
+        self.submitted.append([x["body"]["messages"][-1]["content"] for x in self.files[body["input_file_id"]]])
+        if self.fail_at == "submit":  # made, but nobody learns of it
+            return self.reply({"error": "cut"}, 500)
+        self.reply(self.jobs[name])
+
+    def do_GET(self):
+        if "/batches?" in self.path:
+            return self.reply({"data": list(self.jobs.values()), "has_more": False})
+        if self.fail_at == "look":
+            return self.reply({"error": "down"}, 500)
+        if m := re.search(r"/batches/(\w+)$", self.path):
+            job = self.jobs[m[1]]
+            job["looks"] += 1
+            if job["looks"] > self.looks_needed:
+                job |= {"status": "completed", "output_file_id": f"o-{job['input_file_id']}"}
+            return self.reply(job)
+        lines = []
+        for x in self.files[re.search(r"/o-(\w+)/", self.path)[1]]:
+            said = x["body"]["messages"][-1]["content"]
+            bad = said == self.trouble and sum(said in s for s in self.submitted) < 3
+            body = {"choices": [{"message": {"content": "no json" if bad else json.dumps({"label": said})}, "finish_reason": "stop"}]}
+            lines.append(json.dumps({"custom_id": x["custom_id"], "response": {"body": body}}))
+        self.reply("\n".join(reversed(lines)).encode())
+
+
+@pytest.fixture
+def service():
+    Jobs.files, Jobs.jobs, Jobs.submitted, Jobs.fail_at, Jobs.trouble = {}, {}, [], "", ""
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Jobs)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/v1"
+    server.shutdown()
+
+
+def batch_spec(url, **more):
+    options = {"batch_api": True, "poll_seconds": 0.01}
+    return spec(ProviderSpec("openai", "m", {"api_key": "k", "on_error": "ignore"}, options, base_urls=(url,)), output_schema=LABEL, batch_size=4, **more)
+
+
+def said(found):
+    return [r.label for r in found.orderBy("idx").collect()]
+
+
+WANT = [f"document {k}" for k in range(10)]
+
+
+def test_jobs_are_submitted_once_over_two_crashed_runs(spark, tmp_path, service):
+    progress, rows = Progress(spark, f"file://{tmp_path}/run"), prepared(spark, 10)
+    for _ in range(2):
+        Jobs.fail_at = "look"
+        with pytest.raises(Exception, match="down"):
+            run_annotation(rows, batch_spec(service), progress)
+        assert len(Jobs.submitted) == 3
+    Jobs.fail_at = ""
+    assert said(run_annotation(rows, batch_spec(service), progress)) == WANT
+    assert sorted(map(len, Jobs.submitted)) == [2, 4, 4] and len(Jobs.jobs) == 3
+    assert said(run_annotation(rows, batch_spec(service), progress)) == WANT and len(Jobs.jobs) == 3
+
+
+def test_a_job_whose_submitter_died_is_found_by_its_key(spark, tmp_path, service):
+    progress, rows = Progress(spark, f"file://{tmp_path}/run"), prepared(spark, 4)
+    Jobs.fail_at = "submit"
+    with pytest.raises(Exception, match="cut"):
+        run_annotation(rows, batch_spec(service), progress)
+    Jobs.fail_at = ""
+    assert said(run_annotation(rows, batch_spec(service), progress)) == WANT[:4] and len(Jobs.submitted) == 1
+
+
+def test_invalid_answers_are_submitted_again(spark, tmp_path, service):
+    Jobs.trouble = "document 5"
+    progress = Progress(spark, f"file://{tmp_path}/run")
+    assert said(run_annotation(prepared(spark, 10), batch_spec(service), progress)) == WANT
+    assert [s for s in Jobs.submitted if len(s) == 1] == [["document 5"]] * 2
+    Jobs.submitted.clear()
+    gave_up = run_annotation(prepared(spark, 10), batch_spec(service, num_retries_invalid=1), Progress(spark, f"file://{tmp_path}/other"))
+    assert [r.idx for r in gave_up.filter("not valid_fields").collect()] == [5] and len(Jobs.submitted) == 4
+
+
+def test_new_rows_get_new_jobs(spark, tmp_path, service):
+    progress = Progress(spark, f"file://{tmp_path}/run")
+    run_annotation(prepared(spark, 6), batch_spec(service), progress)
+    assert said(run_annotation(prepared(spark, 10), batch_spec(service), progress)) == WANT
+    assert sorted(w for s in Jobs.submitted for w in s) == sorted(WANT)
+
+
+def test_tasks_do_not_wait(spark, tmp_path, service):
+    """Jobs that need many looks: each look is a short wave, and the ledger names every row once."""
+    Jobs.looks_needed = 4
+    progress = Progress(spark, f"file://{tmp_path}/run")
+    try:
+        assert said(run_annotation(prepared(spark, 10), batch_spec(service), progress)) == WANT
+    finally:
+        Jobs.looks_needed = 2
+    ledger = Progress(spark, f"{progress.root}/jobs").read()
+    assert ledger.count() == 10 and {r.attempt for r in ledger.collect()} == {0}

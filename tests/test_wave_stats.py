@@ -1,0 +1,46 @@
+from pyspark.sql import functions as F
+
+from millrace.operators import wave_stats as W
+from millrace.operators.progress import Progress, run_annotation
+from millrace.operators.tables import metadata_counts
+from millrace.providers import ProviderSpec
+from millrace.queries import FailingProvider
+from tests.test_annotate import prepared, spec
+
+
+def answers(spark, n):
+    rows = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(5000)).cast("int").alias("num_tokens"), F.when(F.col("id") % 7 == 0, "length").otherwise("stop").alias("finish_reason"), F.when(F.col("id") % 11 == 0, "ProviderError").alias("error_type"))
+    return rows.withColumn("part", F.col("num_tokens") % 9)
+
+
+def test_waves_merge_to_the_whole(spark, tmp_path):
+    rows = answers(spark, 60_000).cache()
+    parts = [W.wave_stats(rows.filter(F.col("part") == k).drop("part")) for k in range(9)]
+    for k, p in enumerate(parts):
+        p.write.parquet(f"file://{tmp_path}/wave={k}")
+    merged = W.read_stats(spark, [f"file://{tmp_path}/wave={k}" for k in range(9)]).cache()
+    total, counts = W.counted(merged)
+    told = {}
+    for r in metadata_counts(rows).collect():
+        told.setdefault(r.what, {})[r.value] = r.n
+    assert total == 60_000 and counts == told
+    stats, numbers = W.token_percentiles(merged).first(), sorted(r.num_tokens for r in rows.select("num_tokens").collect())
+    assert abs(stats["mean"] - sum(numbers) / len(numbers)) < 1e-9 and (stats["min"], stats["max"]) == (numbers[0], numbers[-1])
+    from bisect import bisect_left, bisect_right
+
+    for p in W.PERCENTILES:
+        got = stats[f"p{str(p).removesuffix('.0').replace('.', '_')}"]
+        low, high = bisect_left(numbers, got) / len(numbers), bisect_right(numbers, got) / len(numbers)
+        assert low - W.RANK_ERROR <= p / 100 <= high + W.RANK_ERROR, (p, got)
+    assert W.read_stats(spark, []) is None
+
+
+def test_a_run_keeps_them_and_reads_no_row_again(spark, tmp_path):
+    progress = Progress(spark, f"file://{tmp_path}/run")
+    run_annotation(prepared(spark, 9), spec(), progress, wave_rows=3)
+    failing = prepared(spark, 12, "{idx}")
+    run_annotation(failing, spec(ProviderSpec(FailingProvider)), progress)
+    total, counts = W.counted(progress.stats())
+    assert total == 12 and counts["error_type"] == {"none": 10, "ProviderError": 2} and counts["finish_reason"]["stop"] == 10
+    plan = progress.stats()._jdf.queryExecution().executedPlan().toString()
+    assert "/stats/wave" in "".join(progress.stats().inputFiles()) and "/progress/" not in "".join(progress.stats().inputFiles()) and plan
