@@ -169,8 +169,8 @@ class ClientConfig:
 
     def provider_spec(self, root: Path = Path(".")) -> ProviderSpec:
         engine = self.engine.settings() if self.provider == "vllm_offline" else {}
-        reuse = self.reuse_key() if self.provider == "vllm_offline" else ""
-        return ProviderSpec(self.provider, self.model or "", {**self.init, **engine}, self.options, self.gen_kwargs, tuple(self.urls(root)), reuse)
+        # Steps whose clients can share a provider find it again in their workers.
+        return ProviderSpec(self.provider, self.model or "", {**self.init, **engine}, self.options, self.gen_kwargs, tuple(self.urls(root)), self.reuse_key())
 
 
 @dataclass(frozen=True)

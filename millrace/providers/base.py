@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from abc import ABC, abstractmethod
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, fields, replace
@@ -62,6 +63,8 @@ class Provider(ABC):
     """Answers conversations. Built in the worker from a spec, so it may hold connections."""
 
     name: str = "provider"
+    #: Whether it fills the memory of a device, so that a worker keeps one of its kind.
+    holds_engine = False
     options_class: type[RuntimeOptions] = RuntimeOptions
 
     def __init__(self, model: str, max_workers: int | None = None, on_error: OnError = "warn"):
@@ -123,8 +126,30 @@ class Provider(ABC):
         self.close()
 
 
-#: Providers that this worker keeps, by their spec's ``reuse``.
-_KEPT: dict[str, Provider] = {}
+class Keeper:
+    """Providers that a worker keeps for later tasks and steps, by their key; the least recently used goes beyond ``most``.
+
+    Of those that hold an engine one is kept at a time, as engines fill the memory of their
+    device. What a worker still holds when its process ends is closed with it.
+    """
+
+    def __init__(self, most: int = 8):
+        self.most, self.kept = most, OrderedDict()
+
+    def get(self, key: str, make: Callable[[], Provider], engine: bool) -> Provider:
+        if key in self.kept:
+            self.kept.move_to_end(key)
+            return self.kept[key]
+        gone = [k for k, p in self.kept.items() if engine and p.holds_engine]
+        if len(self.kept) - len(gone) >= self.most:
+            gone += [k for k in self.kept if k not in gone][:1]
+        for k in gone:
+            self.kept.pop(k).close()
+        self.kept[key] = make()
+        return self.kept[key]
+
+
+KEEPER = Keeper()
 
 
 @dataclass(frozen=True)
@@ -138,7 +163,7 @@ class ProviderSpec:
     extra: dict = field(default_factory=dict)
     #: Servers, each given as ``base_url``; several form a pool in each task.
     base_urls: tuple[str, ...] = ()
-    #: Name under which a worker keeps the provider for later tasks and steps; one is kept at a time.
+    #: Name under which a worker keeps the provider for later tasks and steps.
     reuse: str = ""
 
     @property
@@ -146,13 +171,14 @@ class ProviderSpec:
         return bool(self.reuse) and len(self.base_urls) < 2
 
     def build(self, partition: int = 0) -> Provider:
-        if not self.shared:
-            return self.makers(partition)[0]()
-        if self.reuse not in _KEPT:
-            for name in list(_KEPT):
-                _KEPT.pop(name).close()
-            _KEPT[self.reuse] = self.makers(partition)[0]()
-        return _KEPT[self.reuse]
+        make = self.makers(partition)[0]
+        return KEEPER.get(self.reuse, make, self._factory().holds_engine) if self.shared else make()
+
+    def _factory(self) -> Any:
+        from millrace import providers
+
+        made = providers.by_name(self.factory) if isinstance(self.factory, str) else self.factory
+        return made if isinstance(made, type) else Provider
 
     def makers(self, partition: int = 0) -> list[Callable[[], Provider]]:
         """What makes a client for each server, beginning with the partition's own."""

@@ -70,6 +70,7 @@ class VLLMOfflineProvider(Provider):
     each conversation. Batches that run out of memory are halved before the error policy applies.
     """
 
+    holds_engine = True
     name = "vllm_offline"
     options_class = VLLMOfflineOptions
 

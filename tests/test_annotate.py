@@ -15,6 +15,7 @@ from millrace.operators.progress import Progress, import_jsonl, run_annotation,
 from millrace.plans.annotator import annotate_dataset, generate_dataset
 from millrace.plans.prepare import PrepareSpec, assign_index, prepare, prepare_data
 from millrace.providers import Provider, ProviderSpec, Response, UnavailableError
+from millrace.providers.base import Keeper
 from millrace.providers.pool import ServerPool
 from millrace.queries import LastMessageProvider
 from millrace.sources import tables as src
@@ -408,11 +409,44 @@ def test_pools_bound_what_is_in_flight():
     assert found == [(k, 2 * k) for k in range(30)] and most[0] <= 3 and len(taken) == 30
 
 
-def test_a_worker_keeps_one_reusable_provider():
-    a, b = ProviderSpec(Served, reuse="a"), ProviderSpec(Served, reuse="b")
-    first = a.build()
-    assert a.build(3) is first and ProviderSpec(Served).build() is not first
-    assert b.build() is not first and a.build() is not first
+class Built(LastMessageProvider):
+    """Writes its process to a file when it is built."""
+
+    def __init__(self, model="", log=None, **kwargs):
+        super().__init__(model, **kwargs)
+        with open(log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+
+
+def test_a_worker_builds_a_client_once_for_tasks_and_steps(spark, tmp_path):
+    logs = [str(tmp_path / name) for name in ("one", "two")]
+    made = lambda log, reuse: spec(ProviderSpec(Built, init={"log": log}, reuse=reuse))
+    for _ in range(3):
+        assert annotate(prepared(spark, 40).repartition(8), made(logs[0], "key")).count() == 40
+    assert annotate(prepared(spark, 8).repartition(8), made(logs[1], "other")).count() == 8
+    for log in logs:
+        built = open(log).read().split()
+        assert len(built) == len(set(built))
+
+
+def test_a_keeper_closes_what_goes():
+    closed = []
+
+    class Client(LastMessageProvider):
+        def close(self):
+            closed.append(self.model)
+
+    class Engine(Client):
+        holds_engine = True
+
+    keeper = Keeper(2)
+    get = lambda name, kind=Client: keeper.get(name, lambda: kind(name), kind.holds_engine)
+    first = get("a")
+    assert get("a") is first and get("e", Engine) is not first and not closed
+    assert get("f", Engine) and closed == ["e"]
+    assert get("a") is first and get("b") and closed == ["e", "f"]
+    a, b = ProviderSpec(Served, reuse="test a"), ProviderSpec(Served, reuse="test b")
+    assert a.build() is a.build(3) is not b.build() and ProviderSpec(Served).build() is not ProviderSpec(Served).build()
 
 
 def test_an_uncommitted_micro_batch_does_not_count(spark, tmp_path):
