@@ -5,12 +5,14 @@ from __future__ import annotations
 import inspect
 import json
 import logging
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import BarrierTaskContext, TaskContext
+from pyspark.resource import ExecutorResourceRequests, ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +53,10 @@ class AnnotateSpec:
     #: Batches in flight over a pool of servers, and the tasks that share them.
     queue_size: int | None = None
     pool_tasks: int = 1
+    #: What a task needs of its executor, such as ``{"gpu": 1}``; Spark places tasks by it.
+    task_resources: dict[str, float] | None = None
+    #: Whether all tasks begin together, and none asks before all engines are warm.
+    together: bool = False
     #: Where tasks lease places at servers, while a run serves them.
     leases: LeaseAddress | None = None
     schema: dict | None = field(init=False, default=None)
@@ -215,6 +221,10 @@ def worker(spec: AnnotateSpec, schema: T.StructType):
             return
         provider = None
         try:
+            if spec.together:
+                # Every engine is up and warm before the first batch; a task without rows has one to wait for as well.
+                provider = warmed(spec.provider.build(partition))
+                BarrierTaskContext.get().barrier()
             for part, rows in slices(batches):
                 if provider is None:
                     provider = warmed(spec.provider.build(partition))
@@ -237,7 +247,25 @@ def annotate(df: DataFrame, spec: AnnotateSpec) -> DataFrame:
         inspect.signature(c)  # not callable: fails here, not in a task
     needed = df.columns if callables else [c for c in df.columns if c in schema.names or c == messages]
     sent = df.select(*[F.to_json(f"`{c}`").alias(c) if isinstance(df.schema[c].dataType, T.VariantType) else F.col(f"`{c}`") for c in needed])
-    return read_variants(sent.mapInArrow(worker(spec, on_wire(schema)), on_wire(schema)), schema)
+    placed = {"barrier": spec.together, "profile": engine_profile(spec.task_resources)} if spec.together or spec.task_resources else {}
+    return read_variants(sent.mapInArrow(worker(spec, on_wire(schema)), on_wire(schema), **placed), schema)
+
+
+def engine_profile(resources: dict[str, float] | None) -> ResourceProfile | None:
+    """Stage-level profile: so much of each resource for a task, and at least a whole one on its executor."""
+    if not resources:
+        return None
+    tasks, executors = TaskResourceRequests(), ExecutorResourceRequests()
+    for name, amount in sorted(resources.items()):
+        if name == "cpus":
+            tasks.cpus(int(amount))
+        else:
+            tasks.resource(name, amount)
+            executors.resource(name, max(1, math.ceil(amount)))
+    builder = ResourceProfileBuilder().require(tasks)
+    if set(resources) - {"cpus"}:
+        builder = builder.require(executors)
+    return builder.build
 
 
 def on_wire(schema: T.StructType) -> T.StructType:

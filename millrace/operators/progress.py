@@ -240,10 +240,12 @@ def run_annotation(
         for wave, rows, bounds in _waves(todo, idx, wave_rows, progress, max_waves):
             # At least as many tasks as there are slots, if each still has a batch.
             tasks = partitions or max(-(-rows // task_rows), min(slots, -(-rows // spec.batch_size)), 1)
+            if spec.together:
+                tasks = min(tasks, slots)  # they run at one time
             if LENGTH_KEY in wave.columns:
                 # Prompts of like length meet in a batch, and each task gets whole batches.
                 wave = batched(assign_index(wave, [LENGTH_KEY, idx], "__rank"), "__rank", spec.batch_size, "__rank", tasks).drop("__rank", LENGTH_KEY)
-            elif tasks > 1 or partitions:
+            elif tasks > 1 or partitions or spec.together:
                 wave = _neighbours(wave, idx, tasks, bounds)
             asked = replace(spec, pool_tasks=min(slots, tasks)) if servers > 1 else spec
             progress.append(annotate(wave, asked).withColumns({k: F.lit(v) for k, v in scope.items()}), number)

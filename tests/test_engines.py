@@ -1,0 +1,49 @@
+import time
+
+from millrace.operators.annotate import annotate, engine_profile
+from millrace.operators.progress import Progress, run_annotation
+from millrace.providers import ProviderSpec
+from millrace.queries import LastMessageProvider
+from tests.test_annotate import prepared, spec
+
+
+class Engine(LastMessageProvider):
+    """Takes its time to warm up, and writes when it is warm and when it is asked."""
+
+    holds_engine = True
+
+    def __init__(self, model="", log=None, **kwargs):
+        super().__init__(model, **kwargs)
+        self.log = log
+
+    def note(self, what):
+        with open(self.log, "a") as f:
+            f.write(f"{what} {time.time()}\n")
+
+    def warm_up(self, prefix, system, options):
+        time.sleep(0.2 + 0.2 * (id(self) % 3))
+        self.note("warm")
+
+    def batch(self, batch, options, **extra):
+        self.note("asked")
+        return super().batch(batch, options, **extra)
+
+
+def test_all_engines_are_warm_before_the_first_batch(spark, tmp_path):
+    log = str(tmp_path / "log")
+    s = spec(ProviderSpec(Engine, init={"log": log}), together=True, prompt_prefix="Say ", batch_size=5)
+    found = run_annotation(prepared(spark, 80), s, Progress(spark, f"file://{tmp_path}/run"))
+    assert [r.response for r in found.collect()] == [f"document {k}" for k in range(80)]
+    times = [(what, float(at)) for what, at in (line.split() for line in open(log))]
+    warm, asked = ([t for w, t in times if w == k] for k in ("warm", "asked"))
+    assert len(warm) == 4 and len(asked) == 16 and max(warm) <= min(asked)  # one engine for each of four slots
+
+
+def test_engines_are_placed_by_what_a_task_needs(spark, monkeypatch):
+    seen, kind = [], type(prepared(spark, 1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, barrier=False, profile=None: seen.append((barrier, profile)) or spark.createDataFrame([], schema))
+    annotate(prepared(spark, 1), spec(task_resources={"gpu": 1, "cpus": 2}, together=True))
+    ((barrier, profile),) = seen
+    assert barrier and profile.taskResources["gpu"].amount == 1 and profile.taskResources["cpus"].amount == 2 and profile.executorResources["gpu"].amount == 1
+    annotate(prepared(spark, 1), spec())
+    assert seen[1:] == [(False, None)] and engine_profile(None) is None and engine_profile({"gpu": 0.5}).executorResources["gpu"].amount == 1
