@@ -28,7 +28,7 @@ whole; an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,36 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return low
 
 
+#: Words whose hashes are computed together, about: short texts share the cost of a call.
+TOGETHER = 1 << 16
+
+
+def hashed_together(texts: Iterable) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Word hashes of some texts one after another: number of the first text, hashes, and where each text begins, the end last.
+
+    What is computed over all of them is the same inside a text; windows across two texts are left out by the caller.
+    """
+    first, held, size = 0, [], 0
+    for k, text in enumerate(texts):
+        held.append(_WORDS.of(split_words(text.as_py())))
+        size += len(held[-1])
+        if size >= TOGETHER:
+            yield first, np.concatenate(held), np.cumsum([0, *map(len, held)])
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, np.concatenate(held), np.cumsum([0, *map(len, held)])
+
+
+def members(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Positions of the values that are among those wanted; equal neighbours are looked up once."""
+    if not len(values) or not len(wanted):
+        return np.empty(0, np.int64)
+    heads = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    wanted = np.sort(wanted)
+    found = wanted[np.minimum(np.searchsorted(wanted, values[heads]), len(wanted) - 1)] == values[heads]
+    return np.flatnonzero(np.repeat(found, np.diff(np.append(heads, len(values)))))
+
+
 def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(th, text) to (anchor, th, deal), once for each anchor and text of a batch.
 
@@ -66,7 +96,10 @@ def list_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(0).to_numpy(zero_copy_only=False)
         th, kept = np.unique(texts, return_index=True)
-        found = [np.unique(anchors(_WORDS.of(split_words(batch.column(1)[int(k)].as_py())))) for k in kept]
+        found = []
+        for _, whole, starts in hashed_together(batch.column(1)[int(k)] for k in kept):
+            low = anchors(whole)
+            found += [np.unique(low[a : max(a, b - WINDOW + 1)]) for a, b in zip(starts, starts[1:])]
         if not found:
             continue
         anchor, th = np.concatenate(found), np.repeat(th, [len(f) for f in found])
@@ -86,16 +119,15 @@ def list_edges(word_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            numbers, given = batch.column(0).to_pylist(), batch.column(2)
+            for first, whole, starts in hashed_together(batch.column(1)):
                 columns: list[list[np.ndarray]] = [[] for _ in range(3)]
-                for number, text, wanted in zip(part.column(0).to_pylist(), part.column(1), part.column(2)):
-                    hashes = _WORDS.of(split_words(text.as_py()))
-                    pos = np.flatnonzero(np.isin(anchors(hashes), wanted.values.to_numpy().view(np.uint64)))
+                low, nodes = anchors(whole), shingle_hashes(whole, WINDOW - 1, seed=4).view(np.int64)
+                for k, (a, b) in enumerate(zip(starts, starts[1:]), first):
+                    pos = members(low[a : max(a, b - WINDOW + 1)], given[k].values.to_numpy().view(np.uint64))
                     if not len(pos):
                         continue
-                    nodes = shingle_hashes(hashes, WINDOW - 1, seed=4).view(np.int64)
-                    for c, v in zip(columns, (nodes[pos], nodes[pos + 1], pos + (number << word_bits))):
+                    for c, v in zip(columns, (nodes[a + pos], nodes[a + pos + 1], pos + (numbers[k] << word_bits))):
                         c.append(v)
                 if columns[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["lnode", "rnode", "at"])
