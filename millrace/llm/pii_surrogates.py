@@ -9,10 +9,21 @@ whatever document and format, gets the same surrogate:
 * digits are drawn from the right, and separators stay where they were, so a number
   with and without its country code agrees; cards end in a valid check digit;
 * addresses are drawn from reserved ranges (class E, example domains);
-* names keep their number of words, are made of syllables of the same script and end by
-  the gender of the title; surnames and given names are entities of their own, so
-  "Mr A B" and "Mr B" agree and two names differ wherever their words do. In a text that
-  names a person with a title, the bare surname and given names are replaced as well.
+* names keep titles, hyphens, particles ("van", "de la"), prefixes ("Mc", "O'") and capitals;
+  their words are made of syllables of the same script and end by the gender of the
+  title; surnames and given names are entities of their own, so "Mr A B", "MR. B" and
+  "Mr. B-C" agree and two names differ wherever their words do. Initials of the Latin,
+  Cyrillic and Greek alphabets are exchanged by a keyed rotation. In a text that names a
+  person with a title, the bare surname and given names are replaced as well.
+
+Not found are persons without a title, names of initials only, titles in capitals other
+than ``_CAPITALS``, more than three words of a name (two where it is all in capitals),
+bare names in other capitals than behind the title, initials before bare names, IPv6
+addresses, numbers of seven digits without a word such as "call" before them, and phone
+numbers whose groups are neither the North American ones nor behind a plus sign nor one
+of ``NATIONAL``. Words in capitals right behind a name are taken as part of it. A number
+with a trunk zero is an entity of its own beside the one with a country code, and digits
+before a number's last ten stay.
 
 Before anything is replaced, all distinct entities and their surrogates are checked
 against each other: two entities with one surrogate, or a surrogate that some text
@@ -29,6 +40,8 @@ one named ``n_entities`` is replaced.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,17 +55,41 @@ IPV4 = rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z.+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 PHONE = r"(?<![0-9A-Za-z+.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
+#: A plus sign and 7 to 15 digits, two marks at most between them.
+ABROAD = r"(?<![0-9A-Za-z+.])\+[0-9](?:[ .()/-]{0,2}[0-9]){6,14}(?![0-9A-Za-z]|\.[0-9])"
+#: Numbers with a trunk zero: five pairs, or an area code and one or two groups.
+NATIONAL = r"(?<![0-9A-Za-z+.,/-])0(?:[1-9](?:[ .-][0-9]{2}){4}|[0-9]{2,4}[ /-][0-9]{5,7}|[0-9]{2,3}[ /-](?:[0-9]{8}|[0-9]{3,4}[ -][0-9]{3,4}))(?![0-9A-Za-z]|[.,/-][0-9])"
+LOCAL = r"(?<=(?:[Cc]all|[Pp]hone|[Tt]el|[Ff]ax|[Mm]obile)[:.]{0,1} )[0-9]{3}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
 IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
 #: Titles by gender; the rest of ``TITLES`` tells none.
 MALE = ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "г-н", "господин", "Κύριος"]
 FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Doña", "г-жа", "госпожа", "Κυρία"]
 TITLES = [*MALE, *FEMALE, "Dr", "Prof"]
 _LATIN, _CYRILLIC, _GREEK = r"\p{IsLatin}", r"\p{IsCyrillic}", r"\p{IsGreek}"
-_TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\.?"
-NAME = rf"{_TITLE} \p{{Lu}}\p{{Ll}}{{1,30}}(?:[ -]\p{{Lu}}\p{{Ll}}{{1,30}}){{0,2}}(?!\p{{L}})"
-ENTITY = "|".join([MAIL, IPV4, CARD, SSN, PHONE, IBAN, NAME])
-#: A text without these holds no entity: every number of ``ENTITY`` has two digits with one mark at most between them.
-HINT = r"[0-9][. -]?[0-9]|@|" + _TITLE + r" \p{Lu}"
+#: Titles in capitals (the last ones only before a mark), degrees behind a title, particles and prefixes of surnames.
+_CAPITALS, _MARKED_CAPITALS = ["MRS", "MR", "HERR", "FRAU"], ["MS", "DR", "PROF", "MME", "MLLE", "SRA", "SR"]
+_DEGREES = ["med", "jur", "phil", "rer", "nat", "ing"]
+PARTICLES = ["van", "von", "vom", "der", "den", "de", "del", "della", "di", "da", "do", "dos", "du", "la", "le", "los", "ten", "ter", "zu", "zur", "af", "av", "al", "el", "bin", "ibn"]
+PREFIXES = ["Mc", "Mac", "Fitz", "De", "Del", "Di", "Da", "Du", "La", "Le", "Van", "Von"]
+_LETTER, _END = r"[\p{L}\p{M}]", r"(?![\p{L}\p{M}])"
+_TITLE = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(sorted([*TITLES, *_CAPITALS], key=len, reverse=True))})\.?|(?:{'|'.join(_MARKED_CAPITALS)})\.)"
+    rf"(?: (?:Dr|Prof|DR|PROF)\.?{_END}| (?:{'|'.join(_DEGREES)})\.){{0,4}}+"
+)
+#: What may stand before a word of a name: initials and particles.
+_BEFORE = rf"(?:\p{{Lu}}\. ?|(?:{'|'.join(PARTICLES)})[ -]|d['’]){{0,4}}"
+_INNER = r"['’](?=\p{Lu}\p{L})"
+_MIXED = rf"{_BEFORE}\p{{Lu}}(?=[\p{{L}}\p{{M}}'’]{{0,30}}\p{{Ll}})(?:{_INNER}|{_LETTER}){{1,30}}{_END}"
+_CAPS = rf"{_BEFORE}\p{{Lu}}(?:{_INNER}|[\p{{Lu}}\p{{M}}]){{1,30}}{_END}"
+NAME = rf"{_TITLE} (?:{_MIXED}(?:[ -]{_MIXED}){{0,2}}|{_CAPS}(?:[ -]{_CAPS}){{0,1}})"
+#: A word of a found name, the rest being titles, initials, particles and marks; and a prefix with what it stands before.
+WORD = r"\p{Lu}[\p{L}\p{M}'’]+"
+_CORE = rf"^(?:{'|'.join(PREFIXES)}|\p{{Lu}}['’])?(\p{{Lu}}[\p{{L}}\p{{M}}'’]+)$"
+ENTITY = "|".join([MAIL, IPV4, CARD, SSN, PHONE, ABROAD, NATIONAL, LOCAL, IBAN, NAME])
+#: A text without these holds no entity: every number of ``ENTITY`` has a plus sign, or two digits with one mark at most between them.
+HINT = r"[0-9][. -]?[0-9]|@|\+[0-9]|" + _TITLE + " " + _BEFORE + r"\p{Lu}"
+#: The alphabets of initials.
+ALPHABETS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЩЭЮЯ", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 #: Letters that syllables of a script are made of, and endings by gender (male, female, unknown).
 SCRIPTS = {
     "latin": ("bdfgklmnprstvz", "aeiou", ("o", "a", "e"), ("son", "son", "son")),
@@ -100,7 +137,27 @@ def kind_of(e: Column) -> Column:
 
 
 def surname(e: Column) -> Column:
-    return F.regexp_extract(e, r"(\p{L}+)$", 1)
+    return F.regexp_extract(e, f"({WORD})$", 1)
+
+
+def core(word: Column) -> Column:
+    """A word of a name without its prefix."""
+    found = F.regexp_extract(word, _CORE, 1)
+    return F.when(found == "", word).otherwise(found)
+
+
+def respelt(word: Column, made: Column) -> Column:
+    """``made`` in the place of a word's core: behind its prefix, in its capitals."""
+    before = F.substring(word, F.lit(1), F.length(word) - F.length(core(word)))
+    return F.concat(before, F.when(core(word).rlike(r"\p{Ll}"), made).otherwise(F.upper(made)))
+
+
+def initials(text: Column, key: str) -> Column:
+    """Capitals of ``ALPHABETS`` exchanged for others, each for one of its own."""
+    for letters in ALPHABETS:
+        by = 1 + int(hashlib.sha256(f"{key}:{letters}".encode()).hexdigest(), 16) % (len(letters) - 1)
+        text = F.translate(text, letters, letters[by:] + letters[:by])
+    return text
 
 
 def canonical(e: Column, kind: Column) -> Column:
@@ -110,7 +167,7 @@ def canonical(e: Column, kind: Column) -> Column:
         .when(kind == "ip", e)
         .when(kind == "phone", F.right(_digits(e), F.lit(10)))
         .when(kind == "account", F.regexp_replace(e, " ", ""))
-        .when(kind == "name", F.lower(surname(e)))
+        .when(kind == "name", F.lower(core(surname(e))))
         .otherwise(_digits(e))
     )
 
@@ -171,8 +228,8 @@ def script_of(word: Column) -> Column:
 
 def gender_of(e: Column) -> Column:
     """Place in a triple of endings: male, female, unknown."""
-    title = F.regexp_extract(e, r"^(\S+?)\.? ", 1)
-    return F.when(title.isin(MALE), 0).when(title.isin(FEMALE), 1).otherwise(2)
+    title = F.lower(F.regexp_extract(e, r"^(\S+?)\.? ", 1))
+    return F.when(title.isin([t.lower() for t in MALE]), 0).when(title.isin([t.lower() for t in FEMALE]), 1).otherwise(2)
 
 
 def _by_script(word: Column, of) -> Column:
@@ -256,29 +313,37 @@ def find_entities(docs: DataFrame) -> DataFrame:
     return stage(rows.filter(F.size("found") > 0), "found")
 
 
+def after_title(e: Column) -> Column:
+    return F.regexp_replace(e, f"^{_TITLE} ", "")
+
+
 def given_names(e: Column) -> Column:
-    """Words between the title and the surname."""
-    words = F.filter(F.split(F.regexp_extract(e, r"^\S+ (.*)$", 1), "[ -]"), lambda w: w != "")
-    return F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    """(word, kind) of the words before the last; those that a hyphen joins to it are surnames too."""
+    words_of = lambda text: F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    words, last = words_of(after_title(e)), words_of(F.substring_index(after_title(e), " ", -1))
+    first = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))
+    return F.transform(first, lambda w, i: F.struct(w.alias("word"), F.when(i < F.size(words) - F.size(last), "given").otherwise("name").alias("kind")))
 
 
 def made_mentions(mentions: DataFrame, key: str = KEY) -> DataFrame:
     """(mention, kind, made, words) of staged mentions (mention, kind, canonical): the surrogate, and of a name each old and new word."""
-    words = mentions.filter("kind = 'name'").select("mention", F.posexplode(given_names(F.col("mention"))).alias("nth", "word"))
-    words = stage(words.select("mention", "nth", "word", F.lower("word").alias("canonical"), F.lit("given").alias("kind")), "given-names")
-    whole = mentions.select("kind", "canonical", F.when(F.col("kind") == "name", surname(F.col("mention"))).otherwise(F.col("mention")).alias("mention"))
-    every = whole.unionByName(words.select("kind", "canonical", F.col("word").alias("mention")))
+    words = mentions.filter("kind = 'name'").select("mention", F.posexplode(given_names(F.col("mention"))).alias("nth", "w"))
+    words = stage(words.select("mention", "nth", "w.word", F.lower(core(F.col("w.word"))).alias("canonical"), "w.kind"), "given-names")
+    whole = mentions.select("kind", "canonical", F.when(F.col("kind") == "name", core(surname(F.col("mention")))).otherwise(F.col("mention")).alias("mention"))
+    every = whole.unionByName(words.select("kind", "canonical", core(F.col("word")).alias("mention")))
     drawn = settled(every.groupBy("kind", "canonical").agg(F.min("mention").alias("mention")), key)
     form = lambda word: surrogate(word, F.col("kind"), F.col("h"), F.col("draw"))
-    renamed = lambda word: F.struct(word.alias("old"), form(word)[gender_of(F.col("mention"))].alias("new"))
+    renamed = lambda word: F.struct(word.alias("old"), respelt(word, form(core(word))[gender_of(F.col("mention"))]).alias("new"))
     parts = spread(words.join(drawn, ["kind", "canonical"]), "mention").select("mention", F.struct("nth", renamed(F.col("word")).alias("w")).alias("part"))
     given = parts.groupBy("mention").agg(F.transform(F.sort_array(F.collect_list("part")), lambda p: p["w"]).alias("given"))
     met = spread(mentions.join(drawn, ["kind", "canonical"]).join(given, "mention", "left"), "mention")
     last = renamed(surname(F.col("mention")))
     named = F.concat(F.coalesce(F.col("given"), F.array().cast("array<struct<old:string,new:string>>")), F.array(last))
     bound = met.withColumn("words", F.when(F.col("kind") == "name", named))
-    title = F.regexp_extract("mention", r"^(\S+ )", 1)
-    made = F.when(F.col("kind") == "name", F.concat(title, F.array_join(F.transform("words", lambda w: w["new"]), " "))).otherwise(form(F.col("mention"))[0])
+    title = F.regexp_extract("mention", f"^{_TITLE} ", 0)
+    between = F.split(after_title(F.col("mention")), WORD, -1)
+    spelt = F.zip_with(between, F.concat(F.transform("words", lambda w: w["new"]), F.array(F.lit(""))), lambda b, w: F.concat(initials(b, key), w))
+    made = F.when(F.col("kind") == "name", F.concat(title, F.array_join(spelt, ""))).otherwise(form(F.col("mention"))[0])
     return bound.select("mention", "kind", made.alias("made"), "words")
 
 
