@@ -28,6 +28,7 @@ from millrace.plans.source_order import in_source_order
 from millrace.plans.template import PromptTemplate, TemplateError
 from millrace.providers import Messages, Provider, ProviderError, ProviderSpec, Response, RuntimeOptions, UnavailableError
 from millrace.providers.http import OpenAIOptions
+from millrace.providers.pool import first_server
 from millrace.sources.tables import count_lines, exists, list_files, load_dataset, read_jsonl, read_prompts, read_text, remove_empty_files, write_jsonl, write_text
 from millrace.streaming.done_state import annotate_once
 from millrace.streaming.resume import counts_stream, total_counts
@@ -326,15 +327,26 @@ def file_index(spark, sf_dir):
     return files.groupBy("rows").agg(F.count("*").alias("files"))
 
 
-@query("SELECT 'server' || t AS first_asked, true AS own FROM range(4) AS r(t)")
+@query("SELECT (o_orderkey // 256) % 4 AS server, count(DISTINCT o_orderkey // 256) AS batches, count(*) AS n FROM orders GROUP BY 1")
 def server_round_robin(spark, sf_dir):
-    """Each task's first batch goes to a server of its own: tasks begin with different ones."""
-    rows = prompted(table(spark, sf_dir, "documents"), "doc_id", "{lang}").withColumn("task", F.pmod(F.col("idx"), F.lit(4)).cast("int"))
-    dealt = rows.repartitionById(4, F.col("task")).drop("task")
-    spec = AnnotateSpec(ProviderSpec(ServedProvider, base_urls=tuple(f"server{k}" for k in range(4))), batch_size=16, queue_size=4, pool_tasks=4)
-    found = annotate(dealt, spec).select(F.spark_partition_id().alias("task"), F.substring_index("response", ":", 1).alias("server"), F.monotonically_increasing_id().alias("at"))
-    first = found.groupBy("task").agg(F.min_by("server", "at").alias("first_asked"))
-    return first.select("first_asked", (F.col("first_asked") == F.concat(F.lit("server"), F.col("task").cast("string"))).alias("own"))
+    """The servers that answer the batches of all orders: a task begins with a server of its own and goes round."""
+    servers, tasks = 4, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    batches = table(spark, sf_dir, "orders").groupBy(F.expr("o_orderkey div 256").alias("batch")).agg(F.count("*").alias("n"))
+    # Four neighbouring batches are a round. Gaps are asked as well, with no orders, so that each round takes every server.
+    number, below = F.abs("batch"), F.col("batch") < 0
+    turns = F.map_from_entries(F.collect_list(F.struct(first_server(number, servers).alias("turn"), "n")))
+    rounds = batches.filter("batch is not null").groupBy(below.alias("below"), F.floor(number / servers).alias("round")).agg(turns.alias("turns"))
+    asked = rounds.select("below", "round", F.explode(F.sequence(F.lit(0), F.lit(servers - 1))).alias("turn"), "turns")
+    asked = asked.withColumn("n", F.coalesce(F.element_at("turns", F.col("turn").cast("long")), F.lit(0))).withColumn("task", F.pmod(F.hash("below", "round"), F.lit(tasks)))
+    rows = prompted(asked, "round", "{n}", keep=("below", "task", "turn"))
+    dealt = rows.repartitionById(tasks, F.col("task")).sortWithinPartitions("below", "idx", F.pmod(F.col("turn") - F.col("task"), F.lit(servers)))
+    spec = AnnotateSpec(ProviderSpec(ServedProvider, base_urls=tuple(str(k) for k in range(servers))), keep_columns=("below",), batch_size=1, queue_size=servers, pool_tasks=servers)
+    server, n = (F.substring_index("response", ":", k).cast("long") for k in (1, -1))
+    # The remainder of a key below zero is below zero, and orders without a key are in no batch.
+    answered = annotate(dealt, spec).select(F.when(F.col("below"), -server).otherwise(server).alias("server"), n.alias("n")).filter("n > 0")
+    unnumbered = batches.filter("batch is null").select(F.lit(None).cast("long").alias("server"), "n")
+    counted = answered.withColumn("batches", F.lit(1)).unionByName(unnumbered.withColumn("batches", F.lit(0)))
+    return counted.groupBy("server").agg(F.sum("batches").alias("batches"), F.sum("n").alias("n"))
 
 
 class ServedProvider(Provider):

@@ -1,0 +1,27 @@
+"""The pool's round robin over all batches of orders."""
+
+import pytest
+
+from millrace.queries import QUERIES, SQL
+from tests.conftest import SF
+
+duckdb = pytest.importorskip("duckdb")
+
+
+def counts(spark, folder):
+    return sorted(map(tuple, QUERIES["server_round_robin"](spark, folder).select("server", "batches", "n").collect()), key=str)
+
+
+def told(folder):
+    return sorted(duckdb.sql(SQL["server_round_robin"].replace("FROM orders", f"FROM '{folder}/orders.parquet'")).fetchall(), key=str)
+
+
+def test_every_order_counts(spark):
+    assert sum(n for _, _, n in counts(spark, SF)) == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+@pytest.mark.parametrize("keys", [range(0, 40_000, 7), [5, 5, 256 * 3, 256 * 9 + 1, 256 * 10, 256 * 4_000_001], [None, None, 1, -1, -255, -256, -1300, -1301, 2000], [None], []])
+def test_gaps_repeated_negative_and_missing_keys(spark, tmp_path, keys):
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").coalesce(1).write.parquet(f"{tmp_path}/orders")
+    (next((tmp_path / "orders").glob("part-*"))).rename(tmp_path / "orders.parquet")
+    assert counts(spark, str(tmp_path)) == told(tmp_path)
