@@ -35,6 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .remembered import remembered
 from .skew import spread_join
 from .staging import discard, stage
 from .words import mixed
@@ -197,14 +198,9 @@ def _edge(left: bytes, right: bytes) -> tuple[bytes, bytes]:
     return tail, head
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """The worker's codec for a file."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return remembered(("codec", path), lambda: Codec(path))
 
 
 def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,13 +312,14 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     given = stage(spread_join(listed, shared, ["digest"], "n", ["key"]).groupBy("key", "digest").agg(F.first("n").alias("n")), "shared-uses")
     discard(listed)
     owned = shared.groupBy("owner").agg(F.collect_list("digest").alias("owned"))
+    # Sort-merge joins at every size: packing and encoding in one stage would take two Python workers a task, which Spark keeps.
     packed = keyed.mapInArrow(pack, "doc_id long, key long, packed binary")
-    held = packed.filter("packed is not null").join(owned, F.col("key") == F.col("owner")).select("packed", "owned")
+    held = packed.filter("packed is not null").join(owned.hint("merge"), F.col("key") == F.col("owner")).select("packed", "owned")
     once = held.mapInArrow(encode_owned(path, width), "digest binary, ids binary")
     once = once.groupBy("digest").agg(F.any_value("ids").alias("ids")).join(given.groupBy("digest").agg(F.count("*").alias("n")), "digest")
     once = stage(once, "shared-encodings")
     given = spread_join(given.select("key", "digest"), once, ["digest"], "n", ["key"]).groupBy("key").agg(F.collect_list(F.struct("digest", "ids")).alias("given"))
-    whole = packed.join(given, "key", "left").select("doc_id", "packed", "given")
+    whole = packed.join(given.hint("merge"), "key", "left").select("doc_id", "packed", "given")
     discard(shared)
     return whole.mapInArrow(assemble(path, width), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .remembered import forget
 from .skew import spread_join
 from .staging import fresh_name, stage
 
@@ -120,6 +121,7 @@ def text_scores(table: np.ndarray):
     """Function for ``mapInArrow``: rows with a text column last to those rows with ``grams`` and ``scores`` instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             data, ends = _flat(batch.column(batch.num_columns - 1))
             counts = np.zeros(batch.num_rows)

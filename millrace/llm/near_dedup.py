@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
+from .remembered import forget, remembered
 from .skew import spread_join
 from .staging import discard, fresh_name, stage
 from .words import WordHashes, _odd, mixed, shingle_hashes, split_words
@@ -100,13 +101,8 @@ def sketches(s: np.ndarray) -> np.ndarray:
     return mixed(out + np.arange(SKETCHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-_WORDS: list[WordHashes] = []
-
-
 def _hashes(text: str | None) -> np.ndarray:
-    if not _WORDS:
-        _WORDS.append(WordHashes(normal_word))
-    return _WORDS[0].of(split_words(text))
+    return remembered("normal words", lambda: WordHashes(normal_word)).of(split_words(text))
 
 
 def _digest(hashes: np.ndarray) -> bytes:
@@ -196,6 +192,7 @@ def link_blocks(left: list[Text], right: list[Text] | None) -> list[tuple[bytes,
 def link_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (unit, side, digest, label, sequence) to links (a, b); a unit has one side (0) or two (0, 1) and one unit is held at a time."""
     unit, rows = None, []
+    forget()
 
     def links() -> pa.RecordBatch:
         sides = [[t for side, *t in rows if side == k] for k in (0, 1)]
