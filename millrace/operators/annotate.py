@@ -173,6 +173,21 @@ def annotate_rows(spec: AnnotateSpec, provider: Provider, rows: list[dict]) -> l
     return done
 
 
+def resized(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``size``, in whatever batches Arrow hands them over; only a task's last one may be shorter."""
+    parts: list[pa.RecordBatch] = []
+    missing = size
+    for batch in batches:
+        while batch.num_rows:
+            parts.append(batch.slice(0, missing))
+            batch, missing = batch.slice(parts[-1].num_rows), missing - parts[-1].num_rows
+            if not missing:
+                yield pa.concat_batches(parts)
+                parts, missing = [], size
+    if parts:
+        yield pa.concat_batches(parts)
+
+
 def worker(spec: AnnotateSpec, schema: T.StructType):
     """Function for ``mapInArrow``; providers are built, warmed up and closed in the task.
 
@@ -192,10 +207,8 @@ def worker(spec: AnnotateSpec, schema: T.StructType):
     messages = f"{spec.task_prefix}messages"
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[dict]]]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, spec.batch_size):
-                part = batch.slice(first, spec.batch_size)
-                yield part, (part if hooked else part.select([messages])).to_pylist()
+        for part in resized(batches, spec.batch_size):
+            yield part, (part if hooked else part.select([messages])).to_pylist()
 
     def merged(part: pa.RecordBatch, rows: list[dict], results: list[dict]) -> pa.RecordBatch:
         def column(f: pa.Field) -> pa.Array:
