@@ -14,7 +14,7 @@ import secrets
 import socket
 import threading
 import time
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,6 +22,8 @@ from pyspark.sql import SparkSession
 
 #: Seconds after which a server that could not be reached is tried again.
 AWAY_SECONDS = 30.0
+#: Bytes of a line to the broker, at most.
+LONGEST_LINE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -34,14 +36,22 @@ class LeaseAddress:
 
 
 class LeaseBroker:
-    """So many places at each of some servers. Use it as a context; ``address`` is for tasks."""
+    """So many places at each of some servers. Use it as a context; ``address`` is for tasks.
+
+    Those that wait are served in order of their asking, and a place that is given back goes
+    to the first of them at once.
+    """
 
     def __init__(self, servers: int, places: int, host: str = "127.0.0.1", away: float = AWAY_SECONDS):
         self.servers, self.places, self.away = servers, places, away
         self.busy: Counter[int] = Counter()
         self.aside: dict[int, float] = {}
+        #: Seconds that a server takes for a batch, of late.
+        self.pace: dict[int, float] = {}
+        self.talks: set[_Talk] = set()
+        self.waiting: deque[_Talk] = deque()
         self.host, self.secret, self.port = host, secrets.token_hex(16), 0
-        self._ready, self._loop, self._changed = threading.Event(), asyncio.new_event_loop(), None
+        self._ready, self._loop = threading.Event(), asyncio.new_event_loop()
         self._trouble: BaseException | None = None
         self._thread = threading.Thread(target=self._serve, daemon=True)
 
@@ -63,8 +73,7 @@ class LeaseBroker:
     def _serve(self) -> None:
         asyncio.set_event_loop(self._loop)
         try:
-            self._changed = asyncio.Condition()
-            server = self._loop.run_until_complete(asyncio.start_server(self._talk, self.host, 0))
+            server = self._loop.run_until_complete(self._loop.create_server(lambda: _Talk(self), self.host, 0))
             self.port = server.sockets[0].getsockname()[1]
         except BaseException as e:  # noqa: BLE001
             self._trouble = e
@@ -73,69 +82,93 @@ class LeaseBroker:
             self._ready.set()
         self._loop.run_forever()
         server.close()
-        talks = asyncio.all_tasks(self._loop)
-        for talk in talks:
-            talk.cancel()
-        self._loop.run_until_complete(asyncio.gather(*talks, return_exceptions=True))
+        self.waiting.clear()
+        for talk in self.talks:
+            talk.link.abort()
+        self._loop.run_until_complete(asyncio.sleep(0))
         self._loop.close()
 
     def _pick(self, first: int) -> int | None:
-        """The least busy server with a free place, the task's own first among equals."""
+        """The least busy server with a free place; among equals the quickest, and before any is known the task's own."""
         now = time.monotonic()
         self.aside = {k: since for k, since in self.aside.items() if now - since <= self.away}
         free = [k for k in range(self.servers) if k not in self.aside and self.busy[k] < self.places]
-        return min(free, key=lambda k: (self.busy[k], (k - first) % self.servers), default=None)
-
-    async def _take(self, first: int) -> int | None:
-        async with self._changed:
-            while (place := self._pick(first)) is None:
-                if len(self.aside) == self.servers:
-                    return None
-                try:
-                    await asyncio.wait_for(self._changed.wait(), 1.0)
-                except TimeoutError:
-                    pass  # a server may be back
-            self.busy[place] += 1
-            return place
-
-    async def _give(self, place: int, reached: bool) -> None:
-        async with self._changed:
-            self.busy[place] -= 1
-            if not reached:
-                self.aside[place] = time.monotonic()
-            self._changed.notify_all()
-
-    async def _talk(self, reader: asyncio.StreamReader, writer: asyncio.StreamWriter) -> None:
-        held: int | None = None
-        try:
-            hello = json.loads(await reader.readline())
-            if not secrets.compare_digest(str(hello.get("secret")), self.secret):
+        return min(free, key=lambda k: (self.busy[k], self.pace.get(k, 0.0), (k - first) % self.servers), default=None)
+
+    def take(self, talk: _Talk) -> None:
+        self.waiting.append(talk)
+        self.grant()
+
+    def give(self, place: int, seconds: float | None, reached: bool = True) -> None:
+        """``seconds`` is what a batch took, none if it did not end."""
+        self.busy[place] -= 1
+        if reached and seconds is not None:
+            self.pace[place] = (3 * self.pace.get(place, seconds) + seconds) / 4
+        if not reached:
+            self.aside[place] = time.monotonic()
+            self._loop.call_later(self.away + 0.01, self.grant)
+        self.grant()
+
+    def grant(self) -> None:
+        """Places for those that wait, as far as there are any; no place where no server can be reached."""
+        while self.waiting:
+            place = self._pick(self.waiting[0].first)
+            if place is None and len(self.aside) < self.servers:
                 return
-            line = await reader.readline()
-            while line:
-                said = json.loads(line)
-                if said["ask"] == "take":
-                    # A task that dies while it waits takes no place.
-                    taking, heard = asyncio.ensure_future(self._take(int(said["first"]))), asyncio.ensure_future(reader.readline())
-                    await asyncio.wait({taking, heard}, return_when=asyncio.FIRST_COMPLETED)
-                    if not taking.done():
-                        taking.cancel()
-                        return
-                    held = taking.result()
-                    writer.write(f"{json.dumps(held)}\n".encode())
-                    await writer.drain()
-                    line = await heard
-                    continue
-                if said["ask"] == "give" and held is not None:
-                    place, held = held, None
-                    await self._give(place, bool(said["reached"]))
-                line = await reader.readline()
-        except (ValueError, KeyError, ConnectionError, asyncio.IncompleteReadError):
-            pass
-        finally:
-            if held is not None:
-                await self._give(held, True)
-            writer.close()
+            if place is not None:
+                self.busy[place] += 1
+            self.waiting.popleft().lent(place)
+
+
+class _Talk(asyncio.Protocol):
+    """The broker's end of a connection: a task's lines come in, numbers of servers go out."""
+
+    def __init__(self, broker: LeaseBroker):
+        self.broker, self.known, self.rest, self.first = broker, False, b"", 0
+        self.held: int | None = None
+        self.since = 0.0
+
+    def connection_made(self, link: asyncio.Transport) -> None:
+        self.link = link
+        self.broker.talks.add(self)
+
+    def data_received(self, data: bytes) -> None:
+        *lines, self.rest = (self.rest + data).split(b"\n")
+        try:
+            for line in lines:
+                if not self.link.is_closing():
+                    self._hear(json.loads(line))
+            if len(self.rest) > LONGEST_LINE:
+                raise ValueError("a line is too long")
+        except (ValueError, KeyError, TypeError, AttributeError):
+            self.link.abort()
+
+    def _hear(self, said: dict) -> None:
+        if not self.known:
+            self.known = secrets.compare_digest(str(said.get("secret")).encode(), self.broker.secret.encode())
+            if not self.known:
+                self.link.close()
+        elif said["ask"] == "take":
+            if self.held is not None or self in self.broker.waiting:
+                raise ValueError("a connection has one place at a time")
+            self.first = int(said["first"])
+            self.broker.take(self)
+        elif said["ask"] == "give" and self.held is not None:
+            place, self.held = self.held, None
+            self.broker.give(place, time.monotonic() - self.since, bool(said["reached"]))
+
+    def lent(self, place: int | None) -> None:
+        self.held, self.since = place, time.monotonic()
+        self.link.write(f"{json.dumps(place)}\n".encode())
+
+    def connection_lost(self, trouble: Exception | None) -> None:
+        """A task that dies while it waits takes no place; what a dead one held is free again."""
+        self.broker.talks.discard(self)
+        if self in self.broker.waiting:
+            self.broker.waiting.remove(self)
+        if self.held is not None:
+            place, self.held = self.held, None
+            self.broker.give(place, None)
 
 
 class Leases:
@@ -148,6 +181,8 @@ class Leases:
     def _file(self):
         if not hasattr(self.own, "file"):
             link = self.connect((self.address.host, self.address.port))
+            # A task says one short line after another; held back until the last one is acknowledged, each would cost 40 ms.
+            link.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
             self.own.file = link.makefile("rwb")
             with self.lock:
                 self.all.append((link, self.own.file))

@@ -95,6 +95,10 @@ class ServerPool:
 
     def run(self, batches: Iterator[Batch], work: Callable[[Provider, Batch], Any], in_flight: int) -> Iterator[tuple[Batch, Any]]:
         """(batch, result) in order of completion, with so many batches in flight at most."""
+        if in_flight <= 1:
+            # One after another needs no thread, nor the time of handing batches to it and back.
+            yield from ((batch, self.ask(batch, work)) for batch in batches)
+            return
         batches, pending = iter(batches), {}
         with ThreadPoolExecutor(min(len(self.makers), max(1, in_flight))) as threads:
             try:
